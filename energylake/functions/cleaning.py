@@ -26,6 +26,27 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     )
 
 
+def round_half_even(value: Column, places: int) -> Column:
+    """Round the exact binary value to `places` decimals, true ties to even.
+
+    `bround` rounds the shortest decimal text of a double, so that 0.0015 counts
+    as a tie although the number is above it.  Here the product with 10^places
+    is split into its rounded value and the exact rest, which decides such cases.
+    """
+    scale = float(10**places)
+    product = value * scale
+    split = value * 134217729.0  # 2^27 + 1: halves the 53 bits of the mantissa
+    high = split - (split - value)
+    rest = (high * scale - product) + (value - high) * scale
+    half = product - F.floor(product) == 0.5
+    whole = (
+        F.when(half & (rest > 0), F.ceil(product).cast("double"))
+        .when(half & (rest < 0), F.floor(product).cast("double"))
+        .otherwise(F.rint(product))
+    )
+    return whole / scale
+
+
 def iso_seconds(time: Column) -> Column:
     """ISO-8601 text in whole seconds with a +00:00 offset (UTC session)."""
     return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.cleaning import nan_to_null, to_number
+from ..functions.cleaning import nan_to_null, round_half_even, to_number
 from ..schemas import flat
 
 
@@ -36,16 +36,18 @@ def with_net_grid_flow(snapshots: DataFrame) -> DataFrame:
 
 def rounded_snapshot(snapshots: DataFrame) -> DataFrame:
     """Round each field to the decimals of its JSON form, halves to even."""
-    rounded = snapshots
+    columns = {
+        "net_grid_flow_kw": round_half_even(
+            F.col("net_grid_flow_kw"), schemas.NET_FLOW_DECIMALS
+        )
+    }
     for record, decimals in schemas.SNAPSHOT_DECIMALS.items():
+        columns[record] = F.col(record)
         for field, places in decimals.items():
-            rounded = rounded.withColumn(
-                record,
-                F.col(record).withField(field, F.bround(f"{record}.{field}", places)),
+            columns[record] = columns[record].withField(
+                field, round_half_even(F.col(f"{record}.{field}"), places)
             )
-    return rounded.withColumn(
-        "net_grid_flow_kw", F.bround("net_grid_flow_kw", schemas.NET_FLOW_DECIMALS)
-    )
+    return snapshots.withColumns(columns)
 
 
 def snapshot_points(snapshots: DataFrame) -> DataFrame:

@@ -151,6 +151,7 @@ ROLLING = [
 ]
 LAGS = ["solar_generation_kw", "home_load_total_load_kw", "grid_price_price_per_kwh"]
 
+D = "CAST({} AS DOUBLE)".format
 TWO_PI = "(2 * pi())"
 DAY = "(isodow({t}) - 1)"
 
@@ -162,6 +163,11 @@ def _tou(hour: str) -> str:
       CAST(({hour} >= 7 AND {hour} < 16) OR {hour} = 21 AS INTEGER) AS tou_shoulder"""
 
 
+def _r(expression: str) -> str:
+    """Rounded, ties put on one side (see `queries._rounded`)."""
+    return f"round({expression} + {D(1e-8)}, 4)"
+
+
 def _feature_build(days: int, partition: str, tie: str) -> str:
     over = f"{partition} ORDER BY time{tie}"
     stats = ",\n".join(
@@ -171,13 +177,13 @@ def _feature_build(days: int, partition: str, tie: str) -> str:
     )
     full = " AND ".join(f"c_{m} = n AND s_{m} IS NOT NULL" for m in ROLLING)
     rolling = ", ".join(
-        f"round(a_{m}, 4) AS {m}_rolling_avg_{days}d, "
-        f"round(s_{m}, 4) AS {m}_rolling_std_{days}d"
+        f"{_r(f'a_{m}')} AS {m}_rolling_avg_{days}d, "
+        f"{_r(f's_{m}')} AS {m}_rolling_std_{days}d"
         for m in ROLLING
     )
     lags = ", ".join(
-        f"round(lag({m}, 1) OVER (w2), 4) AS {m}_lag_1, "
-        f"round(lag({m}, kh) OVER (w2), 4) AS {m}_lag_1h"
+        f"{_r(f'lag({m}, 1) OVER w2')} AS {m}_lag_1, "
+        f"{_r(f'lag({m}, kh) OVER w2')} AS {m}_lag_1h"
         for m in LAGS
     )
     day = DAY.format(t="time")
@@ -200,14 +206,14 @@ rolled AS (
 hours AS (
   SELECT rolled.*, CAST(round_even(60 / minutes, 0) AS BIGINT) AS kh FROM rolled, m2)
 SELECT time, site_id, device_id,
-       {", ".join(f"round({m}, 4) AS {m}" for m in METRICS)},
+       {", ".join(f"{_r(m)} AS {m}" for m in METRICS)},
        CAST(hour(time) AS INTEGER) AS hour_of_day, CAST({day} AS INTEGER) AS day_of_week,
        CAST(day(time) AS INTEGER) AS day_of_month, CAST(month(time) AS INTEGER) AS month,
        CAST({day} >= 5 AS INTEGER) AS is_weekend,
-       round(sin({TWO_PI} * hour(time) / 24), 4) AS hour_sin,
-       round(cos({TWO_PI} * hour(time) / 24), 4) AS hour_cos,
-       round(sin({TWO_PI} * {day} / 7), 4) AS day_sin,
-       round(cos({TWO_PI} * {day} / 7), 4) AS day_cos,
+       {_r(f'sin({TWO_PI} * hour(time) / 24)')} AS hour_sin,
+       {_r(f'cos({TWO_PI} * hour(time) / 24)')} AS hour_cos,
+       {_r(f'sin({TWO_PI} * {day} / 7)')} AS day_sin,
+       {_r(f'cos({TWO_PI} * {day} / 7)')} AS day_cos,
        {rolling}, {_tou("hour(time)")}, {lags}
 FROM hours WINDOW w2 AS ({over})"""
 
@@ -283,7 +289,7 @@ def _metric_columns(limit: float) -> str:
 
 
 ROUNDED_METRICS = ", ".join(
-    f"round({m}, 4) AS {m}"
+    f"{_r(m)} AS {m}"
     for m in ("mae", "rmse", "r2", "mape", "target_mean", "mae_percent")
 )
 
@@ -317,7 +323,6 @@ expected AS (
   FROM irr)"""
 
 
-D = "CAST({} AS DOUBLE)".format
 PARTS = ["hvac_kw", "appliances_kw", "lighting_kw", "ev_charging_kw", "other_kw"]
 
 TARIFF_PERIOD = """
@@ -340,7 +345,7 @@ FROM snap""",
 SELECT event_id, device_id, round_even(solar_generation_kw, 3) AS generation_kw,
        round_even(solar_irradiance_w_m2, 2) AS irradiance_w_m2,
        round_even(battery_power_kw, 3) AS power_kw, battery_cycles AS cycles,
-       round_even(home_load_lighting_kw, 3) AS lighting_kw,
+       round_even(home_load_appliances_kw, 3) AS appliances_kw,
        round_even(grid_price_price_per_kwh, 4) AS price_per_kwh,
        period AS time_of_use_period FROM snap""",
     "readings_melt": f"""WITH {POINTS}
@@ -356,7 +361,7 @@ SELECT event_id, try_cast(value AS DOUBLE) AS metric_value FROM points
 WHERE try_cast(value AS DOUBLE) IS NOT NULL""",
     "snapshot_readings": f"""WITH {SNAP_POINTS}
 SELECT site_id, device_id, measurement || '.' || field AS metric_name,
-       count(*) AS readings, round(avg(value), 4) AS mean_value
+       count(*) AS readings, round(sum(value), 4) AS total
 FROM snap_points GROUP BY ALL""",
     "union_measurements": f"""WITH {POINTS}
 SELECT * FROM points WHERE measurement = 'solar'
@@ -388,7 +393,7 @@ SELECT site_id, min(time) AS earliest_time, arg_min(metric_value, time) AS earli
        max(time) AS latest_time, arg_max(metric_value, time) AS latest_value
 FROM readings GROUP BY site_id""",
     "month_partition_scan": """
-SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month_start,
+SELECT strftime(o_orderdate, '%Y-%m') AS month,
        'site-' || CAST(o_custkey % 3 AS VARCHAR) AS site_id,
        count(*) AS readings, round(sum(o_totalprice), 4) AS total
 FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1996-02-10' AND TIMESTAMP '1998-11-20'
@@ -490,7 +495,7 @@ SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS slot, count(*) AS events,
 SELECT unnest(generate_series(min(ts), max(ts), INTERVAL 5 MINUTE)) AS time FROM events""",
     # --- series windows
     "rolling_mean_std": _rolling(12, "PARTITION BY site_id, device_id", "device_id"),
-    "rolling_long_window": _rolling(288, "PARTITION BY site_id", "site_id"),
+    "rolling_long_window": _rolling(300, "PARTITION BY site_id", "site_id"),
     "rolling_with_nulls": f"""WITH {READINGS},
 wide AS (
   SELECT time, site_id, device_id,
@@ -564,12 +569,12 @@ shrunk AS (SELECT target, actual, predicted * CAST(0.5 AS DOUBLE) + 125000 AS pr
            FROM pairs WHERE target <> '5-LOW'),
 b AS (SELECT target, {_metric_columns(10)} FROM pairs GROUP BY target),
 c AS (SELECT target, {_metric_columns(5)} FROM shrunk GROUP BY target)
-SELECT target, round(b.mae, 4) AS baseline_mae, round(b.rmse, 4) AS baseline_rmse,
-       round(b.r2, 4) AS baseline_r2, round(c.mae, 4) AS candidate_mae,
-       round(c.rmse, 4) AS candidate_rmse, round(c.r2, 4) AS candidate_r2,
-       round((b.mae - c.mae) / b.mae * 100, 4) AS mae_percent_improvement,
-       round((b.rmse - c.rmse) / b.rmse * 100, 4) AS rmse_percent_improvement,
-       round(c.r2 - b.r2, 4) AS r2_absolute_improvement,
+SELECT target, {_r('b.mae')} AS baseline_mae, {_r('b.rmse')} AS baseline_rmse,
+       {_r('b.r2')} AS baseline_r2, {_r('c.mae')} AS candidate_mae,
+       {_r('c.rmse')} AS candidate_rmse, {_r('c.r2')} AS candidate_r2,
+       {_r('(b.mae - c.mae) / b.mae * 100')} AS mae_percent_improvement,
+       {_r('(b.rmse - c.rmse) / b.rmse * 100')} AS rmse_percent_improvement,
+       {_r('c.r2 - b.r2')} AS r2_absolute_improvement,
        c.mae_percent <= 40 AS meets_target,
        c.mae < b.mae AND c.r2 > b.r2 AS is_better
 FROM b JOIN c USING (target)""",
@@ -620,11 +625,10 @@ SELECT event_id, round(CASE WHEN net < 0 THEN least(-net, 5)
          THEN CASE WHEN grid_price_price_per_kwh < {D(0.1)} THEN {D(2.5)} ELSE 0 END
        ELSE -net * {D(0.3)} END, 4) AS battery_kw FROM net""",
     "load_rescale": f"""WITH {SNAPSHOTS},
-parts AS (SELECT event_id, round(home_load_hvac_kw, 2) - {D(0.25)} AS hvac_kw,
-       round(home_load_appliances_kw, 2) - {D(0)} AS appliances_kw,
-       round(home_load_lighting_kw, 2) - {D(0)} AS lighting_kw,
-       round(home_load_ev_charging_kw, 2) - {D(0)} AS ev_charging_kw,
-       round(home_load_other_kw, 2) - {D(0)} AS other_kw FROM snap),
+parts AS (SELECT event_id, home_load_hvac_kw - {D(0.25)} AS hvac_kw,
+       home_load_appliances_kw AS appliances_kw, home_load_lighting_kw AS lighting_kw,
+       home_load_ev_charging_kw AS ev_charging_kw, home_load_other_kw AS other_kw
+       FROM snap),
 sums AS (SELECT *, {" + ".join(PARTS)} AS total FROM parts),
 scales AS (SELECT *, CASE WHEN total > 0 THEN greatest({D(0.5)}, least(8, total)) / total
        ELSE 1 END AS s FROM sums),

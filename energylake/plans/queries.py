@@ -31,11 +31,16 @@ def r4(col: Column | str) -> Column:
     return F.round(col, 4)
 
 
-def _rounded(df: DataFrame, *keep: str) -> DataFrame:
-    """Doubles to 4 places, except those kept."""
+def _rounded(df: DataFrame) -> DataFrame:
+    """Doubles to 4 places.
+
+    Means of short decimals can lie half-way between two rounded values, where
+    engines differ by their last bit; a shift far below the kept places puts
+    them on one side.
+    """
     return df.select(
         *[
-            r4(name).alias(name) if kind == "double" and name not in keep else name
+            r4(F.col(name) + 1e-8).alias(name) if kind == "double" else name
             for name, kind in df.dtypes
         ]
     )
@@ -69,7 +74,7 @@ def rounded_snapshot(spark, sf_dir):
         "solar.irradiance_w_m2",
         "battery.power_kw",
         "battery.cycles",
-        "home_load.lighting_kw",
+        "home_load.appliances_kw",
         "grid_price.price_per_kwh",
         "grid_price.time_of_use_period",
     )
@@ -105,7 +110,7 @@ def snapshot_readings(spark, sf_dir):
     )
     return rows.groupBy("site_id", "device_id", "metric_name").agg(
         F.count(F.lit(1)).alias("readings"),
-        r4(F.avg("metric_value")).alias("mean_value"),
+        r4(F.sum("metric_value")).alias("total"),
     )
 
 
@@ -196,7 +201,8 @@ def month_partition_scan(spark, sf_dir):
         F.lit("1996-02-10").cast("timestamp_ntz"),
         F.lit("1998-11-20").cast("timestamp_ntz"),
     )
-    return rows.groupBy(tables.MONTH, "site_id").agg(
+    month = F.date_format(tables.MONTH, "yyyy-MM").alias("month")
+    return rows.groupBy(month, "site_id").agg(
         F.count(F.lit(1)).alias("readings"), r4(F.sum("metric_value")).alias("total")
     )
 
@@ -416,7 +422,7 @@ def rolling_mean_std(spark, sf_dir):
 def rolling_long_window(spark, sf_dir):
     """A window of many rows, per site."""
     rows = windows.rolling_mean_std(
-        inputs.readings(spark, sf_dir), WINDOW, 288, ["site_id"], SERIES_ORDER
+        inputs.readings(spark, sf_dir), WINDOW, 300, ["site_id"], SERIES_ORDER
     )
     return rows.select(
         "event_id", "site_id", r4("rolling_avg").alias("rolling_avg"),
@@ -698,10 +704,9 @@ PARTS = ["hvac_kw", "appliances_kw", "lighting_kw", "ev_charging_kw", "other_kw"
 
 @query
 def load_rescale(spark, sf_dir):
-    # two decimals each, shifted so that some parts and some sums are negative
+    # one part shifted, so that it is negative in some rows
     parts = {
-        n: F.round(F.col(f"home_load.{n}"), 2) - (0.25 if n == "hvac_kw" else 0.0)
-        for n in PARTS
+        n: F.col(f"home_load.{n}") - (0.25 if n == "hvac_kw" else 0.0) for n in PARTS
     }
     scaled = energy.rescale_load(parts, 0.5, 8.0)
     return inputs.snapshots(spark, sf_dir).select(

@@ -27,7 +27,9 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 def _canonical(df: pd.DataFrame) -> pd.DataFrame:
     df = df[sorted(df.columns)].copy()
     for c in df.columns:
-        if str(df[c].dtype).startswith("datetime64"):
+        if str(df[c].dtype) == "Int64":
+            df[c] = df[c].astype("float64")
+        elif str(df[c].dtype).startswith("datetime64"):
             df[c] = df[c].astype("datetime64[us]")
         elif df[c].dtype == object and df[c].notna().any():
             df[c] = df[c].map(lambda v: None if v is None else str(v))
