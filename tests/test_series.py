@@ -1,0 +1,205 @@
+"""Windows over long, cut series give what plain windows give."""
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from energylake.operators import dataset, series, windows
+
+from .helpers import KEYS, ORDER, by_row, ordered, skewed_series, to_spark
+
+SIZES = [30, 10_000]  # the second leaves all series whole
+
+
+@pytest.fixture(scope="module")
+def pdf():
+    return skewed_series()
+
+
+@pytest.fixture(scope="module")
+def df(spark, pdf):
+    return to_spark(spark, pdf).cache()
+
+
+def same(got, want):
+    np.testing.assert_allclose(
+        np.asarray(got, dtype=float), np.asarray(want, dtype=float), atol=1e-8
+    )
+
+
+@pytest.mark.parametrize("keys", [KEYS, []])
+@pytest.mark.parametrize("size", SIZES)
+@pytest.mark.parametrize("n", [3, 45])
+def test_rolling(df, pdf, n, size, keys):
+    got = by_row(
+        windows.rolling_mean_std(df, {"value": ("a", "s")}, n, keys, ORDER, size)
+    )
+    rows = ordered(pdf)
+    groups = rows.groupby(keys) if keys else rows.groupby(lambda _: 0)
+    rolled = groups["value"].rolling(n, min_periods=n)
+    rows["a"] = rolled.mean().reset_index(level=list(range(max(1, len(keys)))), drop=True)
+    rows["s"] = rolled.std().reset_index(level=list(range(max(1, len(keys)))), drop=True)
+    want = rows.sort_values("row_id")
+    assert len(got) == len(pdf)
+    assert got["a"].notna().sum() > 50
+    same(got["a"], want["a"])
+    # pandas carries rounding residue of earlier rows into the deviation
+    np.testing.assert_allclose(got["s"], want["s"], atol=1e-5)
+
+
+@pytest.mark.parametrize("keys", [KEYS, []])
+@pytest.mark.parametrize("size", SIZES)
+def test_lag_and_lead(df, pdf, size, keys):
+    lagged = by_row(
+        windows.lag_columns(
+            df,
+            {"l1": ("value", 1), "l12": ("value", 12), "l0": ("value", 0)},
+            keys,
+            ORDER,
+            size,
+        )
+    )
+    led = by_row(windows.lead_column(df, "value", 17, "ahead", keys, ORDER, size))
+    rows = ordered(pdf)
+    groups = (rows.groupby(keys) if keys else rows.groupby(lambda _: 0))["value"]
+    for k in (1, 12):
+        rows[f"l{k}"] = groups.shift(k)
+    rows["ahead"] = groups.shift(-17)
+    want = rows.sort_values("row_id")
+    same(lagged["l1"], want["l1"])
+    same(lagged["l12"], want["l12"])
+    same(lagged["l0"], want["value"])
+    same(led["ahead"], want["ahead"])
+    assert led["ahead"].notna().sum() > 50
+
+
+@pytest.mark.parametrize("keys", [KEYS, []])
+@pytest.mark.parametrize("size", SIZES)
+def test_positions_and_totals(df, pdf, size, keys):
+    placed = by_row(series.with_positions(df, keys, ORDER, max_rows=size))
+    totals = by_row(series.running_total(df, keys, ORDER, "value", "total", size))
+    rows = ordered(pdf)
+    groups = rows.groupby(keys) if keys else rows.groupby(lambda _: 0)
+    rows["position"] = groups.cumcount()
+    rows["series_rows"] = groups["value"].transform("size")
+    rows["total"] = rows["value"].fillna(0).groupby(
+        [rows[k] for k in keys] if keys else lambda _: 0
+    ).cumsum()
+    want = rows.sort_values("row_id")
+    same(placed["position"], want["position"])
+    same(placed["series_rows"], want["series_rows"])
+    known = totals["total"].notna()
+    assert known.sum() > len(pdf) - 30
+    same(totals["total"][known], want["total"].reset_index(drop=True)[known])
+
+
+@pytest.mark.parametrize("size", SIZES)
+def test_gaps_and_median(df, pdf, size):
+    gaps = windows.with_gaps(df, KEYS, ORDER, max_rows=size)
+    rows = ordered(pdf)
+    want = rows.groupby(KEYS)["time"].diff().dropna().dt.total_seconds() * 1e6
+    got = [r[0] for r in gaps.select("gap_micros").dropna().collect()]
+    same(sorted(got), sorted(want.round()))
+    assert windows.median_gap(gaps).first()[0] == np.median(want.round())
+
+
+@pytest.mark.parametrize("size", SIZES)
+@pytest.mark.parametrize("length,ahead", [(4, 0), (6, 13)])
+def test_sequences(df, pdf, size, length, ahead):
+    got = dataset.sequences(
+        df, ["value", "row_id"], "value", length, ahead, KEYS, ORDER, max_rows=size
+    ).collect()
+    want = {}
+    for (_, device), group in ordered(pdf).groupby(KEYS):
+        values, ids = group["value"].to_numpy(), group["row_id"].to_numpy()
+        for i in range(len(group) - length - ahead + 1):
+            y = values[i + length + ahead - 1]
+            if not np.isnan(y):
+                want[(device, ids[i])] = (ids[i : i + length].tolist(), y)
+    assert len(got) == len(want) > 100
+    for row in got:
+        ids = [int(step[1]) for step in row["x"]]
+        assert want[(row["device_id"], ids[0])] == (ids, row["y"])
+
+
+@pytest.mark.parametrize("size", SIZES)
+def test_strided_sequences(df, pdf, size):
+    got = dataset.sequences(
+        df, ["row_id"], "row_id", 5, 2, KEYS, ORDER, stride=3, max_rows=size
+    ).collect()
+    want = [
+        group["row_id"].iloc[i]
+        for _, group in ordered(pdf).groupby(KEYS)
+        for i in range(0, len(group) - 6, 3)
+    ]
+    assert sorted(int(r["x"][0][0]) for r in got) == sorted(want)
+
+
+@pytest.mark.parametrize("size", SIZES)
+@pytest.mark.parametrize("length", [10, 60])
+def test_padded_sequences(df, pdf, size, length):
+    got = dataset.padded_sequences(
+        df, ["row_id"], length, KEYS, ORDER, max_rows=size
+    ).collect()
+    want = []
+    for _, group in ordered(pdf).groupby(KEYS):
+        ids = [float(i) for i in group["row_id"]]
+        if len(ids) < length:
+            want.append([0.0] * (length - len(ids)) + ids)
+        else:
+            want += [ids[i : i + length] for i in range(len(ids) - length + 1)]
+    assert sorted([s[0] for s in r["x"]] for r in got) == sorted(want)
+
+
+@pytest.mark.parametrize("keys", [KEYS, []])
+@pytest.mark.parametrize("size", SIZES)
+def test_splits(df, pdf, size, keys):
+    got = by_row(dataset.chrono_split(df, 0.2, 0.15, keys, ORDER, size))
+    rows = ordered(pdf)
+    parts = []
+    for _, group in rows.groupby(keys) if keys else [(0, rows)]:
+        train = int(len(group) * (1 - 0.2))
+        inner = int(train * (1 - 0.15))
+        names = ["train"] * inner + ["validation"] * (train - inner)
+        names += ["test"] * (len(group) - train)
+        parts.append(group.assign(split=names))
+    want = pd.concat(parts).sort_values("row_id")
+    assert got["split"].tolist() == want["split"].tolist()
+
+
+def test_window_of_one_row_has_no_deviation(df, pdf):
+    got = by_row(
+        windows.rolling_mean_std(df, {"value": ("a", "s")}, 1, KEYS, ORDER, 5)
+    )
+    same(got["a"], pdf.sort_values("row_id")["value"])
+    assert got["s"].isna().all()
+
+
+def test_long_series_are_spread(df, pdf):
+    """No group of the cut form is much longer than asked for."""
+    size = 40
+    rows = series._cut(df, KEYS, "time", 10, 0, size)
+    biggest = rows.groupBy(*KEYS, "_chunk").count().agg(F.max("count")).first()[0]
+    assert biggest <= 3 * size + 10
+    own = rows.where(F.col("_chunk") == F.col("_own_chunk"))
+    assert own.count() == len(pdf)
+
+
+@pytest.mark.parametrize("n", [2, 1500])
+def test_first_n_per_series(df, pdf, n):
+    got = windows.first_n_per_series(df, KEYS, ORDER, n)
+    want = ordered(pdf).groupby(KEYS).head(n)
+    assert {r["row_id"] for r in got.collect()} == set(want["row_id"])
+
+
+def test_first_n_beyond_the_built_in_limit(spark, df, pdf):
+    name = "spark.sql.optimizer.windowGroupLimitThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "3")
+    try:
+        got = windows.first_n_per_series(df, KEYS, ORDER, 7).collect()
+    finally:
+        spark.conf.set(name, before)
+    want = ordered(pdf).groupby(KEYS).head(7)
+    assert {r["row_id"] for r in got} == set(want["row_id"])
