@@ -13,9 +13,15 @@ from .series import MAX_ROWS, over_series, with_positions
 from .windows import first_interval_minutes, lead_column, samples_per_hour
 
 
-def horizon_rows(df: DataFrame, horizon_hours: int, time_col: str = "time") -> int:
-    """Rows between a sample and its target, from the first two rows' distance."""
-    return horizon_hours * samples_per_hour(first_interval_minutes(df, time_col))
+def horizon_rows(
+    df: DataFrame,
+    horizon_hours: int,
+    keys: Sequence[str] = tuple(schemas.SERIES),
+    time_col: str = "time",
+) -> int:
+    """Rows between a sample and its target, from the distance of the first two."""
+    interval = first_interval_minutes(df, keys, time_col)
+    return horizon_hours * samples_per_hour(interval)
 
 
 def lead_target(

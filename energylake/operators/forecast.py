@@ -190,9 +190,9 @@ def train_forecast(
     df, target = normalise_names(df), flat(target)
     declared = features or schemas.forecast_features(options.rolling_window_days)
     names, _ = select_features(df, declared)
-    if rows_ahead is None:
-        rows_ahead = horizon_rows(df, options.horizon_hours, order[0])
     keys = options.partition_cols
+    if rows_ahead is None:
+        rows_ahead = horizon_rows(df, options.horizon_hours, keys, order[0])
     labelled = lead_target(df, target, rows_ahead, names, keys, order)
     split = chrono_split(labelled, options.test_size, None, keys, order)
     split = split.select(*names, "label", "split").persist(LEVEL)
@@ -279,9 +279,9 @@ def train_sequence_forecast(
     df, target = normalise_names(df), flat(target)
     declared = features or schemas.forecast_features(options.rolling_window_days)
     names, _ = select_features(df, declared)
-    if rows_ahead is None:
-        rows_ahead = horizon_rows(df, options.horizon_hours, order[0])
     keys = options.partition_cols
+    if rows_ahead is None:
+        rows_ahead = horizon_rows(df, options.horizon_hours, keys, order[0])
     _require(df.count(), options.sequence_length + rows_ahead, "records")
 
     df = df.withColumn("_y", F.col(target).cast("double"))

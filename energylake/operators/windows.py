@@ -105,8 +105,16 @@ def median_interval_minutes(
     return None if median is None else median / 60e6
 
 
-def first_interval_minutes(df: DataFrame, time_col: str = "time") -> float | None:
-    """Time between the two earliest rows."""
+def first_interval_minutes(
+    df: DataFrame,
+    keys: Sequence[str] = tuple(schemas.SERIES),
+    time_col: str = "time",
+) -> float | None:
+    """Time between the first two rows of the series that starts first."""
+    if keys:
+        first = df.orderBy(time_col, *keys).select(*keys).first()
+        for key in keys if first else ():
+            df = df.where(F.col(key).eqNullSafe(F.lit(first[key])))
     rows = df.select(micros(time_col).alias("t")).orderBy("t").limit(2).collect()
     return (rows[1]["t"] - rows[0]["t"]) / 60e6 if len(rows) == 2 else None
 

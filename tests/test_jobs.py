@@ -1,0 +1,195 @@
+"""The feature job and the battery back-test."""
+
+from datetime import datetime, timedelta
+
+import numpy as np
+import pandas as pd
+import pytest
+
+from energylake import schemas
+from energylake.functions import energy as E
+from energylake.operators import backtest
+from energylake.options import FeatureOptions
+from energylake.plans import features
+from energylake.schemas import flat
+from energylake.sources import tables
+
+from .helpers import KEYS, ORDER, by_row, ordered, skewed_series, to_spark
+
+START = datetime(2024, 1, 15, 12)
+
+
+def long_readings(days, minutes=60, devices=2, seed=1):
+    rng = np.random.default_rng(seed)
+    steps = days * 1440 // minutes
+    wide = pd.concat(
+        pd.DataFrame(
+            rng.normal(10, 3, (steps, len(schemas.METRICS))), columns=schemas.METRICS
+        ).assign(
+            time=[START + timedelta(minutes=minutes * i) for i in range(steps)],
+            site_id="s",
+            device_id=f"d{d}",
+        )
+        for d in range(devices)
+    )
+    wide.loc[wide.index == 30, "solar.generation_kw"] = np.nan
+    return wide, wide.melt(
+        ["time", "site_id", "device_id"],
+        var_name="metric_name",
+        value_name="metric_value",
+    )
+
+
+def expected_features(wide, window, hour_rows, keys):
+    """The features in pandas: rolling, drop, then lags."""
+    wide = wide.rename(columns=flat).sort_values(["time", "site_id", "device_id"])
+    wide = wide.reset_index(drop=True)
+    groups = wide.groupby(keys) if keys else wide.groupby(lambda _: 0)
+    for m in map(flat, schemas.ROLLING_METRICS):
+        rolled = groups[m].rolling(window, min_periods=window)
+        for name, stat in (("avg", rolled.mean()), ("std", rolled.std())):
+            wide[f"{m}_rolling_{name}_2d"] = stat.droplevel(
+                list(range(stat.index.nlevels - 1))
+            )
+    rolling = [c for c in wide.columns if "rolling" in c]
+    wide = wide.dropna(subset=rolling).copy()
+    groups = wide.groupby(keys) if keys else wide.groupby(lambda _: 0)
+    for m in map(flat, schemas.LAG_METRICS):
+        wide[f"{m}_lag_1"] = groups[m].shift(1)
+        wide[f"{m}_lag_1h"] = groups[m].shift(hour_rows)
+    return wide
+
+
+@pytest.mark.parametrize(
+    "minutes,keys,window,hour_rows",
+    [
+        (30, schemas.SERIES, 96, 2),
+        (60, schemas.SERIES, 48, 1),
+        (180, schemas.SERIES, 16, 0),  # an hour is no whole row
+        (30, [], 2 * 288, 12),  # devices on one clock: no distance, default taken
+    ],
+)
+def test_features(spark, minutes, keys, window, hour_rows):
+    days = 14
+    wide, long = long_readings(days, minutes, devices=3)
+    options = FeatureOptions(rolling_window_days=2, partition_cols=list(keys))
+    got = features.build_features(to_spark(spark, long), options).toPandas()
+    want = expected_features(wide, window, hour_rows, list(keys))
+    assert len(got) == len(want) > 20
+    got = got.sort_values(["time", "device_id"], ignore_index=True)
+    want = want.sort_values(["time", "device_id"], ignore_index=True)
+    for c in want.columns:
+        if c in KEYS or c == "time":
+            assert (got[c] == want[c]).all()
+        else:
+            np.testing.assert_allclose(got[c], want[c], atol=1e-7, err_msg=c)
+    first = got.groupby("device_id").first() if keys else got.head(1)
+    if hour_rows:
+        assert not np.isnan(got["solar_generation_kw_lag_1"]).all()
+        assert len(first)
+
+
+def test_short_data_has_no_full_window(spark):
+    _, long = long_readings(1, 5, devices=1)
+    built = features.build_features(to_spark(spark, long))
+    assert built.isEmpty()
+
+
+def test_run(spark, tmp_path):
+    readings, training = f"{tmp_path}/readings", f"{tmp_path}/training"
+    _, long = long_readings(20, 60, devices=2)
+    rows = to_spark(spark, long)
+    tables.append(rows.dropna(), readings)
+    span = dict(start=START, end=START + timedelta(days=30))
+    first = features.run(spark, readings, training, **span)
+    assert first["status"] == "success", first
+    assert first["features_count"] == len(schemas.feature_columns())
+    assert first["records_processed"] == first["records_stored"] > 300
+    stored = spark.read.parquet(training)
+    assert set(schemas.feature_columns()) < set(stored.columns)
+    assert stored.count() == first["records_stored"]
+    again = features.run(spark, readings, training, **span)
+    assert again["records_stored"] == spark.read.parquet(training).count()
+
+    off = features.run(spark, readings, training, FeatureOptions(enabled=False))
+    assert off == {"status": "disabled", "records_processed": 0, "records_stored": 0}
+    assert features.run(spark, readings, training)["status"] == "no_data"
+    other = features.run(spark, readings, training, FeatureOptions(site_id="x"), **span)
+    assert other["status"] == "no_data"
+    failed = features.run(spark, f"{tmp_path}/nowhere", training)
+    assert failed["status"] == "error" and failed["error"]
+
+
+def test_run_without_known_metrics(spark, tmp_path):
+    readings = f"{tmp_path}/readings"
+    rows = spark.createDataFrame(
+        [(START, "s", "d", "battery.cycles", 1.0)],
+        "time timestamp, site_id string, device_id string, metric_name string, "
+        "metric_value double",
+    )
+    tables.append(rows, readings)
+    got = features.run(
+        spark, readings, f"{tmp_path}/t", start=START, end=START + timedelta(days=1)
+    )
+    assert got["status"] == "pivot_failed"
+
+
+# --- battery back-test -----------------------------------------------------
+
+
+def replay_by_hand(rows):
+    """One device, row by row, with the cycle counter as a remainder."""
+    soc, cycles, moved, last = 50.0, 100, 0.0, None
+    out = []
+    for r in rows.itertuples():
+        hours = 1 / 12 if last is None else (r.time - last).total_seconds() / 3600
+        last = r.time
+        net = r.load - r.solar
+        if net < 0:
+            power = min(-net, 5.0)
+        elif r.price > 0.2 and soc > 30:
+            power = -min(net, 5.0)
+        elif soc < 30:
+            power = 2.5 if r.price < 0.1 else 0
+        else:
+            power = -net * 0.3
+        up = 5 * (1 - ((soc - 80) / 20) * 0.7) if soc > 80 else 5
+        down = 5 * soc / 20 if soc < 20 else 5
+        if power > 0:
+            power = min(power, up)
+            stored = power * hours * 0.9**0.5
+        else:
+            power = max(power, -down)
+            stored = power * hours / 0.9**0.5
+        soc = max(10.0, min(90.0, soc + stored / 13.5 * 100))
+        moved += abs(stored)
+        if moved >= 13.5:
+            cycles += int(moved / 13.5)
+            moved %= 13.5
+        out.append((r.row_id, soc, power, cycles, max(50.0, 100 - cycles * 0.005)))
+    return out
+
+
+@pytest.mark.parametrize("chunk_rows", [25, 10_000])
+def test_backtest(spark, chunk_rows):
+    rng = np.random.default_rng(5)
+    pdf = skewed_series(450, seed=4)
+    pdf["load"] = rng.uniform(0, 6, len(pdf))
+    pdf["solar"] = rng.uniform(0, 7, len(pdf))
+    pdf["price"] = rng.uniform(0.05, 0.35, len(pdf))
+    df = to_spark(spark, pdf)
+    got = by_row(
+        backtest.dispatch_backtest(df, KEYS, ORDER, chunk_rows=chunk_rows)
+    )
+    want = sorted(
+        row
+        for _, group in ordered(pdf).groupby(KEYS)
+        for row in replay_by_hand(group)
+    )
+    want = pd.DataFrame(want, columns=["row_id", "soc", "power", "cycles", "health"])
+    assert len(got) == len(want) == len(pdf)
+    np.testing.assert_allclose(got["battery_soc"], want["soc"], atol=1e-9)
+    np.testing.assert_allclose(got["battery_power_kw"], want["power"], atol=1e-9)
+    assert (got["cycles"] == want["cycles"]).all()
+    np.testing.assert_allclose(got["health_percent"], want["health"])
+    assert got["battery_soc"].between(E.MIN_SOC, E.MAX_SOC).all()
