@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.cleaning import nan_to_null, round_half_even, to_number
+from ..functions.cleaning import finite, round_half_even, to_number
 from ..schemas import flat
 
 
@@ -158,23 +158,27 @@ def pivot_wide(
 
     Written as one conditional aggregate per metric: unlike a two-step pivot it
     needs a single shuffle, and copies are merged before it.  Without
-    `order_col` the smallest value stands for its duplicates.  Rows in which
-    every metric is null are left out.
+    `order_col` the smallest value stands for its duplicates.  Rows without any
+    finite value are left out.
     """
     value = F.col("metric_value")
+    names = F.array(*[F.lit(m) for m in metrics])
 
-    def cell(metric: str) -> Column:
-        mine = F.when(F.col("metric_name") == metric, value)
+    def cell(number: int) -> Column:
+        mine = F.col("_metric") == number
         if order_col is None:
-            return F.min(mine)
-        return F.min_by(mine, F.when(mine.isNotNull(), F.col(order_col)))
+            return F.min(F.when(mine, value))
+        return F.min_by(F.when(mine, value), F.when(mine, F.col(order_col)))
 
-    wide = (
-        readings.where(F.col("metric_name").isin(list(metrics)) & value.isNotNull())
+    return (
+        readings.where(
+            F.col("metric_name").isin(list(metrics)) & finite(value).isNotNull()
+        )
+        # compared as a number from here on, once per metric
+        .withColumn("_metric", F.array_position(names, F.col("metric_name")))
         .groupBy(*keys)
-        .agg(*[cell(m).alias(flat(m)) for m in metrics])
+        .agg(*[cell(i).alias(flat(m)) for i, m in enumerate(metrics, 1)])
     )
-    return nan_to_null(wide).dropna(how="all", subset=[flat(m) for m in metrics])
 
 
 # --- projections -----------------------------------------------------------

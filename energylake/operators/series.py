@@ -21,6 +21,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 # A group of this many rows sorts and buffers within one task's memory.
 MAX_ROWS = 2_000_000
 
@@ -80,9 +82,10 @@ def slot_chunks(
     rows = rows.join(hot.select(*keys), list(keys), "left_semi") if keys else rows
     width = _SLOT_MICROS
     while True:
-        slots = rows.groupBy(*keys, _slot_of(time_col, width)).agg(
+        counts = rows.groupBy(*keys, _slot_of(time_col, width)).agg(
             F.count(F.lit(1)).alias("n")
         )
+        slots = stage(counts, "slots")
         biggest = slots.agg(F.max("n")).first()[0] or 0
         if biggest <= max_rows or width == 1:
             break
@@ -140,26 +143,26 @@ def _cut(
     max_rows: int,
 ) -> DataFrame | None:
     """Rows with their chunk, or None where no series is long."""
-    hot = hot_series(df, keys, max_rows)
-    if hot.isEmpty():
-        return None
-    chunks, width = slot_chunks(df, keys, time_col, hot, back, ahead, max_rows)
+    hot = hot_series(df, keys, max_rows).persist()
+    try:
+        if hot.isEmpty():
+            return None
+        chunks, width = slot_chunks(df, keys, time_col, hot, back, ahead, max_rows)
+    finally:
+        hot.unpersist()
     # No broadcast hint: Spark compares the size of `chunks` with its threshold
     # and joins by shuffle where the table is large.
     rows = df.withColumn(_SLOT, _slot_of(time_col, width)).join(
         chunks, [*keys, _SLOT], "left"
     )
     zero = F.lit(0).cast("long")
-    return (
-        rows.withColumn(
-            _CHUNK,
-            F.explode(
-                F.sequence(F.coalesce("first", zero), F.coalesce("last", zero))
-            ),
-        )
-        .withColumn(_OWN, F.coalesce(_OWN, zero))
-        .drop(_SLOT, "first", "last")
-    )
+    rows = rows.withColumn(_OWN, F.coalesce(_OWN, zero))
+    if back or ahead:
+        needed = F.sequence(F.coalesce("first", zero), F.coalesce("last", zero))
+        rows = rows.withColumn(_CHUNK, F.explode(needed))
+    else:
+        rows = rows.withColumn(_CHUNK, F.col(_OWN))
+    return rows.drop(_SLOT, "first", "last")
 
 
 def over_series(
