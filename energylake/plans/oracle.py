@@ -398,6 +398,19 @@ SELECT strftime(o_orderdate, '%Y-%m') AS month,
        count(*) AS readings, round(sum(o_totalprice), 4) AS total
 FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1996-02-10' AND TIMESTAMP '1998-11-20'
 GROUP BY 1, 2""",
+    "retention_compaction": """
+SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS readings,
+       min(o_orderdate) AS first_time
+FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-10' - INTERVAL 900 DAY
+GROUP BY 1""",
+    "points_sink": f"""WITH {SNAP_POINTS}
+SELECT device_id, field, count(*) AS points, round(sum(value), 4) AS total
+FROM snap_points WHERE measurement = 'battery' GROUP BY ALL""",
+    "snapshot_round_trip": f"""WITH {SNAPSHOTS}
+SELECT time AS timestamp, device_id, round(battery_soc_percent, 2) AS soc_percent,
+       battery_cycles AS cycles, round(home_load_appliances_kw, 3) AS appliances_kw,
+       period AS time_of_use_period, round(battery_power_kw, 3) AS battery_kw
+FROM snap""",
     "retention_filter": f"""WITH {READINGS}
 SELECT * FROM readings WHERE time >= TIMESTAMP '2024-01-24'""",
     # --- duplicates, pivot, upsert
@@ -651,11 +664,51 @@ total AS (SELECT *, sum(abs(battery_power_kw * hours)) OVER ({SERIES}
                   ROWS UNBOUNDED PRECEDING) AS kwh FROM timed)
 SELECT event_id, round(kwh, 4) AS throughput_kwh,
        CAST(floor(kwh / {D(13.5)}) AS BIGINT) + 100 AS cycles FROM total""",
+    "dispatch_backtest": f"""WITH RECURSIVE {SNAPSHOTS},
+timed AS (
+  SELECT event_id, site_id, device_id, home_load_total_load_kw - solar_generation_kw AS net,
+         grid_price_price_per_kwh AS price, row_number() OVER ({SERIES}) AS pos,
+         coalesce(epoch_us(time) - lag(epoch_us(time)) OVER ({SERIES}), 300000000)
+           / {D(3600000000)} AS hours
+  FROM snap),
+replay AS (
+  SELECT DISTINCT site_id, device_id, CAST(0 AS BIGINT) AS pos, CAST(-1 AS BIGINT)
+         AS event_id, {D(50)} AS soc, {D(0)} AS power, {D(0)} AS energy FROM timed
+  UNION ALL
+  SELECT site_id, device_id, pos, event_id,
+         greatest({D(10)}, least({D(90)}, soc + energy / {D(13.5)} * 100)), power, energy
+  FROM (
+    SELECT *, CASE WHEN power > 0 THEN power * hours * sqrt({D(0.9)})
+                   ELSE power * hours / sqrt({D(0.9)}) END AS energy
+    FROM (
+      SELECT *, CASE WHEN wanted > 0 THEN least(wanted, CASE WHEN soc > 80
+                       THEN 5 * (1 - (soc - 80) / 20 * {D(0.7)}) ELSE {D(5)} END)
+                     ELSE greatest(wanted, -CASE WHEN soc < 20 THEN 5 * (soc / 20)
+                       ELSE {D(5)} END) END AS power
+      FROM (
+        SELECT t.*, r.soc, CASE WHEN net < 0 THEN least(-net, {D(5)})
+               WHEN price > {D(0.2)} AND soc > 30 THEN -least(net, {D(5)})
+               WHEN soc < 30 THEN CASE WHEN price < {D(0.1)} THEN {D(2.5)} ELSE {D(0)} END
+               ELSE -net * {D(0.3)} END AS wanted
+        FROM replay r JOIN timed t ON t.site_id = r.site_id
+             AND t.device_id = r.device_id AND t.pos = r.pos + 1)))),
+counted AS (
+  SELECT *, CAST(floor(sum(abs(energy)) OVER (PARTITION BY site_id, device_id ORDER BY pos)
+         / {D(13.5)}) AS BIGINT) + 100 AS cycles FROM replay)
+SELECT event_id, device_id, {_r("soc")} AS battery_soc, {_r("power")} AS battery_power_kw,
+       cycles, {_r(f"greatest({D(50)}, 100 - cycles * {D(0.005)})")} AS health_percent
+FROM counted WHERE pos > 0""",
     # --- whole jobs
     "feature_build": _feature_build(7, "PARTITION BY site_id, device_id", ""),
     "feature_build_mixed": _feature_build(1, "", ", site_id, device_id"),
     "stream_sync_upsert": f"""WITH {READINGS}
 SELECT time, site_id, device_id, metric_name, metric_value FROM readings""",
+    "stream_drop_repeats": f"""WITH {READINGS}
+SELECT time, site_id, device_id, metric_name, metric_value FROM readings""",
+    "training_table_stats": f"""WITH built AS (
+{_feature_build(7, "PARTITION BY site_id, device_id", "")})
+SELECT count(*) AS total_records, min(time) AS earliest_time, max(time) AS latest_time
+FROM built""",
     "stream_snapshot_sync": f"""WITH {SNAP_POINTS}
 SELECT 'edge-gateway-site' AS site_id, measurement || '.' || field AS metric_name,
        count(*) AS readings, round(avg(value), 1) AS mean_value

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from ..operators import backtest, dataset, forecast, metrics, reshape, windows
 from ..options import FeatureOptions, ForecastOptions, SequenceOptions
 from ..session import new_path
 from ..sources import tables
-from ..sources.snapshots import stream_snapshots, write_snapshots
+from ..sources.snapshots import read_snapshots, stream_snapshots, write_snapshots
 from ..streaming import sync
 from . import features, inputs
 from .inputs import SERIES, SERIES_ORDER, load, ntz
@@ -207,6 +208,56 @@ def month_partition_scan(spark, sf_dir):
     )
 
 
+@query
+def retention_compaction(spark, sf_dir):
+    """A table after rows older than 900 days before its end have been removed."""
+    path = new_path(spark, "prices")
+    tables.append(inputs.price_history(spark, sf_dir), path)
+    tables.expire(spark, path, datetime(2000, 1, 10), 900)
+    month = F.date_format(tables.MONTH, "yyyy-MM").alias("month")
+    return (
+        spark.read.parquet(path)
+        .groupBy(month)
+        .agg(F.count(F.lit(1)).alias("readings"), F.min("time").alias("first_time"))
+    )
+
+
+@query
+def points_sink(spark, sf_dir):
+    """Points stored by measurement and day; one measurement read back."""
+    path = new_path(spark, "points")
+    snapshots = reshape.with_net_grid_flow(inputs.snapshots(spark, sf_dir))
+    tables.write_points(reshape.snapshot_points(snapshots), path)
+    battery = spark.read.parquet(path).where("measurement = 'battery'")
+    return battery.groupBy("device_id", "field").agg(
+        F.count(F.lit(1)).alias("points"), r4(F.sum("value")).alias("total")
+    )
+
+
+@query
+def snapshot_round_trip(spark, sf_dir):
+    """Snapshots written as JSON lines and read back; the net flow is derived."""
+    path = new_path(spark, "json")
+    snapshots = reshape.with_net_grid_flow(inputs.snapshots(spark, sf_dir))
+    write_snapshots(
+        snapshots.withColumn("timestamp", F.col("timestamp").cast("timestamp")), path
+    )
+    return read_snapshots(spark, path).select(
+        ntz(F.col("timestamp")).alias("timestamp"),
+        "device_id",
+        "battery.soc_percent",
+        "battery.cycles",
+        "home_load.appliances_kw",
+        "grid_price.time_of_use_period",
+        F.round(
+            F.col("net_grid_flow_kw")
+            - F.col("home_load.total_load_kw")
+            + F.col("solar.generation_kw"),
+            3,
+        ).alias("battery_kw"),
+    )
+
+
 @query
 def retention_filter(spark, sf_dir):
     return tables.not_expired(
@@ -825,6 +876,48 @@ def stream_sync_upsert(spark, sf_dir):
     )
 
 
+@query
+def stream_drop_repeats(spark, sf_dir):
+    """Repeated readings suppressed inside the stream."""
+    root = new_path(spark, "repeats")
+    rows = inputs.readings(spark, sf_dir).drop("event_id")
+    rows = rows.withColumn("time", F.col("time").cast("timestamp"))
+    for _ in range(2):
+        rows.write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
+    (
+        sync.drop_repeats(stream, "60 days")
+        .writeStream.option("checkpointLocation", f"{root}/checkpoint")
+        .trigger(availableNow=True)
+        .start(f"{root}/out", format="parquet")
+        .awaitTermination()
+    )
+    return spark.read.parquet(f"{root}/out").withColumn("time", ntz(F.col("time")))
+
+
+@query
+def training_table_stats(spark, sf_dir):
+    """The feature job from stored readings to the stored training table."""
+    root = new_path(spark, "job")
+    rows = _snapshot_readings(spark, sf_dir)
+    tables.append(
+        rows.withColumn("time", F.col("time").cast("timestamp")), f"{root}/readings"
+    )
+    features.run(
+        spark,
+        f"{root}/readings",
+        f"{root}/training",
+        start=datetime(2024, 1, 1),
+        end=datetime(2024, 2, 1),
+    )
+    stats = tables.table_stats(spark.read.parquet(f"{root}/training"))
+    return stats.select(
+        "total_records",
+        ntz(F.col("earliest_time")).alias("earliest_time"),
+        ntz(F.col("latest_time")).alias("latest_time"),
+    )
+
+
 @query
 def stream_snapshot_sync(spark, sf_dir):
     """Snapshots written as JSON lines, read as a stream, synced to readings."""
@@ -881,6 +974,14 @@ def gbt_forecast(spark, sf_dir):
     return rows.select("event_id", "device_id", r4("prediction").alias("prediction"))
 
 
+@query
+def stored_model_metrics(spark, sf_dir):
+    """Metrics read back from a saved model."""
+    path = new_path(spark, "model")
+    _trained(spark, sf_dir).save(path)
+    return forecast.stored_metrics(spark, {"load": path})
+
+
 @query
 def feature_importance(spark, sf_dir):
     return forecast.importance_frame(spark, _trained(spark, sf_dir))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.temporal import month_start
-from ..operators.reshape import known_fields, latest_per_key
+from ..operators.reshape import known_fields, latest_per_key, require_columns
 from ..operators.windows import first_n_per_series
 from ..session import discard
 
@@ -197,6 +197,7 @@ def upsert(
     Of several new rows of a key the one of the highest `version` is kept.
     """
     spark = df.sparkSession
+    require_columns(df, ["time", *key])
     finish_pending(spark, path)
     payload = [c for c in df.columns if c not in key]
     rank = version or F.struct(*[F.col(f"`{c}`") for c in payload])
