@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -95,7 +95,8 @@ def sequences(
         raise ValueError(f"target column {target!r} not found")
     kept = [k for k in keys if k not in order]
 
-    def add(rows: DataFrame, w: WindowSpec) -> DataFrame:
+    def add(rows: DataFrame, parts: list[Column]) -> DataFrame:
+        w = Window.partitionBy(*parts).orderBy(*order)
         run = w.rowsBetween(-(length - 1 + rows_ahead), -rows_ahead)
         return rows.withColumns(
             {
@@ -137,7 +138,8 @@ def padded_sequences(
     """
     kept = [k for k in keys if k not in order]
 
-    def add(rows: DataFrame, w: WindowSpec) -> DataFrame:
+    def add(rows: DataFrame, parts: list[Column]) -> DataFrame:
+        w = Window.partitionBy(*parts).orderBy(*order)
         return rows.withColumns(
             {
                 "x": F.collect_list(F.array(*features)).over(

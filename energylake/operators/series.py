@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
@@ -169,12 +169,12 @@ def over_series(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    add: Callable[[DataFrame, WindowSpec], DataFrame],
+    add: Callable[[DataFrame, list[Column]], DataFrame],
     back: int = 0,
     ahead: int = 0,
     max_rows: int = MAX_ROWS,
 ) -> DataFrame:
-    """Apply `add(rows, window)`; the window runs over one series in order.
+    """Apply `add(rows, parts)`; windows partitioned by `parts` hold one series.
 
     `order[0]` is the time column, the others break ties.  What `add` computes
     for a row may depend on at most `back` rows before and `ahead` after it,
@@ -182,10 +182,9 @@ def over_series(
     """
     rows = _cut(df, keys, order[0], back, ahead, max_rows)
     if rows is None:
-        return add(df, Window.partitionBy(*_series(keys)).orderBy(*order))
-    window = Window.partitionBy(*_series(keys), _CHUNK).orderBy(*order)
+        return add(df, _series(keys))
     return (
-        add(rows, window)
+        add(rows, [*_series(keys), F.col(_CHUNK)])
         .where(F.col(_CHUNK) == F.col(_OWN))
         .drop(_CHUNK, _OWN, _START, _TOTAL)
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -14,8 +14,8 @@ from .series import MAX_ROWS, micros, over_series
 DEFAULT_SAMPLES_PER_DAY = 288
 DEFAULT_SAMPLES_PER_HOUR = 12
 
-# Up to this many rows a sliding frame is as fast as differences of running sums.
-SLIDING_FRAME_ROWS = 16
+# Up to this many rows a plain sliding frame is faster than one made of blocks.
+SLIDING_FRAME_ROWS = 12
 
 
 # --- sampling interval -----------------------------------------------------
@@ -30,7 +30,8 @@ def with_gaps(
 ) -> DataFrame:
     """Add the time since the previous row of the series, in microseconds."""
 
-    def add(rows: DataFrame, w: WindowSpec) -> DataFrame:
+    def add(rows: DataFrame, parts: list[Column]) -> DataFrame:
+        w = Window.partitionBy(*parts).orderBy(*order)
         now = micros(order[0])
         return rows.withColumn(name, now - F.lag(now).over(w))
 
@@ -140,9 +141,13 @@ def rolling_rows(interval_minutes: float | None, days: int) -> int:
 
 # --- rolling mean and deviation --------------------------------------------
 
+Names = dict[str, tuple[str, str]]
 
-def _sliding(rows: DataFrame, w: WindowSpec, columns: dict[str, tuple], n: int):
-    frame = w.rowsBetween(-(n - 1), 0)
+
+def _sliding(
+    rows: DataFrame, parts: list[Column], order: Sequence[str], columns: Names, n: int
+) -> DataFrame:
+    frame = Window.partitionBy(*parts).orderBy(*order).rowsBetween(-(n - 1), 0)
     added = {}
     for metric, (avg_name, std_name) in columns.items():
         full = F.count(metric).over(frame) == n
@@ -151,51 +156,60 @@ def _sliding(rows: DataFrame, w: WindowSpec, columns: dict[str, tuple], n: int):
     return rows.withColumns(added)
 
 
-def _by_running_sums(rows: DataFrame, w: WindowSpec, columns: dict, n: int):
-    """The window's sums as differences of sums from the start of the group.
+def _by_blocks(
+    rows: DataFrame, parts: list[Column], order: Sequence[str], columns: Names, n: int
+) -> DataFrame:
+    """A window of `n` rows as the end of one block of n rows and the start of the next.
 
-    Values are centred on the group's mean first: the difference of two large
-    running sums of squares would lose the digits of a small deviation.
+    Counts, means and squared deviations grow from both ends of each block and
+    are merged, so the cost of a row does not depend on `n`.  Nothing is
+    subtracted from a running sum: a large value leaves no residue in the
+    windows after it.
     """
-    group = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
     kept = rows.columns
-    rows = rows.withColumns(
-        {f"_mean{i}": F.avg(m).over(group) for i, m in enumerate(columns)}
-    )
-    sums = {}
-    for i, metric in enumerate(columns):
-        centred = F.col(metric) - F.col(f"_mean{i}")
-        zero = F.lit(0.0)
-        sums[f"_sum{i}"] = F.sum(F.coalesce(centred, zero)).over(upto)
-        sums[f"_sq{i}"] = F.sum(F.coalesce(centred * centred, zero)).over(upto)
-        sums[f"_cnt{i}"] = F.count(metric).over(upto)
-    rows = rows.withColumns(sums)
-    rows = rows.withColumns(
-        {
-            name: F.col(name) - F.coalesce(F.lag(name, n).over(w), F.lit(0))
-            for name in sums
-        }
+    w = Window.partitionBy(*parts).orderBy(*order)
+    block = Window.partitionBy(*parts, "_block")
+    grows = (Window.unboundedPreceding, 0)
+    start = block.orderBy(*order).rowsBetween(*grows)
+    end = block.orderBy(*[F.desc(c) for c in order]).rowsBetween(*grows)
+    # the same order as `w`, in the form of the sort that `start` needs
+    line = Window.partitionBy(*parts).orderBy("_block", *order)
+
+    def moments(side: str, frame) -> dict[str, Column]:
+        made = {}
+        for i, metric in enumerate(columns):
+            count = F.count(metric).over(frame)
+            made[f"_{side}n{i}"] = count
+            made[f"_{side}avg{i}"] = F.avg(metric).over(frame)
+            made[f"_{side}sq{i}"] = F.var_pop(metric).over(frame) * count
+        return made
+
+    rows = rows.withColumn("_row", F.row_number().over(w)).withColumn(
+        "_block", F.floor((F.col("_row") - 1) / n)
     )
+    rows = rows.withColumns(moments("e", end)).withColumns(moments("s", start))
+    before = [f"_e{name}{i}" for i in range(len(columns)) for name in ("n", "avg", "sq")]
+    rows = rows.withColumns({c: F.lag(c, n - 1).over(line) for c in before})
+
+    one_block = F.col("_row") % n == 0
     out = []
     for i, (avg_name, std_name) in enumerate(columns.values()):
-        total, square = F.col(f"_sum{i}"), F.col(f"_sq{i}")
-        full = F.col(f"_cnt{i}") == n
-        out.append(
-            F.when(full, total / n + F.col(f"_mean{i}")).alias(avg_name)
-        )
-        variance = (
-            F.greatest(square - total * total / n, F.lit(0.0)) / (n - 1)
-            if n > 1
-            else F.lit(None).cast("double")
+        n1, avg1, sq1 = (F.col(f"_e{name}{i}") for name in ("n", "avg", "sq"))
+        n2, avg2, sq2 = (F.col(f"_s{name}{i}") for name in ("n", "avg", "sq"))
+        apart = avg2 - avg1
+        mean = F.when(one_block, avg2).otherwise(avg1 + apart * n2 / n)
+        square = F.when(one_block, sq2).otherwise(
+            sq1 + sq2 + apart * apart * (n1 * n2 / n)
         )
-        out.append(F.when(full, F.sqrt(variance)).alias(std_name))
+        full = F.when(one_block, n2).otherwise(n1 + n2) == n
+        out.append(F.when(full, mean).alias(avg_name))
+        out.append(F.when(full, F.sqrt(square / (n - 1))).alias(std_name))
     return rows.select(*[F.col(f"`{c}`") for c in kept], *out)
 
 
 def rolling_mean_std(
     df: DataFrame,
-    columns: dict[str, tuple[str, str]],
+    columns: Names,
     n: int,
     keys: Sequence[str] = tuple(schemas.SERIES),
     order: Sequence[str] = ("time",),
@@ -206,10 +220,10 @@ def rolling_mean_std(
     `columns` maps a metric to the names of its mean and deviation.  Values must
     not be NaN (see `functions.cleaning.nan_to_null`).
     """
-    form = _sliding if n <= SLIDING_FRAME_ROWS else _by_running_sums
+    form = _sliding if n <= SLIDING_FRAME_ROWS else _by_blocks
 
-    def add(rows: DataFrame, w: WindowSpec) -> DataFrame:
-        return form(rows, w, columns, n)
+    def add(rows: DataFrame, parts: list[Column]) -> DataFrame:
+        return form(rows, parts, order, columns, n)
 
     return over_series(df, keys, order, add, back=n - 1, max_rows=max_rows)
 
@@ -229,7 +243,8 @@ def lag_columns(
     Zero rows back is the current value.
     """
 
-    def add(rows: DataFrame, w: WindowSpec) -> DataFrame:
+    def add(rows: DataFrame, parts: list[Column]) -> DataFrame:
+        w = Window.partitionBy(*parts).orderBy(*order)
         return rows.withColumns(
             {
                 name: F.lag(metric, k).over(w) if k else F.col(metric)
@@ -252,7 +267,8 @@ def lead_column(
 ) -> DataFrame:
     """Add the value `rows_ahead` rows later; zero is the current value."""
 
-    def add(rows: DataFrame, w: WindowSpec) -> DataFrame:
+    def add(rows: DataFrame, parts: list[Column]) -> DataFrame:
+        w = Window.partitionBy(*parts).orderBy(*order)
         later = F.lead(metric, rows_ahead).over(w) if rows_ahead else F.col(metric)
         return rows.withColumn(name, later)
 

@@ -662,7 +662,7 @@ timed AS (SELECT *, coalesce(epoch_us(time) - lag(epoch_us(time)) OVER ({SERIES}
                   300000000) / {D(3600000000)} AS hours FROM snap),
 total AS (SELECT *, sum(abs(battery_power_kw * hours)) OVER ({SERIES}
                   ROWS UNBOUNDED PRECEDING) AS kwh FROM timed)
-SELECT event_id, round(kwh, 4) AS throughput_kwh,
+SELECT event_id, {_r("kwh")} AS throughput_kwh,
        CAST(floor(kwh / {D(13.5)}) AS BIGINT) + 100 AS cycles FROM total""",
     "dispatch_backtest": f"""WITH RECURSIVE {SNAPSHOTS},
 timed AS (

@@ -800,7 +800,7 @@ def throughput_cycles(spark, sf_dir):
         rows, "power_kw", keys=SERIES, order=SERIES_ORDER
     )
     return rows.select(
-        "event_id", r4("throughput_kwh").alias("throughput_kwh"), "cycles"
+        "event_id", r4(F.col("throughput_kwh") + 1e-8).alias("throughput_kwh"), "cycles"
     )
 
 

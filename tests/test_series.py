@@ -168,6 +168,23 @@ def test_splits(df, pdf, size, keys):
     assert got["split"].tolist() == want["split"].tolist()
 
 
+@pytest.mark.parametrize("n", [5, 20])
+def test_large_value_leaves_no_residue(spark, n):
+    rows = [
+        (pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=i), "s", "d", i,
+         1e12 if i == 7 else float(i % 3))
+        for i in range(150)
+    ]
+    df = spark.createDataFrame(
+        rows, "time timestamp_ntz, site_id string, device_id string, row_id int, value double"
+    )
+    got = by_row(windows.rolling_mean_std(df, {"value": ("a", "s")}, n, KEYS, ORDER))
+    for i in range(7 + n, 150):
+        window = [j % 3 for j in range(i - n + 1, i + 1)]
+        assert got["a"][i] == pytest.approx(np.mean(window), rel=1e-12)
+        assert got["s"][i] == pytest.approx(np.std(window, ddof=1), rel=1e-12)
+
+
 def test_window_of_one_row_has_no_deviation(df, pdf):
     got = by_row(
         windows.rolling_mean_std(df, {"value": ("a", "s")}, 1, KEYS, ORDER, 5)
