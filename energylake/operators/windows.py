@@ -170,10 +170,10 @@ def _by_blocks(
     w = Window.partitionBy(*parts).orderBy(*order)
     block = Window.partitionBy(*parts, "_block")
     grows = (Window.unboundedPreceding, 0)
-    start = block.orderBy(*order).rowsBetween(*grows)
-    end = block.orderBy(*[F.desc(c) for c in order]).rowsBetween(*grows)
+    start = block.orderBy("_row").rowsBetween(*grows)
+    end = block.orderBy(F.desc("_row")).rowsBetween(*grows)
     # the same order as `w`, in the form of the sort that `start` needs
-    line = Window.partitionBy(*parts).orderBy("_block", *order)
+    line = Window.partitionBy(*parts).orderBy("_block", "_row")
 
     def moments(side: str, frame) -> dict[str, Column]:
         made = {}

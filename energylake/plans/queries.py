@@ -348,9 +348,12 @@ def schema_projection(spark, sf_dir):
 @query
 def training_view(spark, sf_dir):
     """The training table seen under column-safe names."""
+    path = new_path(spark, "training")
     wide = inputs.wide_readings(spark, sf_dir)
-    table = reshape.project_declared(wide, schemas.feature_columns())
-    reshape.training_features(table).createOrReplaceTempView("training_features")
+    tables.upsert(
+        reshape.project_declared(wide, schemas.feature_columns()), path, schemas.KEY
+    )
+    tables.register_training_view(spark, path)
     return spark.sql(
         """
         SELECT site_id,

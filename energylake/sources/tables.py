@@ -15,7 +15,12 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.temporal import month_start
-from ..operators.reshape import known_fields, latest_per_key, require_columns
+from ..operators.reshape import (
+    known_fields,
+    latest_per_key,
+    require_columns,
+    training_features,
+)
 from ..operators.windows import first_n_per_series
 from ..session import discard
 
@@ -75,13 +80,26 @@ def scan_training_data(
     end: datetime | None = None,
     site_id: str = "",
     limit: int | None = None,
+    ordered: bool = True,
 ) -> DataFrame:
-    """Training rows in time order; `limit` keeps the oldest rows only."""
+    """Training rows in time order; `limit` keeps the oldest rows only.
+
+    Training itself needs no order: `ordered=False` saves the sort.
+    """
     rows = time_range(spark.read.parquet(path), start, end, site_id).drop(MONTH)
-    rows = rows.orderBy("time", "site_id", "device_id")
+    if ordered or limit is not None:
+        rows = rows.orderBy("time", "site_id", "device_id")
     return rows if limit is None else rows.limit(limit)
 
 
+def register_training_view(
+    spark: SparkSession, path: str, name: str = "training_features"
+) -> None:
+    """Temporary view of the training table under column-safe names."""
+    table = spark.read.parquet(path).drop(MONTH)
+    training_features(table).createOrReplaceTempView(name)
+
+
 def points_since(
     points: DataFrame,
     cursor: datetime | Column | None = None,

@@ -11,8 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import schemas
-from ..functions.energy import INITIAL_SOC
-from ..operators.backtest import FIRST_MICROS, replay
+from ..functions.energy import CAPACITY_KWH, INITIAL_CYCLES, INITIAL_SOC
+from ..operators.backtest import FIRST_MICROS, make_replay
 from ..operators.reshape import points_to_readings, snapshot_points
 from ..options import SyncOptions
 from ..sources import tables
@@ -132,14 +132,20 @@ def start_fan_out(
     options: SyncOptions | None = None,
     once: bool = True,
 ) -> StreamingQuery:
-    """Send each batch of snapshots to several sinks, reading it once."""
+    """Send each batch of snapshots to several sinks, reading it once.
+
+    A batch repeated after a failure is sent again: points carry its number, so
+    that `stored_points` reads them once; files of JSON lines may hold repeats.
+    """
     options = options or SyncOptions()
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
             if points_path:
-                tables.write_points(snapshot_points(batch), points_path)
+                version = F.lit(batch_id).cast("long")
+                points = snapshot_points(batch).withColumn(VERSION, version)
+                tables.write_points(points, points_path)
             if callback:
                 callback(batch)
             if json_path:
@@ -153,6 +159,13 @@ def start_fan_out(
     return _triggered(writer, options, once).start()
 
 
+def stored_points(spark: SparkSession, path: str) -> DataFrame:
+    """Points as stored: the latest batch's value of every point."""
+    points = spark.read.parquet(path).drop("date")
+    key = ["time", "measurement", "device_id", "field"]
+    return tables.current(points, key, VERSION).drop(VERSION)
+
+
 def start_periodic(
     source: DataFrame,
     job: Callable[[SparkSession], object],
@@ -177,33 +190,41 @@ def start_periodic(
 
 
 DISPATCH = (
-    "device_id string, time timestamp, battery_soc double, battery_power_kw double"
+    "device_id string, time timestamp, battery_soc double, battery_power_kw double, "
+    "cycles long"
 )
 
 
 def stream_dispatch(rows: DataFrame) -> DataFrame:
     """Battery replay over a stream of (device_id, time, load, solar, price).
 
-    The state of a device is its last time and state of charge.  Rows of one
-    micro-batch are taken in time order; the source's rate limit bounds them.
+    The state of a device is its last time, state of charge and throughput.  Rows
+    of one micro-batch are taken in time order; the source's rate limit bounds
+    them.
     """
+    replay = make_replay()
 
     def step(
         key: tuple, parts: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(parts)).sort_values("time", ignore_index=True)
-        last, soc = state.get if state.exists else (None, INITIAL_SOC)
+        last, soc, moved = state.get if state.exists else (None, INITIAL_SOC, 0.0)
         now = pdf["time"].astype("datetime64[us]").astype("int64")
         gaps = now.diff()
         gaps.iloc[0] = FIRST_MICROS if last is None else now.iloc[0] - last
         out = replay(pdf.assign(gap_micros=gaps), soc)
-        state.update((int(now.iloc[-1]), float(out["battery_soc"].iloc[-1])))
-        yield out[["device_id", "time", "battery_soc", "battery_power_kw"]]
+        moved = moved + out["energy_kwh"].abs().cumsum()
+        cycles = (moved // CAPACITY_KWH).astype("int64") + INITIAL_CYCLES
+        out = out.assign(cycles=cycles)
+        state.update(
+            (int(now.iloc[-1]), float(out["battery_soc"].iloc[-1]), float(moved.iloc[-1]))
+        )
+        yield out[["device_id", "time", "battery_soc", "battery_power_kw", "cycles"]]
 
     return rows.groupBy("device_id").applyInPandasWithState(
         step,
         DISPATCH,
-        "last_micros long, soc double",
+        "last_micros long, soc double, moved double",
         "append",
         GroupStateTimeout.NoTimeout,
     )

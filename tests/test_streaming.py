@@ -149,7 +149,10 @@ def test_snapshot_sync_and_fan_out(spark, tmp_path):
         callback=lambda batch: seen.append(batch.count()),
     ).awaitTermination()
     assert sum(seen) == 6
-    assert spark.read.parquet(f"{tmp_path}/points").count() == 6 * 26
+    points = spark.read.parquet(f"{tmp_path}/points")
+    assert points.count() == 6 * 26
+    tables.write_points(points.drop("date").cache(), f"{tmp_path}/points")  # a repeat
+    assert sync.stored_points(spark, f"{tmp_path}/points").count() == 6 * 26
     again = snapshot_files.read_snapshots(spark, f"{tmp_path}/json")
     assert sorted(again.collect()) == sorted(snapshots(spark).collect())
 
@@ -209,7 +212,7 @@ def test_stream_dispatch_equals_batch(spark, tmp_path):
         .start()
         .awaitTermination()
     )
-    columns = ["device_id", "time", "battery_soc", "battery_power_kw"]
+    columns = ["device_id", "time", "battery_soc", "battery_power_kw", "cycles"]
     got = sorted(spark.read.parquet(f"{tmp_path}/out").select(*columns).collect())
     batch = dispatch_backtest(df, ["device_id"], ["time"])
     assert got == sorted(batch.select(*columns).collect())
