@@ -478,10 +478,10 @@ SELECT event_id, CAST(hour(ts) AS INTEGER) AS hour_of_day,
        CAST(day(ts) AS INTEGER) AS day_of_month, CAST(month(ts) AS INTEGER) AS month,
        CAST(isodow(ts) >= 6 AS INTEGER) AS is_weekend FROM events""",
     "cyclic_features": f"""
-SELECT event_id, round(sin({TWO_PI} * hour(ts) / 24), 4) AS hour_sin,
-       round(cos({TWO_PI} * hour(ts) / 24), 4) AS hour_cos,
-       round(sin({TWO_PI} * (isodow(ts) - 1) / 7), 4) AS day_sin,
-       round(cos({TWO_PI} * (isodow(ts) - 1) / 7), 4) AS day_cos FROM events""",
+SELECT event_id, round(sin({TWO_PI} * hour(ts) / 24), 4) + 0 AS hour_sin,
+       round(cos({TWO_PI} * hour(ts) / 24), 4) + 0 AS hour_cos,
+       round(sin({TWO_PI} * (isodow(ts) - 1) / 7), 4) + 0 AS day_sin,
+       round(cos({TWO_PI} * (isodow(ts) - 1) / 7), 4) + 0 AS day_cos FROM events""",
     "tou_onehot": """
 WITH labelled AS (
   SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN
@@ -711,6 +711,6 @@ SELECT count(*) AS total_records, min(time) AS earliest_time, max(time) AS lates
 FROM built""",
     "stream_snapshot_sync": f"""WITH {SNAP_POINTS}
 SELECT 'edge-gateway-site' AS site_id, measurement || '.' || field AS metric_name,
-       count(*) AS readings, round(avg(value), 1) AS mean_value
+       count(*) AS readings, round(avg(value), 1) + 0 AS mean_value
 FROM snap_points GROUP BY ALL""",
 }
