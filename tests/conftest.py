@@ -1,10 +1,16 @@
+import os
+
 import pytest
 
-from energylake.session import local_session
+# many short plans: the first compiler tier starts fastest
+os.environ.setdefault("JDK_JAVA_OPTIONS", "-XX:TieredStopAtLevel=1")
+
+from energylake.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(4, "energylake-tests")
+    session.conf.set("spark.sql.shuffle.partitions", "3")
     yield session
     session.stop()
