@@ -52,7 +52,8 @@ class Forecast:
     def predict(self, df: DataFrame) -> DataFrame:
         """Add `prediction` to a feature frame; dotted names are accepted.
 
-        Sequence models give one row per sequence instead.
+        Sequence models give one row per sequence instead.  Rows and sequences
+        that lack a feature have no prediction and are left out.
         """
         df = normalise_names(df)
         if "sequence_length" not in self.options:
@@ -65,7 +66,7 @@ class Forecast:
             self.options["sequence_length"],
             self.options["partition_cols"],
         )
-        return self.model.transform(_flattened(runs)).drop("features")
+        return self.model.transform(_flattened(_complete(runs))).drop("features")
 
     def save(self, path: str) -> None:
         spark = SparkSession.active()
@@ -257,6 +258,11 @@ def train_all(
 # --- sequences -------------------------------------------------------------
 
 
+def _complete(runs: DataFrame) -> DataFrame:
+    """Runs without missing values; others cannot be vectors."""
+    return runs.where(F.forall(F.flatten("x"), lambda v: v.isNotNull()))
+
+
 def _flattened(runs: DataFrame) -> DataFrame:
     return runs.withColumn("features", array_to_vector(F.flatten("x"))).drop("x")
 
@@ -305,10 +311,8 @@ def train_sequence_forecast(
         order,
         options.stride,
     )
-    # a run that lacks a value cannot be a vector
-    complete = runs.where(F.forall(F.flatten("x"), lambda v: v.isNotNull()))
     split = chrono_split(
-        complete, options.test_size, options.validation_split, keys, order[:1]
+        _complete(runs), options.test_size, options.validation_split, keys, order[:1]
     )
     split = (
         _flattened(split).withColumnRenamed("y", "label").select(

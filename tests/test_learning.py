@@ -261,6 +261,10 @@ def test_sequence_forecast(spark, regressor, tmp_path):
     again = forecast.Forecast.load(spark, str(tmp_path / "m"))
     assert again.predict(df).count() == 400 - 6 + 1
     assert again.predict(daily(spark, 4)).count() == 1  # padded
+    holed = daily(spark, 40).withColumn(
+        "hour_of_day", F.when(F.dayofmonth("time") == 1, F.col("hour_of_day"))
+    )
+    assert again.predict(holed).count() == 24 - 6 + 1
 
 
 def test_sequence_forecast_needs_rows(spark):

@@ -33,7 +33,6 @@ WINDOWED = {
     "rolling_with_nulls": ("rolling_avg", 30),
     "lag_features": ("lag_1h", 800),
     "interarrival": ("gap_micros", 900),
-    "feature_build": ("solar_generation_kw_lag_1", 600),
 }
 
 
