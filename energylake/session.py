@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,24 +24,16 @@ def local_session(cores: int | str = 8, app: str = "energylake") -> SparkSession
     return spark
 
 
-_local_dir: tempfile.TemporaryDirectory | None = None
-
-
 def shared_dir(spark: SparkSession) -> str:
     """Folder for staged tables that every executor can reach.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``.  A local
-    master has one machine only, so there a temporary folder will do.
+    It is the one the cluster names in ``spark.checkpoint.dir``.  Where that is
+    unset, a folder in the warehouse, which all executors share too.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    global _local_dir
-    if _local_dir is None:
-        _local_dir = tempfile.TemporaryDirectory(prefix="energylake-")
-    return _local_dir.name
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
