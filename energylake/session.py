@@ -7,9 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: int | str = 8, app: str = "energylake") -> SparkSession:
-    """Session for tests and benchmarks; a cluster brings its own."""
-    spark = (
+def local_session(
+    cores: int | str = 8, app: str = "energylake", staging: str | None = None
+) -> SparkSession:
+    """Session for tests and benchmarks; a cluster brings its own.
+
+    `staging` names the folder of staged tables where the settings name none.
+    """
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cores))
@@ -18,8 +23,10 @@ def local_session(cores: int | str = 8, app: str = "energylake") -> SparkSession
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .getOrCreate()
     )
+    if staging:
+        builder = builder.config("spark.checkpoint.dir", staging)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
