@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, pii, quality, shards
+from . import binary, bpe, html, packing, pii, ppm, quality, shards, simhash, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,3 +49,39 @@ def op8_quality(spark, sf_dir):
 @query
 def op10_pii(spark, sf_dir):
     return pii.report(pii.find(table(spark, sf_dir, "documents"))).select("row.doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
+@query
+def op4_tokens(spark, sf_dir):
+    return binary.round_trip(table(spark, sf_dir, "documents"), WORD_BPE, end_id=2)
+
+
+@query
+def op5_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE, capacity=4096, end_id=1)
+
+
+@query
+def op6_simhash(spark, sf_dir):
+    found = simhash.groups(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        simhash.hex_fingerprint("fp").alias("fingerprint"),
+        "component_id",
+    )
+
+
+@query
+def op9_topk(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5, scale=256)
+
+
+@query
+def op1_html(spark, sf_dir):
+    return html.extract_pages(table(spark, sf_dir, "pages"))
+
+
+@query
+def op7_ppm(spark, sf_dir):
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 1
+    return ppm.score(table(spark, sf_dir, "documents"), held_out)
