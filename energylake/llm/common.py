@@ -23,6 +23,53 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def scan(
+    rows: Column,
+    begin: Column,
+    advance: Callable[[Column, Column], Column],
+    emit: Callable[[Column, Column], Column],
+    kind: str,
+    width: int = 256,
+) -> Column:
+    """Array of `emit`(state, row) for each row, where `advance`(state, row) is the next state.
+
+    `kind` is the type of what is emitted.  Rows are worked off in slices, so that appending copies a short
+    array only: first the states at the slices' begins, then each slice.
+    """
+
+    def within(state: Column, rows: Column) -> Column:
+        first = F.struct(state.alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+
+        def step(s: Column, row: Column) -> Column:
+            return F.struct(
+                advance(s["at"], row).alias("at"),
+                F.array_append(s["out"], emit(s["at"], row)).alias("out"),
+            )
+
+        return F.aggregate(rows, first, step, lambda s: s["out"])
+
+    last = F.floor((F.size(rows) - 1) / width).cast("int")
+    slices = F.transform(
+        F.sequence(F.lit(0), last), lambda k: F.slice(rows, k * width + 1, F.lit(width))
+    )
+
+    def over(slices: Column) -> Column:
+        begins = F.aggregate(
+            slices,
+            F.array(begin),
+            lambda a, part: F.array_append(
+                a, F.aggregate(part, F.element_at(a, -1), advance)
+            ),
+        )
+        return let(
+            begins, lambda b: F.flatten(F.transform(slices, lambda s, k: within(F.get(b, k), s)))
+        )
+
+    return F.when(F.size(rows) > 0, let(slices, over)).otherwise(
+        F.array().cast(f"array<{kind}>")
+    )
+
+
 def words_of(text: Column) -> Column:
     return F.filter(F.split(text, WORD_GAP), lambda w: w != "")
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, scan
 
 #: score at which a proposed span counts
 THRESHOLD = 1.0
@@ -125,25 +125,37 @@ def spans_of(text: Column, kind: Kind) -> Column:
             score += F.when(near.rlike(kind.context), kind.context_score).otherwise(0.0)
         return F.coalesce(kind.check(match) & (score >= THRESHOLD), F.lit(False))
 
-    def step(state: Column, row: Column) -> Column:
-        start = state["at"] + F.length(row["gap"])
-        end = start + F.length(row["match"])
-        span = F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"))
+    def span(at: Column, row: Column) -> Column:
+        start = at + row["gap"]
         return F.struct(
-            end.alias("at"),
-            F.when(row["good"], F.array_append(state["spans"], span))
-            .otherwise(state["spans"])
-            .alias("spans"),
+            F.lit(kind.name).alias("kind"),
+            start.alias("start"),
+            (start + row["match"]).alias("end"),
+            row["good"].alias("good"),
         )
 
     def placed(found: Column) -> Column:
         rows = F.zip_with(
             F.slice(gaps, 1, F.size(found)),
             found,
-            lambda g, m: F.struct(g.alias("gap"), m.alias("match"), scored(g, m).alias("good")),
+            lambda g, m: F.struct(
+                F.length(g).alias("gap"), F.length(m).alias("match"), scored(g, m).alias("good")
+            ),
+        )
+        every = let(
+            rows,
+            lambda r: scan(
+                r,
+                F.lit(0),
+                lambda at, row: at + row["gap"] + row["match"],
+                span,
+                "struct<kind:string,start:int,end:int,good:boolean>",
+            ),
         )
-        begin = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-        return F.aggregate(rows, begin, step, lambda s: s["spans"])
+        return F.transform(
+            F.filter(every, lambda s: s["good"]),
+            lambda s: F.struct(s["kind"], s["start"], s["end"]),
+        ).cast("array<struct<kind:string,start:int,end:int>>")
 
     possible = text.contains(kind.needs) if kind.needs else text.rlike("[0-9]")
     return F.when(
@@ -191,30 +203,37 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def masked(spans: Column) -> Column:
         ordered = F.array_sort(
-            F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-        )
-
-        def step(state: Column, span: Column) -> Column:
-            fresh = span["start"] >= state["at"]
-            gap = F.substring(F.col("text"), state["at"] + 1, span["start"] - state["at"])
-            parts = F.concat(
-                state["parts"], F.array(gap, F.concat(F.lit("["), F.upper(span["kind"]), F.lit("]")))
-            )
-            return F.struct(
-                F.greatest(state["at"], span["end"]).alias("at"),
-                F.when(fresh, parts).otherwise(state["parts"]).alias("parts"),
+            F.transform(
+                spans,
+                lambda s: F.struct(
+                    s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")
+                ),
             )
-
-        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-        return F.aggregate(
+        )
+        # each span with the end of all before it
+        rows = let(
             ordered,
-            begin,
-            step,
+            lambda o: scan(
+                o,
+                F.lit(0),
+                lambda at, s: F.greatest(at, s["end"]),
+                lambda at, s: F.struct(at.alias("at"), s["start"].alias("start"), s["kind"].alias("kind")),
+                "struct<at:int,start:int,kind:string>",
+            ),
+        )
+        parts = F.transform(
+            F.filter(rows, lambda s: s["start"] >= s["at"]),
             lambda s: F.concat(
-                F.array_join(s["parts"], ""),
-                F.substring(F.col("text"), s["at"] + 1, F.length("text")),
+                F.substring(F.col("text"), s["at"] + 1, s["start"] - s["at"]),
+                F.lit("["),
+                F.upper(s["kind"]),
+                F.lit("]"),
             ),
         )
+        last = F.array_max(F.transform(spans, lambda s: s["end"]))
+        return F.concat(
+            F.array_join(parts, ""), F.substring(F.col("text"), last + 1, F.length("text"))
+        )
 
     clean = let(every, lambda s: F.when(F.size(s) > 0, masked(s)).otherwise(F.col("text")))
     return found.withColumn(
