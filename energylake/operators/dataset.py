@@ -9,8 +9,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..session import stage
 from .series import MAX_ROWS, over_series, with_positions
-from .windows import first_interval_minutes, lead_column, samples_per_hour
+from .windows import (
+    by_interval_class,
+    first_interval_minutes,
+    horizon_samples,
+    lead_column,
+    series_facts,
+)
 
 
 def horizon_rows(
@@ -19,9 +26,11 @@ def horizon_rows(
     keys: Sequence[str] = tuple(schemas.SERIES),
     time_col: str = "time",
 ) -> int:
-    """Rows between a sample and its target, from the distance of the first two."""
-    interval = first_interval_minutes(df, keys, time_col)
-    return horizon_hours * samples_per_hour(interval)
+    """Rows between a sample and its target, from the distance of the first two.
+
+    One distance for all series; `lead_by_class` takes each series' own.
+    """
+    return horizon_samples(horizon_hours, first_interval_minutes(df, keys, time_col))
 
 
 def lead_target(
@@ -32,12 +41,34 @@ def lead_target(
     keys: Sequence[str] = tuple(schemas.SERIES),
     order: Sequence[str] = ("time",),
     max_rows: int = MAX_ROWS,
+    longest: int | None = None,
 ) -> DataFrame:
-    """Add `label`, the target `rows_ahead` later; incomplete rows are left out."""
+    """Add `label`, the target `rows_ahead` later; rows without it or a feature are left out."""
     if target not in df.columns:
         raise ValueError(f"target column {target!r} not found")
-    labelled = lead_column(df, target, rows_ahead, "label", keys, order, max_rows)
-    return labelled.dropna(subset=["label"]).dropna(subset=list(features) or None)
+    labelled = lead_column(
+        df, target, rows_ahead, "label", keys, order, max_rows, longest
+    )
+    return labelled.dropna(subset=["label", *features])
+
+
+def lead_by_class(
+    df: DataFrame,
+    target: str,
+    horizon_hours: int,
+    features: Sequence[str] = (),
+    keys: Sequence[str] = tuple(schemas.SERIES),
+    order: Sequence[str] = ("time",),
+    max_rows: int = MAX_ROWS,
+) -> DataFrame:
+    """`lead_target` with the horizon in rows of each series' own interval class."""
+    facts = stage(series_facts(df, keys, order, max_rows), "facts")
+
+    def add(rows: DataFrame, minutes: int, longest: int) -> DataFrame:
+        ahead = horizon_samples(horizon_hours, minutes)
+        return lead_target(rows, target, ahead, features, keys, order, max_rows, longest)
+
+    return by_interval_class(df, facts, keys, add)
 
 
 def _cut(position: str, rows: Column, share: float) -> Column:
@@ -86,13 +117,15 @@ def sequences(
 ) -> DataFrame:
     """Every run of `length` rows with the target `rows_ahead` after its end.
 
-    One row per run: the series, `time` of the run's last row, the run `x` as an
+    One row per run: the series, the `order` columns of the run's last row, the run `x` as an
     array of feature rows, and `y`.  The row of the target looks back on its
     run, so only earlier rows are context.  Runs without target are left out;
     `stride` keeps every stride-th run of a series.
     """
     if target not in df.columns:
         raise ValueError(f"target column {target!r} not found")
+    if rows_ahead < 1:
+        raise ValueError("the target lies at least one row after the run")
     kept = [k for k in keys if k not in order]
 
     def add(rows: DataFrame, parts: list[Column]) -> DataFrame:
@@ -101,11 +134,7 @@ def sequences(
         return rows.withColumns(
             {
                 "x": F.collect_list(F.array(*features)).over(run),
-                "_end": (
-                    F.lag(order[0], rows_ahead).over(w)
-                    if rows_ahead
-                    else F.col(order[0])
-                ),
+                **{f"_end{i}": F.lag(c, rows_ahead).over(w) for i, c in enumerate(order)},
                 "y": F.col(target).cast("double"),
             }
         )
@@ -120,7 +149,8 @@ def sequences(
     if stride > 1:
         first = length - 1 + rows_ahead
         runs = runs.where((F.col("_position") - first) % stride == 0)
-    return runs.select(*kept, F.col("_end").alias(order[0]), "x", "y")
+    ends = [F.col(f"_end{i}").alias(c) for i, c in enumerate(order)]
+    return runs.select(*kept, *ends, "x", "y")
 
 
 def padded_sequences(
@@ -155,7 +185,7 @@ def padded_sequences(
     ).where((F.size("x") == length) | F.col("_last"))
     return rows.select(
         *kept,
-        order[0],
+        *order,
         F.concat(F.array_repeat(zeros, F.lit(length) - F.size("x")), "x").alias("x"),
     )
 

@@ -7,22 +7,27 @@ import time
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
+from functools import reduce
+from operator import and_
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..options import ForecastOptions, SequenceOptions
 from ..schemas import flat
+from ..session import discard, new_path, stage
+from ..sources.tables import scan_training_data
 from .dataset import (
     Scaler,
     chrono_split,
     horizon_rows,
+    lead_by_class,
     lead_target,
     padded_sequences,
     sequences,
@@ -48,16 +53,19 @@ class Forecast:
     scaler: Scaler | None = None
     history: list[dict] = field(default_factory=list)
     best_epoch: int | None = None
+    #: rows or runs that lacked a feature and were not used in training
+    left_out: int = 0
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Add `prediction` to a feature frame; dotted names are accepted.
 
         Sequence models give one row per sequence instead.  Rows and sequences
-        that lack a feature have no prediction and are left out.
+        that lack a feature have a null prediction.
         """
         df = normalise_names(df)
         if "sequence_length" not in self.options:
-            return self.model.transform(df).drop("features")
+            whole = reduce(and_, [F.col(c).isNotNull() for c in self.features])
+            return _known(self.model.transform(df.withColumn("_whole", whole)))
         if self.scaler is not None:
             df = self.scaler.transform(df)
         runs = padded_sequences(
@@ -65,8 +73,9 @@ class Forecast:
             self.features,
             self.options["sequence_length"],
             self.options["partition_cols"],
+            self.options["order"],
         )
-        return self.model.transform(_flattened(_complete(runs))).drop("features")
+        return _known(self.model.transform(_flattened(runs.withColumn("_whole", _complete()))))
 
     def save(self, path: str) -> None:
         spark = SparkSession.active()
@@ -81,6 +90,7 @@ class Forecast:
             "scaler": self.scaler and asdict(self.scaler),
             "history": self.history,
             "best_epoch": self.best_epoch,
+            "left_out": self.left_out,
             "saved_at": datetime.now(timezone.utc).isoformat(),
         }
         (
@@ -99,6 +109,18 @@ class Forecast:
         return cls(model=PipelineModel.load(f"{path}/model"), **facts)
 
 
+def _known(predicted: DataFrame) -> DataFrame:
+    """Predictions of rows that have all features, null for others."""
+    known = F.when(F.col("_whole"), F.col("prediction"))
+    return predicted.withColumn("prediction", known).drop("features", "_whole")
+
+
+def series_order(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> list[str]:
+    """`order`, and after it the series columns that are no keys, so that nothing ties."""
+    more = [c for c in schemas.SERIES if c in df.columns and c not in (*keys, *order)]
+    return [*order, *more]
+
+
 def stored_metrics(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """Metrics of saved models, one row per target."""
     rows = {
@@ -188,20 +210,28 @@ def train_forecast(
     """Train and test one target on a feature frame."""
     options = options or ForecastOptions()
     options.validate()
-    df, target = normalise_names(df), flat(target)
+    df, target = of_site(normalise_names(df), options.site_id), flat(target)
     declared = features or schemas.forecast_features(options.rolling_window_days)
     names, _ = select_features(df, declared)
     keys = options.partition_cols
-    if rows_ahead is None:
-        rows_ahead = horizon_rows(df, options.horizon_hours, keys, order[0])
-    labelled = lead_target(df, target, rows_ahead, names, keys, order)
-    split = chrono_split(labelled, options.test_size, None, keys, order)
+    order = series_order(df, keys, order)
+    if target not in df.columns:
+        raise ValueError(f"target column {target!r} not found")
+    if rows_ahead is None and keys:
+        labelled = lead_by_class(df, target, options.horizon_hours, (), keys, order)
+    else:
+        if rows_ahead is None:
+            rows_ahead = horizon_rows(df, options.horizon_hours, keys, order[0])
+        labelled = lead_target(df, target, rows_ahead, (), keys, order)
+    labelled = stage(labelled, "labelled")
+    complete = labelled.dropna(subset=names)
+    split = chrono_split(complete, options.test_size, None, keys, order)
     split = split.select(*names, "label", "split").persist(LEVEL)
     try:
         samples = _counts(split)
         _require(sum(samples.values()), options.min_rows, "samples")
         assembler = VectorAssembler(
-            inputCols=names, outputCol="features", handleInvalid="skip"
+            inputCols=names, outputCol="features", handleInvalid="keep"
         )
         train = assembler.transform(split.where(F.col("split") == "train"))
         model = _regressor(options).fit(train)
@@ -213,13 +243,50 @@ def train_forecast(
             model=pipeline,
             metrics=_evaluate(scored, options),
             samples=samples,
-            options=asdict(options),
+            options=asdict(options) | {"order": order},
             importance=_sorted_importance(names, model),
+            left_out=labelled.count() - sum(samples.values()),
         )
     finally:
         split.unpersist()
 
 
+def of_site(df: DataFrame, site_id: str) -> DataFrame:
+    """Rows of one site; of all if none is named."""
+    return df.where(F.col("site_id") == site_id) if site_id else df
+
+
+def run(
+    spark: SparkSession,
+    training_path: str,
+    model_path: str,
+    options: ForecastOptions | None = None,
+    start: datetime | None = None,
+    end: datetime | None = None,
+    **kwargs,
+) -> dict:
+    """The training job: scan the stored training table, train both targets, store both models.
+
+    The scan takes the site of the options and, if given, a range of time.  Models go
+    to the folders `load` and `solar` of `model_path`; the result is that of `train_all`.
+    """
+    options = options or ForecastOptions()
+    failed = dict.fromkeys(schemas.TARGETS)
+    if not options.enabled:
+        return {"status": "disabled", **failed}
+    try:
+        table = scan_training_data(
+            spark, training_path, start, end, options.site_id, ordered=False
+        )
+    except Exception as error:  # the status is the result of the job
+        return {"status": "error", "error": str(error), **failed}
+    result = train_all(table, options, **kwargs)
+    if result["status"] == "success":
+        for name in schemas.TARGETS:
+            result[name].save(f"{model_path.rstrip('/')}/{name}")
+    return result
+
+
 def train_all(
     training_data: DataFrame, options: ForecastOptions | None = None, **kwargs
 ) -> dict:
@@ -258,13 +325,15 @@ def train_all(
 # --- sequences -------------------------------------------------------------
 
 
-def _complete(runs: DataFrame) -> DataFrame:
-    """Runs without missing values; others cannot be vectors."""
-    return runs.where(F.forall(F.flatten("x"), lambda v: v.isNotNull()))
+def _complete() -> Column:
+    """Whether a run has no missing value."""
+    return F.forall(F.flatten("x"), lambda v: v.isNotNull())
 
 
 def _flattened(runs: DataFrame) -> DataFrame:
-    return runs.withColumn("features", array_to_vector(F.flatten("x"))).drop("x")
+    """Runs as vectors, with zeros for missing values."""
+    filled = F.transform(F.flatten("x"), lambda v: F.coalesce(v, F.lit(0.0)))
+    return runs.withColumn("features", array_to_vector(filled)).drop("x")
 
 
 def train_sequence_forecast(
@@ -282,10 +351,11 @@ def train_sequence_forecast(
     """
     options = options or SequenceOptions()
     options.validate()
-    df, target = normalise_names(df), flat(target)
+    df, target = of_site(normalise_names(df), options.site_id), flat(target)
     declared = features or schemas.forecast_features(options.rolling_window_days)
     names, _ = select_features(df, declared)
     keys = options.partition_cols
+    order = series_order(df, keys, order)
     if rows_ahead is None:
         rows_ahead = horizon_rows(df, options.horizon_hours, keys, order[0])
     _require(df.count(), options.sequence_length + rows_ahead, "records")
@@ -309,17 +379,21 @@ def train_sequence_forecast(
         rows_ahead,
         keys,
         order,
-        options.stride,
+        options.rows_between_runs,
     )
-    split = chrono_split(
-        _complete(runs), options.test_size, options.validation_split, keys, order[:1]
-    )
-    split = (
-        _flattened(split).withColumnRenamed("y", "label").select(
-            "features", "label", "split"
-        )
-    ).persist(LEVEL)
+    spark = df.sparkSession
+    runs_path, split_path = new_path(spark, "runs"), new_path(spark, "sequences")
     try:
+        # a run is as many numbers as features times rows: on disk, once
+        runs = stage(runs.withColumn("_whole", _complete()), "runs", runs_path)
+        left_out = runs.where(~F.col("_whole")).count()
+        split = chrono_split(
+            runs.where("_whole"), options.test_size, options.validation_split, keys, order
+        )
+        stored = stage(
+            split.select("x", F.col("y").alias("label"), "split"), "sequences", split_path
+        )
+        split = _flattened(stored)
         samples = _counts(split)
         _require(sum(samples.values()), options.min_rows, "sequences")
         fitting = split.where(F.col("split") != "test").withColumn(
@@ -339,10 +413,11 @@ def train_sequence_forecast(
             model=pipeline,
             metrics=_evaluate(scored, options),
             samples=samples,
-            options=asdict(options),
+            options=asdict(options) | {"order": order},
             importance=_sorted_importance(steps, model),
             scaler=scaler,
             history=history,
+            left_out=left_out,
         )
         if history:
             result.best_epoch = best_epoch(
@@ -353,13 +428,14 @@ def train_sequence_forecast(
             ).first()["best_epoch"]
         return result
     finally:
-        split.unpersist()
+        discard(spark, runs_path)
+        discard(spark, split_path)
 
 
 def _fit_sequences(fitting: DataFrame, options: SequenceOptions):
     train = fitting.where(~F.col("validating"))
     if options.regressor == "linear":
-        return LinearRegression(regParam=0.01).fit(train), []
+        return LinearRegression(regParam=options.reg_param).fit(train), []
     model = _regressor(
         options,
         validationIndicatorCol="validating",

@@ -132,7 +132,7 @@ def duplicate_groups(
 def latest_per_key(
     df: DataFrame, key: Sequence[str], version: str | Column
 ) -> DataFrame:
-    """One row per key, the one of the highest version.
+    """One row per key, the one of the highest version; null is the lowest.
 
     An aggregate and not a ranking window: copies of a key are merged in the
     map tasks, so a key with very many copies does not meet in one task.
@@ -140,9 +140,11 @@ def latest_per_key(
     version = F.col(version) if isinstance(version, str) else version
     payload = [c for c in df.columns if c not in key]
     row = F.struct(*[F.col(f"`{c}`") for c in payload])
+    # max_by ignores rows whose order is null; a struct never is
+    rank = F.struct(version.isNotNull().alias("known"), version.alias("version"))
     return (
         df.groupBy(*key)
-        .agg(F.max_by(row, version).alias("_row"))
+        .agg(F.max_by(row, rank).alias("_row"))
         .select(*key, *[F.col(f"_row.`{c}`").alias(c) for c in payload])
         .select(*[F.col(f"`{c}`") for c in df.columns])
     )

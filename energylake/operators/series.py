@@ -51,6 +51,15 @@ def _series(keys: Sequence[str]) -> list[Column]:
     return [F.col(k) for k in keys] if keys else [F.lit(0)]
 
 
+def match_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join on keys of which nulls are equal; the keys of `left` stay."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same &= left[k].eqNullSafe(renamed[f"_right_{k}"])
+    return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def hot_series(df: DataFrame, keys: Sequence[str], max_rows: int = MAX_ROWS):
     """Series with more than `max_rows` rows, and their row counts.
 
@@ -79,7 +88,7 @@ def slot_chunks(
     starts.  Slots are narrowed until none is larger than a chunk.
     """
     rows = df.select(*keys, time_col)
-    rows = rows.join(hot.select(*keys), list(keys), "left_semi") if keys else rows
+    rows = match_keys(rows, hot.select(*keys), keys, "left_semi") if keys else rows
     width = _SLOT_MICROS
     while True:
         counts = rows.groupBy(*keys, _slot_of(time_col, width)).agg(
@@ -141,8 +150,14 @@ def _cut(
     back: int,
     ahead: int,
     max_rows: int,
+    longest: int | None = None,
 ) -> DataFrame | None:
-    """Rows with their chunk, or None where no series is long."""
+    """Rows with their chunk, or None where no series is long.
+
+    `longest`: rows of the longest series, where the caller has counted them.
+    """
+    if longest is not None and longest <= max_rows:
+        return None
     hot = hot_series(df, keys, max_rows).persist()
     try:
         if hot.isEmpty():
@@ -152,9 +167,8 @@ def _cut(
         hot.unpersist()
     # No broadcast hint: Spark compares the size of `chunks` with its threshold
     # and joins by shuffle where the table is large.
-    rows = df.withColumn(_SLOT, _slot_of(time_col, width)).join(
-        chunks, [*keys, _SLOT], "left"
-    )
+    slotted = df.withColumn(_SLOT, _slot_of(time_col, width))
+    rows = match_keys(slotted, chunks, [*keys, _SLOT], "left")
     zero = F.lit(0).cast("long")
     rows = rows.withColumn(_OWN, F.coalesce(_OWN, zero))
     if back or ahead:
@@ -173,6 +187,7 @@ def over_series(
     back: int = 0,
     ahead: int = 0,
     max_rows: int = MAX_ROWS,
+    longest: int | None = None,
 ) -> DataFrame:
     """Apply `add(rows, parts)`; windows partitioned by `parts` hold one series.
 
@@ -180,7 +195,7 @@ def over_series(
     for a row may depend on at most `back` rows before and `ahead` after it,
     and it must keep every row.
     """
-    rows = _cut(df, keys, order[0], back, ahead, max_rows)
+    rows = _cut(df, keys, order[0], back, ahead, max_rows, longest)
     if rows is None:
         return add(df, _series(keys))
     return (
@@ -249,7 +264,7 @@ def running_total(
     inside = F.sum(value).over(window.rowsBetween(Window.unboundedPreceding, 0))
     total = F.coalesce("_before", F.lit(0.0)) + F.coalesce(inside, F.lit(0.0))
     return (
-        rows.join(before, [*keys, _CHUNK], "left")
+        match_keys(rows, before, [*keys, _CHUNK], "left")
         .withColumn(
             name, F.when(inside.isNotNull() | F.col("_before").isNotNull(), total)
         )

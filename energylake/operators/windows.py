@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
-from .series import MAX_ROWS, micros, over_series
+from ..session import new_path, stage
+from .series import MAX_ROWS, match_keys, micros, over_series
 
 # The sampling interval assumed where the data show none.
 DEFAULT_SAMPLES_PER_DAY = 288
@@ -47,10 +50,12 @@ def median_gap(gaps: DataFrame, col: str = "gap_micros") -> DataFrame:
     two ranges, however many different gaps there are.
     """
     width = 1 << 20
-    values = (
+    # staged, as the windows over the series would else be worked out for both uses
+    values = stage(
         gaps.where(F.col(col).isNotNull())
         .groupBy(F.col(col).alias("v"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n")),
+        "gaps",
     )
     ranges = values.groupBy(F.floor(F.col("v") / width).alias("r")).agg(
         F.sum("n").alias("n")
@@ -135,6 +140,78 @@ def samples_per_hour(interval_minutes: float | None) -> int:
     return round(60 / interval_minutes)
 
 
+def horizon_samples(hours: int, interval_minutes: float | None) -> int:
+    """Rows between a sample and the one `hours` later; never the sample itself."""
+    if interval_minutes is None or interval_minutes <= 0:
+        return hours * DEFAULT_SAMPLES_PER_HOUR
+    return max(1, round(hours * 60 / interval_minutes))
+
+
+# Sampling intervals, in minutes, that tell one class of series from another.
+INTERVAL_CLASSES = (1, 2, 5, 10, 15, 20, 30, 60, 120, 180, 240, 360, 720, 1440)
+DEFAULT_INTERVAL = 5
+
+
+def interval_class(minutes: Column) -> Column:
+    """The class next to an interval by ratio; the default where there is none."""
+    found = F.lit(INTERVAL_CLASSES[-1])
+    for low, high in reversed(list(zip(INTERVAL_CLASSES, INTERVAL_CLASSES[1:]))):
+        found = F.when(minutes < math.sqrt(low * high), low).otherwise(found)
+    return F.when(minutes > 0, found).otherwise(DEFAULT_INTERVAL).cast("int")
+
+
+def series_facts(
+    df: DataFrame,
+    keys: Sequence[str] = tuple(schemas.SERIES),
+    order: Sequence[str] = ("time",),
+    max_rows: int = MAX_ROWS,
+) -> DataFrame:
+    """Rows, median interval and interval class of every series, in one pass.
+
+    Intervals count in whole seconds, so that a series has a bounded number of different
+    ones however long it is.
+    """
+    gaps = with_gaps(
+        df.select(*dict.fromkeys([*keys, *order])), keys, order, max_rows=max_rows
+    )
+    minutes = F.median(F.floor(F.col("gap_micros") / 1_000_000)) / 60
+    facts = gaps.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("series_rows"), minutes.alias("interval_minutes")
+    )
+    return facts.withColumn("interval_class", interval_class(F.col("interval_minutes")))
+
+
+def by_interval_class(
+    df: DataFrame,
+    facts: DataFrame,
+    keys: Sequence[str],
+    add: Callable[[DataFrame, int, int], DataFrame],
+) -> DataFrame:
+    """`add(rows, minutes, longest)` for the series of each interval class, united.
+
+    `minutes` is the class, `longest` the rows of its longest series.  There are at
+    most as many parts as `INTERVAL_CLASSES`.
+    """
+    found = (
+        facts.groupBy("interval_class").agg(F.max("series_rows").alias("longest")).collect()
+    )
+    if not found:
+        return add(df, DEFAULT_INTERVAL, 0)
+    if len(found) == 1:
+        return add(df, found[0]["interval_class"], found[0]["longest"])
+    # written by class, so that each part reads its own rows only
+    spark = df.sparkSession
+    path = new_path(spark, "classes")
+    classed = match_keys(df, facts.select(*keys, "interval_class"), keys, "inner")
+    classed.write.partitionBy("interval_class").parquet(path)
+    stored = spark.read.schema(classed.schema).parquet(path)
+    parts = []
+    for row in sorted(found):
+        own = stored.where(F.col("interval_class") == row["interval_class"])
+        parts.append(add(own.drop("interval_class"), row["interval_class"], row["longest"]))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def rolling_rows(interval_minutes: float | None, days: int) -> int:
     return max(1, samples_per_day(interval_minutes) * days)
 
@@ -214,6 +291,7 @@ def rolling_mean_std(
     keys: Sequence[str] = tuple(schemas.SERIES),
     order: Sequence[str] = ("time",),
     max_rows: int = MAX_ROWS,
+    longest: int | None = None,
 ) -> DataFrame:
     """Mean and sample deviation of the last `n` rows, null unless all have a value.
 
@@ -225,7 +303,9 @@ def rolling_mean_std(
     def add(rows: DataFrame, parts: list[Column]) -> DataFrame:
         return form(rows, parts, order, columns, n)
 
-    return over_series(df, keys, order, add, back=n - 1, max_rows=max_rows)
+    return over_series(
+        df, keys, order, add, back=n - 1, max_rows=max_rows, longest=longest
+    )
 
 
 # --- lag and lead ----------------------------------------------------------
@@ -237,23 +317,28 @@ def lag_columns(
     keys: Sequence[str] = tuple(schemas.SERIES),
     order: Sequence[str] = ("time",),
     max_rows: int = MAX_ROWS,
+    longest: int | None = None,
 ) -> DataFrame:
     """Add earlier values: `lags` maps a new column to (metric, rows back).
 
-    Zero rows back is the current value.
+    Where the distance is less than a row there is no earlier value: null.
     """
 
     def add(rows: DataFrame, parts: list[Column]) -> DataFrame:
         w = Window.partitionBy(*parts).orderBy(*order)
         return rows.withColumns(
             {
-                name: F.lag(metric, k).over(w) if k else F.col(metric)
+                name: F.lag(metric, k).over(w)
+                if k > 0
+                else F.lit(None).cast(rows.schema[metric].dataType)
                 for name, (metric, k) in lags.items()
             }
         )
 
     back = max(k for _, k in lags.values())
-    return over_series(df, keys, order, add, back=back, max_rows=max_rows)
+    return over_series(
+        df, keys, order, add, back=back, max_rows=max_rows, longest=longest
+    )
 
 
 def lead_column(
@@ -264,15 +349,19 @@ def lead_column(
     keys: Sequence[str] = tuple(schemas.SERIES),
     order: Sequence[str] = ("time",),
     max_rows: int = MAX_ROWS,
+    longest: int | None = None,
 ) -> DataFrame:
-    """Add the value `rows_ahead` rows later; zero is the current value."""
+    """Add the value `rows_ahead` rows later, which is never the current one."""
+    if rows_ahead < 1:
+        raise ValueError("a later value lies at least one row ahead")
 
     def add(rows: DataFrame, parts: list[Column]) -> DataFrame:
         w = Window.partitionBy(*parts).orderBy(*order)
-        later = F.lead(metric, rows_ahead).over(w) if rows_ahead else F.col(metric)
-        return rows.withColumn(name, later)
+        return rows.withColumn(name, F.lead(metric, rows_ahead).over(w))
 
-    return over_series(df, keys, order, add, ahead=rows_ahead, max_rows=max_rows)
+    return over_series(
+        df, keys, order, add, ahead=rows_ahead, max_rows=max_rows, longest=longest
+    )
 
 
 def first_n_per_series(

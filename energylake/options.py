@@ -10,13 +10,13 @@ from . import schemas
 def _positive(**values: float) -> None:
     for name, value in values.items():
         if value <= 0:
-            raise ValueError(f"{name} must be positive")
+            raise ValueError(f"{name}={value}: a value above 0 is needed")
 
 
 def _open_unit(**values: float) -> None:
     for name, value in values.items():
         if not 0.0 < value < 1.0:
-            raise ValueError(f"{name} must be between 0.0 and 1.0 (exclusive)")
+            raise ValueError(f"{name}={value}: a share above 0 and below 1 is needed")
 
 
 @dataclass
@@ -83,17 +83,23 @@ class SequenceOptions(ForecastOptions):
     scale_features: bool = True
     # "train": means and deviations of the training rows; "all": of every row.
     fit_scaler_on: str = "train"
-    stride: int = 1
+    # Rows from one training run to the next; none: a twelfth of a run.
+    stride: int | None = None
     regressor: str = "gbt"  # or "linear"
+    reg_param: float = 0.01  # of the linear one
+
+    @property
+    def rows_between_runs(self) -> int:
+        return self.stride or max(1, self.sequence_length // 12)
 
     def validate(self) -> None:
         super().validate()
-        _positive(sequence_length=self.sequence_length, stride=self.stride)
+        _positive(sequence_length=self.sequence_length, stride=self.rows_between_runs)
         _open_unit(validation_split=self.validation_split)
         if self.fit_scaler_on not in ("train", "all"):
-            raise ValueError("fit_scaler_on must be 'train' or 'all'")
+            raise ValueError(f"fit_scaler_on={self.fit_scaler_on!r}: train or all")
         if self.regressor not in ("gbt", "linear"):
-            raise ValueError("regressor must be 'gbt' or 'linear'")
+            raise ValueError(f"regressor={self.regressor!r}: gbt or linear")
 
 
 @dataclass

@@ -13,11 +13,12 @@ from ..functions.cleaning import nan_to_null
 from ..functions.temporal import with_temporal_features, with_tou_features
 from ..operators.reshape import pivot_wide, project_declared
 from ..operators.windows import (
+    by_interval_class,
     lag_columns,
-    median_interval_minutes,
     rolling_mean_std,
     rolling_rows,
     samples_per_hour,
+    series_facts,
 )
 from ..options import FeatureOptions
 from ..schemas import flat
@@ -31,7 +32,10 @@ def _order(options: FeatureOptions) -> list[str]:
 
 
 def with_rolling_features(
-    wide: DataFrame, options: FeatureOptions, interval_minutes: float | None
+    wide: DataFrame,
+    options: FeatureOptions,
+    interval_minutes: float | None,
+    longest: int | None = None,
 ) -> DataFrame:
     """Add the rolling features; rows lacking one of them are left out."""
     days = options.rolling_window_days
@@ -46,14 +50,18 @@ def with_rolling_features(
         rolling_rows(interval_minutes, days),
         options.partition_cols,
         _order(options),
+        longest=longest,
     )
     return rows.dropna(subset=[name for pair in columns.values() for name in pair])
 
 
 def with_lag_features(
-    rows: DataFrame, options: FeatureOptions, interval_minutes: float | None
+    rows: DataFrame,
+    options: FeatureOptions,
+    interval_minutes: float | None,
+    longest: int | None = None,
 ) -> DataFrame:
-    """Add the value one row and one hour (in rows) before."""
+    """Add the value one row and one hour (in rows) before; null if an hour is no row."""
     hour = samples_per_hour(interval_minutes)
     lags = {
         f"{flat(m)}_{name}": (flat(m), k)
@@ -61,7 +69,9 @@ def with_lag_features(
         if flat(m) in rows.columns
         for name, k in (("lag_1", 1), ("lag_1h", hour))
     }
-    return lag_columns(rows, lags, options.partition_cols, _order(options))
+    return lag_columns(
+        rows, lags, options.partition_cols, _order(options), longest=longest
+    )
 
 
 def build_features(
@@ -71,10 +81,10 @@ def build_features(
 ) -> DataFrame:
     """Wide feature rows under column-safe names.
 
-    Staged twice, as wide rows and with rolling features: the sampling interval
-    and the length of the series are jobs of their own over a few columns.
-    Lags follow the removal of rows without full window, so both their order
-    and their interval are those of the remaining rows.
+    The wide rows are staged; one pass over their times gives the rows and the interval
+    class of every series.  Windows and lags are counted in rows of the series' own class, so
+    devices of different sampling rates stand side by side.  Lags follow the
+    removal of rows without full window, so their order is that of the remaining rows.
     """
     options = options or FeatureOptions()
     options.validate()
@@ -83,15 +93,14 @@ def build_features(
     wide = stage(
         pivot_wide(readings, order_col=options.order_col), "wide", f"{root}/wide"
     )
-    interval = median_interval_minutes(wide, keys, order)
-    rolled = stage(
-        with_rolling_features(wide, options, interval), "rolled", f"{root}/rolled"
-    )
-    rows = with_temporal_features(rolled)
-    rows = with_tou_features(rows, options.tou_peak_hours, options.tou_shoulder_hours)
-    return with_lag_features(
-        rows, options, median_interval_minutes(rolled, keys, order)
-    )
+    facts = stage(series_facts(wide, keys, order), "facts", f"{root}/facts")
+
+    def add(rows: DataFrame, minutes: int, longest: int) -> DataFrame:
+        rows = with_rolling_features(rows, options, minutes, longest)
+        return with_lag_features(rows, options, minutes, longest)
+
+    rows = with_temporal_features(by_interval_class(wide, facts, keys, add))
+    return with_tou_features(rows, options.tou_peak_hours, options.tou_shoulder_hours)
 
 
 def training_table(features: DataFrame, options: FeatureOptions | None = None):

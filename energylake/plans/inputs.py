@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -169,6 +169,27 @@ def price_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def clocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as devices that sample every 5, 15 or 120 minutes."""
+    device = F.col("user_id") % 3
+    count = F.row_number().over(Window.partitionBy(device).orderBy("ts", "event_id")) - 1
+    rows = load(spark, sf_dir, "events").select(
+        "event_id",
+        F.concat(F.lit("device-"), device.cast("string")).alias("device_id"),
+        F.when(device == 0, 5).when(device == 1, 15).otherwise(120).alias("step"),
+        count.alias("place"),
+        F.col("value").alias("metric_value"),
+    )
+    start = F.lit("2024-01-01").cast("timestamp_ntz")
+    return rows.select(
+        (start + F.make_dt_interval(mins=F.col("step") * F.col("place"))).alias("time"),
+        F.when(F.col("step") == 5, "site-0").otherwise("site-1").alias("site_id"),
+        "device_id",
+        "metric_value",
+        "event_id",
+    )
+
+
 def wide_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings as wide rows, one column per metric, most of them null."""
     return pivot_wide(

@@ -168,6 +168,10 @@ def _r(expression: str) -> str:
     return f"round({expression} + {D(1e-8)}, 4)"
 
 
+#: sampling intervals in minutes; a median belongs to the next one by ratio
+CLASSES = (1, 2, 5, 10, 15, 20, 30, 60, 120, 180, 240, 360, 720, 1440)
+
+
 def _feature_build(days: int, partition: str, tie: str) -> str:
     over = f"{partition} ORDER BY time{tie}"
     stats = ",\n".join(
@@ -183,28 +187,32 @@ def _feature_build(days: int, partition: str, tie: str) -> str:
     )
     lags = ", ".join(
         f"{_r(f'lag({m}, 1) OVER w2')} AS {m}_lag_1, "
-        f"{_r(f'lag({m}, kh) OVER w2')} AS {m}_lag_1h"
+        f"CASE WHEN kh > 0 THEN {_r(f'lag({m}, kh) OVER w2')} END AS {m}_lag_1h"
         for m in LAGS
     )
     day = DAY.format(t="time")
 
-    def interval(name: str, source: str) -> str:
-        return f"""
-{name} AS (
-  SELECT median(gap) / 60e6 AS minutes FROM (
-    SELECT epoch_us(time) - lag(epoch_us(time)) OVER ({over}) AS gap FROM {source}))"""
-
-    return f"""WITH {SNAPSHOTS},{interval("m1", "snap")},
+    key = "site_id || '/' || device_id" if partition else "''"
+    bounds = list(zip(CLASSES, CLASSES[1:]))
+    cases = " ".join(f"WHEN minutes < sqrt({a} * {b}) THEN {a}" for a, b in bounds)
+    return f"""WITH {SNAPSHOTS},
+gaps AS (
+  SELECT {key} AS series, epoch_us(time) - lag(epoch_us(time)) OVER ({over}) AS gap
+  FROM snap),
+medians AS (
+  SELECT series, median(floor(gap / 1e6)) / 60 AS minutes FROM gaps GROUP BY series),
+classes AS (
+  SELECT series, CASE WHEN minutes IS NULL OR minutes <= 0 THEN 5 {cases}
+         ELSE {CLASSES[-1]} END AS minutes FROM medians),
 sized AS (
-  SELECT snap.*, greatest(1, CAST(round_even(1440 / minutes, 0) AS BIGINT) * {days}) AS n
-  FROM snap, m1),
+  SELECT snap.*, greatest(1, CAST(round_even(1440 / minutes, 0) AS BIGINT) * {days}) AS n,
+         CAST(round_even(60 / minutes, 0) AS BIGINT) AS kh
+  FROM snap JOIN classes ON classes.series = {key}),
 rolled AS (
   SELECT * FROM (
     SELECT *, {stats} FROM sized
     WINDOW w AS ({over} ROWS BETWEEN (n - 1) PRECEDING AND CURRENT ROW))
-  WHERE {full}),{interval("m2", "rolled")},
-hours AS (
-  SELECT rolled.*, CAST(round_even(60 / minutes, 0) AS BIGINT) AS kh FROM rolled, m2)
+  WHERE {full})
 SELECT time, site_id, device_id,
        {", ".join(f"{_r(m)} AS {m}" for m in METRICS)},
        CAST(hour(time) AS INTEGER) AS hour_of_day, CAST({day} AS INTEGER) AS day_of_week,
@@ -215,7 +223,7 @@ SELECT time, site_id, device_id,
        {_r(f'sin({TWO_PI} * {day} / 7)')} AS day_sin,
        {_r(f'cos({TWO_PI} * {day} / 7)')} AS day_cos,
        {rolling}, {_tou("hour(time)")}, {lags}
-FROM hours WINDOW w2 AS ({over})"""
+FROM rolled WINDOW w2 AS ({over})"""
 
 
 def _split(partition: str, nested: bool) -> str:
@@ -245,7 +253,7 @@ WINDOW w AS ({partition} ORDER BY time, event_id
              ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"""
 
 
-def _runs(length: int, ahead: int, stride: int) -> str:
+def _runs(length: int, ahead: int, stride: int, more: str = "") -> str:
     return f"""WITH {READINGS},
 placed AS (
   SELECT *, CAST(hour(time) AS DOUBLE) AS hour,
@@ -258,13 +266,43 @@ runs AS (
          lead(hour, {length - 1}) OVER s AS last_hour,
          sum(metric_value) OVER (s ROWS BETWEEN CURRENT ROW AND {length - 1} FOLLOWING)
            AS value_sum,
-         lead(metric_value, {length - 1 + ahead}) OVER s AS y
+         lead(metric_value, {length - 1 + ahead}) OVER s AS y,
+         lead(event_id, {length - 1 + ahead}) OVER s AS y_event
   FROM placed WINDOW s AS ({SERIES}))
 SELECT device_id, time, {length} AS run_rows, round(first_value, 4) AS first_value,
        round(last_value, 4) AS last_value, round(last_hour, 4) AS last_hour,
        round(value_sum, 2) AS value_sum, y
-FROM runs WHERE pos + {length + ahead} <= n AND pos % {stride} = 0"""
+FROM runs WHERE pos + {length + ahead} <= n AND pos % {stride} = 0 {more}"""
+
+
+FRAME = (
+    READINGS
+    + f""",
+rolled AS (
+  SELECT *, count(metric_value) OVER (w ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS c,
+         lag(metric_value) OVER w AS lag_1, lead(metric_value) OVER w AS label
+  FROM readings WINDOW w AS ({SERIES})),
+frame AS (SELECT *, c = 6 AND lag_1 IS NOT NULL AND metric_value IS NOT NULL AS whole FROM rolled),
+frame_placed AS (
+  SELECT *, row_number() OVER ({SERIES}) - 1 AS pos,
+         CAST(count(*) OVER (PARTITION BY site_id, device_id) AS DOUBLE) AS n
+  FROM frame WHERE whole AND label IS NOT NULL),
+split_rows AS (
+  SELECT *, CASE WHEN pos >= floor(n * CAST(0.8 AS DOUBLE)) THEN 'test' ELSE 'train' END
+         AS split FROM frame_placed)"""
+)
 
+CLOCKED = """
+counted AS (
+  SELECT event_id, user_id % 3 AS device, value,
+         row_number() OVER (PARTITION BY user_id % 3 ORDER BY ts, event_id) - 1 AS place
+  FROM events),
+clocked AS (
+  SELECT TIMESTAMP '2024-01-01' + to_minutes(place * step) AS time,
+         CASE WHEN step = 5 THEN 'site-0' ELSE 'site-1' END AS site_id,
+         'device-' || device AS device_id, value AS metric_value, event_id,
+         360 // step AS six, 60 // step AS back, greatest(1, 120 // step) AS ahead
+  FROM (SELECT *, CASE device WHEN 0 THEN 5 WHEN 1 THEN 15 ELSE 120 END AS step FROM counted))"""
 
 PAIRS = """
 pairs AS (
@@ -293,47 +331,6 @@ ROUNDED_METRICS = ", ".join(
     for m in ("mae", "rmse", "r2", "mape", "target_mean", "mae_percent")
 )
 
-DOY = "dayofyear({t})"
-
-
-def _sun(t: str) -> str:
-    """CTE text with day length, irradiance and expected power."""
-    doy = DOY.format(t=t)
-    return f"""
-sun AS (
-  SELECT *, {doy} AS doy, hour({t}) + minute({t}) / CAST(60 AS DOUBLE) AS h FROM snap),
-arc AS (
-  SELECT *, radians(CAST(23.45 AS DOUBLE) * sin(radians(
-            (CAST(360 AS DOUBLE) / 365) * (doy - 81)))) AS decl FROM sun),
-len AS (
-  SELECT *, 2 * degrees(acos(greatest(-1, least(1,
-            -tan(radians(CAST(37.7749 AS DOUBLE))) * tan(decl))))) / 15 AS day_hours
-  FROM arc),
-irr AS (
-  SELECT *, CASE WHEN h >= 12 - day_hours / 2 AND h <= 12 + day_hours / 2
-       THEN 1000 * sin((h - (12 - day_hours / 2)) / day_hours * pi())
-            * (CAST(0.8 AS DOUBLE) + CAST(0.2 AS DOUBLE)
-               * cos(radians((doy - 172) * CAST(360 AS DOUBLE) / 365)))
-       ELSE CAST(0 AS DOUBLE) END AS irradiance FROM len),
-expected AS (
-  SELECT *, CASE WHEN irradiance > 0 THEN greatest(0, least(10,
-       10 * irradiance / 1000 * greatest(CAST(0.05 AS DOUBLE), least(CAST(0.25 AS DOUBLE),
-         CAST(0.2 AS DOUBLE) * (1 - CAST(0.004 AS DOUBLE) * (irradiance / 1000 * 25))))
-       / CAST(0.2 AS DOUBLE))) ELSE CAST(0 AS DOUBLE) END AS expected_kw
-  FROM irr)"""
-
-
-PARTS = ["hvac_kw", "appliances_kw", "lighting_kw", "ev_charging_kw", "other_kw"]
-
-TARIFF_PERIOD = """
-  CASE WHEN isodow(ts) >= 6 THEN
-         CASE WHEN hour(ts) BETWEEN 17 AND 20 THEN 'shoulder' ELSE 'off_peak' END
-       WHEN hour(ts) BETWEEN 14 AND 19 THEN 'peak'
-       WHEN hour(ts) BETWEEN 7 AND 13 OR hour(ts) BETWEEN 20 AND 21 THEN 'shoulder'
-       ELSE 'off_peak' END"""
-
-CLAMPED_K = "10 + k * CAST(0.8 AS DOUBLE)"
-
 ORACLE: dict[str, str] = {
     # --- points and readings
     "snapshot_explode": f"""WITH {SNAP_POINTS}
@@ -513,17 +510,16 @@ SELECT unnest(generate_series(min(ts), max(ts), INTERVAL 5 MINUTE)) AS time FROM
 wide AS (
   SELECT time, site_id, device_id,
          CASE WHEN metric_name = 'solar.generation_kw' THEN metric_value END AS solar
-  FROM readings
-  WHERE metric_name IN ('solar.generation_kw', 'home_load.total_load_kw'))
+  FROM readings)
 SELECT time, device_id,
-       CASE WHEN count(solar) OVER w = 3 THEN round(avg(solar) OVER w, 4) END AS rolling_avg,
-       CASE WHEN count(solar) OVER w = 3 THEN round(stddev_samp(solar) OVER w, 4) END
+       CASE WHEN count(solar) OVER w = 2 THEN round(avg(solar) OVER w, 4) END AS rolling_avg,
+       CASE WHEN count(solar) OVER w = 2 THEN round(stddev_samp(solar) OVER w, 4) END
          AS rolling_std
 FROM wide WINDOW w AS (PARTITION BY site_id, device_id ORDER BY time
-                       ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""",
+                       ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)""",
     "lag_features": f"""WITH {READINGS}
 SELECT event_id, device_id, lag(metric_value, 1) OVER ({SERIES}) AS lag_1,
-       lag(metric_value, 12) OVER ({SERIES}) AS lag_1h, metric_value AS lag_0
+       lag(metric_value, 12) OVER ({SERIES}) AS lag_1h, CAST(NULL AS DOUBLE) AS lag_0
 FROM readings""",
     "interarrival": f"""WITH {READINGS}
 SELECT event_id, device_id,
@@ -599,56 +595,7 @@ WITH days AS (
   FROM events GROUP BY 1)
 SELECT (SELECT epoch FROM days ORDER BY loss, epoch LIMIT 1) AS best_epoch,
        count(*) AS total_epochs FROM days""",
-    # --- tariff, solar, battery, load
-    "tariff_label": f"""
-WITH labelled AS (SELECT event_id, {TARIFF_PERIOD} AS period FROM events)
-SELECT event_id, period, CASE period WHEN 'peak' THEN {D(0.30)} WHEN 'shoulder'
-       THEN {D(0.15)} ELSE {D(0.08)} END AS price FROM labelled""",
-    "feed_in_tariff": f"""WITH {SNAPSHOTS}
-SELECT event_id, round(least({D(0.05)} * CASE WHEN hour(time) BETWEEN 14 AND 19
-       THEN {D(1.5)} WHEN hour(time) BETWEEN 10 AND 13 THEN {D(1.0)} ELSE {D(0.8)} END,
-       grid_price_price_per_kwh * {D(0.5)}), 6) AS feed_in_tariff FROM snap""",
-    "carbon_expected": f"""
-SELECT event_id, round(400 * CASE WHEN hour(ts) BETWEEN 10 AND 15 THEN {D(0.7)}
-       WHEN hour(ts) BETWEEN 17 AND 20 THEN {D(1.3)} ELSE {D(1.0)} END
-       * (1 - {D(0.2)} * cos((dayofyear(ts) - 172) * 2 * pi() / 365)), 4) AS carbon_g_kwh
-FROM events""",
-    "clear_sky": f"""WITH {SNAPSHOTS},{_sun("time")}
-SELECT event_id, round(day_hours, 4) AS day_hours, round(irradiance, 4) AS irradiance,
-       round(expected_kw, 4) AS expected_kw,
-       CASE WHEN expected_kw > 0.01 THEN round(solar_generation_kw / expected_kw, 4) END
-         AS performance_ratio FROM expected""",
-    "battery_health": f"""WITH {SNAPSHOTS}
-SELECT event_id,
-       round(greatest(50, least(100, 100 - battery_cycles * 5 * {D(0.005)})), 4)
-         AS health_percent,
-       round(5 * CASE WHEN battery_soc_percent > 80
-         THEN 1 - ((battery_soc_percent - 80) / 20) * {D(0.7)} ELSE 1 END, 4)
-         AS charge_limit_kw,
-       round(5 * CASE WHEN battery_soc_percent < 20 THEN battery_soc_percent / 20
-         ELSE 1 END, 4) AS discharge_limit_kw,
-       round(44 + ({D(54.4)} - 44) * pow(battery_soc_percent / 100, {D(0.8)}), 4)
-         AS voltage_v FROM snap""",
-    "dispatch_rule": f"""WITH {SNAPSHOTS},
-net AS (SELECT *, home_load_total_load_kw - solar_generation_kw AS net FROM snap)
-SELECT event_id, round(CASE WHEN net < 0 THEN least(-net, 5)
-       WHEN grid_price_price_per_kwh > {D(0.2)} AND battery_soc_percent > 30
-         THEN -least(net, 5)
-       WHEN battery_soc_percent < 30
-         THEN CASE WHEN grid_price_price_per_kwh < {D(0.1)} THEN {D(2.5)} ELSE 0 END
-       ELSE -net * {D(0.3)} END, 4) AS battery_kw FROM net""",
-    "load_rescale": f"""WITH {SNAPSHOTS},
-parts AS (SELECT event_id, home_load_hvac_kw - {D(0.25)} AS hvac_kw,
-       home_load_appliances_kw AS appliances_kw, home_load_lighting_kw AS lighting_kw,
-       home_load_ev_charging_kw AS ev_charging_kw, home_load_other_kw AS other_kw
-       FROM snap),
-sums AS (SELECT *, {" + ".join(PARTS)} AS total FROM parts),
-scales AS (SELECT *, CASE WHEN total > 0 THEN greatest({D(0.5)}, least(8, total)) / total
-       ELSE 1 END AS s FROM sums),
-scaled AS (SELECT event_id, {", ".join(f"greatest(0, {p} * s) AS {p}" for p in PARTS)}
-       FROM scales)
-SELECT event_id, {", ".join(f"round({p}, 6) AS {p}" for p in PARTS)},
-       round({" + ".join(PARTS)}, 6) AS total_load_kw FROM scaled""",
+    # --- parts, durations, running totals
     "load_quality": f"""WITH {SNAPSHOTS}
 SELECT site_id, count(*) FILTER (WHERE event_id % 11 <> 0) AS consistent,
        count(*) AS rows FROM snap GROUP BY site_id""",
@@ -663,48 +610,132 @@ timed AS (SELECT *, coalesce(epoch_us(time) - lag(epoch_us(time)) OVER ({SERIES}
 total AS (SELECT *, sum(abs(battery_power_kw * hours)) OVER ({SERIES}
                   ROWS UNBOUNDED PRECEDING) AS kwh FROM timed)
 SELECT event_id, {_r("kwh")} AS throughput_kwh,
-       CAST(floor(kwh / {D(13.5)}) AS BIGINT) + 100 AS cycles FROM total""",
-    "dispatch_backtest": f"""WITH RECURSIVE {SNAPSHOTS},
-timed AS (
-  SELECT event_id, site_id, device_id, home_load_total_load_kw - solar_generation_kw AS net,
-         grid_price_price_per_kwh AS price, row_number() OVER ({SERIES}) AS pos,
-         coalesce(epoch_us(time) - lag(epoch_us(time)) OVER ({SERIES}), 300000000)
-           / {D(3600000000)} AS hours
-  FROM snap),
-replay AS (
-  SELECT DISTINCT site_id, device_id, CAST(0 AS BIGINT) AS pos, CAST(-1 AS BIGINT)
-         AS event_id, {D(50)} AS soc, {D(0)} AS power, {D(0)} AS energy FROM timed
-  UNION ALL
-  SELECT site_id, device_id, pos, event_id,
-         greatest({D(10)}, least({D(90)}, soc + energy / {D(13.5)} * 100)), power, energy
-  FROM (
-    SELECT *, CASE WHEN power > 0 THEN power * hours * sqrt({D(0.9)})
-                   ELSE power * hours / sqrt({D(0.9)}) END AS energy
-    FROM (
-      SELECT *, CASE WHEN wanted > 0 THEN least(wanted, CASE WHEN soc > 80
-                       THEN 5 * (1 - (soc - 80) / 20 * {D(0.7)}) ELSE {D(5)} END)
-                     ELSE greatest(wanted, -CASE WHEN soc < 20 THEN 5 * (soc / 20)
-                       ELSE {D(5)} END) END AS power
-      FROM (
-        SELECT t.*, r.soc, CASE WHEN net < 0 THEN least(-net, {D(5)})
-               WHEN price > {D(0.2)} AND soc > 30 THEN -least(net, {D(5)})
-               WHEN soc < 30 THEN CASE WHEN price < {D(0.1)} THEN {D(2.5)} ELSE {D(0)} END
-               ELSE -net * {D(0.3)} END AS wanted
-        FROM replay r JOIN timed t ON t.site_id = r.site_id
-             AND t.device_id = r.device_id AND t.pos = r.pos + 1)))),
-counted AS (
-  SELECT *, CAST(floor(sum(abs(energy)) OVER (PARTITION BY site_id, device_id ORDER BY pos)
-         / {D(13.5)}) AS BIGINT) + 100 AS cycles FROM replay)
-SELECT event_id, device_id, {_r("soc")} AS battery_soc, {_r("power")} AS battery_power_kw,
-       cycles, {_r(f"greatest({D(50)}, 100 - cycles * {D(0.005)})")} AS health_percent
-FROM counted WHERE pos > 0""",
+       CAST(floor(kwh / {D(13.5)}) AS BIGINT) AS cycles FROM total""",
     # --- whole jobs
     "feature_build": _feature_build(7, "PARTITION BY site_id, device_id", ""),
     "feature_build_mixed": _feature_build(1, "", ", site_id, device_id"),
-    "stream_sync_upsert": f"""WITH {READINGS}
-SELECT time, site_id, device_id, metric_name, metric_value FROM readings""",
-    "stream_drop_repeats": f"""WITH {READINGS}
-SELECT time, site_id, device_id, metric_name, metric_value FROM readings""",
+    "stream_sync_upsert": f"""WITH {LATEST}
+SELECT time, site_id, device_id, metric_name, metric_value FROM latest""",
+    "sync_then_features": f"""WITH {LATEST},
+wide AS (
+  SELECT time, site_id, device_id,
+         max(CASE WHEN metric_name = 'solar.generation_kw' THEN metric_value END)
+           AS solar_generation_kw,
+         max(CASE WHEN metric_name = 'home_load.total_load_kw' THEN metric_value END)
+           AS home_load_total_load_kw
+  FROM latest GROUP BY ALL)
+SELECT *, lag(home_load_total_load_kw) OVER (PARTITION BY site_id, device_id ORDER BY time)
+         AS load_lag_1 FROM wide""",
+    "sync_status": """
+SELECT max(ts) AS last_sync_time, count(*) AS last_sync_count, count(*) AS total_synced,
+       CAST(1 AS BIGINT) AS batches, CAST(0 AS BIGINT) AS open_batches,
+       2 * count(*) AS failed, CAST(0 AS BIGINT) AS pending FROM events""",
+    "fan_out": f"""WITH {SNAP_POINTS}
+SELECT 'snapshots' AS sink, device_id, count(*) AS rows FROM snap GROUP BY ALL
+UNION ALL
+SELECT measurement || '.' || field, device_id, count(*) FROM snap_points GROUP BY ALL""",
+    "stream_drop_repeats": f"""WITH {VERSIONS}
+SELECT time, site_id, device_id, metric_name, metric_value FROM versions""",
+    "run_summary": f"""WITH built AS (
+{_feature_build(7, "PARTITION BY site_id, device_id", "")})
+SELECT 'success' AS status, count(*) AS records_processed, count(*) AS records_stored,
+       CAST(49 AS INTEGER) AS features_count FROM built""",
+    "periodic_features": f"""WITH built AS (
+{_feature_build(7, "PARTITION BY site_id, device_id", "")})
+SELECT count(*) AS total_records, min(time) AS earliest_time, max(time) AS latest_time
+FROM built""",
+    "gbt_forecast": f"""WITH {FRAME},
+counts AS (
+  SELECT count(*) FILTER (WHERE split = 'train') AS train,
+         count(*) FILTER (WHERE split = 'test') AS test FROM split_rows),
+missing AS (
+  SELECT count(*) AS left_out FROM frame WHERE label IS NOT NULL AND NOT whole)
+SELECT device_id, count(*) FILTER (WHERE whole) AS predicted, count(*) AS rows,
+       any_value(train) AS train, any_value(test) AS test, any_value(left_out) AS left_out
+FROM frame, counts, missing GROUP BY device_id""",
+    "stored_model_metrics": f"""WITH {FRAME}
+SELECT 'load' AS target, true AS metrics_agree,
+       count(*) FILTER (WHERE split = 'test') AS equal_predictions FROM split_rows""",
+    "feature_importance": """
+SELECT CAST(5 AS BIGINT) AS features, CAST(1 AS DOUBLE) AS total, true AS falling""",
+    "sequence_forecast": f"""WITH {READINGS},
+runs AS (
+  SELECT time, event_id, site_id, device_id, metric_value AS x,
+         lead(metric_value) OVER ({SERIES}) AS y FROM readings),
+placed AS (
+  SELECT *, row_number() OVER ({SERIES}) - 1 AS pos,
+         CAST(count(*) OVER (PARTITION BY site_id, device_id) AS DOUBLE) AS n
+  FROM runs WHERE y IS NOT NULL),
+cut AS (
+  SELECT *, CASE WHEN pos >= floor(n * CAST(0.8 AS DOUBLE)) THEN 'test'
+                 WHEN pos >= floor(floor(n * CAST(0.8 AS DOUBLE)) * CAST(0.85 AS DOUBLE))
+                 THEN 'validation' ELSE 'train' END AS split FROM placed),
+line AS (
+  SELECT regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept
+  FROM cut WHERE split = 'train')
+SELECT count(*) FILTER (WHERE split = 'train') AS train,
+       count(*) FILTER (WHERE split = 'validation') AS validation,
+       count(*) FILTER (WHERE split = 'test') AS test,
+       {_r("any_value(slope)")} AS slope, {_r("any_value(intercept)")} AS intercept,
+       {_r("avg(abs(y - slope * x - intercept)) FILTER (WHERE split = 'test')")} AS mae
+FROM cut, line""",
+    "training_job": f"""WITH {CLOCKED},
+targets AS (
+  SELECT 'load' AS target, *, metric_value AS v FROM clocked WHERE site_id = 'site-1'
+  UNION ALL
+  SELECT 'solar', *, CASE WHEN event_id % 10 <> 0 THEN metric_value END
+  FROM clocked WHERE site_id = 'site-1'),
+labelled AS (
+  SELECT target, device_id, time, lead(v, ahead) OVER (
+           PARTITION BY target, device_id ORDER BY time) AS label FROM targets),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY target, device_id ORDER BY time) - 1 AS pos,
+         CAST(count(*) OVER (PARTITION BY target, device_id) AS DOUBLE) AS n
+  FROM labelled WHERE label IS NOT NULL)
+SELECT target, 'success' AS status, CAST(1 AS INTEGER) AS features,
+       count(*) FILTER (WHERE pos < floor(n * CAST(0.8 AS DOUBLE))) AS train,
+       count(*) FILTER (WHERE pos >= floor(n * CAST(0.8 AS DOUBLE))) AS test
+FROM placed GROUP BY target""",
+    "interval_classes": f"""WITH {CLOCKED},
+built AS (
+  SELECT event_id, device_id, six,
+         count(metric_value) OVER w AS c, avg(metric_value) OVER w AS a,
+         stddev_samp(metric_value) OVER w AS s,
+         CASE WHEN back > 0 THEN lag(metric_value, back) OVER s END AS lag_1h,
+         lead(metric_value, ahead) OVER s AS label
+  FROM clocked
+  WINDOW s AS (PARTITION BY device_id ORDER BY time),
+         w AS (PARTITION BY device_id ORDER BY time ROWS BETWEEN (six - 1) PRECEDING AND CURRENT ROW))
+SELECT event_id, device_id, CASE WHEN c = six THEN {_r("a")} END AS rolling_avg,
+       CASE WHEN c = six THEN {_r("s")} END AS rolling_std,
+       {_r("lag_1h")} AS lag_1h, {_r("label")} AS label
+FROM built WHERE label IS NOT NULL""",
+    "rolling_cut": _rolling(30, "PARTITION BY site_id", "site_id"),
+    "lag_lead_cut": f"""WITH {READINGS},
+named AS (SELECT * REPLACE (nullif(site_id, 'site-2') AS site_id) FROM readings)
+SELECT event_id, site_id, lag(metric_value, 7) OVER s AS lag_7,
+       lead(metric_value, 9) OVER s AS lead_9
+FROM named WINDOW s AS (PARTITION BY site_id ORDER BY time, event_id)""",
+    "split_cut": f"""WITH {READINGS},
+{_split("", True)}
+SELECT event_id, split FROM labelled""",
+    "running_total_cut": f"""WITH {READINGS}
+SELECT event_id, site_id, {_r("sum(metric_value) OVER (PARTITION BY site_id ORDER BY time, event_id ROWS UNBOUNDED PRECEDING)")} AS total
+FROM readings""",
+    "first_rows_cut": f"""WITH {READINGS}
+SELECT event_id, site_id FROM readings
+QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY time, event_id) <= 1200""",
+    "page_after": f"""WITH {READINGS}
+SELECT * FROM readings WHERE time >= TIMESTAMP '2024-01-12 06:30:00'
+ORDER BY time, event_id LIMIT 1000""",
+    "nan_targets": _runs(6, 3, 1, "AND y_event % 9 NOT IN (0, 4)"),
+    "zero_actuals": f"""WITH zeroed AS (
+  SELECT CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice ELSE 0 END AS actual,
+         lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)
+           AS predicted FROM orders),
+pairs AS (SELECT * FROM zeroed WHERE predicted IS NOT NULL),
+m AS (SELECT {_metric_columns(100)} FROM pairs)
+SELECT {ROUNDED_METRICS}, meets_target FROM m""",
     "training_table_stats": f"""WITH built AS (
 {_feature_build(7, "PARTITION BY site_id, device_id", "")})
 SELECT count(*) AS total_records, min(time) AS earliest_time, max(time) AS latest_time

@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions import cleaning, energy, temporal
-from ..operators import backtest, dataset, forecast, metrics, reshape, windows
+from ..functions import cleaning, temporal
+from ..operators import dataset, forecast, metrics, reshape, series, totals, windows
 from ..options import FeatureOptions, ForecastOptions, SequenceOptions
-from ..session import new_path
+from ..session import new_path, stage
 from ..sources import tables
 from ..sources.snapshots import read_snapshots, stream_snapshots, write_snapshots
 from ..streaming import sync
@@ -149,6 +150,14 @@ def page_offset(spark, sf_dir):
     return tables.page(inputs.readings(spark, sf_dir), ["time", "event_id"], 2)
 
 
+@query
+def page_after(spark, sf_dir):
+    """A page of 1000 readings from the place where the last one ended."""
+    rows = inputs.readings(spark, sf_dir)
+    after = (datetime(2024, 1, 12, 6, 30), -1)
+    return tables.next_page(rows, ["time", "event_id"], after, 1000)
+
+
 @query
 def incremental_since(spark, sf_dir):
     return tables.points_since(
@@ -486,13 +495,11 @@ def rolling_long_window(spark, sf_dir):
 
 @query
 def rolling_with_nulls(spark, sf_dir):
-    """A window lacking a value gives null: rows of one metric among others."""
+    """A window lacking a value gives null: one metric among the rows of all."""
     rows = windows.rolling_mean_std(
-        inputs.wide_readings(spark, sf_dir).where(
-            "solar_generation_kw is not null or home_load_total_load_kw is not null"
-        ),
+        inputs.wide_readings(spark, sf_dir),
         {"solar_generation_kw": ("rolling_avg", "rolling_std")},
-        3,
+        2,
         SERIES,
         ["time"],
     )
@@ -517,6 +524,88 @@ def lag_features(spark, sf_dir):
     return rows.select("event_id", "device_id", "lag_1", "lag_1h", "lag_0")
 
 
+@query
+def rolling_cut(spark, sf_dir):
+    """Rolling windows over series that are cut into chunks of few rows."""
+    rows = windows.rolling_mean_std(
+        inputs.readings(spark, sf_dir), WINDOW, 30, ["site_id"], SERIES_ORDER, max_rows=100
+    )
+    return rows.select(
+        "event_id", "site_id", r4("rolling_avg").alias("rolling_avg"),
+        r4("rolling_std").alias("rolling_std"),
+    )
+
+
+@query
+def lag_lead_cut(spark, sf_dir):
+    """Lags and leads over cut series; series without name are a series too."""
+    rows = inputs.readings(spark, sf_dir).withColumn(
+        "site_id", F.when(F.col("site_id") != "site-2", F.col("site_id"))
+    )
+    rows = windows.lag_columns(
+        rows, {"lag_7": ("metric_value", 7)}, ["site_id"], SERIES_ORDER, max_rows=100
+    )
+    rows = windows.lead_column(
+        rows, "metric_value", 9, "lead_9", ["site_id"], SERIES_ORDER, max_rows=100
+    )
+    return rows.select("event_id", "site_id", "lag_7", "lead_9")
+
+
+@query
+def split_cut(spark, sf_dir):
+    rows = dataset.chrono_split(
+        inputs.readings(spark, sf_dir), 0.2, 0.15, [], SERIES_ORDER, max_rows=100
+    )
+    return rows.select("event_id", "split")
+
+
+@query
+def running_total_cut(spark, sf_dir):
+    rows = series.running_total(
+        inputs.readings(spark, sf_dir), ["site_id"], SERIES_ORDER, "metric_value", "total",
+        max_rows=100,
+    )
+    return rows.select("event_id", "site_id", r4(F.col("total") + 1e-8).alias("total"))
+
+
+@query
+def first_rows_cut(spark, sf_dir):
+    """More first rows of each series than Spark cuts before a shuffle by itself."""
+    rows = windows.first_n_per_series(
+        inputs.readings(spark, sf_dir), ["site_id"], SERIES_ORDER, 1200
+    )
+    return rows.select("event_id", "site_id")
+
+
+@query
+def interval_classes(spark, sf_dir):
+    """Windows, lags and labels in the rows of each device's own sampling interval.
+
+    Six hours, one hour back and two hours ahead: the device with a sample every two hours
+    has no row an hour back, and its label is the next row.
+    """
+    rows = inputs.clocked(spark, sf_dir)
+    facts = windows.series_facts(rows, SERIES, SERIES_ORDER)
+
+    def add(part: DataFrame, minutes: int, longest: int) -> DataFrame:
+        n = windows.horizon_samples(6, minutes)
+        part = windows.rolling_mean_std(part, WINDOW, n, SERIES, SERIES_ORDER)
+        back = windows.samples_per_hour(minutes)
+        return windows.lag_columns(
+            part, {"lag_1h": ("metric_value", back)}, SERIES, SERIES_ORDER
+        )
+
+    built = windows.by_interval_class(rows, facts, SERIES, add)
+    labelled = dataset.lead_by_class(
+        built, "metric_value", 2, keys=SERIES, order=SERIES_ORDER
+    )
+    return _rounded(
+        labelled.select(
+            "event_id", "device_id", "rolling_avg", "rolling_std", "lag_1h", "label"
+        )
+    )
+
+
 @query
 def interarrival(spark, sf_dir):
     rows = windows.with_gaps(inputs.readings(spark, sf_dir), SERIES, SERIES_ORDER)
@@ -601,6 +690,21 @@ def sequences(spark, sf_dir):
     return _run_facts(runs, "y")
 
 
+@query
+def nan_targets(spark, sf_dir):
+    """Runs whose target is missing or no number are left out."""
+    rows = _run_input(spark, sf_dir).withColumn(
+        "target",
+        F.when(F.col("event_id") % 9 == 0, float("nan")).when(
+            F.col("event_id") % 9 != 4, F.col("metric_value")
+        ),
+    )
+    runs = dataset.sequences(
+        rows, ["metric_value", "hour"], "target", 6, 3, SERIES, SERIES_ORDER
+    )
+    return _run_facts(runs, "y")
+
+
 @query
 def strided_sequences(spark, sf_dir):
     runs = dataset.sequences(
@@ -647,6 +751,15 @@ def forecast_metrics_total(spark, sf_dir):
     return _rounded(metrics.forecast_metrics(pairs, "actual", "predicted", 100.0))
 
 
+@query
+def zero_actuals(spark, sf_dir):
+    """Percentage errors leave out actual values of zero."""
+    pairs = inputs.forecasts(spark, sf_dir).withColumn(
+        "actual", F.when(F.col("o_orderkey") % 7 != 0, F.col("actual")).otherwise(0.0)
+    )
+    return _rounded(metrics.forecast_metrics(pairs, "actual", "predicted", 100.0))
+
+
 @query
 def compare_models(spark, sf_dir):
     """The customer's last price against a shrunken form of it, where both exist."""
@@ -681,100 +794,18 @@ def best_epoch(spark, sf_dir):
     return metrics.best_epoch(losses)
 
 
-# --- tariff, solar, battery, load ------------------------------------------
-
-
-@query
-def tariff_label(spark, sf_dir):
-    period = energy.tariff_period(F.col("ts"))
-    return load(spark, sf_dir, "events").select(
-        "event_id", period.alias("period"), energy.tariff_price(period).alias("price")
-    )
-
-
-@query
-def feed_in_tariff(spark, sf_dir):
-    snapshots = inputs.snapshots(spark, sf_dir)
-    fit = energy.feed_in_tariff(F.col("timestamp"), F.col("grid_price.price_per_kwh"))
-    return snapshots.select("event_id", F.round(fit, 6).alias("feed_in_tariff"))
-
-
-@query
-def carbon_expected(spark, sf_dir):
-    return load(spark, sf_dir, "events").select(
-        "event_id", r4(energy.carbon_intensity(F.col("ts"))).alias("carbon_g_kwh")
-    )
-
-
-@query
-def clear_sky(spark, sf_dir):
-    snapshots = inputs.snapshots(spark, sf_dir)
-    irradiance = energy.clear_sky_irradiance(F.col("timestamp"))
-    rows = snapshots.select(
-        "event_id",
-        F.col("solar.generation_kw").alias("measured_kw"),
-        energy.day_length_hours(F.dayofyear("timestamp")).alias("day_hours"),
-        irradiance.alias("irradiance"),
-    ).withColumn("expected_kw", energy.clear_sky_power_kw(F.col("irradiance")))
-    return rows.select(
-        "event_id",
-        r4("day_hours").alias("day_hours"),
-        r4("irradiance").alias("irradiance"),
-        r4("expected_kw").alias("expected_kw"),
-        F.when(
-            F.col("expected_kw") > 0.01,
-            r4(energy.performance_ratio(F.col("measured_kw"), F.col("expected_kw"))),
-        ).alias("performance_ratio"),
-    )
-
-
-@query
-def battery_health(spark, sf_dir):
-    soc = F.col("battery.soc_percent")
-    return inputs.snapshots(spark, sf_dir).select(
-        "event_id",
-        r4(energy.battery_health(F.col("battery.cycles") * 5)).alias("health_percent"),
-        r4(energy.charge_limit_kw(soc)).alias("charge_limit_kw"),
-        r4(energy.discharge_limit_kw(soc)).alias("discharge_limit_kw"),
-        r4(energy.battery_voltage(soc)).alias("voltage_v"),
-    )
-
-
-@query
-def dispatch_rule(spark, sf_dir):
-    action = energy.dispatch_kw(
-        F.col("home_load.total_load_kw"),
-        F.col("solar.generation_kw"),
-        F.col("grid_price.price_per_kwh"),
-        F.col("battery.soc_percent"),
-    )
-    return inputs.snapshots(spark, sf_dir).select(
-        "event_id", r4(action).alias("battery_kw")
-    )
-
+# --- parts, durations, running totals --------------------------------------
 
 PARTS = ["hvac_kw", "appliances_kw", "lighting_kw", "ev_charging_kw", "other_kw"]
 
 
-@query
-def load_rescale(spark, sf_dir):
-    # one part shifted, so that it is negative in some rows
-    parts = {
-        n: F.col(f"home_load.{n}") - (0.25 if n == "hvac_kw" else 0.0) for n in PARTS
-    }
-    scaled = energy.rescale_load(parts, 0.5, 8.0)
-    return inputs.snapshots(spark, sf_dir).select(
-        "event_id", *[F.round(c, 6).alias(n) for n, c in scaled.items()]
-    )
-
-
 @query
 def load_quality(spark, sf_dir):
     """How often the parts of a load add up to its total."""
     total = F.col("home_load.total_load_kw") + F.when(
         F.col("event_id") % 11 == 0, 0.01
     ).otherwise(0.0)
-    fits = energy.parts_match_total([F.col(f"home_load.{n}") for n in PARTS], total)
+    fits = totals.parts_match_total([F.col(f"home_load.{n}") for n in PARTS], total)
     rows = inputs.snapshots(spark, sf_dir).select("site_id", fits.alias("fits"))
     return rows.groupBy("site_id").agg(
         F.count_if("fits").alias("consistent"), F.count(F.lit(1)).alias("rows")
@@ -783,7 +814,7 @@ def load_quality(spark, sf_dir):
 
 @query
 def sample_duration(spark, sf_dir):
-    rows = backtest.with_duration_hours(
+    rows = totals.with_duration_hours(
         inputs.readings(spark, sf_dir), SERIES, SERIES_ORDER
     )
     return rows.select("event_id", "device_id", r4("duration_hours").alias("hours"))
@@ -797,37 +828,15 @@ def throughput_cycles(spark, sf_dir):
         "device_id",
         "event_id",
         F.col("battery.power_kw").alias("power_kw"),
+        F.col("battery.capacity_kwh").alias("capacity_kwh"),
     )
-    rows = backtest.with_duration_hours(rows, SERIES, SERIES_ORDER)
-    rows = backtest.throughput_cycles(
-        rows, "power_kw", keys=SERIES, order=SERIES_ORDER
-    )
+    rows = totals.with_duration_hours(rows, SERIES, SERIES_ORDER)
+    rows = totals.running_energy(rows, "power_kw", keys=SERIES, order=SERIES_ORDER)
+    cycles = F.floor(F.col("throughput_kwh") / F.col("capacity_kwh")).cast("long")
     return rows.select(
-        "event_id", r4(F.col("throughput_kwh") + 1e-8).alias("throughput_kwh"), "cycles"
-    )
-
-
-@query
-def dispatch_backtest(spark, sf_dir):
-    rows = inputs.snapshots(spark, sf_dir).select(
-        F.col("timestamp").alias("time"),
-        "site_id",
-        "device_id",
         "event_id",
-        F.col("home_load.total_load_kw").alias("load"),
-        F.col("solar.generation_kw").alias("solar"),
-        F.col("grid_price.price_per_kwh").alias("price"),
-    )
-    replayed = backtest.dispatch_backtest(rows, SERIES, SERIES_ORDER)
-    return _rounded(
-        replayed.select(
-            "event_id",
-            "device_id",
-            "battery_soc",
-            "battery_power_kw",
-            "cycles",
-            "health_percent",
-        )
+        r4(F.col("throughput_kwh") + 1e-8).alias("throughput_kwh"),
+        cycles.alias("cycles"),
     )
 
 
@@ -858,38 +867,116 @@ def feature_build_mixed(spark, sf_dir):
     )
 
 
+def _timed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("time", F.col("time").cast("timestamp"))
+
+
+def _synced(spark, sf_dir, root: str, status: str | None = None) -> None:
+    """Readings that arrive as files, some of them twice; later files hold newer values."""
+    rows = _timed(inputs.readings(spark, sf_dir))
+    newer = inputs.newer(rows).drop("version")
+    schema = rows.drop("event_id").schema
+    first = rows.repartition(6, "event_id")
+    for part in (first, rows.where("site_id = 'site-1'"), newer):
+        part.drop("event_id").write.mode("append").parquet(f"{root}/in")
+        stream = (
+            spark.readStream.schema(schema)
+            .option("maxFilesPerTrigger", 3)
+            .parquet(f"{root}/in")
+        )
+        sync.start_readings_sync(
+            stream, f"{root}/readings", f"{root}/checkpoint", status_path=status
+        ).awaitTermination()
+
+
 @query
 def stream_sync_upsert(spark, sf_dir):
-    """Readings arriving as files, some of them twice, synced to a table."""
+    """Readings synced from files; the last value of each is read."""
+    root = new_path(spark, "sync")
+    _synced(spark, sf_dir, root)
+    rows = sync.synced_readings(spark, f"{root}/readings")
+    return rows.withColumn("time", ntz(F.col("time")))
+
+
+@query
+def sync_then_features(spark, sf_dir):
+    """Updated readings reach the wide rows and their lags."""
     root = new_path(spark, "sync")
-    rows = inputs.readings(spark, sf_dir).drop("event_id")
-    rows = rows.withColumn("time", F.col("time").cast("timestamp"))
-    rows.repartition(6).write.parquet(f"{root}/in")
-    rows.where("site_id = 'site-1'").write.mode("append").parquet(f"{root}/in")
-    stream = (
-        spark.readStream.schema(rows.schema)
-        .option("maxFilesPerTrigger", 3)
-        .parquet(f"{root}/in")
-    )
-    sync.start_readings_sync(
-        stream, f"{root}/readings", f"{root}/checkpoint"
+    _synced(spark, sf_dir, root)
+    rows = tables.scan_readings(
+        spark, f"{root}/readings", datetime(2024, 1, 1), datetime(2024, 3, 1)
+    )
+    wide = reshape.pivot_wide(rows, list(inputs.METRIC_OF_EVENT.values()))
+    lagged = windows.lag_columns(
+        wide, {"load_lag_1": ("home_load_total_load_kw", 1)}, SERIES, ["time"]
+    )
+    return lagged.select(
+        ntz(F.col("time")).alias("time"),
+        "site_id",
+        "device_id",
+        "solar_generation_kw",
+        "home_load_total_load_kw",
+        "load_lag_1",
+    )
+
+
+@query
+def sync_status(spark, sf_dir):
+    """Totals of a sync whose first attempts fail, as their table cannot be written."""
+    root = new_path(spark, "status")
+    rows = _timed(inputs.readings(spark, sf_dir).drop("event_id"))
+    rows.coalesce(1).write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
+    unwritable = stream.withColumn("since", F.make_interval(days=F.lit(1)))
+    for readings in (unwritable, unwritable, stream):
+        try:
+            sync.start_readings_sync(
+                readings, f"{root}/out", f"{root}/checkpoint", status_path=f"{root}/status"
+            ).awaitTermination()
+        except StreamingQueryException:
+            pass
+    status = sync.sync_status(spark, f"{root}/status")
+    return status.withColumn("last_sync_time", ntz(F.col("last_sync_time")))
+
+
+@query
+def fan_out(spark, sf_dir):
+    """Snapshots sent to a table of points and to JSON lines; both read back."""
+    root = new_path(spark, "fan")
+    snapshots = reshape.with_net_grid_flow(inputs.snapshots(spark, sf_dir))
+    write_snapshots(
+        snapshots.withColumn("timestamp", F.col("timestamp").cast("timestamp")),
+        f"{root}/in",
+    )
+    sync.start_fan_out(
+        stream_snapshots(spark, f"{root}/in"),
+        f"{root}/checkpoint",
+        points_path=f"{root}/points",
+        json_path=f"{root}/json",
     ).awaitTermination()
-    return sync.synced_readings(spark, f"{root}/readings").withColumn(
-        "time", ntz(F.col("time"))
+    sent = read_snapshots(spark, f"{root}/json").select(
+        F.lit("snapshots").alias("sink"), "device_id"
+    )
+    stored = sync.stored_points(spark, f"{root}/points").select(
+        F.concat_ws(".", "measurement", "field").alias("sink"), "device_id"
+    )
+    return sent.union(stored).groupBy("sink", "device_id").agg(
+        F.count(F.lit(1)).alias("rows")
     )
 
 
 @query
 def stream_drop_repeats(spark, sf_dir):
-    """Repeated readings suppressed inside the stream."""
+    """Repeated readings suppressed inside the stream; newer values are no repeats."""
     root = new_path(spark, "repeats")
-    rows = inputs.readings(spark, sf_dir).drop("event_id")
-    rows = rows.withColumn("time", F.col("time").cast("timestamp"))
-    for _ in range(2):
-        rows.write.mode("append").parquet(f"{root}/in")
+    rows = _timed(inputs.readings(spark, sf_dir))
+    newer = inputs.newer(rows).drop("version")
+    rows, newer = rows.drop("event_id"), newer.drop("event_id")
+    for part in (rows, rows, newer):
+        part.write.mode("append").parquet(f"{root}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
     (
-        sync.drop_repeats(stream, "60 days")
+        sync.drop_repeats(stream, "1 day")
         .writeStream.option("checkpointLocation", f"{root}/checkpoint")
         .trigger(availableNow=True)
         .start(f"{root}/out", format="parquet")
@@ -898,21 +985,14 @@ def stream_drop_repeats(spark, sf_dir):
     return spark.read.parquet(f"{root}/out").withColumn("time", ntz(F.col("time")))
 
 
-@query
-def training_table_stats(spark, sf_dir):
-    """The feature job from stored readings to the stored training table."""
-    root = new_path(spark, "job")
-    rows = _snapshot_readings(spark, sf_dir)
-    tables.append(
-        rows.withColumn("time", F.col("time").cast("timestamp")), f"{root}/readings"
-    )
-    features.run(
-        spark,
-        f"{root}/readings",
-        f"{root}/training",
-        start=datetime(2024, 1, 1),
-        end=datetime(2024, 2, 1),
-    )
+SPAN = dict(start=datetime(2024, 1, 1), end=datetime(2024, 2, 1))
+
+
+def _stored_snapshots(spark, sf_dir, root: str) -> None:
+    tables.append(_timed(_snapshot_readings(spark, sf_dir)), f"{root}/readings")
+
+
+def _training_stats(spark, root: str) -> DataFrame:
     stats = tables.table_stats(spark.read.parquet(f"{root}/training"))
     return stats.select(
         "total_records",
@@ -921,6 +1001,47 @@ def training_table_stats(spark, sf_dir):
     )
 
 
+@query
+def training_table_stats(spark, sf_dir):
+    """The feature job from stored readings to the stored training table."""
+    root = new_path(spark, "job")
+    _stored_snapshots(spark, sf_dir, root)
+    features.run(spark, f"{root}/readings", f"{root}/training", **SPAN)
+    return _training_stats(spark, root)
+
+
+@query
+def run_summary(spark, sf_dir):
+    """What the feature job reports of a run."""
+    root = new_path(spark, "job")
+    _stored_snapshots(spark, sf_dir, root)
+    done = features.run(spark, f"{root}/readings", f"{root}/training", **SPAN)
+    names = ("status", "records_processed", "records_stored", "features_count")
+    return spark.createDataFrame(
+        [tuple(done[n] for n in names)],
+        "status string, records_processed long, records_stored long, features_count int",
+    )
+
+
+@query
+def periodic_features(spark, sf_dir):
+    """The feature job run as often as a stream brings readings, here twice."""
+    root = new_path(spark, "periodic")
+    rows = _timed(_snapshot_readings(spark, sf_dir))
+    for day in (15, 31):
+        part = rows.where((F.dayofmonth("time") <= day) & (F.dayofmonth("time") > day - 16))
+        tables.append(part, f"{root}/readings")
+        sync.start_periodic(
+            spark.readStream.schema(rows.schema).parquet(f"{root}/readings"),
+            lambda session: features.run(
+                session, f"{root}/readings", f"{root}/training", **SPAN
+            ),
+            f"{root}/checkpoint",
+            once=True,
+        ).awaitTermination()
+    return _training_stats(spark, root)
+
+
 @query
 def stream_snapshot_sync(spark, sf_dir):
     """Snapshots written as JSON lines, read as a stream, synced to readings."""
@@ -950,17 +1071,18 @@ def _feature_frame(spark, sf_dir) -> DataFrame:
     rows = windows.rolling_mean_std(
         _run_input(spark, sf_dir), WINDOW, 6, SERIES, SERIES_ORDER
     )
-    return windows.lag_columns(
+    lagged = windows.lag_columns(
         rows, {"lag_1": ("metric_value", 1)}, SERIES, SERIES_ORDER
     )
+    return stage(lagged, "frame")
 
 
 FEATURES = ["metric_value", "hour", "rolling_avg", "rolling_std", "lag_1"]
 
 
-def _trained(spark, sf_dir) -> forecast.Forecast:
+def _trained(frame: DataFrame) -> forecast.Forecast:
     return forecast.train_forecast(
-        _feature_frame(spark, sf_dir),
+        frame,
         "metric_value",
         ForecastOptions(**FORECAST),
         rows_ahead=1,
@@ -971,39 +1093,125 @@ def _trained(spark, sf_dir) -> forecast.Forecast:
 
 @query
 def gbt_forecast(spark, sf_dir):
-    """Train on the early part of every series, predict the whole frame."""
-    trained = _trained(spark, sf_dir)
-    rows = trained.predict(_feature_frame(spark, sf_dir).dropna(subset=FEATURES))
-    return rows.select("event_id", "device_id", r4("prediction").alias("prediction"))
+    """Train on the early part of every series, predict the whole frame.
+
+    Rows of each kind: samples by split, labelled rows left out for lack of a feature,
+    and for each device its rows with and without prediction.
+    """
+    frame = _feature_frame(spark, sf_dir)
+    trained = _trained(frame)
+    rows = trained.predict(frame).groupBy("device_id").agg(
+        F.count("prediction").alias("predicted"), F.count(F.lit(1)).alias("rows")
+    )
+    return rows.select(
+        "device_id",
+        "predicted",
+        "rows",
+        F.lit(trained.samples["train"]).alias("train"),
+        F.lit(trained.samples["test"]).alias("test"),
+        F.lit(trained.left_out).cast("long").alias("left_out"),
+    )
 
 
 @query
 def stored_model_metrics(spark, sf_dir):
-    """Metrics read back from a saved model."""
+    """A saved and loaded model predicts as the fresh one, and its stored metrics are
+    those that its predictions have."""
     path = new_path(spark, "model")
-    _trained(spark, sf_dir).save(path)
-    return forecast.stored_metrics(spark, {"load": path})
+    frame = _feature_frame(spark, sf_dir)
+    fresh = _trained(frame)
+    fresh.save(path)
+    stored = forecast.stored_metrics(spark, {"load": path}).first()
+    labelled = dataset.lead_target(frame, "metric_value", 1, FEATURES, SERIES, SERIES_ORDER)
+    test = dataset.chrono_split(labelled, 0.2, None, SERIES, SERIES_ORDER).where(
+        "split = 'test'"
+    )
+    loaded = forecast.Forecast.load(spark, path).predict(test)
+    again = metrics.forecast_metrics(loaded, "label", "prediction", 10.0).first()
+    both = loaded.select("event_id", F.col("prediction").alias("a")).join(
+        fresh.predict(test).select("event_id", F.col("prediction").alias("b")), "event_id"
+    )
+    near = [
+        (abs(stored[m] - again[m]) <= 1e-9 * max(1.0, abs(again[m]))) for m in ("mae", "rmse", "r2", "mape")
+    ]
+    return both.agg(
+        F.lit("load").alias("target"),
+        F.lit(all(near)).alias("metrics_agree"),
+        F.count_if(F.col("a") == F.col("b")).alias("equal_predictions"),
+    )
 
 
 @query
 def feature_importance(spark, sf_dir):
-    return forecast.importance_frame(spark, _trained(spark, sf_dir))
+    """Importances are shares of one, largest first."""
+    table = forecast.importance_frame(spark, _trained(_feature_frame(spark, sf_dir)))
+    ranked = table.select("importance").collect()
+    falling = all(a[0] >= b[0] for a, b in zip(ranked, ranked[1:]))
+    return table.agg(
+        F.count(F.lit(1)).alias("features"),
+        F.round(F.sum("importance"), 6).alias("total"),
+        F.lit(falling).alias("falling"),
+    )
 
 
 @query
 def sequence_forecast(spark, sf_dir):
-    """Metrics of the tabular and the sequence forecast, compared."""
-    options = SequenceOptions(sequence_length=4, **FORECAST)
-    candidate = forecast.train_sequence_forecast(
+    """A linear forecast from runs of one row, which has a closed form."""
+    options = SequenceOptions(
+        sequence_length=1, regressor="linear", reg_param=0.0, scale_features=False, **FORECAST
+    )
+    trained = forecast.train_sequence_forecast(
         _run_input(spark, sf_dir),
         "metric_value",
         options,
         rows_ahead=1,
-        features=["metric_value", "hour"],
+        features=["metric_value"],
         order=SERIES_ORDER,
     )
-    return forecast.compare_models(
-        spark,
-        {"load": candidate.metrics},
-        {"load": _trained(spark, sf_dir).metrics},
+    line = trained.model.stages[0]
+    facts = (
+        trained.samples["train"],
+        trained.samples["validation"],
+        trained.samples["test"],
+        float(line.coefficients[0]),
+        float(line.intercept),
+        trained.metrics["mae"],
+    )
+    found = spark.createDataFrame(
+        [facts], "train long, validation long, test long, slope double, intercept double, mae double"
+    )
+    return _rounded(found)
+
+
+@query
+def training_job(spark, sf_dir):
+    """Both targets of one site trained from the stored table, and stored."""
+    root = new_path(spark, "training")
+    rows = inputs.clocked(spark, sf_dir).select(
+        F.col("time").cast("timestamp").alias("time"),
+        "site_id",
+        "device_id",
+        F.hour("time").alias("hour_of_day"),
+        F.col("metric_value").alias("home_load.total_load_kw"),
+        F.when(F.col("event_id") % 10 != 0, F.col("metric_value")).alias(
+            "solar.generation_kw"
+        ),
+    )
+    tables.append(rows, f"{root}/table")
+    options = ForecastOptions(
+        site_id="site-1", horizon_hours=2, min_rows=10, n_estimators=2, max_depth=2
+    )
+    done = forecast.run(spark, f"{root}/table", f"{root}/models", options)
+    found = [
+        (
+            name,
+            done["status"],
+            done["features_used"],
+            forecast.Forecast.load(spark, f"{root}/models/{name}").samples["train"],
+            done[name].samples["test"],
+        )
+        for name in ("load", "solar")
+    ]
+    return spark.createDataFrame(
+        found, "target string, status string, features int, train long, test long"
     )

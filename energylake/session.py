@@ -43,9 +43,23 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
 
 
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """Fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """Fresh path in the shared folder; `release` removes what was put there."""
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all staged tables of this process.
+
+    To be called when the results that read them have been written: a frame is lazy, so
+    the functions that return one cannot know when its staged inputs are done with.
+    """
+    while _made:
+        discard(spark, _made.pop())
 
 
 def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:

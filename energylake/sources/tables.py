@@ -1,8 +1,14 @@
 """Month-partitioned tables: range scans, appends, upserts, retention.
 
-Tables are parquet folders partitioned by `month`, the first day of the month
+Tables are parquet folders partitioned by `month_start`, the first day of the month
 of `time`, and sorted by site and time inside their files, so that a range scan
-prunes by folder and by row-group statistics.  One writer at a time.
+prunes by folder and by row-group statistics.
+
+Contents are replaced by files: new files are written in full beside the table, a
+journal names them and the files they stand for, then the new ones are moved in and the old
+ones deleted.  Rows that others append meanwhile are in files of their own, which the
+journal does not name, so appends may go on beside a compaction.  One job at a
+time replaces contents.
 """
 
 from __future__ import annotations
@@ -22,9 +28,11 @@ from ..operators.reshape import (
     training_features,
 )
 from ..operators.windows import first_n_per_series
-from ..session import discard
+from ..session import discard, new_path, stage
 
 MONTH = "month_start"
+#: number of the batch that brought a row
+VERSION = "ingest_batch"
 
 
 # --- scans -----------------------------------------------------------------
@@ -59,6 +67,20 @@ def time_range(
     return df
 
 
+def folded(rows: DataFrame) -> DataFrame:
+    """Readings with the value of the highest version of each key.
+
+    Tables without versions are returned as they are.  Repeats within a version
+    are settled by the greatest value.
+    """
+    if VERSION not in rows.columns:
+        return rows.drop(MONTH)
+    rank = F.struct(F.col(VERSION).isNotNull(), VERSION, "metric_value")
+    return rows.groupBy(*schemas.READING_KEY).agg(
+        F.max_by("metric_value", rank).alias("metric_value")
+    )
+
+
 def scan_readings(
     spark: SparkSession,
     path: str,
@@ -67,10 +89,13 @@ def scan_readings(
     site_id: str = "",
     lookback_days: int = 30,
 ) -> DataFrame:
-    """Readings of a range: by default the last `lookback_days` up to now."""
+    """Readings of a range: by default the last `lookback_days` up to now.
+
+    Versions are folded after the range has been cut out, so a scan costs what its months hold.
+    """
     end = end or datetime.now().astimezone()
     start = start or end - timedelta(days=lookback_days)
-    return time_range(spark.read.parquet(path), start, end, site_id).drop(MONTH)
+    return folded(time_range(spark.read.parquet(path), start, end, site_id))
 
 
 def scan_training_data(
@@ -122,10 +147,30 @@ def points_since(
 def page(
     df: DataFrame, order: Sequence[str], number: int, rows: int = 1000
 ) -> DataFrame:
-    """One page of the ordered rows, counted from 0."""
+    """One page of the ordered rows, counted from 0.
+
+    All rows before the page pass through one task; deep pages are better read with `next_page`.
+    """
     return df.orderBy(*order).offset(number * rows).limit(rows)
 
 
+def next_page(
+    df: DataFrame, order: Sequence[str], after: Sequence | None = None, rows: int = 1000
+) -> DataFrame:
+    """The first `rows` rows beyond the values `after` of the columns `order`.
+
+    However far the page lies behind, only its own rows are sorted together.  `order`
+    must tell rows apart.
+    """
+    if after is not None:
+        beyond, equal = F.lit(False), F.lit(True)
+        for name, value in zip(order, after, strict=True):
+            beyond |= equal & (F.col(name) > F.lit(value))
+            equal &= F.col(name) == F.lit(value)
+        df = df.where((F.col(order[0]) >= F.lit(after[0])) & beyond)
+    return df.orderBy(*order).limit(rows)
+
+
 def table_stats(df: DataFrame) -> DataFrame:
     """Row count and time range in one pass."""
     return df.agg(
@@ -180,31 +225,70 @@ def _pending(path: str) -> str:
     return path.rstrip("/") + "_pending"
 
 
+def _file_system(spark: SparkSession, path: str):
+    """The JVM's Path class and the file system of a path."""
+    jvm = spark.sparkContext._jvm
+    make = jvm.org.apache.hadoop.fs.Path
+    return make, make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _data_files(spark: SparkSession, path: str, months: Sequence[date] | None = None) -> list[str]:
+    """The table's files, of some months or of all."""
+    files = spark.read.parquet(path).inputFiles()
+    if months is None:
+        return sorted(files)
+    wanted = {f"/{MONTH}={m.isoformat()}/" for m in months}
+    return sorted(f for f in files if any(w in f for w in wanted))
+
+
+def _read_files(spark: SparkSession, path: str, files: Sequence[str]) -> DataFrame:
+    return spark.read.option("basePath", path).parquet(*files)
+
+
 def finish_pending(spark: SparkSession, path: str) -> None:
-    """Complete a replacement of months that was interrupted.
+    """Complete a replacement that was interrupted.
 
-    New contents are staged in full before the table is touched.  If the job
-    died while moving them in, the staged copy is moved in again; a copy that
-    was not finished is dropped, as the table is still untouched.
+    With a journal, the new files are complete: those not yet moved are moved in,
+    those they stand for are deleted.  Without one the table is untouched and the
+    copy is dropped.
     """
     staged = _pending(path)
-    if _exists(spark, staged + "/_SUCCESS"):
-        (
-            spark.read.parquet(staged)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(MONTH)
-            .parquet(path)
-        )
+    if not _exists(spark, staged):
+        return
+    if _exists(spark, f"{staged}/journal"):
+        make, fs = _file_system(spark, path)
+        for month in fs.listStatus(make(f"{staged}/data")):
+            if not month.isDirectory():
+                continue
+            target = make(f"{path.rstrip('/')}/{month.getPath().getName()}")
+            fs.mkdirs(target)
+            for file in fs.listStatus(month.getPath()):
+                if not fs.rename(file.getPath(), make(target, file.getPath().getName())):
+                    raise OSError(f"could not move {file.getPath().toString()}")
+        for (old,) in spark.read.text(f"{staged}/journal").collect():
+            fs.delete(make(old), False)
+        spark.catalog.refreshByPath(path)
+    discard(spark, staged)
+
+
+def _replace(df: DataFrame, path: str, old: Sequence[str]) -> None:
+    """Put the rows of `df` in place of the files `old`; `df` may read those."""
+    spark = df.sparkSession
+    staged = _pending(path)
     if _exists(spark, staged):
-        discard(spark, staged)
+        raise RuntimeError(f"{staged}: another replacement is not finished")
+    _laid_out(df).write.partitionBy(MONTH).parquet(f"{staged}/data")
+    _commit(spark, staged, old)
+    finish_pending(spark, path)
 
 
-def _replace_months(df: DataFrame, path: str) -> None:
-    """Replace the months that `df` has rows of; `df` may read the table."""
-    staged = _pending(path)
-    _laid_out(df).write.mode("overwrite").partitionBy(MONTH).parquet(staged)
-    finish_pending(df.sparkSession, path)
+def _commit(spark: SparkSession, staged: str, old: Sequence[str]) -> None:
+    """The journal appears at once, by a rename."""
+    rows = spark.createDataFrame([(f,) for f in old], "value string")
+    rows.coalesce(1).write.mode("overwrite").text(f"{staged}/journal_draft")
+    make, fs = _file_system(spark, staged)
+    if not fs.rename(make(f"{staged}/journal_draft"), make(f"{staged}/journal")):
+        raise OSError(f"could not write the journal of {staged}")
 
 
 def upsert(
@@ -212,27 +296,34 @@ def upsert(
 ) -> None:
     """Insert rows or replace those of the same key; only touched months move.
 
-    Of several new rows of a key the one of the highest `version` is kept.
+    Of several new rows of a key the one of the highest `version` is kept; without
+    `version` the one whose other columns are greatest, so the result does not
+    depend on the order of the rows.  `df` is worked out once, and each touched
+    month is written once.
     """
     spark = df.sparkSession
     require_columns(df, ["time", *key])
     finish_pending(spark, path)
     payload = [c for c in df.columns if c not in key]
     rank = version or F.struct(*[F.col(f"`{c}`") for c in payload])
-    new = with_month(latest_per_key(df, key, rank))
-    if not _exists(spark, path):
-        _laid_out(new).write.partitionBy(MONTH).parquet(path)
-        return
-    # one value per month of the covered time span
-    months = [r[0] for r in new.select(MONTH).distinct().collect()]
-    if not months:
-        return
-    old = spark.read.parquet(path).where(F.col(MONTH).isin(months))
-    # The old rows need no shuffle where the new keys are few enough to be
-    # broadcast, which Spark decides by their size.
-    keys = new.select(*[F.col(f"`{k}`") for k in key])
-    kept = old.join(keys, list(key), "left_anti")
-    _replace_months(kept.unionByName(new, allowMissingColumns=True), path)
+    place = new_path(spark, "upsert")
+    try:
+        new = stage(with_month(latest_per_key(df, key, rank)), "upsert", place)
+        # one value per month of the covered time span
+        months = [r[0] for r in new.select(MONTH).distinct().collect()]
+        if not months and _exists(spark, path):
+            return
+        old = _data_files(spark, path, months) if _exists(spark, path) else []
+        rows = new
+        if old:
+            # The old rows need no shuffle where the new keys are few enough to be
+            # broadcast, which Spark decides by their size.
+            keys = new.select(*[F.col(f"`{k}`") for k in key])
+            kept = _read_files(spark, path, old).join(keys, list(key), "left_anti")
+            rows = kept.unionByName(new, allowMissingColumns=True)
+        _replace(rows, path, old)
+    finally:
+        discard(spark, place)
 
 
 def compact(
@@ -242,12 +333,16 @@ def compact(
     version: str,
     months: Sequence[date] | None = None,
 ) -> None:
-    """Rewrite months of an append-only table with the latest versions only."""
+    """Rewrite months of an append-only table with the latest versions only.
+
+    Rows appended while this runs stay as they are.  Readers that fold versions see the
+    same rows at every moment.
+    """
     finish_pending(spark, path)
-    rows = spark.read.parquet(path)
-    if months is not None:
-        rows = rows.where(F.col(MONTH).isin(list(months)))
-    _replace_months(latest_per_key(rows, [*key, MONTH], version), path)
+    old = _data_files(spark, path, months)
+    if old:
+        rows = _read_files(spark, path, old)
+        _replace(latest_per_key(rows, [*key, MONTH], version), path, old)
 
 
 def not_expired(
@@ -268,12 +363,9 @@ def expire(spark: SparkSession, path: str, now: datetime, days: int = 7) -> None
         r[0]
         for r in table.select(MONTH).where(F.col(MONTH) <= border).distinct().collect()
     ]
-    kept = not_expired(table.where(F.col(MONTH) == border), now, days)
-    keep_border = border in months and not kept.isEmpty()
-    if keep_border:
-        _replace_months(kept, path)
+    if border in months:
+        old = _data_files(spark, path, [border])
+        _replace(not_expired(_read_files(spark, path, old), now, days), path, old)
     for month in months:
-        if month < border or not keep_border:
+        if month < border:
             discard(spark, f"{path.rstrip('/')}/{MONTH}={month.isoformat()}")
-
-

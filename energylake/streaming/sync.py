@@ -1,24 +1,21 @@
-"""Streaming jobs: snapshots to readings, fan-out, periodic features, dispatch."""
+"""Streaming jobs: snapshots to readings, fan-out, periodic features."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Sequence
+from datetime import datetime
 
-import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import schemas
-from ..functions.energy import CAPACITY_KWH, INITIAL_CYCLES, INITIAL_SOC
-from ..operators.backtest import FIRST_MICROS, make_replay
 from ..operators.reshape import points_to_readings, snapshot_points
 from ..options import SyncOptions
 from ..sources import tables
-from ..sources.snapshots import snapshot_json
+from ..sources.snapshots import snapshot_json, stream_snapshots
 
-VERSION = "ingest_batch"
+VERSION = tables.VERSION
 
 
 def _triggered(writer, options: SyncOptions, once: bool):
@@ -34,38 +31,50 @@ def start_readings_sync(
     options: SyncOptions | None = None,
     once: bool = True,
     status_path: str | None = None,
-) -> StreamingQuery:
+) -> StreamingQuery | None:
     """Append a stream of readings; offsets advance only when a batch is written.
 
     Each micro-batch is appended with its number as version, so its cost does
     not depend on the size of the table, and a repeated batch adds rows that
-    `synced_readings` folds into one: at-least-once writes, exact reads.
-    `tables.compact` rewrites months in the background.
+    scans fold into one: at-least-once writes, exact reads.  `tables.compact`
+    may rewrite months beside it.  With `status_path` every attempt leaves a row with the
+    numbers of rows that were and were not written.  Nothing is started where the options
+    say so.
     """
     options = options or SyncOptions()
     options.validate()
+    if not options.enabled:
+        return None
+
+    def report(batch: DataFrame, batch_id: int, ok: bool, done, failed, last) -> None:
+        row = [(batch_id, ok, done, failed, last)]
+        schema = (
+            "batch_id long, ok boolean, records long, failed long, last_sync_time timestamp"
+        )
+        if status_path:
+            spark = batch.sparkSession
+            spark.createDataFrame(row, schema).write.mode("append").parquet(status_path)
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        if batch.isEmpty():
+            report(batch, batch_id, True, 0, 0, None)
+            return
         seen = Observation()
         rows = batch.withColumn(VERSION, F.lit(batch_id).cast("long")).observe(
             seen,
             F.count(F.lit(1)).alias("records"),
             F.max("time").alias("last_sync_time"),
         )
-        tables.append(rows, path)
-        if status_path:
-            (
-                batch.sparkSession.range(1)
-                .select(
-                    F.lit(batch_id).cast("long").alias("batch_id"),
-                    F.lit(seen.get["records"]).cast("long").alias("records"),
-                    F.lit(seen.get["last_sync_time"])
-                    .cast("timestamp")
-                    .alias("last_sync_time"),
-                )
-                .write.mode("append")
-                .parquet(status_path)
-            )
+        try:
+            tables.append(rows, path)
+        except Exception:
+            try:
+                rows_lost = batch.count()
+            except Exception:  # the rows themselves cannot be read: their number is unknown
+                rows_lost = None
+            report(batch, batch_id, False, 0, rows_lost, None)
+            raise
+        report(batch, batch_id, True, seen.get["records"], 0, seen.get["last_sync_time"])
 
     writer = readings.writeStream.foreachBatch(write).option(
         "checkpointLocation", checkpoint
@@ -80,7 +89,7 @@ def start_snapshot_sync(
     options: SyncOptions | None = None,
     once: bool = True,
     status_path: str | None = None,
-) -> StreamingQuery:
+) -> StreamingQuery | None:
     """Sync a stream of nested snapshots into the readings table."""
     options = options or SyncOptions()
     readings = points_to_readings(snapshot_points(snapshots), options.site_id)
@@ -89,37 +98,81 @@ def start_snapshot_sync(
     )
 
 
-def synced_readings(spark: SparkSession, path: str) -> DataFrame:
-    """Readings as synced: the latest batch's value of every key."""
-    versions = spark.read.parquet(path)
-    return (
-        versions.groupBy(*schemas.READING_KEY)
-        .agg(
-            F.max_by(
-                "metric_value",
-                F.struct(VERSION, "metric_value"),
-            ).alias("metric_value")
-        )
+def stream_in(spark: SparkSession, path: str, options: SyncOptions | None = None) -> DataFrame:
+    """Snapshots of a folder as a stream, as many files at a time as the options say."""
+    options = options or SyncOptions()
+    return stream_snapshots(spark, path, options.max_files_per_trigger)
+
+
+def pending_points(
+    points: DataFrame,
+    cursor: datetime | None = None,
+    options: SyncOptions | None = None,
+    tie_break: Sequence[str] = (),
+) -> DataFrame:
+    """Points of a batch-mode sync: the first rows of each series from the cursor on.
+
+    Without cursor the sync reaches back as far as the options say.
+    """
+    options = options or SyncOptions()
+    return tables.points_since(
+        points, cursor, options.batch_size, options.lookback_hours, tie_break=tie_break
     )
 
 
+def synced_readings(
+    spark: SparkSession,
+    path: str,
+    start: datetime | None = None,
+    end: datetime | None = None,
+    site_id: str = "",
+) -> DataFrame:
+    """Readings as synced: the latest batch's value of every key of a range."""
+    return tables.folded(tables.time_range(spark.read.parquet(path), start, end, site_id))
+
+
 def sync_status(spark: SparkSession, status_path: str) -> DataFrame:
-    """Totals of all batches; a batch that was repeated counts once."""
-    batches = spark.read.parquet(status_path).dropDuplicates(["batch_id"])
+    """Totals of all batches; a batch that was repeated counts once.
+
+    `failed` counts the rows of attempts that failed, as far as they could be read, `pending`
+    those whose batch has not been written since.
+    """
+    attempts = spark.read.parquet(status_path)
+    batches = attempts.groupBy("batch_id").agg(
+        F.max("last_sync_time").alias("last_sync_time"),
+        F.max("records").alias("records"),
+        F.sum("failed").alias("failed"),
+        F.max("ok").alias("written"),
+        F.max("failed").alias("most"),
+    )
     return batches.agg(
         F.max("last_sync_time").alias("last_sync_time"),
-        F.max_by("records", "batch_id").alias("last_sync_count"),
+        F.max_by("records", F.when(F.col("written"), F.col("batch_id"))).alias("last_sync_count"),
         F.sum("records").alias("total_synced"),
-        F.count(F.lit(1)).alias("batches"),
+        F.count_if("written").alias("batches"),
+        F.count_if(~F.col("written")).alias("open_batches"),
+        F.coalesce(F.sum("failed"), F.lit(0)).alias("failed"),
+        F.sum(F.when(F.col("written"), 0).otherwise(F.coalesce("most", F.lit(0)))).alias(
+            "pending"
+        ),
     )
 
 
 def drop_repeats(
-    readings: DataFrame, delay: str = "1 hour", key=tuple(schemas.READING_KEY)
+    readings: DataFrame,
+    delay: str = "1 hour",
+    key: Sequence[str] = (*schemas.READING_KEY, "metric_value"),
 ) -> DataFrame:
-    """Suppress repeats of a key that arrive within `delay` of each other."""
-    return readings.withWatermark("time", delay).dropDuplicatesWithinWatermark(
-        list(key)
+    """Suppress repeats that arrive within `delay` of each other.
+
+    A newer value of a reading is no repeat, and as the clock is that of arrival, no
+    row is too late.  The sync does without: its scans fold repeats.
+    """
+    return (
+        readings.withColumn("_arrived", F.current_timestamp())
+        .withWatermark("_arrived", delay)
+        .dropDuplicatesWithinWatermark(list(key))
+        .drop("_arrived")
     )
 
 
@@ -187,44 +240,3 @@ def start_periodic(
     if once:
         return writer.trigger(availableNow=True).start()
     return writer.trigger(processingTime=f"{seconds} seconds").start()
-
-
-DISPATCH = (
-    "device_id string, time timestamp, battery_soc double, battery_power_kw double, "
-    "cycles long"
-)
-
-
-def stream_dispatch(rows: DataFrame) -> DataFrame:
-    """Battery replay over a stream of (device_id, time, load, solar, price).
-
-    The state of a device is its last time, state of charge and throughput.  Rows
-    of one micro-batch are taken in time order; the source's rate limit bounds
-    them.
-    """
-    replay = make_replay()
-
-    def step(
-        key: tuple, parts: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(parts)).sort_values("time", ignore_index=True)
-        last, soc, moved = state.get if state.exists else (None, INITIAL_SOC, 0.0)
-        now = pdf["time"].astype("datetime64[us]").astype("int64")
-        gaps = now.diff()
-        gaps.iloc[0] = FIRST_MICROS if last is None else now.iloc[0] - last
-        out = replay(pdf.assign(gap_micros=gaps), soc)
-        moved = moved + out["energy_kwh"].abs().cumsum()
-        cycles = (moved // CAPACITY_KWH).astype("int64") + INITIAL_CYCLES
-        out = out.assign(cycles=cycles)
-        state.update(
-            (int(now.iloc[-1]), float(out["battery_soc"].iloc[-1]), float(moved.iloc[-1]))
-        )
-        yield out[["device_id", "time", "battery_soc", "battery_power_kw", "cycles"]]
-
-    return rows.groupBy("device_id").applyInPandasWithState(
-        step,
-        DISPATCH,
-        "last_micros long, soc double, moved double",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )

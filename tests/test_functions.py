@@ -4,7 +4,8 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from energylake.functions import energy, temporal
+from energylake.functions import temporal
+from energylake.operators import totals
 from energylake.options import (
     FeatureOptions,
     ForecastOptions,
@@ -99,110 +100,10 @@ def test_align(spark):
     assert [r[0].minute for r in slots] == [5, 10]
 
 
-def test_tariff(spark):
-    monday = [datetime(2024, 1, 15, h) for h in (3, 7, 13, 14, 16, 19, 20, 22)]
-    saturday = [datetime(2024, 1, 20, h) for h in (14, 17, 20, 21)]
-    df = frame(spark, *monday, *saturday)
-    period = energy.tariff_period(F.col("time"))
-    rows = df.select(period.alias("p"), energy.tariff_price(period).alias("c")).collect()
-    assert [r["p"] for r in rows] == [
-        "off_peak", "shoulder", "shoulder", "peak", "peak", "peak", "shoulder", "off_peak",
-        "off_peak", "shoulder", "shoulder", "off_peak",
-    ]
-    assert [r["c"] for r in rows[:4]] == [0.08, 0.15, 0.15, 0.30]
-
-
-def test_feed_in_is_at_most_half_the_price(spark):
-    df = frame(spark, *[datetime(2024, 1, 15, h) for h in range(24)])
-    for price in (0.05, 0.08, 0.30):
-        rows = df.select(energy.feed_in_tariff(F.col("time"), F.lit(price))).collect()
-        assert all(0 < r[0] <= price / 2 for r in rows)
-    dear = df.select(energy.feed_in_tariff(F.col("time"), F.lit(1.0))).collect()
-    assert dear[15][0] == pytest.approx(0.075)
-    assert dear[12][0] == pytest.approx(0.05)
-    assert dear[2][0] == pytest.approx(0.04)
-
-
-def test_carbon_is_low_at_noon_and_in_summer(spark):
-    df = frame(
-        spark,
-        datetime(2024, 6, 20, 12),
-        datetime(2024, 6, 20, 18),
-        datetime(2024, 12, 20, 12),
-    )
-    noon, evening, winter = (
-        r[0] for r in df.select(energy.carbon_intensity(F.col("time"))).collect()
-    )
-    assert noon == pytest.approx(400 * 0.7 * 0.8, rel=1e-3)
-    assert noon < winter and noon < evening
-
-
-def test_clear_sky(spark):
-    df = frame(
-        spark,
-        datetime(2024, 6, 21, 12),
-        datetime(2024, 6, 21, 1),
-        datetime(2024, 12, 21, 12),
-    )
-    irradiance = energy.clear_sky_irradiance(F.col("time"))
-    rows = df.select(
-        energy.day_length_hours(F.dayofyear("time")).alias("h"),
-        irradiance.alias("i"),
-        energy.clear_sky_power_kw(irradiance).alias("p"),
-    ).collect()
-    assert rows[0]["h"] > 14 > 10 > rows[2]["h"]
-    assert rows[0]["i"] == pytest.approx(1000, rel=1e-3)
-    assert rows[0]["p"] == pytest.approx(9.0, rel=1e-3)
-    assert rows[1]["i"] == 0 and rows[1]["p"] == 0
-
-
-def test_battery(spark):
-    df = spark.createDataFrame(
-        [(100, 50.0), (2000, 90.0), (100000, 10.0)], "cycles int, soc double"
-    )
-    rows = df.select(
-        energy.battery_health(F.col("cycles")).alias("health"),
-        energy.charge_limit_kw(F.col("soc")).alias("charge"),
-        energy.discharge_limit_kw(F.col("soc")).alias("discharge"),
-        energy.battery_voltage(F.col("soc")).alias("volts"),
-    ).collect()
-    assert [r["health"] for r in rows] == [99.5, 90.0, 50.0]
-    assert [r["charge"] for r in rows] == pytest.approx([5.0, 3.25, 5.0])
-    assert [r["discharge"] for r in rows] == [5.0, 5.0, 2.5]
-    assert all(44 < r["volts"] < 54.4 for r in rows)
-
-
-def test_dispatch(spark):
-    df = spark.createDataFrame(
-        [
-            (2.0, 8.0, 0.15, 50.0),  # excess sun
-            (8.0, 1.0, 0.30, 50.0),  # dear
-            (3.0, 1.0, 0.08, 20.0),  # low and cheap
-            (3.0, 1.0, 0.15, 20.0),  # low and not cheap
-            (3.0, 1.0, 0.15, 50.0),
-            (3.0, 1.0, 0.30, 30.0),
-        ],
-        "load double, solar double, price double, soc double",
-    )
-    columns = [F.col(c) for c in ("load", "solar", "price", "soc")]
-    got = [r[0] for r in df.select(energy.dispatch_kw(*columns)).collect()]
-    assert got == pytest.approx([5.0, -5.0, 2.5, 0.0, -0.6, -0.6])
-
-
-def test_load_parts(spark):
-    df = spark.createDataFrame(
-        [(1.0, 1.0), (6.0, 6.0), (0.1, 0.1), (-0.5, 2.0)], "a double, b double"
-    )
-    scaled = energy.rescale_load({"a": F.col("a"), "b": F.col("b")}, 0.5, 8.0)
-    rows = df.select(*[c.alias(n) for n, c in scaled.items()]).collect()
-    assert [tuple(r) for r in rows] == [
-        pytest.approx((1.0, 1.0, 2.0)),
-        pytest.approx((4.0, 4.0, 8.0)),
-        pytest.approx((0.25, 0.25, 0.5)),
-        pytest.approx((0.0, 2.0, 2.0)),
-    ]
-    fits = energy.parts_match_total([F.col("a"), F.col("b")], F.lit(2.0))
-    assert [r[0] for r in df.select(fits).collect()] == [True, False, False, False]
+def test_parts_add_up(spark):
+    df = spark.createDataFrame([(1.0, 1.0), (6.0, 6.0), (-0.5, 2.5)], "a double, b double")
+    fits = totals.parts_match_total([F.col("a"), F.col("b")], F.lit(2.0))
+    assert [r[0] for r in df.select(fits).collect()] == [True, False, True]
 
 
 @pytest.mark.parametrize(

@@ -1,4 +1,4 @@
-"""The feature job and the battery back-test."""
+"""The feature job."""
 
 from datetime import datetime, timedelta
 
@@ -7,14 +7,12 @@ import pandas as pd
 import pytest
 
 from energylake import schemas
-from energylake.functions import energy as E
-from energylake.operators import backtest
 from energylake.options import FeatureOptions
 from energylake.plans import features
 from energylake.schemas import flat
 from energylake.sources import tables
 
-from .helpers import KEYS, ORDER, by_row, ordered, skewed_series, to_spark
+from .helpers import KEYS, to_spark
 
 START = datetime(2024, 1, 15, 12)
 
@@ -56,7 +54,7 @@ def expected_features(wide, window, hour_rows, keys):
     groups = wide.groupby(keys) if keys else wide.groupby(lambda _: 0)
     for m in map(flat, schemas.LAG_METRICS):
         wide[f"{m}_lag_1"] = groups[m].shift(1)
-        wide[f"{m}_lag_1h"] = groups[m].shift(hour_rows)
+        wide[f"{m}_lag_1h"] = groups[m].shift(hour_rows) if hour_rows else np.nan
     return wide
 
 
@@ -65,7 +63,7 @@ def expected_features(wide, window, hour_rows, keys):
     [
         (30, schemas.SERIES, 96, 2),
         (60, schemas.SERIES, 48, 1),
-        (180, schemas.SERIES, 16, 0),  # an hour is no whole row
+        (180, schemas.SERIES, 16, None),  # an hour is no whole row
         (30, [], 2 * 288, 12),  # devices on one clock: no distance, default taken
     ],
 )
@@ -132,64 +130,3 @@ def test_run_without_known_metrics(spark, tmp_path):
         spark, readings, f"{tmp_path}/t", start=START, end=START + timedelta(days=1)
     )
     assert got["status"] == "pivot_failed"
-
-
-# --- battery back-test -----------------------------------------------------
-
-
-def replay_by_hand(rows):
-    """One device, row by row, with the cycle counter as a remainder."""
-    soc, cycles, moved, last = 50.0, 100, 0.0, None
-    out = []
-    for r in rows.itertuples():
-        hours = 1 / 12 if last is None else (r.time - last).total_seconds() / 3600
-        last = r.time
-        net = r.load - r.solar
-        if net < 0:
-            power = min(-net, 5.0)
-        elif r.price > 0.2 and soc > 30:
-            power = -min(net, 5.0)
-        elif soc < 30:
-            power = 2.5 if r.price < 0.1 else 0
-        else:
-            power = -net * 0.3
-        up = 5 * (1 - ((soc - 80) / 20) * 0.7) if soc > 80 else 5
-        down = 5 * soc / 20 if soc < 20 else 5
-        if power > 0:
-            power = min(power, up)
-            stored = power * hours * 0.9**0.5
-        else:
-            power = max(power, -down)
-            stored = power * hours / 0.9**0.5
-        soc = max(10.0, min(90.0, soc + stored / 13.5 * 100))
-        moved += abs(stored)
-        if moved >= 13.5:
-            cycles += int(moved / 13.5)
-            moved %= 13.5
-        out.append((r.row_id, soc, power, cycles, max(50.0, 100 - cycles * 0.005)))
-    return out
-
-
-@pytest.mark.parametrize("chunk_rows", [25, 10_000])
-def test_backtest(spark, chunk_rows):
-    rng = np.random.default_rng(5)
-    pdf = skewed_series(450, seed=4)
-    pdf["load"] = rng.uniform(0, 6, len(pdf))
-    pdf["solar"] = rng.uniform(0, 7, len(pdf))
-    pdf["price"] = rng.uniform(0.05, 0.35, len(pdf))
-    df = to_spark(spark, pdf)
-    got = by_row(
-        backtest.dispatch_backtest(df, KEYS, ORDER, chunk_rows=chunk_rows)
-    )
-    want = sorted(
-        row
-        for _, group in ordered(pdf).groupby(KEYS)
-        for row in replay_by_hand(group)
-    )
-    want = pd.DataFrame(want, columns=["row_id", "soc", "power", "cycles", "health"])
-    assert len(got) == len(want) == len(pdf)
-    np.testing.assert_allclose(got["battery_soc"], want["soc"], atol=1e-9)
-    np.testing.assert_allclose(got["battery_power_kw"], want["power"], atol=1e-9)
-    assert (got["cycles"] == want["cycles"]).all()
-    np.testing.assert_allclose(got["health_percent"], want["health"])
-    assert got["battery_soc"].between(E.MIN_SOC, E.MAX_SOC).all()

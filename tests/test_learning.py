@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from energylake.operators import dataset, forecast, metrics, windows
 from energylake.options import ForecastOptions, SequenceOptions
+from energylake.sources import tables
 
 START = datetime(2024, 1, 1)
 
@@ -61,6 +62,82 @@ def test_samples(minutes, per_hour, per_day):
     assert windows.rolling_rows(float(minutes), 7) == 7 * per_day
 
 
+@pytest.mark.parametrize(
+    "minutes,rows", [(5, 288), (15, 96), (60, 24), (120, 12), (720, 2), (1440, 1), (9000, 1), (0, 288), (None, 288)]
+)
+def test_horizon_is_never_the_row_itself(minutes, rows):
+    assert windows.horizon_samples(24, minutes) == rows
+
+
+def test_label_is_a_later_row_however_rare_the_samples(spark):
+    df = steps(spark, 40, minutes=120)
+    assert dataset.horizon_rows(df, 1) == 1
+    labelled = dataset.lead_by_class(df, "y", 1)
+    assert labelled.count() == 39
+    assert labelled.where("label <> y + 1").isEmpty()
+    with pytest.raises(ValueError, match="row"):
+        dataset.lead_target(df, "y", 0)
+
+
+def test_series_have_their_own_interval_class(spark):
+    df = steps(spark, 60).union(steps(spark, 60, 15, "e")).union(steps(spark, 60, 14, "f"))
+    df = df.union(steps(spark, 1, device="g"))
+    facts = {r.device_id: r for r in windows.series_facts(df).collect()}
+    assert {d: r.interval_class for d, r in facts.items()} == {"d": 5, "e": 15, "f": 15, "g": 5}
+    assert facts["f"].interval_minutes == 14 and facts["g"].interval_minutes is None
+    assert facts["e"].series_rows == 60
+    got = dataset.lead_by_class(df, "y", 2).collect()
+    ahead = {"d": 24, "e": 8, "f": 8}
+    assert all(r.label == r.y + ahead[r.device_id] for r in got)
+    assert len(got) == 36 + 52 + 52
+
+
+@pytest.mark.parametrize("keys", [["site_id", "device_id"], []])
+def test_partitioning_of_the_input_does_not_matter(spark, keys):
+    """Devices on one clock, whose rows tie on time."""
+    df = daily(spark, 200).union(daily(spark, 200, "e")).union(daily(spark, 200, "f"))
+    df = df.withColumn("noise", F.pmod(F.xxhash64("time", "device_id"), F.lit(1000)) / 100)
+    got = []
+    for shape in (df.coalesce(1), df.orderBy(F.desc("device_id"), F.desc("time")), df.repartition(7)):
+        options = ForecastOptions(partition_cols=keys, **OPTIONS)
+        trained = forecast.train_forecast(
+            shape, "noise", options, rows_ahead=3, features=["hour_of_day", "noise"]
+        )
+        sequence = forecast.train_sequence_forecast(
+            shape, "noise", SequenceOptions(sequence_length=3, regressor="linear", partition_cols=keys),
+            rows_ahead=2, features=["noise"],
+        )
+        assert trained.options["order"][0] == "time"
+        runs = sequence.predict(shape).select("time", "prediction").collect()
+        got.append((trained.metrics, sequence.metrics, sorted(map(tuple, runs))))
+    for metrics_, sequence_metrics, runs in got[1:]:
+        assert metrics_ == pytest.approx(got[0][0])
+        assert sequence_metrics == pytest.approx(got[0][1])
+        assert [t for t, _ in runs] == [t for t, _ in got[0][2]]
+        assert [p for _, p in runs] == pytest.approx([p for _, p in got[0][2]])
+
+
+def test_training_job(spark, tmp_path):
+    path = str(tmp_path / "training")
+    df = daily(spark).union(daily(spark, device="e")).union(daily(spark, 300).withColumn("site_id", F.lit("other")))
+    holes = df.withColumn("hour_of_day", F.when(F.dayofmonth("time") != 3, F.col("hour_of_day")))
+    tables.append(holes, path)
+    options = ForecastOptions(site_id="s", **OPTIONS)
+    got = forecast.run(spark, path, str(tmp_path / "models"), options)
+    assert got["status"] == "success", got
+    # two series of 600 rows less a horizon of 24, and less the holes of one day
+    assert sum(got["load"].samples.values()) == 2 * (576 - 24)
+    assert got["load"].left_out == 2 * 24
+    again = forecast.Forecast.load(spark, f"{tmp_path}/models/solar")
+    assert again.metrics == got["solar"].metrics and again.left_out == 48
+    span = dict(start=START, end=START + timedelta(days=10))
+    part = forecast.run(spark, path, str(tmp_path / "m2"), options, **span)
+    assert sum(part["load"].samples.values()) == 2 * (241 - 24 - 24)
+    assert forecast.run(spark, path, "x", ForecastOptions(enabled=False))["status"] == "disabled"
+    assert forecast.run(spark, path, "x", ForecastOptions(site_id="nowhere"))["status"] == "no_data"
+    assert forecast.run(spark, str(tmp_path / "nothing"), "x")["status"] == "error"
+
+
 def test_samples_without_any_gap(spark):
     one = steps(spark, 1)
     assert windows.median_interval_minutes(one) is None
@@ -224,6 +301,9 @@ def test_save_load_predict(spark, trained, tmp_path):
     }
     top = forecast.importance_frame(spark, again).first()
     assert top["feature"] == "hour_of_day"
+    holed = df.withColumn("hour_of_day", F.when(F.hour("time") != 7, F.col("hour_of_day")))
+    assert again.predict(holed).count() == 48
+    assert again.predict(holed).where("prediction is null").count() == 2
 
 
 def test_train_all_statuses(spark):
@@ -264,7 +344,9 @@ def test_sequence_forecast(spark, regressor, tmp_path):
     holed = daily(spark, 40).withColumn(
         "hour_of_day", F.when(F.dayofmonth("time") == 1, F.col("hour_of_day"))
     )
-    assert again.predict(holed).count() == 24 - 6 + 1
+    predicted = again.predict(holed)
+    assert predicted.count() == 40 - 6 + 1  # every run is there
+    assert predicted.where("prediction is not null").count() == 24 - 6 + 1
 
 
 def test_sequence_forecast_needs_rows(spark):

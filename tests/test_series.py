@@ -71,7 +71,9 @@ def test_lag_and_lead(df, pdf, size, keys):
     want = rows.sort_values("row_id")
     same(lagged["l1"], want["l1"])
     same(lagged["l12"], want["l12"])
-    same(lagged["l0"], want["value"])
+    assert lagged["l0"].isna().all()  # no row lies between
+    with pytest.raises(ValueError, match="one row ahead"):
+        windows.lead_column(df, "value", 0, "ahead", keys, ORDER, size)
     same(led["ahead"], want["ahead"])
     assert led["ahead"].notna().sum() > 50
 

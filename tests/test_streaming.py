@@ -1,11 +1,11 @@
 from datetime import datetime, timedelta
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from energylake import schemas
 from energylake.operators import reshape
+from energylake.options import SyncOptions
 from energylake.sources import snapshots as snapshot_files
 from energylake.sources import tables
 from energylake.streaming import sync
@@ -158,19 +158,58 @@ def test_snapshot_sync_and_fan_out(spark, tmp_path):
 
 
 def test_drop_repeats(spark, tmp_path):
-    readings(spark, 40).coalesce(1).write.parquet(f"{tmp_path}/in")
-    readings(spark, 40).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in")
-    query = (
-        sync.drop_repeats(stream, "10 days")
-        .writeStream.format("parquet")
-        .option("checkpointLocation", f"{tmp_path}/c")
-        .option("path", f"{tmp_path}/out")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    assert rows_of(spark.read.parquet(f"{tmp_path}/out")) == rows_of(readings(spark, 40))
+    """Repeats go; late rows and newer values stay."""
+    rows = readings(spark, 40)
+    newer = readings(spark, 10, shift=500)
+    late = readings(spark, 10).withColumn("time", F.col("time") - F.expr("INTERVAL 90 DAYS"))
+    for part in (rows, rows, newer, late):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in")
+        (
+            sync.drop_repeats(stream, "10 days")
+            .writeStream.format("parquet")
+            .option("checkpointLocation", f"{tmp_path}/c")
+            .option("path", f"{tmp_path}/out")
+            .trigger(availableNow=True)
+            .start()
+            .awaitTermination()
+        )
+    want = rows.union(newer).union(late)
+    assert rows_of(spark.read.parquet(f"{tmp_path}/out")) == rows_of(want)
+
+
+def test_failed_batches_are_reported(spark, tmp_path):
+    readings(spark, 20).write.parquet(f"{tmp_path}/in")
+    status = f"{tmp_path}/status"
+    (tmp_path / "out").write_text("in the way of the table")
+    for _ in range(2):
+        with pytest.raises(Exception):
+            run(spark, tmp_path, 100, status_path=status)
+    facts = sync.sync_status(spark, status).first()
+    assert (facts["total_synced"], facts["batches"], facts["open_batches"]) == (0, 0, 1)
+    assert (facts["failed"], facts["pending"]) == (40, 20)
+    (tmp_path / "out").unlink()
+    run(spark, tmp_path, 100, status_path=status)
+    facts = sync.sync_status(spark, status).first()
+    assert (facts["total_synced"], facts["batches"], facts["last_sync_count"]) == (20, 1, 20)
+    assert (facts["failed"], facts["pending"]) == (40, 0)
+
+
+def test_options_of_the_sync(spark, tmp_path):
+    off = SyncOptions(enabled=False)
+    assert sync.start_readings_sync(None, "p", "c", off) is None
+    for i in range(4):
+        snapshot_files.write_snapshots(snapshots(spark, 1).coalesce(1), f"{tmp_path}/in")
+    stream = sync.stream_in(spark, f"{tmp_path}/in", SyncOptions(max_files_per_trigger=1))
+    status = f"{tmp_path}/status"
+    sync.start_snapshot_sync(
+        stream, f"{tmp_path}/out", f"{tmp_path}/c", status_path=status
+    ).awaitTermination()
+    assert sync.sync_status(spark, status).first()["batches"] == 4
+    points = reshape.snapshot_points(snapshots(spark, 50))
+    options = SyncOptions(batch_size=7, lookback_hours=1)
+    assert sync.pending_points(points, START, options).count() == 26 * 7
+    assert sync.pending_points(points, None, options).count() == 0
 
 
 def test_periodic_job(spark, tmp_path):
@@ -181,39 +220,3 @@ def test_periodic_job(spark, tmp_path):
         stream, calls.append, f"{tmp_path}/c", once=True
     ).awaitTermination()
     assert len(calls) == 1
-
-
-def test_stream_dispatch_equals_batch(spark, tmp_path):
-    from energylake.operators.backtest import dispatch_backtest
-
-    rng = np.random.default_rng(3)
-    rows = [
-        (f"d{i % 3}", START + timedelta(minutes=5 * i), float(a), float(b), float(c))
-        for i, (a, b, c) in enumerate(rng.uniform([0, 0, 0.05], [8, 8, 0.35], (120, 3)))
-    ]
-    schema = "device_id string, time timestamp, load double, solar double, price double"
-    df = spark.createDataFrame(rows, schema)
-    for part in range(3):  # files in time order
-        low, high = (START + timedelta(minutes=200 * (part + k)) for k in (0, 1))
-        df.where((F.col("time") >= low) & (F.col("time") < high)).coalesce(1).write.mode(
-            "append"
-        ).parquet(f"{tmp_path}/in")
-    stream = (
-        spark.readStream.schema(schema)
-        .option("maxFilesPerTrigger", 1)
-        .parquet(f"{tmp_path}/in")
-    )
-    (
-        sync.stream_dispatch(stream)
-        .writeStream.format("parquet")
-        .option("checkpointLocation", f"{tmp_path}/c")
-        .option("path", f"{tmp_path}/out")
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
-    )
-    columns = ["device_id", "time", "battery_soc", "battery_power_kw", "cycles"]
-    got = sorted(spark.read.parquet(f"{tmp_path}/out").select(*columns).collect())
-    batch = dispatch_backtest(df, ["device_id"], ["time"])
-    assert got == sorted(batch.select(*columns).collect())
-    assert len(got) == 120

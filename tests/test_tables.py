@@ -1,5 +1,6 @@
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from energylake import schemas
@@ -89,18 +90,108 @@ def test_dotted_columns(spark, tmp_path):
     assert reshape.training_features(got).first()["solar_generation_kw"] == 1.5
 
 
-def test_interrupted_replacement_is_completed(spark, tmp_path):
+class Crash(Exception):
+    pass
+
+
+def crash_at(monkeypatch, name, after=0):
+    """Let `tables.<name>` fail, after some calls."""
+    real, calls = getattr(tables, name), []
+
+    def failing(*args):
+        calls.append(args)
+        if len(calls) > after:
+            raise Crash(name)
+        return real(*args)
+
+    monkeypatch.setattr(tables, name, failing)
+
+
+@pytest.mark.parametrize("point", ["_commit", "finish_pending"])
+def test_interrupted_compaction_loses_nothing(spark, tmp_path, monkeypatch, point):
     path = str(tmp_path / "t")
-    tables.upsert(readings(spark, (JAN, "a", 1), (MAR, "a", 4)), path, schemas.READING_KEY)
-    staged = tables.with_month(readings(spark, (JAN, "a", 9)))
-    staged.write.partitionBy(tables.MONTH).parquet(path + "_pending")
+    for version in (1, 2):
+        rows = readings(spark, (JAN, "a", version), (FEB, "b", version))
+        tables.append(rows.withColumn("v", F.lit(version)), path)
+    with monkeypatch.context() as patch:
+        crash_at(patch, point, after=1 if point == "finish_pending" else 0)
+        with pytest.raises(Crash):
+            tables.compact(spark, path, schemas.READING_KEY, "v")
+    assert (tmp_path / "t_pending").exists()
+    # rows that come in before the compaction is completed
+    later = readings(spark, (JAN, "a", 3), (JAN, "c", 3), (FEB, "c", 3))
+    tables.append(later.withColumn("v", F.lit(3)), path)
+    want = [(JAN, "a", 3.0), (JAN, "c", 3.0), (FEB, "b", 2.0), (FEB, "c", 3.0)]
+    view = tables.current(spark.read.parquet(path), schemas.READING_KEY, "v")
+    assert sorted((r.time, r.site_id, r.metric_value) for r in view.collect()) == sorted(want)
+    tables.compact(spark, path, schemas.READING_KEY, "v")
+    assert content(spark, path) == sorted(want)
+    assert not (tmp_path / "t_pending").exists()
+
+
+def test_replacement_interrupted_between_files(spark, tmp_path):
+    path = str(tmp_path / "t")
+    key = schemas.READING_KEY
+    tables.upsert(readings(spark, (JAN, "a", 1), (MAR, "a", 4)), path, key)
+    staged = tmp_path / "t_pending"
+    new = tables.with_month(readings(spark, (JAN, "a", 9), (MAR, "b", 8), (MAR, "a", 4)))
+    new.coalesce(1).write.partitionBy(tables.MONTH).parquet(f"{staged}/data")
+    tables._commit(spark, str(staged), tables._data_files(spark, path))
+    # one file has been moved already
+    (done,) = (staged / "data" / "month_start=2024-01-01").glob("*.parquet")
+    done.rename(tmp_path / "t" / "month_start=2024-01-01" / done.name)
+    tables.finish_pending(spark, path)
     tables.finish_pending(spark, path)
-    assert content(spark, path) == [(JAN, "a", 9.0), (MAR, "a", 4.0)]
-    # an unfinished copy has no marker and is dropped
-    staged.write.partitionBy(tables.MONTH).parquet(path + "_pending")
-    (tmp_path / "t_pending" / "_SUCCESS").unlink()
-    tables.upsert(readings(spark, (MAR, "a", 5)), path, schemas.READING_KEY)
-    assert content(spark, path) == [(JAN, "a", 9.0), (MAR, "a", 5.0)]
+    assert content(spark, path) == [(JAN, "a", 9.0), (MAR, "a", 4.0), (MAR, "b", 8.0)]
+
+
+def test_first_write_that_dies_leaves_no_table(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    with monkeypatch.context() as patch:
+        crash_at(patch, "_commit")
+        with pytest.raises(Crash):
+            tables.upsert(readings(spark, (JAN, "a", 1)), path, schemas.READING_KEY)
+    assert not (tmp_path / "t").exists()
+    tables.upsert(readings(spark, (JAN, "a", 2)), path, schemas.READING_KEY)
+    assert content(spark, path) == [(JAN, "a", 2.0)]
+
+
+def test_upsert_works_its_input_out_once(spark, tmp_path):
+    """Random values: the stored rows are rows of one and the same evaluation."""
+    path = str(tmp_path / "t")
+    tables.upsert(readings(spark, (JAN, "a", 1)), path, schemas.READING_KEY)
+    random = spark.range(200).select(
+        (F.lit(JAN).cast("timestamp") + F.make_dt_interval(days=F.floor(F.rand() * 90).cast("int"))).alias("time"),
+        F.col("id").cast("string").alias("site_id"),
+        F.lit("d").alias("device_id"),
+        F.lit("m").alias("metric_name"),
+        F.lit(1.0).alias("metric_value"),
+    )
+    tables.upsert(random, path, schemas.READING_KEY)
+    stored = spark.read.parquet(path)
+    assert stored.count() == 201
+    assert stored.where(F.trunc("time", "month") != F.col(tables.MONTH)).isEmpty()
+
+
+def test_null_version_keeps_its_payload(spark):
+    rows = readings(spark, (JAN, "a", 1), (FEB, "a", 2)).withColumn(
+        "v", F.when(F.col("time") > F.lit(FEB), 1).cast("int")
+    )
+    newer = readings(spark, (FEB, "a", 3)).withColumn("v", F.lit(0))
+    got = reshape.latest_per_key(rows.union(newer), schemas.READING_KEY, "v").collect()
+    assert sorted((r.time, r.metric_value, r.v) for r in got) == [(JAN, 1.0, None), (FEB, 3.0, 0)]
+
+
+def test_scan_folds_versions(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for batch, value in ((0, 50), (1, 999), (2, 7)):
+        times = (JAN, FEB) if batch < 2 else (FEB,)
+        rows = readings(spark, *[(t, "a", value) for t in times])
+        tables.append(rows.withColumn(tables.VERSION, F.lit(batch).cast("long")), path)
+    got = tables.scan_readings(spark, path, JAN, MAR)
+    assert sorted((r.time, r.metric_value) for r in got.collect()) == [(JAN, 999.0), (FEB, 7.0)]
+    plan = tables.scan_readings(spark, path, FEB, MAR)._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("PartitionFilters: [")[1].split("]")[0].count("month_start") >= 2
 
 
 def test_append_and_compact(spark, tmp_path):
@@ -156,6 +247,15 @@ def test_pages_cover_everything(spark):
     assert [r["metric_value"] for p in pages for r in p] == [float(i) for i in range(25)]
 
 
+def test_next_pages_cover_everything(spark):
+    rows = readings(spark, *[(JAN if i % 2 else FEB, f"s{i:03d}", i) for i in range(25)])
+    order, after, seen = ["time", "site_id"], None, []
+    while page := tables.next_page(rows, order, after, 10).collect():
+        seen += [r["metric_value"] for r in page]
+        after = (page[-1]["time"], page[-1]["site_id"])
+    assert seen == [float(i) for i in [*range(1, 25, 2), *range(0, 25, 2)]]
+
+
 def test_table_stats(spark):
     got = tables.table_stats(readings(spark, (MAR, "b", 4), (JAN, "a", 1))).first()
     assert tuple(got) == (2, JAN, MAR)
