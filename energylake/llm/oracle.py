@@ -50,6 +50,7 @@ m AS (
     len(ls)::BIGINT AS n_lines,
     (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
     coalesce(n_repeat_words, 0) AS n_repeat_words,
+    len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) AS n_echoes,
     len(list_filter(ws, lambda x: lower(x) IN ({', '.join(repr(x) for x in STOP_WORDS)}))) AS n_stop_words
   FROM w LEFT JOIN covered USING (doc_id)
 ),

@@ -45,6 +45,7 @@ RULES = (
     Rule("n_symbols", "n_words", most=0.3),
     Rule("n_stop_words", "n_words", least=0.01, from_words=100),
     Rule("n_dup_lines", "n_lines", most=0.5),
+    Rule("n_echoes", "n_words", most=0.3),
 )
 
 
@@ -113,6 +114,8 @@ def measures(text: Column, words: Column) -> dict[str, Column]:
         "n_lines": F.size(lines),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))),
         "n_repeat_words": repeated_words(words),
+        # words that only say again the one before
+        "n_echoes": F.size(F.filter(words, lambda w, i: w == F.get(words, i - 1))),
         "n_stop_words": F.size(F.filter(words, lambda w: F.lower(w).isin(stop))),
     }
 

@@ -74,6 +74,7 @@ GOOD = "the quick brown fox jumps over a lazy dog and runs to the river in searc
         (" ".join(chr(97 + i % 26) for i in range(40)), False),
         (" ".join(f"word{i}" for i in range(50)), True),
         (" ".join(f"word{i}" for i in range(150)), False),
+        (" ".join(f"w{i // 5}" for i in range(100)) + " the of", False),
         ("\n".join([GOOD] + ["menu item"] * 4), False),
     ],
 )
