@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 
 from energylake import schemas
+from energylake.operators import windows
 from energylake.options import FeatureOptions
 from energylake.plans import features
 from energylake.schemas import flat
@@ -87,6 +88,20 @@ def test_features(spark, minutes, keys, window, hour_rows):
         assert len(first)
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_intervals_take_one_window_over_the_series(spark):
+    _, long = long_readings(2, 60, devices=2)
+    rows = to_spark(spark, long)
+    facts = plan_of(windows.series_facts(rows))
+    assert facts.count("Window [") == 1 and "SinglePartition" not in facts
+    gaps = windows.with_gaps(rows)
+    assert "lag(" in plan_of(gaps)
+    assert "lag(" not in plan_of(windows.median_gap(gaps))  # worked out once, before
+
+
 def test_short_data_has_no_full_window(spark):
     _, long = long_readings(1, 5, devices=1)
     built = features.build_features(to_spark(spark, long))
