@@ -2,17 +2,26 @@
 
 In the vocabulary used here no token reaches over white space, so the ids of a text
 are the ids of its words one after the other.  Most words of a corpus come again;
-each worker encodes a word once and keeps its ids, up to a fixed number of words.
+each worker encodes a word once and keeps its ids.  The memory has two generations: when
+the younger is full it becomes the older, and words that are met again move back.
 """
 
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
-#: words whose ids a worker keeps, then it starts anew
-MEMORY = 200_000
+from .bpe import byte_alphabet
+
+#: words in a generation
+MEMORY = 350_000
+#: Latin letters that normalisation only lowers (no combining marks, and not the dotted
+#: capital I), and then marks that the vocabulary's splitting keeps in one piece of their own
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([.,;:!?#%&*$()\"-]*)")
+ALPHABET = byte_alphabet()
 
 
 @lru_cache(maxsize=2)
@@ -23,32 +32,53 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _bytes(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
+class _Memory(dict):
+    """ids of words; a word that is not there yet is encoded."""
+
+    def __init__(self, tokenizer, older: dict[bytes, bytes]):
+        super().__init__()
+        self.tokenizer, self.older = tokenizer, older
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            text = word.decode()
+            plain = PLAIN.fullmatch(text)
+            if plain is None:
+                ids = _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+            elif plain[2] or text.lower() != text:
+                ids = self[plain[1].lower().encode()]
+                if plain[2]:
+                    ids += self[plain[2].encode()]
+            else:
+                # lower-case letters are one piece as they are, in the vocabulary's alphabet
+                if not text.isascii():
+                    text = word.decode("latin-1").translate(ALPHABET)
+                ids = _bytes([t.id for t in self.tokenizer.model.tokenize(text)])
+        self[word] = ids
+        return ids
+
+
 class WordEncoder:
     """ids of texts as little-endian unsigned 32-bit integers.
 
-    For vocabularies that drop white space and never join words across it.
+    For vocabularies that ignore case, drop white space and never join words across it.
     """
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
-        self.known: dict[bytes, bytes] = {}
+        self.known = _Memory(self.tokenizer, {})
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         for text in texts:
-            words = (text or "").encode().split()
-            new = list({w for w in words if w not in self.known})
-            if len(self.known) + len(new) > MEMORY:
-                self.known = {}
-                new = list(set(words))
-            # one call per thousand words, so that a huge text needs no huge batch
-            for i in range(0, len(new), 1000):
-                part = new[i : i + 1000]
-                coded = self.tokenizer.encode_batch(
-                    [w.decode() for w in part], add_special_tokens=False
-                )
-                for word, c in zip(part, coded, strict=True):
-                    self.known[word] = b"".join(x.to_bytes(4, "little") for x in c.ids)
-            yield b"".join([self.known[w] for w in words])
+            yield b"".join(map(self.known.__getitem__, (text or "").encode().split()))
+            if len(self.known) > MEMORY:
+                self.known.older = {}
+                self.known = _Memory(self.tokenizer, self.known)
 
 
 @lru_cache(maxsize=2)
