@@ -17,7 +17,7 @@ KNOWN = {"generation_kw": 7.5, "total_load_kw": 3.5, "power_kw": 2.0, "cycles":
 
 
 def _record(fields, first):
-    return {f.name: KNOWN.get(f.name, first + i / 4) for i, f in enumerate(fields)}
+    return {f.name: KNOWN.get(f.name, first + i) for i, f in enumerate(fields)}
 
 
 SNAPSHOT = {"timestamp": TIME.isoformat(), "device_id": "unit-a"} | {
