@@ -124,8 +124,6 @@ def sequences(
     """
     if target not in df.columns:
         raise ValueError(f"target column {target!r} not found")
-    if rows_ahead < 1:
-        raise ValueError("the target lies at least one row after the run")
     kept = [k for k in keys if k not in order]
 
     def add(rows: DataFrame, parts: list[Column]) -> DataFrame:
@@ -134,7 +132,10 @@ def sequences(
         return rows.withColumns(
             {
                 "x": F.collect_list(F.array(*features)).over(run),
-                **{f"_end{i}": F.lag(c, rows_ahead).over(w) for i, c in enumerate(order)},
+                **{
+                    f"_end{i}": F.lag(c, rows_ahead).over(w) if rows_ahead else F.col(c)
+                    for i, c in enumerate(order)
+                },
                 "y": F.col(target).cast("double"),
             }
         )
