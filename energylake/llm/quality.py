@@ -49,6 +49,12 @@ RULES = (
 )
 
 
+COUNTS = (
+    "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words",
+    "n_echoes", "n_stop_words",
+)
+
+
 def _starts_of_repeats(hashes: Column) -> Column:
     """Ascending places (from 0) of the windows whose hash occurs twice or more."""
 
@@ -103,7 +109,7 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
 
 
 def measures(text: Column, words: Column) -> dict[str, Column]:
-    """The counts that rules refer to.  `words` is a column of `words_of(text)`."""
+    """The counts that rules refer to.  `words` are the words of the text, as a bound variable."""
     solid = F.regexp_replace(text, WORD_GAP, "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     stop = list(STOP_WORDS)
@@ -120,26 +126,48 @@ def measures(text: Column, words: Column) -> dict[str, Column]:
     }
 
 
-def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
-    """The table as one condition on the columns of `measures`."""
+def verdict(counts: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """The table as one condition on a struct of `measures`."""
     kept = F.lit(True)
     for rule in rules:
-        count, per = F.col(rule.count), F.col(rule.per)
+        count, per = counts[rule.count], counts[rule.per]
         good = F.lit(True)
         if rule.least is not None:
             good &= count >= per * rule.least
         if rule.most is not None:
             good &= count <= per * rule.most
-        kept &= good | (F.col("n_words") < rule.from_words)
+        kept &= good | (counts["n_words"] < rule.from_words)
     return kept
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < MIN_WORDS) | (
-        F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT
+def base_failed(counts: Column) -> Column:
+    return (counts["n_words"] < MIN_WORDS) | (
+        counts["n_repeat_words"] * 100 > counts["n_words"] * MAX_REPEAT_PERCENT
     )
 
 
+def judged(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """Struct of the counts of `measures`, base_failed and kept.
+
+    One expression that splits the text once and takes each count once, also where the
+    optimizer moves it into a filter.
+    """
+
+    def judge(counts: Column) -> Column:
+        failed = base_failed(counts)
+        return F.struct(
+            *[counts[c].alias(c) for c in COUNTS],
+            failed.alias("base_failed"),
+            (~failed & verdict(counts, rules)).alias("kept"),
+        )
+
+    def count(words: Column) -> Column:
+        found = measures(text, words)
+        return let(F.struct(*[found[c].cast("long").alias(c) for c in COUNTS]), judge)
+
+    return let(words_of(text), count)
+
+
 def quality(
     docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES
 ) -> DataFrame:
@@ -150,21 +178,19 @@ def quality(
     repeated rows get the same verdict; no rows give no rows; further columns of
     any name stay inside `row`.
     """
+    return _judged(docs, text_col, rules).select("row", "judged.*")
+
+
+def _judged(docs: DataFrame, text_col: str, rules: tuple[Rule, ...]) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    split = docs.select(
+    return docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        text.alias("text"),
-        words_of(text).alias("words"),
-    )
-    counted = split.select(
-        "row",
-        *[v.cast("long").alias(k) for k, v in measures(F.col("text"), F.col("words")).items()],
-    )
-    return counted.withColumn("base_failed", base_failed()).withColumn(
-        "kept", ~F.col("base_failed") & verdict(rules)
+        judged(text, rules).alias("judged"),
     )
 
 
-def keep_good(docs: DataFrame, **options) -> DataFrame:
+def keep_good(
+    docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES
+) -> DataFrame:
     """The rows of `docs` that the rules keep, with their columns as they were."""
-    return quality(docs, **options).filter("kept").select("row.*")
+    return _judged(docs, text_col, rules).filter("judged.kept").select("row.*")
