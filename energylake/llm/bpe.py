@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow
 
-#: pieces whose ids, and pairs whose verdict, a worker keeps before it starts anew
-MEMORY = 200_000
+#: pieces in a generation of a worker's memory, and pairs whose verdict it keeps
+MEMORY = 300_000
 #: how this kind of vocabulary cuts text before merging; a fixed value
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -42,6 +42,21 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class _Memory(dict):
+    """ids of pieces; one that is not there is taken from the generation before or encoded."""
+
+    def __init__(self, encode, older: dict[str, bytes]):
+        super().__init__()
+        self.encode, self.older = encode, older
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.encode(piece)
+        self[piece] = ids
+        return ids
+
+
 class ByteBpe:
     """Encoder and decoder of one vocabulary file."""
 
@@ -86,7 +101,7 @@ class ByteBpe:
         for s, i in number.items():
             self.automaton.add_word(s, i)
         self.automaton.make_automaton()
-        self.known: dict[str, bytes] = {}
+        self.known = _Memory(self.encode_piece, {})
         self.compatible: dict[tuple[int, int], bool] = {}
 
         # the offset table of the decoder
@@ -155,16 +170,11 @@ class ByteBpe:
         return b"".join([self.ids[t] for t in tokens])
 
     def _plain(self, text: str) -> bytes:
-        pieces = self.pieces.findall(text)
-        known = self.known
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            if len(known) >= MEMORY:
-                known.clear()
-            own = {p: known[p] if p in known else self.encode_piece(p) for p in set(pieces)}
-            known.update(own)
-            return b"".join([own[p] for p in pieces])
+        ids = b"".join(map(self.known.__getitem__, self.pieces.findall(text)))
+        if len(self.known) > MEMORY:
+            self.known.older = {}
+            self.known = _Memory(self.encode_piece, self.known)
+        return ids
 
     def encode(self, text: str) -> bytes:
         """ids of a whole text; names of special tokens in it become their ids."""
