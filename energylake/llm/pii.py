@@ -17,8 +17,20 @@ from .common import let, scan
 
 #: score at which a proposed span counts
 THRESHOLD = 1.0
-#: characters before a span in which context words are looked for
+#: characters before and after a span in which context words are looked for
 CONTEXT = 40
+#: length of an account number by country; other countries: any of the allowed lengths
+IBAN_LENGTHS = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+        21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+        27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+        30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 
 
 def _digits(match: Column) -> Column:
@@ -45,9 +57,13 @@ def _phone_ok(match: Column) -> Column:
     return F.length(_digits(match)).between(8, 15)
 
 
-def _iban_ok(match: Column) -> Column:
-    """Account numbers leave 1 when, with country and check digits moved to the end and
-    letters as 10 to 35, they are divided by 97."""
+def _iban_end(match: Column) -> Column:
+    """Length of the account number that `match` begins with; null if there is none.
+
+    Numbers leave 1 when, with country and check digits moved to the end and letters as 10 to
+    35, they are divided by 97.  Every end of a word is tried that gives the country's length, or, for
+    a country without one, a length from 15 to 34.
+    """
 
     def mod97(code: Column) -> Column:
         turned = F.concat(F.substring(code, 5, 64), F.substring(code, 1, 4))
@@ -59,10 +75,23 @@ def _iban_ok(match: Column) -> Column:
             .otherwise((rest * 100 + F.ascii(c) - 55) % 97),
         )
 
-    return let(
-        F.replace(match, F.lit(" "), F.lit("")),
-        lambda code: F.length(code).between(15, 34) & (mod97(code) == 1),
+    fixed = F.create_map(*[F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair])
+
+    def right(end: Column, length: Column) -> Column:
+        code = F.replace(F.substring(match, F.lit(1), end), F.lit(" "), F.lit(""))
+        return (
+            F.substring(match, end, F.lit(2)).rlike("^[A-Z0-9](?![A-Za-z0-9])")
+            & F.when(length.isNull(), F.length(code).between(15, 34)).otherwise(F.length(code) == length)
+            & (mod97(code) == 1)
+        )
+
+    ends = let(
+        F.try_element_at(fixed, F.substring(match, 1, 2)),
+        lambda length: F.filter(
+            F.sequence(F.lit(15), F.greatest(F.lit(15), F.length(match))), lambda end: right(end, length)
+        ),
     )
+    return F.get(ends, F.lit(0))
 
 
 @dataclass(frozen=True)
@@ -70,13 +99,17 @@ class Kind:
     """A kind of personal data.
 
     `score` is what the pattern alone is worth; `check` confirms a match or drops
-    it; a word of `context` shortly before the span adds `context_score`.  `needs` is a
+    it; a word of `context` shortly before or after the span adds `context_score`.  `needs` is a
     literal without which the pattern cannot match.
+
+    With `end`, the pattern matches a span's first character and captures all that the span may
+    cover; `end` gives the span's length, or null.
     """
 
     name: str
     pattern: str
-    check: Callable[[Column], Column]
+    check: Callable[[Column], Column] | None = None
+    end: Callable[[Column], Column] | None = None
     score: float = 1.0
     context: str | None = None
     context_score: float = 0.5
@@ -95,7 +128,11 @@ KINDS = (
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", _card_ok),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", _phone_ok, needs="+"),
     # not of the base: their score needs a checksum or a word of context
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", _iban_ok),
+    Kind(
+        "iban",
+        r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?))[A-Z]",
+        end=_iban_end,
+    ),
     Kind(
         "ssn",
         r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -108,6 +145,17 @@ KINDS = (
 BASE = ("email", "ip", "card", "phone")
 
 
+def _reached(spans: Column) -> Column:
+    """Where the spans taken before each one end; a span is taken that begins there or later."""
+    return scan(
+        spans,
+        F.lit(0),
+        lambda at, s: F.when(s["start"] >= at, s["end"]).otherwise(at),
+        lambda at, s: at,
+        "int",
+    )
+
+
 def spans_of(text: Column, kind: Kind) -> Column:
     """Array of (kind, start, end) in code points, end exclusive, in order of start.
 
@@ -115,14 +163,34 @@ def spans_of(text: Column, kind: Kind) -> Column:
     splitting by the same pattern leaves, so the lengths of both give the places.
     """
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+    group = 1 if kind.end else 0
+    matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(group))
     gaps = F.split(text, kind.pattern, -1)
 
-    def scored(gap: Column, match: Column) -> Column:
+    def near(gaps: Column) -> Column:
+        """For each match, the text beside it without the matches: `CONTEXT` characters on
+        both sides.  Gaps of a list, which have no letters or digits, take no room."""
+
+        def wider(so_far: Column, gap: Column, joined: Column, side: Callable[[Column], Column]) -> Column:
+            return F.when(gap.rlike("[\\p{L}\\p{N}]"), side(joined)).otherwise(so_far)
+
+        def states(gaps: Column, step: Callable[[Column, Column], Column]) -> Column:
+            return scan(gaps, F.lit(""), step, step, "string")
+
+        before = states(
+            F.slice(gaps, F.lit(1), F.size(gaps) - 1),
+            lambda s, g: wider(s, g, F.concat_ws(" ", s, g), lambda t: F.right(t, F.lit(CONTEXT))),
+        )
+        after = states(
+            F.slice(F.reverse(gaps), F.lit(1), F.size(gaps) - 1),
+            lambda s, g: wider(s, g, F.concat_ws(" ", g, s), lambda t: F.left(t, F.lit(CONTEXT))),
+        )
+        return F.zip_with(before, F.reverse(after), lambda b, a: F.concat_ws(" | ", b, a))
+
+    def scored(match: Column, beside: Column | None) -> Column:
         score = F.lit(kind.score)
-        if kind.context:
-            near = F.substring(gap, -CONTEXT, CONTEXT)
-            score += F.when(near.rlike(kind.context), kind.context_score).otherwise(0.0)
+        if beside is not None:
+            score += F.when(beside.rlike(kind.context), kind.context_score).otherwise(0.0)
         return F.coalesce(kind.check(match) & (score >= THRESHOLD), F.lit(False))
 
     def span(at: Column, row: Column) -> Column:
@@ -130,18 +198,32 @@ def spans_of(text: Column, kind: Kind) -> Column:
         return F.struct(
             F.lit(kind.name).alias("kind"),
             start.alias("start"),
-            (start + row["match"]).alias("end"),
+            (start + row["length"]).alias("end"),
             row["good"].alias("good"),
         )
 
     def placed(found: Column) -> Column:
-        rows = F.zip_with(
-            F.slice(gaps, 1, F.size(found)),
-            found,
-            lambda g, m: F.struct(
-                F.length(g).alias("gap"), F.length(m).alias("match"), scored(g, m).alias("good")
-            ),
-        )
+        def fields(gap: Column, taken: Column, length: Column, good: Column) -> Column:
+            return F.struct(
+                F.length(gap).alias("gap"), taken.alias("match"), length.alias("length"), good.alias("good")
+            )
+
+        def row(gap: Column, match: Column, beside: Column | None = None) -> Column:
+            if kind.end:
+                return let(kind.end(match), lambda n: fields(gap, F.lit(1), n, n.isNotNull()))
+            return fields(gap, F.length(match), F.length(match), scored(match, beside))
+
+        if kind.context:
+            rows = let(
+                gaps,
+                lambda g: F.zip_with(
+                    F.arrays_zip(F.slice(g, F.lit(1), F.size(found)).alias("gap"), near(g).alias("beside")),
+                    found,
+                    lambda x, m: row(x["gap"], m, x["beside"]),
+                ),
+            )
+        else:
+            rows = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: row(g, m))
         every = let(
             rows,
             lambda r: scan(
@@ -152,9 +234,18 @@ def spans_of(text: Column, kind: Kind) -> Column:
                 "struct<kind:string,start:int,end:int,good:boolean>",
             ),
         )
+        good = F.filter(every, lambda s: s["good"])
+        if kind.end:
+            # a span may cover the begin of another match
+            good = let(
+                good,
+                lambda g: F.filter(
+                    F.zip_with(g, _reached(g), lambda s, at: F.when(s["start"] >= at, s)),
+                    lambda s: s.isNotNull(),
+                ),
+            )
         return F.transform(
-            F.filter(every, lambda s: s["good"]),
-            lambda s: F.struct(s["kind"], s["start"], s["end"]),
+            good, lambda s: F.struct(s["kind"], s["start"], s["end"])
         ).cast("array<struct<kind:string,start:int,end:int>>")
 
     possible = text.contains(kind.needs) if kind.needs else text.rlike("[0-9]")

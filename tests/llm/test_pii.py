@@ -94,6 +94,43 @@ def test_added_kinds(spark, text, spans):
     assert ",".join(added) == spans
 
 
+IBAN, SPACED = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
+WORDS = " and so on with many more words between them, "
+
+
+BEHIND = [
+    (f"{SPACED} Bitte", "iban:0:27"),
+    (f"{SPACED} AND 12 MORE", "iban:0:27"),
+    (f"{SPACED} 5 EUR", "iban:0:27"),
+    (f"{IBAN} GB82 WEST 1234 5698 7654 32 NO93 8601 1117 947 X", "iban:0:22,iban:23:50,iban:51:69"),
+    (f"AB12 CD34 {SPACED} X", "iban:10:37"),
+    (f"{IBAN}x {IBAN}1", ""),
+    (f"🙂 {SPACED}, {IBAN}.", "iban:2:29,iban:31:53"),
+    ("SSN 123-45-6789, 234-56-7890", "ssn:4:15,ssn:17:28"),
+    ("123-45-6789 (SSN)", "ssn:0:11"),
+    ("123-45-6789, 234-56-7890: tax id", "ssn:0:11,ssn:13:24"),
+    ("SSN" + ", 123-45-6789" * 300, ",".join(f"ssn:{5 + 13 * i}:{16 + 13 * i}" for i in range(300))),
+    (f"SSN {WORDS} 123-45-6789 {WORDS} SSN", ""),
+]
+
+
+def test_added_kinds_with_text_behind_and_in_lists(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(BEHIND)], "doc_id long, text string")
+    for r in pii.report(pii.find(df)).collect():
+        added = [s for s in r.spans.split(",") if s.split(":")[0] in ("iban", "ssn")]
+        assert ",".join(added) == BEHIND[r.row.doc_id][1]
+
+
+def test_added_kinds_in_long_runs_take_no_long_time(spark):
+    texts = [f"{SPACED} " * 4_000, "AA11 " * 10_000, "A" * 200_000, "SSN " + "123-45-6789 x " * 15_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    begun = time.time()
+    got = {r.row.doc_id: r.spans.count("iban") for r in pii.report(pii.find(df)).collect()}
+    assert got[0] == 4_000
+    assert pii.redact(df).filter("doc_id = 0").first().text == "[IBAN] " * 4_000
+    assert time.time() - begun < 60
+
+
 def test_redaction(spark):
     rows = [
         (1, "mail a.b@c.de or 🙂 x@y.zz, from 10.0.0.1"),
