@@ -4,8 +4,9 @@ A page is cut into blocks of text, each with its path of tags from the root.  Fo
 path the text length and the punctuation of its blocks are summed up and divided by
 their number; the two ratios are fused into one score, less for text inside links, and the
 scores are smoothed along the page, so that a short heading between long
-paragraphs scores with them.  Paths at or above the threshold are content; the innermost
-element that holds nearly all their text, or the article element that holds most of it, is the main content.  Parts that are never
+paragraphs scores with them.  The blocks of paths at or above the threshold are content.  Added are the
+headings right before them and the other blocks of the main element, which is the innermost
+element that holds nearly all their text, or the article element that holds most of it.  Parts that are never
 content (menus, forms, scripts, comments and the like) are left out before.
 """
 
@@ -31,6 +32,7 @@ SMOOTHING = (0.6, 0.2)
 HELD = 0.9
 
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set(
     "html head body address article aside blockquote caption center dd details dialog dir div dl dt "
@@ -100,6 +102,7 @@ class Block:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
+    score: float = 0.0
 
 
 def _attributes(rest: str) -> dict[str, str]:
@@ -229,16 +232,20 @@ def path_scores(blocks: list[Block]) -> dict[str, float]:
     return {path: sum(v) / len(v) for path, v in total.items()}
 
 
-def _main_element(blocks: list[Block]) -> Element | None:
-    """The element that is the main content; None if there is no text."""
-    if not blocks:
-        return None
+def _content(blocks: list[Block]) -> list[Block]:
+    """Blocks of the paths whose score reaches the threshold; there is at least one block."""
     scores = path_scores(blocks)
     mean = sum(scores[b.element.path] for b in blocks) / len(blocks)
-    content = [b for b in blocks if scores[b.element.path] >= THRESHOLD * mean]
+    for b in blocks:
+        b.score = scores[b.element.path]
+    return [b for b in blocks if b.score >= THRESHOLD * mean]
+
+
+def _main_element(content: list[Block]) -> Element:
+    """The element that is the main content."""
     whole = 0.0
     for b in content:
-        mass = len(b.text) * scores[b.element.path]
+        mass = len(b.text) * b.score
         whole += mass
         element = b.element
         while element:
@@ -266,12 +273,24 @@ def _main_element(blocks: list[Block]) -> Element | None:
     return element
 
 
+def _within(block: Block, names: tuple[str, ...]) -> Element | None:
+    """The outermost element of these names around a block."""
+    found, element = None, block.element
+    while element:
+        if element.name in names:
+            found = element
+        element = element.parent
+    return found
+
+
 def extract(page: str | None) -> str:
     """Main text: blocks in page order, one per line."""
     blocks = blocks_of(page or "")
-    main = _main_element(blocks)
-    if main is None:
+    if not blocks:
         return ""
+    content = _content(blocks)
+    main = _main_element(content)
+    named = main.name in ("article", "main")
 
     def inside(element: Element | None) -> bool:
         while element:
@@ -280,7 +299,28 @@ def extract(page: str | None) -> str:
             element = element.parent
         return False
 
-    return "\n".join(b.text for b in blocks if inside(b.element))
+    held = {id(b): inside(b.element) for b in blocks}
+    # other articles with the same paths as the main one: the threshold holds for their text ratio
+    sizes: dict[int, list[int]] = {}
+    for b in content:
+        other = None if held[id(b)] else _within(b, ("article",))
+        sizes.setdefault(id(other) if other else 0, []).append(len(b.text))
+    own = [len(b.text) for b in content if held[id(b)]]
+    usual = sum(own) / len(own)
+    teasers = {k for k, v in sizes.items() if k and sum(v) / len(v) < THRESHOLD * usual}
+    chosen = {
+        id(b) for b in content if held[id(b)] or id(_within(b, ("article",))) not in teasers
+    }
+    for b in blocks:
+        # in an element that is no article, blocks below the threshold may be lists of links
+        if held[id(b)] and (named or 2 * b.linked <= len(b.text)):
+            chosen.add(id(b))
+    after = False
+    for b in reversed(blocks):
+        if b.element.name in HEADINGS and after and id(_within(b, ("article",))) not in teasers:
+            chosen.add(id(b))
+        after = id(b) in chosen
+    return "\n".join(b.text for b in blocks if id(b) in chosen)
 
 
 def extract_pages(

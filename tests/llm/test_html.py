@@ -49,6 +49,23 @@ def test_cases(name):
     assert html.extract(source) == "\n".join(blocks)
 
 
+SECOND = PARAGRAPH.replace("article", "second part")
+SPLIT = {
+    "articles of equal length": (page(f"<div><article>{article(PARAGRAPH, PARAGRAPH)}</article><article>{article(SECOND, SECOND)}</article></div>"), [PARAGRAPH, PARAGRAPH, SECOND, SECOND]),
+    "a shorter second article": (page(f"<article>{article(*[PARAGRAPH] * 9)}</article><article>{article(SECOND)}</article>"), [PARAGRAPH] * 9 + [SECOND]),
+    "heading beside the body": (page(f"<h1>Head</h1><div>{article(*[PARAGRAPH] * 9)}</div>"), ["Head"] + [PARAGRAPH] * 9),
+    "heading before the article": (page(f"<div><h1>Head</h1></div><article>{article(*[PARAGRAPH] * 9)}</article>"), ["Head"] + [PARAGRAPH] * 9),
+    "closing section": (page(f"<div>{article(*[PARAGRAPH] * 19)}</div><section>{article(SECOND)}</section>"), [PARAGRAPH] * 19 + [SECOND]),
+    "links beside the body": (page(f"<div>{article(*[PARAGRAPH] * 9)}</div><div><span><a href='/'>Home</a></span></div>"), [PARAGRAPH] * 9),
+}
+
+
+@pytest.mark.parametrize("name", SPLIT)
+def test_content_outside_the_main_element(name):
+    source, blocks = SPLIT[name]
+    assert html.extract(source) == "\n".join(blocks)
+
+
 def test_link_lists_score_low():
     body = "".join(f"<td><a href='/{i}'>Some link, to a page.</a></td>" for i in range(20))
     blocks = html.blocks_of(page(f"<table><tr>{body}</tr></table><div>{article(PARAGRAPH, PARAGRAPH)}</div>"))
