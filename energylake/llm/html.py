@@ -56,20 +56,25 @@ CLOSES = {
 #: elements in which a paragraph may stand open while others begin
 KEEPS_PARAGRAPH = {"button", "caption", "td", "th", "table", "object", "marquee", "template"}
 NEVER = RAW - {"title"} | set(
-    "head nav footer aside form template svg math button select option datalist dialog menu object "
+    "head nav footer aside template svg math button select option datalist dialog menu object "
     "canvas audio video map search".split()
 )
-#: words in class, id or role of parts that are no content
+#: last words of a class, id or role of parts that are no content
 UNWANTED = set(
     "ad ads advert advertisement advertising adbox sponsor sponsored promo promotion banner sidebar "
     "side aside nav navbar navigation menu breadcrumb breadcrumbs footer masthead topbar toolbar "
-    "comment comments commentlist respond reply replies disqus discussion cookie cookies consent gdpr notice alert "
+    "discussion cookie cookies consent gdpr notice alert "
     "popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
     "recommendations widget pagination pager search contentinfo complementary".split()
 )
-#: words that mark content, unless a comment word stands beside them
+#: words of parts in which readers speak, wherever they stand in a name
+COMMENTS = set("comment comments commentlist respond reply replies disqus".split())
+#: names that mark content: unwanted ones beside them are in doubt
 WANTED = set("article content post entry story main body text page wrapper container".split())
-COMMENTS = set("comment comments commentlist respond reply replies disqus discussion".split())
+#: first words of names that tell how the page is laid out
+LAYOUT = {"has", "with", "no", "without", "is"}
+#: elements whose id is looked at; those of text blocks and anchors come from their headings
+CONTAINERS = set("div section ul ol dl table figure center details fieldset iframe".split())
 PUNCTUATION = re.compile(r"[,.;:!?。，；：！？、]")
 
 TAG = re.compile(
@@ -92,6 +97,8 @@ class Element:
     dropped: bool
     article: bool = False
     path: str = ""
+    #: whether its text decides if it is content
+    doubtful: bool = False
     #: text of content paths inside
     mass: float = 0.0
 
@@ -109,21 +116,76 @@ def _attributes(rest: str) -> dict[str, str]:
     return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(rest)}
 
 
-def _unwanted(name: str, rest: str, inside_article: bool) -> bool:
-    """Whether an element and all in it are no content, by its tag and attributes."""
+def _unwanted(name: str, rest: str, inside_article: bool) -> float:
+    """1 if an element and all in it are no content by its tag and attributes, 0 if nothing says
+    so, and 0.5 if its text must decide."""
     if name in NEVER or name == "header" and not inside_article:
-        return True
+        return 1
+    if name == "form":
+        return 0.5
     if name in ("html", "body") or not rest.strip():
-        return False
+        return 0
     given = _attributes(rest)
     style = given.get("style", "").replace(" ", "").lower()
     if "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in style:
-        return True
-    marks = " ".join(given.get(k, "") for k in ("class", "id", "role"))
-    words = {w.lower() for w in NAME_WORD.findall(marks)}
-    if words & COMMENTS:
-        return True
-    return bool(words & UNWANTED) and not words & WANTED and name not in ("article", "main")
+        return 1
+    kept = name in ("article", "main")
+    found, wanted = 0.0, kept
+    for key in ("class", "role", "id"):
+        if key == "id" and name not in CONTAINERS:
+            continue
+        for mark in given.get(key, "").split():
+            words = [w.lower() for w in NAME_WORD.findall(mark)]
+            if not words or words[0] in LAYOUT:
+                continue
+            # ids inside the content, or of sections, may be made from headings
+            slug = key == "id" and (inside_article or name == "section")
+            if COMMENTS.intersection(words) and not (slug and len(words) > 2):
+                if not kept or len(words) == 1:
+                    return 1
+            elif words[-1] in UNWANTED:
+                found = max(found, 0.5 if slug else 1)
+            elif UNWANTED.intersection(words):
+                found = max(found, 0.5)
+            wanted |= len(words) == 1 and words[0] in WANTED
+    if kept:
+        return 0
+    return min(found, 0.5) if wanted else found
+
+
+def _decided(blocks: list[Block]) -> list[Block]:
+    """`blocks` without those of doubtful parts that do not read like the rest of the page.
+
+    A form stays if it holds most of the page's text.  Any other part stays if less than half of its text
+    is linked and its blocks, headings left out, are at least half as long as those beyond doubt.
+    """
+    parts: dict[int, tuple[Element, list[Block]]] = {}
+    sure = []
+    for b in blocks:
+        element, doubted = b.element, False
+        while element:
+            if element.doubtful:
+                parts.setdefault(id(element), (element, []))[1].append(b)
+                doubted |= element.name != "form"
+            element = element.parent
+        if not doubted and b.element.name not in HEADINGS:
+            sure.append(len(b.text))
+    if not parts:
+        return blocks
+    whole = sum(len(b.text) for b in blocks)
+    usual = sum(sure) / len(sure) if sure else 0.0
+    gone = set()
+    for element, held in parts.values():
+        chars = sum(len(b.text) for b in held)
+        if element.name == "form":
+            keep = 2 * chars > whole
+        else:
+            prose = [len(b.text) for b in held if b.element.name not in HEADINGS]
+            linked = sum(min(b.linked, len(b.text)) for b in held)
+            keep = 2 * linked < chars and bool(prose) and sum(prose) / len(prose) >= THRESHOLD * usual
+        if not keep:
+            gone.update(id(b) for b in held)
+    return [b for b in blocks if id(b) not in gone]
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -202,14 +264,16 @@ def blocks_of(page: str) -> list[Block]:
             continue
         parent = stack[-1]
         inside = parent.article or name in ("article", "main")
-        dropped = parent.dropped or _unwanted(name, rest, inside)
-        element = Element(name, parent, dropped, inside)
+        unwanted = _unwanted(name, rest, inside)
+        control = name in ("label", "legend") and any(e.name == "form" for e in stack)
+        dropped = parent.dropped or unwanted == 1 or control
+        element = Element(name, parent, dropped, inside, doubtful=unwanted == 0.5)
         element.path = f"{parent.path}/{name}" if name in BLOCK else parent.path
         stack.append(element)
         links += name == "a"
     for block in blocks:
         block.text = " ".join("".join(block.parts).split())
-    return [b for b in blocks if b.text]
+    return _decided([b for b in blocks if b.text])
 
 
 def path_scores(blocks: list[Block]) -> dict[str, float]:

@@ -66,6 +66,23 @@ def test_content_outside_the_main_element(name):
     assert html.extract(source) == "\n".join(blocks)
 
 
+WHOLE = article(*[PARAGRAPH] * 4)
+NAMES = {
+    "ids made from headings": (page(f"<article>{WHOLE}<h2 id='related-work'>Related work</h2><p id='side'>{SECOND}</p><h2 id='notice-period'>Notice</h2><section id='discussion'><h2>Discussion</h2><p>{SECOND}</p></section><section id='social-impact'><p>{SECOND}</p></section></article>"), [PARAGRAPH] * 4 + ["Related work", SECOND, "Notice", "Discussion", SECOND, SECOND]),
+    "an article called discussion": (page(f"<article class='post discussion'>{WHOLE}</article>"), [PARAGRAPH] * 4),
+    "a form around the page": (page(f"<form id='aspnetForm'><nav>Home</nav><div id='content'>{WHOLE}</div><label>Name</label><input><select><option>A</select></form>"), [PARAGRAPH] * 4),
+    "unwanted parts with a wanted word": (page(f"<div id='content'>{WHOLE}<div class='article-sidebar'><p>{SECOND}</p></div><div class='page-footer'><p>{SECOND}</p></div><div class='content-ad'><p>{SECOND}</p></div><div class='post-share'>{SECOND}</div></div>"), [PARAGRAPH] * 4),
+    "a page with a sidebar": (page(f"<div class='content has-sidebar'>{WHOLE}<div class='sidebar-left'><a>One</a></div><div class='related-posts'><a>Two</a></div></div>"), [PARAGRAPH] * 4),
+    "comments": (page(f"<article>{WHOLE}<div id='comments'><p>{SECOND}</p></div><div class='post-comments'><p>{SECOND}</p></div></article>"), [PARAGRAPH] * 4),
+}
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_names_of_parts(name):
+    source, blocks = NAMES[name]
+    assert html.extract(source) == "\n".join(blocks)
+
+
 def test_link_lists_score_low():
     body = "".join(f"<td><a href='/{i}'>Some link, to a page.</a></td>" for i in range(20))
     blocks = html.blocks_of(page(f"<table><tr>{body}</tr></table><div>{article(PARAGRAPH, PARAGRAPH)}</div>"))
