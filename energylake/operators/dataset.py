@@ -64,11 +64,15 @@ def lead_by_class(
     """`lead_target` with the horizon in rows of each series' own interval class."""
     facts = stage(series_facts(df, keys, order, max_rows), "facts")
 
-    def add(rows: DataFrame, minutes: int, longest: int) -> DataFrame:
-        ahead = horizon_samples(horizon_hours, minutes)
-        return lead_target(rows, target, ahead, features, keys, order, max_rows, longest)
+    def derived(minutes: float) -> int:
+        return horizon_samples(horizon_hours, minutes)
 
-    return by_interval_class(df, facts, keys, add)
+    def add(rows: DataFrame, minutes: float, longest: int) -> DataFrame:
+        return lead_target(
+            rows, target, derived(minutes), features, keys, order, max_rows, longest
+        )
+
+    return by_interval_class(df, facts, keys, add, derived)
 
 
 def _cut(position: str, rows: Column, share: float) -> Column:

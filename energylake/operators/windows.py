@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -147,17 +146,29 @@ def horizon_samples(hours: int, interval_minutes: float | None) -> int:
     return max(1, round(hours * 60 / interval_minutes))
 
 
-# Sampling intervals, in minutes, that tell one class of series from another.
+# Usual sampling intervals, in minutes: series that differ little from one belong to its class.
 INTERVAL_CLASSES = (1, 2, 5, 10, 15, 20, 30, 60, 120, 180, 240, 360, 720, 1440)
 DEFAULT_INTERVAL = 5
+# Share of a usual interval by which jitter may move a median.
+NEAR = 0.07
 
 
 def interval_class(minutes: Column) -> Column:
-    """The class next to an interval by ratio; the default where there is none."""
-    found = F.lit(INTERVAL_CLASSES[-1])
-    for low, high in reversed(list(zip(INTERVAL_CLASSES, INTERVAL_CLASSES[1:]))):
-        found = F.when(minutes < math.sqrt(low * high), low).otherwise(found)
-    return F.when(minutes > 0, found).otherwise(DEFAULT_INTERVAL).cast("int")
+    """The usual interval near by, else the interval itself; the default where there is none."""
+    found = minutes
+    for usual in INTERVAL_CLASSES:
+        near = F.abs(minutes - usual) <= NEAR * usual
+        found = F.when(near, F.lit(float(usual))).otherwise(found)
+    return F.when(minutes > 0, found).otherwise(float(DEFAULT_INTERVAL)).cast("double")
+
+
+def _in_steps(micros: Column) -> Column:
+    """Times in steps of at most a thousandth, so that there is a bounded number of them:
+    whole seconds from 1000 s on, and at least a microsecond."""
+    steps = F.lit(1_000_000)
+    for size in (100_000, 10_000, 1_000, 100, 10, 1):
+        steps = F.when(micros < size * 10_000, F.lit(size)).otherwise(steps)
+    return F.round(micros / steps).cast("long") * steps
 
 
 def series_facts(
@@ -168,13 +179,13 @@ def series_facts(
 ) -> DataFrame:
     """Rows, median interval and interval class of every series, in one pass.
 
-    Intervals count in whole seconds, so that a series has a bounded number of different
-    ones however long it is.
+    Intervals count in steps of at most a thousandth, and of a second from 1000 seconds on, so
+    that a series has a bounded number of different ones however long it is.
     """
     gaps = with_gaps(
         df.select(*dict.fromkeys([*keys, *order])), keys, order, max_rows=max_rows
     )
-    minutes = F.median(F.floor(F.col("gap_micros") / 1_000_000)) / 60
+    minutes = F.median(_in_steps(F.col("gap_micros"))) / 60e6
     facts = gaps.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("series_rows"), minutes.alias("interval_minutes")
     )
@@ -185,20 +196,28 @@ def by_interval_class(
     df: DataFrame,
     facts: DataFrame,
     keys: Sequence[str],
-    add: Callable[[DataFrame, int, int], DataFrame],
+    add: Callable[[DataFrame, float, int], DataFrame],
+    derived: Callable[[float], object] = float,
 ) -> DataFrame:
     """`add(rows, minutes, longest)` for the series of each interval class, united.
 
-    `minutes` is the class, `longest` the rows of its longest series.  There are at
-    most as many parts as `INTERVAL_CLASSES`.
+    `minutes` is the class, `longest` the rows of its longest series.  Classes for which
+    `derived(minutes)`, the numbers of rows that `add` works with, is the same share a part.
     """
     found = (
         facts.groupBy("interval_class").agg(F.max("series_rows").alias("longest")).collect()
     )
     if not found:
         return add(df, DEFAULT_INTERVAL, 0)
-    if len(found) == 1:
-        return add(df, found[0]["interval_class"], found[0]["longest"])
+    alike: dict = {}
+    for row in sorted(found):
+        alike.setdefault(derived(row["interval_class"]), []).append(row)
+    groups = [
+        ([r["interval_class"] for r in rows], max(r["longest"] for r in rows))
+        for rows in alike.values()
+    ]
+    if len(groups) == 1:
+        return add(df, groups[0][0][0], groups[0][1])
     # written by class, so that each part reads its own rows only
     spark = df.sparkSession
     path = new_path(spark, "classes")
@@ -206,9 +225,9 @@ def by_interval_class(
     classed.write.partitionBy("interval_class").parquet(path)
     stored = spark.read.schema(classed.schema).parquet(path)
     parts = []
-    for row in sorted(found):
-        own = stored.where(F.col("interval_class") == row["interval_class"])
-        parts.append(add(own.drop("interval_class"), row["interval_class"], row["longest"]))
+    for classes, longest in groups:
+        own = stored.where(F.col("interval_class").isin(classes))
+        parts.append(add(own.drop("interval_class"), classes[0], longest))
     return reduce(DataFrame.unionByName, parts)
 
 

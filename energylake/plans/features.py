@@ -95,11 +95,14 @@ def build_features(
     )
     facts = stage(series_facts(wide, keys, order), "facts", f"{root}/facts")
 
-    def add(rows: DataFrame, minutes: int, longest: int) -> DataFrame:
+    def derived(minutes: float) -> tuple[int, int]:
+        return rolling_rows(minutes, options.rolling_window_days), samples_per_hour(minutes)
+
+    def add(rows: DataFrame, minutes: float, longest: int) -> DataFrame:
         rows = with_rolling_features(rows, options, minutes, longest)
         return with_lag_features(rows, options, minutes, longest)
 
-    rows = with_temporal_features(by_interval_class(wide, facts, keys, add))
+    rows = with_temporal_features(by_interval_class(wide, facts, keys, add, derived))
     return with_tou_features(rows, options.tou_peak_hours, options.tou_shoulder_hours)
 
 
