@@ -92,31 +92,6 @@ def test_series_have_their_own_interval_class(spark):
     assert len(got) == 36 + 52 + 52
 
 
-def test_unusual_intervals_are_not_rounded_to_usual_ones(spark):
-    df = steps(spark, 1200, 1 / 6).union(steps(spark, 60, 45, "e")).union(steps(spark, 60, 1 / 120, "f"))
-    df = df.union(steps(spark, 60, 46, "g"))
-    facts = {r.device_id: r.interval_class for r in windows.series_facts(df).collect()}
-    assert facts == pytest.approx({"d": 1 / 6, "e": 45, "f": 1 / 120, "g": 46})
-    got = dataset.lead_by_class(df, "y", 3).collect()
-    ahead = {"d": 1080, "e": 4, "g": 4}
-    assert all(r.label == r.y + ahead[r.device_id] for r in got)
-    assert len(got) == 120 + 56 + 56
-
-    asked = []
-
-    def add(rows, minutes, longest):
-        back = windows.samples_per_hour(minutes)
-        asked.append(back)
-        return windows.lag_columns(rows, {"lag_1h": ("y", back)}, max_rows=10_000)
-
-    rows = windows.by_interval_class(
-        df, windows.series_facts(df), ["site_id", "device_id"], add, windows.samples_per_hour
-    ).where("lag_1h is not null").collect()
-    # 45 and 46 minutes share a pass
-    assert sorted(asked) == [1, 360, 7200]
-    assert {(r.device_id, r.y - r.lag_1h) for r in rows} == {("d", 360.0), ("e", 1.0), ("g", 1.0)}
-
-
 @pytest.mark.parametrize("keys", [["site_id", "device_id"], []])
 def test_partitioning_of_the_input_does_not_matter(spark, keys):
     """Devices on one clock, whose rows tie on time."""
