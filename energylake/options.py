@@ -83,14 +83,14 @@ class SequenceOptions(ForecastOptions):
     scale_features: bool = True
     # "train": means and deviations of the training rows; "all": of every row.
     fit_scaler_on: str = "train"
-    # Rows from one training run to the next; none: a twelfth of a run.
+    # Rows from one training run to the next; none: every run is used.
     stride: int | None = None
     regressor: str = "gbt"  # or "linear"
     reg_param: float = 0.01  # of the linear one
 
     @property
     def rows_between_runs(self) -> int:
-        return self.stride or max(1, self.sequence_length // 12)
+        return 1 if self.stride is None else self.stride
 
     def validate(self) -> None:
         super().validate()

@@ -92,6 +92,15 @@ def test_series_have_their_own_interval_class(spark):
     assert len(got) == 36 + 52 + 52
 
 
+def test_every_run_is_used_by_default(spark):
+    """Without a stride, 24 rows a run and 3 rows ahead give 200 - 24 - 3 + 1 runs."""
+    got = forecast.train_sequence_forecast(
+        steps(spark, 200), "y", SequenceOptions(sequence_length=24, regressor="linear"),
+        rows_ahead=3, features=["y"],
+    )
+    assert sum(got.samples.values()) == 200 - 24 - 3 + 1
+
+
 @pytest.mark.parametrize("keys", [["site_id", "device_id"], []])
 def test_partitioning_of_the_input_does_not_matter(spark, keys):
     """Devices on one clock, whose rows tie on time."""
