@@ -132,3 +132,28 @@ def reach(spark: SparkSession) -> None:
 def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     reach(df.sparkSession)
     return df.mapInArrow(run, schema)
+
+
+#: keys that may be called hot at most; their facts are broadcast
+MOST_HOT = 10_000
+#: rows of one key that may meet in a task
+ROWS_PER_KEY = 50_000
+
+
+def join_by_key(rows: DataFrame, facts: DataFrame, key: str, count: str) -> DataFrame:
+    """`rows` with the columns of `facts`, which has one row per `key` (null is a key too).
+
+    Both come from staged tables.  `count` is the number of rows of each key, and is left out
+    of the result.  A key with more than `ROWS_PER_KEY` rows and more than one in `MOST_HOT` of all rows
+    is hot.  There are fewer than `MOST_HOT` of those whatever the size, so their facts
+    are broadcast and their rows stay where they are; the other rows are shuffled to theirs.
+    """
+    facts = facts.withColumnRenamed(key, "_key")
+    total = facts.agg(F.sum(count)).first()[0] or 0
+    bound = max(ROWS_PER_KEY, ceil_div(total, MOST_HOT))
+    is_hot = F.col(count) > bound
+    hot, cold = facts.filter(is_hot).drop(count), facts.filter(~is_hot).drop(count)
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    near = rows.join(F.broadcast(hot), same)
+    far = rows.join(F.broadcast(hot.select("_key")), same, "left_anti").join(cold, same)
+    return near.unionByName(far).drop("_key")

@@ -125,8 +125,63 @@ def _pii() -> str:
     )
 
 
+def _grid_codes(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Every part against every entry of its codebook, in whole numbers."""
+    steps = [
+        """WITH k AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)""",
+        f"""p AS (
+  SELECT vec_id, label, part, e[part * (len(e) // {parts}) + 1:(part + 1) * (len(e) // {parts})] AS x
+  FROM k, range({parts}) AS r(part)
+)""",
+        f"""b0 AS (
+  SELECT part, entry, x FROM p JOIN (
+    SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM k ORDER BY vec_id LIMIT {entries}
+  ) USING (vec_id)
+)""",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""d{r} AS (
+  SELECT vec_id, label, part, p.x, entry,
+    list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - b.x[i]) ** 2))::BIGINT AS d
+  FROM p JOIN b{r} AS b USING (part)
+),
+a{r} AS (
+  SELECT vec_id, label, part, any_value(x) AS x, arg_min(entry, d * {entries} + entry) AS entry, min(d) AS d
+  FROM d{r} GROUP BY vec_id, label, part
+)""")
+        if r < rounds:
+            steps.append(f"""m{r} AS (
+  SELECT part, entry, list(v ORDER BY i) AS x FROM (
+    SELECT part, entry, i, floor(sum(x[i]) / count(*))::BIGINT AS v
+    FROM (SELECT part, entry, x, unnest(range(1, len(x) + 1)) AS i FROM a{r})
+    GROUP BY part, entry, i
+  ) GROUP BY part, entry
+),
+b{r + 1} AS (
+  SELECT b.part, b.entry, coalesce(m.x, b.x) AS x
+  FROM b{r} AS b LEFT JOIN m{r} AS m ON m.part = b.part AND m.entry = b.entry
+)""")
+    return ",\n".join(steps) + f""",
+h AS (
+  SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds}
+),
+c AS (
+  SELECT vec_id, label, string_agg(lpad(lower(to_hex(entry)), 2, '0'), '' ORDER BY part) AS code,
+    sum(d)::BIGINT AS error
+  FROM a{rounds} GROUP BY vec_id, label
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM c, h
+"""
+
+
 LLM_ORACLE: dict[str, str] = {
     "op8_quality": QUALITY,
     "op9_topk": TOPK,
     "op10_pii": _pii(),
+    "op11_grid_codes": _grid_codes(),
 }

@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, bpe, html, packing, pii, ppm, quality, shards, simhash, topk
+from . import (
+    binary,
+    bpe,
+    grid_codes,
+    html,
+    mixing,
+    packing,
+    pii,
+    ppm,
+    quality,
+    shards,
+    simhash,
+    topk,
+    whitening,
+)
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,3 +99,26 @@ def op1_html(spark, sf_dir):
 def op7_ppm(spark, sf_dir):
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 1
     return ppm.score(table(spark, sf_dir, "documents"), held_out)
+
+
+@query
+def op11_grid_codes(spark, sf_dir):
+    return grid_codes.compress(
+        table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256
+    )
+
+
+@query
+def op12_mixing(spark, sf_dir):
+    plan = mixing.plan_mix(
+        table(spark, sf_dir, "documents"), weights=(3.0, 1.0, 2.0), share=1.5, most=2.0
+    )
+    return mixing.per_row(plan).select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target",
+        (F.col("copies") * F.col("size")).alias("taken"),
+    )
+
+
+@query
+def op13_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=4, scale=256)
