@@ -33,6 +33,7 @@ from .dataset import (
     sequences,
     split_counts,
 )
+from .intervals import lead_by_interval
 from .metrics import METRICS, best_epoch, compare_forecasts, forecast_metrics
 from .reshape import normalise_names, select_features
 
@@ -218,7 +219,8 @@ def train_forecast(
     if target not in df.columns:
         raise ValueError(f"target column {target!r} not found")
     if rows_ahead is None and keys:
-        labelled = lead_by_class(df, target, options.horizon_hours, (), keys, order)
+        lead = lead_by_interval if options.intervals == "exact" else lead_by_class
+        labelled = lead(df, target, options.horizon_hours, (), keys, order)
     else:
         if rows_ahead is None:
             rows_ahead = horizon_rows(df, options.horizon_hours, keys, order[0])

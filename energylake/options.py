@@ -19,6 +19,12 @@ def _open_unit(**values: float) -> None:
             raise ValueError(f"{name}={value}: a share above 0 and below 1 is needed")
 
 
+def _one_of(allowed: tuple[str, ...], **values: str) -> None:
+    for name, value in values.items():
+        if value not in allowed:
+            raise ValueError(f"{name}={value!r}: {' or '.join(allowed)}")
+
+
 @dataclass
 class FeatureOptions:
     """Options of the feature job."""
@@ -35,8 +41,11 @@ class FeatureOptions:
     partition_cols: list[str] = field(default_factory=lambda: list(schemas.SERIES))
     # Column giving the arrival order of duplicate readings, if there is one.
     order_col: str | None = None
+    # "exact": windows by each series' median interval; "classes": by the usual interval next to it.
+    intervals: str = "exact"
 
     def validate(self) -> None:
+        _one_of(("exact", "classes"), intervals=self.intervals)
         _positive(
             rolling_window_days=self.rolling_window_days,
             lookback_days=self.lookback_days,
@@ -60,8 +69,11 @@ class ForecastOptions:
     min_rows: int = 100
     rolling_window_days: int = 7
     partition_cols: list[str] = field(default_factory=lambda: list(schemas.SERIES))
+    # The horizon in rows, by each series' median interval or by the usual one next to it.
+    intervals: str = "exact"
 
     def validate(self) -> None:
+        _one_of(("exact", "classes"), intervals=self.intervals)
         _open_unit(test_size=self.test_size)
         _positive(
             horizon_hours=self.horizon_hours,
@@ -96,10 +108,8 @@ class SequenceOptions(ForecastOptions):
         super().validate()
         _positive(sequence_length=self.sequence_length, stride=self.rows_between_runs)
         _open_unit(validation_split=self.validation_split)
-        if self.fit_scaler_on not in ("train", "all"):
-            raise ValueError(f"fit_scaler_on={self.fit_scaler_on!r}: train or all")
-        if self.regressor not in ("gbt", "linear"):
-            raise ValueError(f"regressor={self.regressor!r}: gbt or linear")
+        _one_of(("train", "all"), fit_scaler_on=self.fit_scaler_on)
+        _one_of(("gbt", "linear"), regressor=self.regressor)
 
 
 @dataclass

@@ -12,9 +12,11 @@ from .. import schemas
 from ..functions.cleaning import nan_to_null
 from ..functions.temporal import with_temporal_features, with_tou_features
 from ..operators.reshape import pivot_wide, project_declared
+from ..operators import intervals
 from ..operators.windows import (
     by_interval_class,
     lag_columns,
+    median_interval_minutes,
     rolling_mean_std,
     rolling_rows,
     samples_per_hour,
@@ -31,6 +33,15 @@ def _order(options: FeatureOptions) -> list[str]:
     return ["time"] + [c for c in schemas.SERIES if c not in options.partition_cols]
 
 
+def _rolling_names(wide: DataFrame, options: FeatureOptions) -> dict[str, tuple[str, str]]:
+    days = options.rolling_window_days
+    return {
+        flat(m): tuple(f"{flat(m)}_rolling_{s}_{days}d" for s in ("avg", "std"))
+        for m in schemas.ROLLING_METRICS
+        if flat(m) in wide.columns
+    }
+
+
 def with_rolling_features(
     wide: DataFrame,
     options: FeatureOptions,
@@ -38,16 +49,11 @@ def with_rolling_features(
     longest: int | None = None,
 ) -> DataFrame:
     """Add the rolling features; rows lacking one of them are left out."""
-    days = options.rolling_window_days
-    columns = {
-        flat(m): tuple(f"{flat(m)}_rolling_{s}_{days}d" for s in ("avg", "std"))
-        for m in schemas.ROLLING_METRICS
-        if flat(m) in wide.columns
-    }
+    columns = _rolling_names(wide, options)
     rows = rolling_mean_std(
         wide,
         columns,
-        rolling_rows(interval_minutes, days),
+        rolling_rows(interval_minutes, options.rolling_window_days),
         options.partition_cols,
         _order(options),
         longest=longest,
@@ -74,6 +80,34 @@ def with_lag_features(
     )
 
 
+def with_own_windows(wide: DataFrame, options: FeatureOptions) -> DataFrame:
+    """Rolling and lag features in rows of each series' exact interval, in one plan."""
+    keys, order = options.partition_cols, _order(options)
+    facts = intervals.series_intervals(wide, keys, order)
+    rows, widest, longest = intervals.with_row_counts(
+        wide,
+        facts,
+        keys,
+        _window=intervals.day_rows(options.rolling_window_days),
+        _hour=intervals.hour_rows(),
+    )
+    columns = _rolling_names(wide, options)
+    rows = intervals.rolling_mean_std(
+        rows, columns, "_window", widest["_window"], keys, order, longest=longest
+    ).dropna(subset=[name for pair in columns.values() for name in pair])
+    rows = rows.withColumn("_one", F.lit(1).cast("long"))
+    lags = {
+        f"{flat(m)}_{name}": (flat(m), k)
+        for m in schemas.LAG_METRICS
+        if flat(m) in wide.columns
+        for name, k in (("lag_1", "_one"), ("lag_1h", "_hour"))
+    }
+    rows = intervals.lag_columns(
+        rows, lags, max(1, widest["_hour"]), keys, order, longest=longest
+    )
+    return rows.drop("_window", "_hour", "_one")
+
+
 def build_features(
     readings: DataFrame,
     options: FeatureOptions | None = None,
@@ -82,9 +116,10 @@ def build_features(
     """Wide feature rows under column-safe names.
 
     The wide rows are staged; one pass over their times gives the rows and the interval
-    class of every series.  Windows and lags are counted in rows of the series' own class, so
+    of every series.  Windows and lags are counted in rows of the series' own interval, so
     devices of different sampling rates stand side by side.  Lags follow the
     removal of rows without full window, so their order is that of the remaining rows.
+    Where all devices are one series, its interval is their common median.
     """
     options = options or FeatureOptions()
     options.validate()
@@ -93,13 +128,19 @@ def build_features(
     wide = stage(
         pivot_wide(readings, order_col=options.order_col), "wide", f"{root}/wide"
     )
-    facts = stage(series_facts(wide, keys, order), "facts", f"{root}/facts")
 
-    def add(rows: DataFrame, minutes: int, longest: int) -> DataFrame:
+    def add(rows: DataFrame, minutes: float | None, longest: int | None = None) -> DataFrame:
         rows = with_rolling_features(rows, options, minutes, longest)
         return with_lag_features(rows, options, minutes, longest)
 
-    rows = with_temporal_features(by_interval_class(wide, facts, keys, add))
+    if options.intervals == "classes":
+        facts = stage(series_facts(wide, keys, order), "facts", f"{root}/facts")
+        rows = by_interval_class(wide, facts, keys, add)
+    elif keys:
+        rows = with_own_windows(wide, options)
+    else:
+        rows = add(wide, median_interval_minutes(wide, keys, order))
+    rows = with_temporal_features(rows)
     return with_tou_features(rows, options.tou_peak_hours, options.tou_shoulder_hours)
 
 

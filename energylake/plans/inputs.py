@@ -190,6 +190,24 @@ def clocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def unusual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as devices that sample every 0.5 or 10 seconds, 7 or 45 minutes, and miss every eleventh sample."""
+    device = F.col("user_id") % 4
+    place = F.row_number().over(Window.partitionBy(device).orderBy("ts", "event_id")) - 1
+    step = F.when(device == 0, 500_000).when(device == 1, 10_000_000)
+    step = step.when(device == 2, 420_000_000).otherwise(2_700_000_000)
+    rows = load(spark, sf_dir, "events").select(
+        "event_id", F.col("value").alias("metric_value"),
+        F.concat(F.lit("device-"), device.cast("string")).alias("device_id"),
+        step.cast("long").alias("step"), place.cast("long").alias("place"),
+    )
+    start = F.unix_micros(F.lit("2024-01-01").cast("timestamp"))
+    micros = start + (F.col("place") + F.floor(F.col("place") / 10)) * F.col("step")
+    return rows.select(
+        F.timestamp_micros(micros).alias("time"), "device_id", "metric_value", "event_id"
+    )
+
+
 def wide_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings as wide rows, one column per metric, most of them null."""
     return pivot_wide(

@@ -172,7 +172,7 @@ def _r(expression: str) -> str:
 CLASSES = (1, 2, 5, 10, 15, 20, 30, 60, 120, 180, 240, 360, 720, 1440)
 
 
-def _feature_build(days: int, partition: str, tie: str) -> str:
+def _feature_build(days: int, partition: str, tie: str, exact: bool = False) -> str:
     over = f"{partition} ORDER BY time{tie}"
     stats = ",\n".join(
         f"count({m}) OVER w AS c_{m}, avg({m}) OVER w AS a_{m}, "
@@ -195,15 +195,18 @@ def _feature_build(days: int, partition: str, tie: str) -> str:
     key = "site_id || '/' || device_id" if partition else "''"
     bounds = list(zip(CLASSES, CLASSES[1:]))
     cases = " ".join(f"WHEN minutes < sqrt({a} * {b}) THEN {a}" for a, b in bounds)
+    snapped = f"CASE WHEN minutes IS NULL OR minutes <= 0 THEN 5 {cases} ELSE {CLASSES[-1]} END"
+    median, interval = "median(floor(gap / 1e6)) / 60", snapped
+    if exact:
+        median, interval = "median(gap) / 6e7", "CASE WHEN minutes > 0 THEN minutes ELSE 5 END"
     return f"""WITH {SNAPSHOTS},
 gaps AS (
   SELECT {key} AS series, epoch_us(time) - lag(epoch_us(time)) OVER ({over}) AS gap
   FROM snap),
 medians AS (
-  SELECT series, median(floor(gap / 1e6)) / 60 AS minutes FROM gaps GROUP BY series),
+  SELECT series, {median} AS minutes FROM gaps GROUP BY series),
 classes AS (
-  SELECT series, CASE WHEN minutes IS NULL OR minutes <= 0 THEN 5 {cases}
-         ELSE {CLASSES[-1]} END AS minutes FROM medians),
+  SELECT series, {interval} AS minutes FROM medians),
 sized AS (
   SELECT snap.*, greatest(1, CAST(round_even(1440 / minutes, 0) AS BIGINT) * {days}) AS n,
          CAST(round_even(60 / minutes, 0) AS BIGINT) AS kh
@@ -304,6 +307,17 @@ clocked AS (
          360 // step AS six, 60 // step AS back, greatest(1, 120 // step) AS ahead
   FROM (SELECT *, CASE device WHEN 0 THEN 5 WHEN 1 THEN 15 ELSE 120 END AS step FROM counted))"""
 
+UNUSUAL = """
+counted AS (
+  SELECT event_id, user_id % 4 AS device, value,
+         row_number() OVER (PARTITION BY user_id % 4 ORDER BY ts, event_id) - 1 AS place
+  FROM events),
+unusual AS (
+  SELECT TIMESTAMP '2024-01-01' + to_microseconds((place + place // 10) * step) AS time,
+         'device-' || device AS device_id, value AS metric_value, event_id
+  FROM (SELECT *, CASE device WHEN 0 THEN 500000 WHEN 1 THEN 10000000 WHEN 2 THEN 420000000
+                   ELSE 2700000000 END AS step FROM counted))"""
+
 PAIRS = """
 pairs AS (
   SELECT * FROM (
@@ -613,6 +627,9 @@ SELECT event_id, {_r("kwh")} AS throughput_kwh,
        CAST(floor(kwh / {D(13.5)}) AS BIGINT) AS cycles FROM total""",
     # --- whole jobs
     "feature_build": _feature_build(7, "PARTITION BY site_id, device_id", ""),
+    "feature_build_exact": _feature_build(
+        1, "PARTITION BY site_id, device_id", "", exact=True
+    ),
     "feature_build_mixed": _feature_build(1, "", ", site_id, device_id"),
     "stream_sync_upsert": f"""WITH {LATEST}
 SELECT time, site_id, device_id, metric_name, metric_value FROM latest""",
@@ -634,6 +651,28 @@ SELECT max(ts) AS last_sync_time, count(*) AS last_sync_count, count(*) AS total
 SELECT 'snapshots' AS sink, device_id, count(*) AS rows FROM snap GROUP BY ALL
 UNION ALL
 SELECT measurement || '.' || field, device_id, count(*) FROM snap_points GROUP BY ALL""",
+    "changes_only": f"""WITH {READINGS},
+arrivals AS (
+  SELECT *, unnest([0, 2, 3]) AS step FROM readings
+  UNION ALL
+  SELECT time, site_id, device_id, metric_name, metric_value + 1, event_id, 1
+  FROM readings WHERE event_id % 10 = 0),
+seen AS (
+  SELECT *, lag(metric_value) OVER w AS last_value, row_number() OVER w AS n FROM arrivals
+  WINDOW w AS (PARTITION BY time, site_id, device_id, metric_name ORDER BY step, event_id))
+SELECT * EXCLUDE (last_value, n) FROM seen WHERE n = 1 OR metric_value IS DISTINCT FROM last_value""",
+    "two_checkpoints": f"""WITH {READINGS}
+SELECT * EXCLUDE (event_id) REPLACE (
+  metric_value + CASE WHEN event_id % 20 = 0 THEN 5 WHEN event_id % 10 = 0 THEN 1 ELSE 0 END AS metric_value)
+FROM readings""",
+    "compact_ties": f"""WITH {READINGS}
+SELECT time, site_id, device_id, metric_name, metric_value - 1 AS metric_value,
+  unnest(['before', 'after']) AS moment
+FROM readings""",
+    "interrupted_replacement": f"""WITH {LATEST}
+SELECT *, unnest(['written', 'committed', 'moved']) AS moment FROM versions WHERE version = 1
+UNION ALL
+SELECT *, unnest(['switched', 'dropped', 'finished']) AS moment FROM latest""",
     "stream_drop_repeats": f"""WITH {VERSIONS}
 SELECT time, site_id, device_id, metric_name, metric_value FROM versions""",
     "run_summary": f"""WITH built AS (
@@ -710,6 +749,35 @@ SELECT event_id, device_id, CASE WHEN c = six THEN {_r("a")} END AS rolling_avg,
        CASE WHEN c = six THEN {_r("s")} END AS rolling_std,
        {_r("lag_1h")} AS lag_1h, {_r("label")} AS label
 FROM built WHERE label IS NOT NULL""",
+    "exact_intervals": f"""WITH {UNUSUAL},
+gaps AS (
+  SELECT device_id, epoch_us(time) - lag(epoch_us(time)) OVER (PARTITION BY device_id ORDER BY time) AS gap
+  FROM unusual),
+medians AS (SELECT device_id, median(gap) AS micros FROM gaps GROUP BY device_id),
+sized AS (
+  SELECT unusual.*, micros,
+         greatest(1, CAST(round_even(1200e6 / micros, 0) AS BIGINT)) AS n,
+         CAST(round_even(600e6 / micros, 0) AS BIGINT) AS back,
+         greatest(1, CAST(round_even(900e6 / micros, 0) AS BIGINT)) AS ahead
+  FROM unusual JOIN medians USING (device_id)),
+built AS (
+  SELECT *, count(metric_value) OVER w AS c, avg(metric_value) OVER w AS a,
+         stddev_samp(metric_value) OVER w AS s,
+         CASE WHEN back > 0 THEN lag(metric_value, back) OVER line END AS lagged,
+         lead(metric_value, ahead) OVER line AS label
+  FROM sized
+  WINDOW line AS (PARTITION BY device_id ORDER BY time),
+         w AS (PARTITION BY device_id ORDER BY time ROWS BETWEEN (n - 1) PRECEDING AND CURRENT ROW))
+SELECT event_id, device_id, micros AS interval_micros, n AS window_rows,
+       CASE WHEN c = n THEN {_r("a")} END AS rolling_avg,
+       CASE WHEN c = n THEN {_r("s")} END AS rolling_std,
+       {_r("lagged")} AS lagged, {_r("label")} AS label
+FROM built""",
+    "median_by_series": f"""WITH {READINGS},
+gaps AS (
+  SELECT site_id, device_id, epoch_us(time) - lag(epoch_us(time)) OVER ({SERIES}) AS gap FROM readings)
+SELECT site_id, device_id, count(*) AS series_rows, median(gap) AS interval_micros
+FROM gaps GROUP BY site_id, device_id""",
     "rolling_cut": _rolling(30, "PARTITION BY site_id", "site_id"),
     "lag_lead_cut": f"""WITH {READINGS},
 named AS (SELECT * REPLACE (nullif(site_id, 'site-2') AS site_id) FROM readings)

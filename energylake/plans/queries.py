@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,12 +12,21 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import cleaning, temporal
-from ..operators import dataset, forecast, metrics, reshape, series, totals, windows
+from ..operators import (
+    dataset,
+    forecast,
+    intervals,
+    metrics,
+    reshape,
+    series,
+    totals,
+    windows,
+)
 from ..options import FeatureOptions, ForecastOptions, SequenceOptions
 from ..session import new_path, stage
-from ..sources import tables
+from ..sources import generations, tables
 from ..sources.snapshots import read_snapshots, stream_snapshots, write_snapshots
-from ..streaming import sync
+from ..streaming import changes, sync
 from . import features, inputs
 from .inputs import SERIES, SERIES_ORDER, load, ntz
 
@@ -606,6 +616,47 @@ def interval_classes(spark, sf_dir):
     )
 
 
+@query
+def exact_intervals(spark, sf_dir):
+    """Windows of 20 minutes, values 10 minutes back and 15 ahead, in rows of each device's own interval.
+
+    No interval is a usual one; the device with a sample every 45 minutes has no row 10 minutes back.
+    """
+    rows = inputs.unusual(spark, sf_dir)
+    keys, order = ["device_id"], ["time"]
+    facts = stage(intervals.series_intervals(rows, keys, order), "facts")
+    micros = F.col("interval_micros")
+
+    def per(minutes: int) -> Column:
+        return F.bround(minutes * 60_000_000 / micros).cast("long")
+
+    one = F.lit(1).cast("long")
+    rows, widest, longest = intervals.with_row_counts(
+        rows, facts, keys, _micros=micros,
+        window_rows=F.greatest(one, per(20)), _back=per(10), _ahead=F.greatest(one, per(15)),
+    )
+    built = intervals.rolling_mean_std(
+        rows, WINDOW, "window_rows", widest["window_rows"], keys, order, longest=longest
+    )
+    built = intervals.lag_columns(
+        built, {"lagged": ("metric_value", "_back")}, widest["_back"], keys, order, longest=longest
+    )
+    built = intervals.lead_column(
+        built, "metric_value", "_ahead", widest["_ahead"], "label", keys, order, longest=longest
+    )
+    values = built.select("event_id", "device_id", "rolling_avg", "rolling_std", "lagged", "label")
+    return _rounded(values).join(
+        built.select("event_id", F.col("_micros").alias("interval_micros"), "window_rows"), "event_id"
+    )
+
+
+@query
+def median_by_series(spark, sf_dir):
+    """Exact median interval of every device, in microseconds."""
+    rows = inputs.readings(spark, sf_dir)
+    return intervals.series_intervals(rows, SERIES, SERIES_ORDER)
+
+
 @query
 def interarrival(spark, sf_dir):
     rows = windows.with_gaps(inputs.readings(spark, sf_dir), SERIES, SERIES_ORDER)
@@ -850,17 +901,31 @@ def _snapshot_readings(spark, sf_dir) -> DataFrame:
     )
 
 
+#: the SQL of the first feature queries works out intervals by classes
+CLASSED = FeatureOptions(intervals="classes")
+
+
 @query
 def feature_build(spark, sf_dir):
     """Snapshots to points, readings, wide rows and features."""
-    built = features.build_features(_snapshot_readings(spark, sf_dir))
+    built = features.build_features(_snapshot_readings(spark, sf_dir), CLASSED)
     return _rounded(reshape.training_features(features.training_table(built)))
 
 
+@query
+def feature_build_exact(spark, sf_dir):
+    """Features by each device's exact median interval, with a window of one day."""
+    options = FeatureOptions(rolling_window_days=1)
+    built = features.build_features(_snapshot_readings(spark, sf_dir), options)
+    return _rounded(
+        reshape.training_features(features.training_table(built, options))
+    )
+
+
 @query
 def feature_build_mixed(spark, sf_dir):
     """The same with all devices as one series and a one-day window."""
-    options = FeatureOptions(rolling_window_days=1, partition_cols=[])
+    options = FeatureOptions(rolling_window_days=1, partition_cols=[], intervals="classes")
     built = features.build_features(_snapshot_readings(spark, sf_dir), options)
     return _rounded(
         reshape.training_features(features.training_table(built, options))
@@ -985,6 +1050,112 @@ def stream_drop_repeats(spark, sf_dir):
     return spark.read.parquet(f"{root}/out").withColumn("time", ntz(F.col("time")))
 
 
+@query
+def changes_only(spark, sf_dir):
+    """Readings whose value differs from the last one: first, changed, back again, and repeated.
+
+    Every tenth reading goes from its value to another one and back, each step in files of its own.
+    """
+    root = new_path(spark, "changes")
+    rows = _timed(inputs.readings(spark, sf_dir))
+    changed = inputs.newer(rows).drop("version")
+    schema = rows.withColumn("step", F.lit(0)).schema
+    for step, part in enumerate((rows, changed, rows, rows)):
+        part.withColumn("step", F.lit(step)).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{root}/in")
+        found = changes.changes_only(stream, schemas.READING_KEY, "metric_value", ["step", "event_id"])
+        changes.start(found, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/out").withColumn("time", ntz(F.col("time")))
+
+
+@query
+def two_checkpoints(spark, sf_dir):
+    """A table written through one checkpoint, then through a new one; the later one counts.
+
+    The first one brings raised values in a second batch, so its batch number is the higher one.
+    """
+    root = new_path(spark, "epochs")
+    rows = _timed(inputs.readings(spark, sf_dir))
+    once_more = rows.where("event_id % 20 = 0").withColumn("metric_value", F.col("metric_value") + 5)
+    schema = rows.drop("event_id").schema
+    steps = [
+        ("first", rows), ("first", inputs.newer(rows).drop("version")), ("second", once_more),
+    ]
+    for name, part in steps:
+        part.drop("event_id").write.mode("append").parquet(f"{root}/{name}")
+        sync.start_readings_sync(
+            spark.readStream.schema(schema).parquet(f"{root}/{name}"),
+            f"{root}/readings",
+            f"{root}/checkpoint-{name}",
+        ).awaitTermination()
+    synced = sync.synced_readings(spark, f"{root}/readings")
+    return synced.withColumn("time", ntz(F.col("time")))
+
+
+@query
+def compact_ties(spark, sf_dir):
+    """Several values of a reading in one batch: the last one counts, before compaction and after."""
+    root = new_path(spark, "ties")
+    rows = _timed(inputs.readings(spark, sf_dir))
+    parts = [
+        rows.withColumn("step", F.lit(0)),
+        rows.withColumn("metric_value", F.col("metric_value") - 1).withColumn("step", F.lit(1)),
+    ]
+    together = parts[0].unionByName(parts[1]).withColumn(
+        "arrived", F.timestamp_seconds(F.col("step") * 1_000_000_000 + F.col("event_id"))
+    )
+    together = together.drop("event_id", "step")
+    together.write.parquet(f"{root}/in")
+    sync.start_readings_sync(
+        spark.readStream.schema(together.schema).parquet(f"{root}/in"),
+        f"{root}/readings", f"{root}/checkpoint", arrival="arrived",
+    ).awaitTermination()
+    before = stage(sync.synced_readings(spark, f"{root}/readings"), "before")
+    tables.compact(spark, f"{root}/readings", schemas.READING_KEY, tables.VERSION)
+    after = sync.synced_readings(spark, f"{root}/readings")
+    both = before.withColumn("moment", F.lit("before")).unionByName(
+        after.withColumn("moment", F.lit("after"))
+    )
+    return both.withColumn("time", ntz(F.col("time")))
+
+
+@query
+def interrupted_replacement(spark, sf_dir):
+    """What readers see at each step at which an upsert can stop."""
+    root = new_path(spark, "interrupted")
+    path = f"{root}/readings"
+    first = _timed(inputs.readings(spark, sf_dir)).withColumn("version", F.lit(1))
+    tables.upsert(first, path, schemas.READING_KEY, "version")
+    seen = []
+
+    def look(moment: str) -> None:
+        rows = tables.table(spark, path).drop(tables.MONTH)
+        seen.append(stage(rows.withColumn("moment", F.lit(moment)), f"seen-{moment}"))
+
+    changed = tables.with_month(inputs.newer(tables.table(spark, path).drop(tables.MONTH)))
+    old = tables.table(spark, path).inputFiles()
+    kept = generations.read_files(spark, path, old).join(
+        changed.select(*schemas.READING_KEY), schemas.READING_KEY, "left_anti"
+    )
+    kept.unionByName(changed).write.partitionBy(tables.MONTH).parquet(
+        f"{generations.pending(path)}/data"
+    )
+    look("written")
+    generations.commit(spark, path, old)
+    look("committed")
+    journal = generations.read_journal(spark, path)
+    generations.move_in(spark, path, journal)
+    look("moved")
+    generations.switch(spark, path)
+    look("switched")
+    generations.drop_old(spark, path, journal)
+    look("dropped")
+    tables.finish_pending(spark, path)
+    look("finished")
+    out = reduce(DataFrame.unionByName, seen)
+    return out.withColumn("time", ntz(F.col("time")))
+
+
 SPAN = dict(start=datetime(2024, 1, 1), end=datetime(2024, 2, 1))
 
 
@@ -1006,7 +1177,7 @@ def training_table_stats(spark, sf_dir):
     """The feature job from stored readings to the stored training table."""
     root = new_path(spark, "job")
     _stored_snapshots(spark, sf_dir, root)
-    features.run(spark, f"{root}/readings", f"{root}/training", **SPAN)
+    features.run(spark, f"{root}/readings", f"{root}/training", CLASSED, **SPAN)
     return _training_stats(spark, root)
 
 
@@ -1015,7 +1186,7 @@ def run_summary(spark, sf_dir):
     """What the feature job reports of a run."""
     root = new_path(spark, "job")
     _stored_snapshots(spark, sf_dir, root)
-    done = features.run(spark, f"{root}/readings", f"{root}/training", **SPAN)
+    done = features.run(spark, f"{root}/readings", f"{root}/training", CLASSED, **SPAN)
     names = ("status", "records_processed", "records_stored", "features_count")
     return spark.createDataFrame(
         [tuple(done[n] for n in names)],
@@ -1038,7 +1209,7 @@ def periodic_features(spark, sf_dir):
         sync.start_periodic(
             spark.readStream.schema(rows.schema).parquet(f"{root}/arrived"),
             lambda session: features.run(
-                session, f"{root}/readings", f"{root}/training", **SPAN
+                session, f"{root}/readings", f"{root}/training", CLASSED, **SPAN
             ),
             f"{root}/checkpoint",
             once=True,

@@ -4,11 +4,13 @@ Tables are parquet folders partitioned by `month_start`, the first day of the mo
 of `time`, and sorted by site and time inside their files, so that a range scan
 prunes by folder and by row-group statistics.
 
-Contents are replaced by files: new files are written in full beside the table, a
-journal names them and the files they stand for, then the new ones are moved in and the old
-ones deleted.  Rows that others append meanwhile are in files of their own, which the
-journal does not name, so appends may go on beside a compaction.  One job at a
-time replaces contents.
+Contents are replaced by files, in steps that readers see all at once (`generations`).  Rows that
+others append meanwhile are in files of their own, so appends may go on beside a
+compaction.  One job at a time replaces contents.
+
+Rows of a streamed table carry a version, made of the epoch of the stream's checkpoint and the number of the
+batch, and their place in the batch.  Of several rows of a key the one of the highest version
+counts, of those the one that arrived last.
 """
 
 from __future__ import annotations
@@ -29,10 +31,16 @@ from ..operators.reshape import (
 )
 from ..operators.windows import first_n_per_series
 from ..session import discard, new_path, stage
+from . import generations
+from .generations import table
 
 MONTH = "month_start"
-#: number of the batch that brought a row
+#: number of the batch that brought a row, above it the epoch of the checkpoint
 VERSION = "ingest_batch"
+#: place of a row among those of its batch
+ARRIVAL = "ingest_order"
+#: batches that one checkpoint may count
+BATCHES = 1 << 40
 
 
 # --- scans -----------------------------------------------------------------
@@ -67,17 +75,33 @@ def time_range(
     return df
 
 
+def version_rank(columns: Sequence[str], key: Sequence[str], version: str) -> Column:
+    """Order of the rows of a key: version (null lowest), arrival, then the other values.
+
+    Scans, compaction and upserts all use it, so a row that wins in one wins in the others.
+    """
+    arrival = [F.col(ARRIVAL)] if ARRIVAL in columns else []
+    others = [c for c in columns if c not in {*key, version, ARRIVAL, MONTH, "date"}]
+    return F.struct(
+        F.col(version).isNotNull(), F.col(version), *arrival, *[F.col(f"`{c}`") for c in others]
+    )
+
+
 def folded(rows: DataFrame) -> DataFrame:
     """Readings with the value of the highest version of each key.
 
     Tables without versions are returned as they are.  Repeats within a version
-    are settled by the greatest value.
+    are settled by arrival, or by the greatest value where that was not noted.
     """
     if VERSION not in rows.columns:
         return rows.drop(MONTH)
-    rank = F.struct(F.col(VERSION).isNotNull(), VERSION, "metric_value")
+    rows = rows.select(
+        *[c for c in (*schemas.READING_KEY, "metric_value", VERSION, ARRIVAL) if c in rows.columns]
+    )
     return rows.groupBy(*schemas.READING_KEY).agg(
-        F.max_by("metric_value", rank).alias("metric_value")
+        F.max_by("metric_value", version_rank(rows.columns, schemas.READING_KEY, VERSION)).alias(
+            "metric_value"
+        )
     )
 
 
@@ -95,7 +119,7 @@ def scan_readings(
     """
     end = end or datetime.now().astimezone()
     start = start or end - timedelta(days=lookback_days)
-    return folded(time_range(spark.read.parquet(path), start, end, site_id))
+    return folded(time_range(table(spark, path), start, end, site_id))
 
 
 def scan_training_data(
@@ -111,7 +135,7 @@ def scan_training_data(
 
     Training itself needs no order: `ordered=False` saves the sort.
     """
-    rows = time_range(spark.read.parquet(path), start, end, site_id).drop(MONTH)
+    rows = time_range(table(spark, path), start, end, site_id).drop(MONTH)
     if ordered or limit is not None:
         rows = rows.orderBy("time", "site_id", "device_id")
     return rows if limit is None else rows.limit(limit)
@@ -121,8 +145,7 @@ def register_training_view(
     spark: SparkSession, path: str, name: str = "training_features"
 ) -> None:
     """Temporary view of the training table under column-safe names."""
-    table = spark.read.parquet(path).drop(MONTH)
-    training_features(table).createOrReplaceTempView(name)
+    training_features(table(spark, path).drop(MONTH)).createOrReplaceTempView(name)
 
 
 def points_since(
@@ -211,117 +234,83 @@ def write_points(points: DataFrame, path: str) -> None:
 
 def current(versions: DataFrame, key: Sequence[str], version: str) -> DataFrame:
     """Latest version of each key of an append-only table."""
-    return latest_per_key(versions.drop(MONTH), key, version)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    return target.getFileSystem(conf).exists(target)
-
-
-def _pending(path: str) -> str:
-    return path.rstrip("/") + "_pending"
+    return latest_per_key(
+        versions.drop(MONTH), key, version_rank(versions.columns, key, version)
+    )
 
 
-def _file_system(spark: SparkSession, path: str):
-    """The JVM's Path class and the file system of a path."""
-    jvm = spark.sparkContext._jvm
-    make = jvm.org.apache.hadoop.fs.Path
-    return make, make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+_pending = generations.pending
+finish_pending = generations.finish
 
 
 def _data_files(spark: SparkSession, path: str, months: Sequence[date] | None = None) -> list[str]:
     """The table's files, of some months or of all."""
-    files = spark.read.parquet(path).inputFiles()
+    hidden = generations.state(spark, path).hidden
+    files = [
+        f for f in spark.read.parquet(path).inputFiles() if generations.place(f) not in hidden
+    ]
     if months is None:
         return sorted(files)
     wanted = {f"/{MONTH}={m.isoformat()}/" for m in months}
     return sorted(f for f in files if any(w in f for w in wanted))
 
 
-def _read_files(spark: SparkSession, path: str, files: Sequence[str]) -> DataFrame:
-    return spark.read.option("basePath", path).parquet(*files)
-
-
-def finish_pending(spark: SparkSession, path: str) -> None:
-    """Complete a replacement that was interrupted.
-
-    With a journal, the new files are complete: those not yet moved are moved in,
-    those they stand for are deleted.  Without one the table is untouched and the
-    copy is dropped.
-    """
-    staged = _pending(path)
-    if not _exists(spark, staged):
-        return
-    if _exists(spark, f"{staged}/journal"):
-        make, fs = _file_system(spark, path)
-        for month in fs.listStatus(make(f"{staged}/data")):
-            if not month.isDirectory():
-                continue
-            target = make(f"{path.rstrip('/')}/{month.getPath().getName()}")
-            fs.mkdirs(target)
-            for file in fs.listStatus(month.getPath()):
-                if not fs.rename(file.getPath(), make(target, file.getPath().getName())):
-                    raise OSError(f"could not move {file.getPath().toString()}")
-        for (old,) in spark.read.text(f"{staged}/journal").collect():
-            fs.delete(make(old), False)
-        spark.catalog.refreshByPath(path)
-    discard(spark, staged)
-
-
-def _replace(df: DataFrame, path: str, old: Sequence[str]) -> None:
+def _replace(df: DataFrame, path: str, old: Sequence[str], keep_old: bool = False) -> None:
     """Put the rows of `df` in place of the files `old`; `df` may read those."""
     spark = df.sparkSession
     staged = _pending(path)
-    if _exists(spark, staged):
+    if generations.exists(spark, staged):
         raise RuntimeError(f"{staged}: another replacement is not finished")
     _laid_out(df).write.partitionBy(MONTH).parquet(f"{staged}/data")
-    _commit(spark, staged, old)
+    _commit(spark, staged, old, keep_old)
     finish_pending(spark, path)
 
 
-def _commit(spark: SparkSession, staged: str, old: Sequence[str]) -> None:
-    """The journal appears at once, by a rename."""
-    rows = spark.createDataFrame([(f,) for f in old], "value string")
-    rows.coalesce(1).write.mode("overwrite").text(f"{staged}/journal_draft")
-    make, fs = _file_system(spark, staged)
-    if not fs.rename(make(f"{staged}/journal_draft"), make(f"{staged}/journal")):
-        raise OSError(f"could not write the journal of {staged}")
+def _commit(spark: SparkSession, staged: str, old: Sequence[str], keep_old: bool = False) -> None:
+    generations.commit(spark, staged.removesuffix("_pending"), old, keep_old)
 
 
 def upsert(
-    df: DataFrame, path: str, key: Sequence[str], version: str | None = None
+    df: DataFrame,
+    path: str,
+    key: Sequence[str],
+    version: str | None = None,
+    keep_old: bool = False,
 ) -> None:
     """Insert rows or replace those of the same key; only touched months move.
 
-    Of several new rows of a key the one of the highest `version` is kept; without
+    Of several new rows of a key the one of the highest `version` is kept (see `version_rank`); without
     `version` the one whose other columns are greatest, so the result does not
     depend on the order of the rows.  `df` is worked out once, and each touched
-    month is written once.
+    month is written once.  With `keep_old` the files that were replaced stay for jobs that still read
+    them, until `vacuum`; the table must be read by `table` and the scans then, which pass over them.
     """
     spark = df.sparkSession
     require_columns(df, ["time", *key])
     finish_pending(spark, path)
     payload = [c for c in df.columns if c not in key]
-    rank = version or F.struct(*[F.col(f"`{c}`") for c in payload])
+    rank = (
+        version_rank(df.columns, key, version)
+        if version
+        else F.struct(*[F.col(f"`{c}`") for c in payload])
+    )
     place = new_path(spark, "upsert")
     try:
         new = stage(with_month(latest_per_key(df, key, rank)), "upsert", place)
         # one value per month of the covered time span
         months = [r[0] for r in new.select(MONTH).distinct().collect()]
-        if not months and _exists(spark, path):
+        here = generations.exists(spark, path)
+        if not months and here:
             return
-        old = _data_files(spark, path, months) if _exists(spark, path) else []
+        old = _data_files(spark, path, months) if here else []
         rows = new
         if old:
             # The old rows need no shuffle where the new keys are few enough to be
             # broadcast, which Spark decides by their size.
             keys = new.select(*[F.col(f"`{k}`") for k in key])
-            kept = _read_files(spark, path, old).join(keys, list(key), "left_anti")
+            kept = generations.read_files(spark, path, old).join(keys, list(key), "left_anti")
             rows = kept.unionByName(new, allowMissingColumns=True)
-        _replace(rows, path, old)
+        _replace(rows, path, old, keep_old)
     finally:
         discard(spark, place)
 
@@ -332,17 +321,24 @@ def compact(
     key: Sequence[str],
     version: str,
     months: Sequence[date] | None = None,
+    keep_old: bool = False,
 ) -> None:
     """Rewrite months of an append-only table with the latest versions only.
 
     Rows appended while this runs stay as they are.  Readers that fold versions see the
-    same rows at every moment.
+    same rows at every moment.  `keep_old`: see `upsert`.
     """
     finish_pending(spark, path)
     old = _data_files(spark, path, months)
     if old:
-        rows = _read_files(spark, path, old)
-        _replace(latest_per_key(rows, [*key, MONTH], version), path, old)
+        rows = generations.read_files(spark, path, old)
+        rank = version_rank(rows.columns, key, version)
+        _replace(latest_per_key(rows, [*key, MONTH], rank), path, old, keep_old)
+
+
+def vacuum(spark: SparkSession, path: str, before: datetime) -> int:
+    """Delete the files that replacements have kept and that were retired before a time."""
+    return generations.vacuum(spark, path, before)
 
 
 def not_expired(
@@ -358,14 +354,14 @@ def expire(spark: SparkSession, path: str, now: datetime, days: int = 7) -> None
     finish_pending(spark, path)
     limit = now - timedelta(days=days)
     border = date(limit.year, limit.month, 1)
-    table = spark.read.parquet(path)
     months = [
         r[0]
-        for r in table.select(MONTH).where(F.col(MONTH) <= border).distinct().collect()
+        for r in table(spark, path).select(MONTH).where(F.col(MONTH) <= border).distinct().collect()
     ]
     if border in months:
         old = _data_files(spark, path, [border])
-        _replace(not_expired(_read_files(spark, path, old), now, days), path, old)
+        kept = not_expired(generations.read_files(spark, path, old), now, days)
+        _replace(kept, path, old)
     for month in months:
         if month < border:
             discard(spark, f"{path.rstrip('/')}/{MONTH}={month.isoformat()}")

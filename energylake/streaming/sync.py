@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import schemas
 from ..operators.reshape import points_to_readings, snapshot_points
 from ..options import SyncOptions
-from ..sources import tables
+from ..sources import generations, tables
 from ..sources.snapshots import snapshot_json, stream_snapshots
 
 VERSION = tables.VERSION
@@ -31,12 +31,15 @@ def start_readings_sync(
     options: SyncOptions | None = None,
     once: bool = True,
     status_path: str | None = None,
+    arrival: str | None = None,
 ) -> StreamingQuery | None:
     """Append a stream of readings; offsets advance only when a batch is written.
 
     Each micro-batch is appended with its number as version, so its cost does
     not depend on the size of the table, and a repeated batch adds rows that
-    scans fold into one: at-least-once writes, exact reads.  `tables.compact`
+    scans fold into one: at-least-once writes, exact reads.  Batches of a later checkpoint
+    have higher versions, though their numbers start again.  Rows of one batch keep their order: that of the
+    column `arrival`, where one is named, then that in which they were read.  `tables.compact`
     may rewrite months beside it.  With `status_path` every attempt leaves a row with the
     numbers of rows that were and were not written.  Nothing is started where the options
     say so.
@@ -45,9 +48,14 @@ def start_readings_sync(
     options.validate()
     if not options.enabled:
         return None
+    first = generations.epoch(readings.sparkSession, path, checkpoint) * tables.BATCHES
+    order = F.struct(
+        (F.col(arrival) if arrival else F.lit(None).cast("timestamp")).alias("arrived"),
+        F.monotonically_increasing_id().alias("row"),
+    )
 
     def report(batch: DataFrame, batch_id: int, ok: bool, done, failed, last) -> None:
-        row = [(batch_id, ok, done, failed, last)]
+        row = [(first + batch_id, ok, done, failed, last)]
         schema = (
             "batch_id long, ok boolean, records long, failed long, last_sync_time timestamp"
         )
@@ -60,7 +68,10 @@ def start_readings_sync(
             report(batch, batch_id, True, 0, 0, None)
             return
         seen = Observation()
-        rows = batch.withColumn(VERSION, F.lit(batch_id).cast("long")).observe(
+        numbered = batch.withColumns(
+            {VERSION: F.lit(first + batch_id).cast("long"), tables.ARRIVAL: order}
+        )
+        rows = (numbered.drop(arrival) if arrival else numbered).observe(
             seen,
             F.count(F.lit(1)).alias("records"),
             F.max("time").alias("last_sync_time"),
@@ -128,7 +139,9 @@ def synced_readings(
     site_id: str = "",
 ) -> DataFrame:
     """Readings as synced: the latest batch's value of every key of a range."""
-    return tables.folded(tables.time_range(spark.read.parquet(path), start, end, site_id))
+    return tables.folded(
+        tables.time_range(tables.table(spark, path), start, end, site_id)
+    )
 
 
 def sync_status(spark: SparkSession, status_path: str) -> DataFrame:
@@ -166,7 +179,8 @@ def drop_repeats(
     """Suppress repeats that arrive within `delay` of each other.
 
     A newer value of a reading is no repeat, and as the clock is that of arrival, no
-    row is too late.  The sync does without: its scans fold repeats.
+    row is too late.  A value that comes back after another one within `delay` counts as a repeat
+    here; `changes.changes_only` keeps it.  The sync does without: its scans fold repeats.
     """
     return (
         readings.withColumn("_arrived", F.current_timestamp())
@@ -191,12 +205,14 @@ def start_fan_out(
     that `stored_points` reads them once; files of JSON lines may hold repeats.
     """
     options = options or SyncOptions()
+    spark = snapshots.sparkSession
+    epoch = generations.epoch(spark, points_path, checkpoint) if points_path else 0
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
             if points_path:
-                version = F.lit(batch_id).cast("long")
+                version = F.lit(epoch * tables.BATCHES + batch_id).cast("long")
                 points = snapshot_points(batch).withColumn(VERSION, version)
                 tables.write_points(points, points_path)
             if callback:
