@@ -35,7 +35,7 @@ class CellMemory:
     def __init__(self, book: np.ndarray, memory: int = MEMORY) -> None:
         self.book = book
         # about one box per standard deviation of the entries
-        self.edge = max(1, int(book.std())) if len(book) else 1
+        self.edge = max(1, int(book.std())) if book.size else 1
         self.memory = memory
         self.known: dict[bytes, int] = {}
         self.candidates: list[np.ndarray] = []

@@ -25,6 +25,8 @@ from .grids import extent, filled, matrix, whole_vectors
 STEP = 4096
 #: iterations at most; the error is squared by each
 ROUNDS = 12
+#: corrections below this size: vectors are right but for clusters
+CLOSE = 1e-4
 #: eigenvalues below this share of the trace count as zero
 NOTHING = 1e-13
 
@@ -41,6 +43,8 @@ def _correction(a: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, f
     up to which eigenvalues are too close for it."""
     r = np.eye(x.shape[1], dtype=x.dtype) - x.T @ x
     s = x.T @ (a @ x)
+    # symmetric to the last bit: what rounding leaves then turns close vectors, but keeps them orthogonal
+    r, s = (r + r.T) / 2, (s + s.T) / 2
     values = np.diag(s) / (1 - np.diag(r))
     off = s - np.diag(values)
     norm = lambda m: float(np.linalg.norm(m.astype(np.float64), 2))
@@ -73,24 +77,26 @@ def _split(a: np.ndarray, x: np.ndarray, members: np.ndarray) -> np.ndarray:
 def refined(a: np.ndarray, x: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """Eigenvectors of the symmetric `a`, in its precision, from the rough ones `x`."""
     tiny = 4 * float(np.finfo(np.float64).eps) ** 1.1
+    whole = x.shape[1]
+    size = float(np.abs(a).max())
     was = np.inf
     for _ in range(rounds):
         e, values, gap = _correction(a, x)
         x = x + x @ e
         now = float(np.abs(e).max())
-        if now <= tiny or (now < 1e-12 and now >= was / 2):
-            break
-        was = now
-    e, values, gap = _correction(a, x)
-    whole = x.shape[1]
-    for members in _clusters(values.astype(np.float64), gap):
-        if len(members) < whole:
-            x[:, members] = _split(a, x, members)
-    for _ in range(3):
-        r = np.eye(whole, dtype=x.dtype) - x.T @ x
-        if float(np.abs(r).max()) <= tiny:
+        if now > CLOSE:
+            continue
+        turned = False
+        for members in _clusters(values.astype(np.float64), gap):
+            inner = x[:, members].T @ (a @ x[:, members])
+            left = float(np.abs(inner - np.diag(np.diag(inner))).max())
+            if len(members) < whole and left > tiny * size:
+                x[:, members] = _split(a, x, members)
+                turned = True
+        # at the precision of `a` corrections of close vectors no longer shrink
+        if not turned and (now <= tiny or now >= was / 2):
             break
-        x = x + x @ r / 2
+        was = np.inf if turned else now
     return x
 
 

@@ -1,0 +1,212 @@
+"""Mixing: targets, whole copies, words kept, and means."""
+
+import re
+from collections import defaultdict
+
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from energylake.llm import mixing
+
+from .conftest import CLASHING
+
+
+def words(text):
+    return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+
+
+def plain_targets(rows, weights=(3, 1, 2), share=1.5, most=2):
+    size = defaultdict(int)
+    for _, text, source in rows:
+        size[source] += words(text)
+    order = sorted((s for s in size if s is not None), key=lambda s: s.encode()) + [None] * (None in size)
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    open_, target = set(order), {}
+    left = share * sum(size.values())
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if weight[s] * level > most * size[s]}
+        if not full:
+            target |= {s: weight[s] * level for s in open_}
+            break
+        target |= {s: most * size[s] for s in full}
+        left -= sum(most * size[s] for s in full)
+        open_ -= full
+    return size, target
+
+
+def table(spark, rows, parts=3):
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for name in CLASHING[1:]:
+        df = df.withColumn(name, F.lit(None).cast("string"))
+    return df.withColumns({c: F.lit(1) for c in ("n", "copies", "target", "chunk", "item", "units")}).repartition(parts)
+
+
+def taken(spark, rows, parts=3, **options):
+    plan = mixing.per_row(mixing.plan_mix(table(spark, rows, parts), **options))
+    return sorted(((r.id, r.size, r.source_size, r.target, r.copies * r.size, r.source) for r in plan.collect()), key=str)
+
+
+def check(rows, got):
+    size, target = plain_targets(rows)
+    assert sorted(((i, n) for i, n, *_ in got), key=str) == sorted(((i, words(t)) for i, t, _ in rows), key=str)
+    mix = defaultdict(int)
+    for _, n, source_size, goal, take, source in got:
+        assert source_size == size[source]
+        assert goal == pytest.approx(target[source], rel=1e-9)
+        assert take <= 2 * n
+        assert take % n == 0 if n else take == 0
+        mix[source] += take
+    largest = max((n for _, n, *_ in got), default=0)
+    for source, goal in target.items():
+        assert abs(mix[source] - goal) < max(1, largest)
+    return mix
+
+
+def corpus(n, seed=0):
+    """Many sizes; one source holds a third."""
+    out = []
+    for i in range(n):
+        k = (i * 7919 + seed * 31) % 97 + 1 + (400 if i % 50 == 0 else 0)
+        source = "hot" if i % 3 == 0 else f"s{i % 11:02d}"
+        out.append((i, " ".join(["w"] * k), source))
+    return out
+
+
+def test_targets_and_words(spark):
+    rows = corpus(600)
+    check(rows, taken(spark, rows))
+
+
+def test_several_levels(spark, monkeypatch):
+    """Small groups, so that the tree has some levels; sources end near their targets all the same."""
+    monkeypatch.setattr(mixing, "GROUP", 4)
+    rows = corpus(900, 1)
+    check(rows, taken(spark, rows))
+
+
+def test_reruns_agree(spark):
+    rows = corpus(300)
+    once = taken(spark, rows)
+    assert once == taken(spark, rows, parts=7)
+    assert once != taken(spark, rows, seed=1)
+
+
+def test_the_hot_source_ends_close(spark):
+    rows = [(i, "w " * (i % 40 + 1 + 2000 * (i % 200 == 0)), "one") for i in range(2000)] + [
+        (5000 + i, "v " * (i % 5), s) for i in range(300) for s in ("two", "three")
+    ]
+    got = taken(spark, rows)
+    mix = check(rows, got)
+    _, target = plain_targets(rows)
+    # the last group holds whole documents, so less is missed than half the longest document
+    assert abs(mix["one"] - target["one"]) < 1000
+
+
+def test_means_are_kept(spark):
+    """Over many sources alike, every document is copied as often as its source's target says."""
+    sizes = [1, 2, 3, 50, 7, 7, 20]
+    rows = [(1000 * s + i, "w " * n, f"s{s:03d}") for s in range(360) for i, n in enumerate(sizes)]
+    size, target = plain_targets(rows)
+    sums, seen = defaultdict(int), defaultdict(int)
+    for i, n, _, _, take, source in taken(spark, rows):
+        place = (int(source[1:]) % 3, i % 1000)
+        sums[place] += take // n
+        seen[place] += 1
+    for (w, i), total in sums.items():
+        want = target[f"s{w:03d}"] / size[f"s{w:03d}"]
+        # five standard deviations of 120 draws
+        assert abs(total / seen[w, i] - want) <= 0.23, (w, i)
+
+
+def test_odd_rows(spark):
+    rows = [
+        (None, "a b c", "x"), (None, "a b c", "x"), (1, None, "x"), (1, "", None), (2, "one", None), (3, " \t ", "y"),
+        (4, "w " * 9000, "é"), (5, "twice the same", "y"), (5, "twice the same", "y"), (5, "twice the same", "y"),
+        (6, "twice the same", "y"), (7, "", "empty"), (8, "z", ""), (9, "漢字 words", "漢"), (10, "p q", "\U0001f642"),
+    ]
+    check(rows, taken(spark, rows))
+
+
+def test_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 10)
+    rows = [(1, "the same row", "a")] * 75 + corpus(150)
+    got = taken(spark, rows)
+    check(rows, got)
+    alike = [t for i, n, *_, t, s in got if (i, s) == (1, "a")]
+    assert len(alike) == 75 and max(alike) - min(alike) <= 3
+
+
+def test_empty_tables(spark):
+    assert taken(spark, []) == []
+    rows = [(1, None, "a"), (2, " ", None)]
+    assert [r[1:5] for r in taken(spark, rows)] == [(0, 0, 0.0, 0)] * 2
+
+
+def test_mixed_rows(spark):
+    """The documents themselves, with all their columns, as often as the plan says."""
+    rows = corpus(120) + [(7, "alike alike", "s01")] * 5 + [(None, None, None), (None, "x y", None)]
+    df = table(spark, rows)
+    got = defaultdict(int)
+    for r in mixing.mixed(df).collect():
+        assert set(r.asDict()) == set(df.columns)
+        got[r.doc_id, r.text, r.source] += 1
+    want = defaultdict(int)
+    by = defaultdict(list)
+    for i, t, s in rows:
+        by[i, s, xx(t)].append(t)
+    for r in mixing.plan_mix(df).collect():
+        t = by[r.id, r.source, r.text_hash][0]
+        want[r.id, t, r.source] += r.copies
+    assert dict(got) == {k: v for k, v in want.items() if v}
+
+
+def xx(text):
+    h = xxhash.xxh64_intdigest((text or "").encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def plain_chance(seed, *values):
+    """Hash of 32-bit seed and longs, as a number in [0, 1)."""
+    h = xxhash.xxh64_intdigest(int(seed).to_bytes(4, "little"), 42)
+    for v in values:
+        h = xxhash.xxh64_intdigest((v % (1 << 64)).to_bytes(8, "little"), h)
+    return (h >> 11) / (1 << 53)
+
+
+def test_duels_as_plain_code_would(spark):
+    """One group: the same documents win as in a plain loop over falling sizes."""
+    rows = [(i, "w " * (i * 37 % 50 + 1), "a") for i in range(60)] + [(100 + i, "w", "b") for i in range(900)]
+    size, target = plain_targets(rows)
+    p = target["a"] / size["a"]
+    assert 0 < p % 1 < 1
+    items = []
+    for i, t, s in rows:
+        if s == "a":
+            n = words(t)
+            tie = xxhash.xxh64_intdigest((42).to_bytes(4, "little"), 42)
+            for v in (i, xx(t), n):
+                tie = xxhash.xxh64_intdigest((v % (1 << 64)).to_bytes(8, "little"), tie)
+            items.append([-n, tie - (1 << 64) if tie >> 63 else tie, i, int(p), (p - int(p)) * n])
+    items.sort()
+    done, rest = {}, None
+    for b in items:
+        if rest is not None and 0 < rest[4] < -rest[0]:
+            a = rest
+            up, down = min(-a[0] - a[4], b[4]), min(a[4], -b[0] - b[4])
+            if plain_chance(44, a[1], b[1]) * (up + down) < down:
+                a[4], b[4] = (-a[0] if up == -a[0] - a[4] else a[4] + up), (0 if up == b[4] else b[4] - up)
+            else:
+                a[4], b[4] = (0 if down == a[4] else a[4] - down), (-b[0] if down == -b[0] - b[4] else b[4] + down)
+            if b[4] <= 0 or b[4] >= -b[0]:
+                loser, rest = b, a
+            else:
+                loser, rest = a, b
+        else:
+            loser, rest = rest, b
+        if loser is not None:
+            done[loser[2]] = loser[3] + (loser[4] > 0)
+    done[rest[2]] = rest[3] + (plain_chance(45, rest[1]) * -rest[0] < rest[4])
+    got = {i: take // n for i, n, *_, take, s in taken(spark, rows) if s == "a"}
+    assert got == done
