@@ -4,25 +4,25 @@ Rows with equal text form a group that never spans two shards.  Groups enter the
 packing in order of falling size, each into the open shard whose remaining room
 is the least that still holds it; the rooms lie in a balanced search tree.
 
-There can be billions of groups, so the driver never sees them one by one.  A
-group larger than a small share of a shard is an item of its own; there are at
-most `UNITS` of those per shard.  The others are put together by hash into at
-most `UNITS` bundles per shard.  Either number is bounded by the number of shards, not by the
-data, and the shards' sizes differ by about one bundle.
+There can be billions of groups, so the driver sees how many there are of each size, not the groups.
+Equal groups follow each other into the tightest shard until it holds no more, so one step places
+many, and the outcome is that of packing every group by itself.  Sizes that differ add up, so n bytes have at
+most sqrt(2 n) of them.  Groups of a size are numbered in parallel, and the number tells the shard.
 """
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import ceil_div, numbered
-
-#: items per shard that the packing may see of either kind
-UNITS = 512
+from .common import ceil_div, join_by_key, map_arrow, numbered
 
 
 @dataclass
@@ -105,36 +105,92 @@ def _tightest(node: _Node | None, size: int) -> tuple[int, int] | None:
     return found
 
 
-def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
-    """Bin of each size.  A size above the capacity gets a bin of its own."""
+def best_fit_runs(
+    histogram: dict[int, int], capacity: int, most: int | None = None
+) -> list[tuple[int, int, int]] | None:
+    """(size, number of the first, bin): where the groups of each size go, by their numbers.
+
+    A size above the capacity gets bins of its own.  None if more than `most` bins are needed.
+    """
     rooms: _Node | None = None
-    bins = [0] * len(sizes)
+    runs = []
     opened = 0
-    for item in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        found = _tightest(rooms, sizes[item])
-        if found is None:
-            found = (max(capacity, sizes[item]), opened)
-            opened += 1
-        else:
-            rooms = _remove(rooms, found)
-        bins[item] = found[1]
-        rooms = _insert(rooms, (found[0] - sizes[item], found[1]))
+    for size in sorted(histogram, reverse=True):
+        placed, all_of_size = 0, histogram[size]
+        while placed < all_of_size:
+            found = _tightest(rooms, size)
+            if found is None:
+                if opened == most:
+                    return None
+                found = (max(capacity, size), opened)
+                opened += 1
+            else:
+                rooms = _remove(rooms, found)
+            # what is left of the room is the tightest again as long as it holds one more
+            times = min(all_of_size - placed, found[0] // size) if size else all_of_size - placed
+            runs.append((size, placed, found[1]))
+            rooms = _insert(rooms, (found[0] - times * size, found[1]))
+            placed += times
+    return runs
+
+
+def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
+    """Bin of each size; of equal ones the first come first."""
+    starts, numbers, bins = defaultdict(list), Counter(), []
+    for size, first, b in best_fit_runs(Counter(sizes), capacity):
+        starts[size].append((first, b))
+    for size in sizes:
+        bins.append([b for first, b in starts[size] if first <= numbers[size]][-1])
+        numbers[size] += 1
     return bins
 
 
-def least_capacity(sizes: list[int], shards: int) -> int:
-    """The smallest capacity found by bisection with which `shards` bins are enough."""
-    low = max([ceil_div(sum(sizes), shards), *sizes])
-    high = ceil_div(sum(sizes), shards) + max(sizes, default=0)
+def least_capacity(histogram: dict[int, int], shards: int) -> int:
+    """The smallest capacity found with which `shards` bins are enough.
+
+    It lies little above an equal share as a rule, so steps from there grow until one is enough, then halve.
+    """
+    total = sum(size * n for size, n in histogram.items())
+    low = max([ceil_div(total, shards), *histogram])
+    step, high = 0, low
+    while best_fit_runs(histogram, high, shards) is None:
+        low, step = high + 1, max(1, 2 * step)
+        high += step
     while low < high:
         middle = (low + high) // 2
-        if max(best_fit_decreasing(sizes, middle), default=-1) < shards:
-            high = middle
-        else:
+        if best_fit_runs(histogram, middle, shards) is None:
             low = middle + 1
+        else:
+            high = middle
     return high
 
 
+def _assigned(groups: DataFrame, runs: list[tuple[int, int, int]]) -> DataFrame:
+    """`groups` (group, bytes, n, k) with the shard that the k-th group of its size goes to."""
+    table = np.array(sorted(runs) or [(0, 0, 0)], np.int64)
+    shared = groups.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, first, shard = shared.value.T
+        starts, where = np.unique(size, return_index=True)
+        ends = np.append(where[1:], len(size))
+        for batch in batches:
+            own = np.searchsorted(starts, batch.column("bytes").to_numpy())
+            k = batch.column("k").to_numpy()
+            # the last run of the size that starts at k or before, by halving
+            low, high = where[own], ends[own] - 1
+            while (low < high).any():
+                middle = (low + high + 1) // 2
+                fits = first[middle] <= k
+                low, high = np.where(fits, middle, low), np.where(fits, high, middle - 1)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("group"), batch.column("n"), pa.array(shard[low].astype(np.int32))],
+                ["group", "n", "shard"],
+            )
+
+    return map_arrow(groups, run, "group long, n long, shard int")
+
+
 def shard_documents(
     docs: DataFrame,
     shards: int | None = 8,
@@ -163,32 +219,22 @@ def shard_documents(
         ),
         "shard-rows",
     )
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    n = ceil_div(total, capacity) if capacity else shards
-    units = max(1, n) * UNITS
-    # groups of which each alone is more than a unit, at most `units` of them
-    groups = rows.groupBy("group").agg(F.sum("size").alias("bytes"))
-    bundle = F.pmod(F.col("group"), F.lit(units))
-    items = (
-        groups.withColumn("large", F.col("bytes") * units > total)
-        .groupBy("large", F.when(F.col("large"), F.col("group")).otherwise(bundle).alias("item"))
-        .agg(F.sum("bytes").alias("bytes"))
-        .collect()
+    groups = stage(
+        rows.groupBy("group").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")),
+        "shard-groups",
     )
-    items.sort(key=lambda r: (r.large, r.item))
-    sizes = [r.bytes for r in items]
-    bins = best_fit_decreasing(sizes, capacity or (least_capacity(sizes, n) if sizes else 1))
-    plan = spark.createDataFrame(
-        [(r.large, r.item, b) for r, b in zip(items, bins, strict=True)],
-        "large boolean, item long, shard int",
+    histogram = {
+        r.bytes: r.n for r in groups.groupBy("bytes").agg(F.count(F.lit(1)).alias("n")).collect()
+    }
+    room = capacity or (least_capacity(histogram, shards) if histogram else 1)
+    ranked = numbered(groups.withColumn("row_no", F.col("group")), ["bytes"], [], "k")
+    placed = stage(
+        _assigned(ranked.select("group", "bytes", "n", "k"), best_fit_runs(histogram, room)),
+        "shard-plan",
     )
-    large = plan.filter("large").select(F.col("item").alias("group"), "shard")
-    small = plan.filter("not large").select(F.col("item").alias("bundle"), "shard")
-    dealt = (
-        rows.join(F.broadcast(large.withColumnRenamed("shard", "own")), "group", "left")
-        .withColumn("bundle", bundle)
-        .join(F.broadcast(small.withColumnRenamed("shard", "shared")), "bundle", "left")
-        .select("id", "size", "crc", "row_no", F.coalesce("own", "shared").alias("shard"))
+    dealt = stage(
+        join_by_key(rows, placed, "group", "n").select("id", "size", "crc", "row_no", "shard"),
+        "shard-dealt",
     )
     return numbered(dealt, ["shard"], ["id"], "slot").select(
         F.col("id").alias(id_col),

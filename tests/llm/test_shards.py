@@ -2,7 +2,7 @@
 
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -47,11 +47,31 @@ def test_tree_stays_balanced():
 def test_least_capacity_is_enough():
     rng = random.Random(3)
     sizes = [rng.randint(1, 1000) for _ in range(500)]
-    capacity = shards.least_capacity(sizes, 8)
+    capacity = shards.least_capacity(Counter(sizes), 8)
     assert max(shards.best_fit_decreasing(sizes, capacity)) < 8
     assert capacity <= -(-sum(sizes) // 8) + 5
 
 
+def test_a_plan_on_a_histogram_is_that_of_single_groups(spark):
+    """Whatever the size of the table: every group is an item, large or small."""
+    rng = random.Random(9)
+    rows, text_of = [], {}
+    for i in range(3000):
+        text = f"text {rng.randint(0, 1500)} " + "x" * rng.choice([0, 3, 3, 3, 40, rng.randint(0, 300)])
+        rows.append((i, text))
+        text_of[i] = text
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = shards.shard_documents(df, shards=5).collect()
+    bytes_of, shard_of = defaultdict(int), {}
+    for r in got:
+        bytes_of[text_of[r.doc_id]] += r.size
+        assert shard_of.setdefault(text_of[r.doc_id], r.shard) == r.shard
+    sizes = sorted(bytes_of.values(), reverse=True)
+    room = shards.least_capacity(Counter(sizes), 5)
+    want = Counter(zip(sizes, simple_best_fit(sizes, room)))
+    assert Counter((n, shard_of[t]) for t, n in bytes_of.items()) == want
+
+
 def check(rows, text_of, n):
     """Whole rows, groups together, slots gapless."""
     slots = defaultdict(list)
