@@ -6,13 +6,12 @@ escape, estimated by the number of different symbols that did (method C), and is
 looked up in the next shorter context, where all symbols of the longer one are
 excluded from the counts.  Below the empty context all symbols left are equally likely.
 
-Counting is distributed and covers every byte of every training text.  The trie has all
-contexts of up to two bytes, and those longer ones that make up at least one part in `CONTEXTS` of
-all symbols; any other context is treated as one that was never seen.  So there
-are at most 257 ** 2 contexts of two bytes and `CONTEXTS` of each longer length, whatever the
-corpus: a proven bound for what the driver builds and every worker holds.  As the trained trie does not
-change while texts are scored, the code lengths of all symbols in all its contexts are worked out
-once.
+Every context that occurs in a training text is part of the model, at every size of the corpus.  The trie is
+a table for each length of context, partitioned by the context: a row for each symbol that followed, with
+the counts of symbol and context.  What an escape costs follows from sums over the context's own rows and
+those of the next shorter one.  A symbol that has followed its whole context needs no escape, so its code
+length stands in the longest table; the most frequent of those, up to a fixed number, travel to the workers as
+sorted arrays.  All other symbols of a text, with whatever contexts, are looked up by joins.
 
 Beside the model stands a smoothed unigram model of words.  Counts of the most frequent words
 travel to the workers, up to a fixed number of words; all rarer words are looked up by a join.
@@ -27,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
@@ -35,8 +34,8 @@ from .common import map_arrow
 
 #: bytes of context
 ORDER = 5
-#: a context of three or more bytes is kept if it stands before one in so many symbols
-CONTEXTS = 1 << 16
+#: symbols in context whose code lengths every worker holds; all others are looked up
+HOT = 1 << 22
 #: bytes, and the mark that begins and ends a text
 SYMBOLS = 257
 MARK = 256
@@ -123,125 +122,153 @@ def count_contexts(texts: DataFrame) -> DataFrame:
     )
 
 
-class Trie:
-    """Code lengths of all symbols in all contexts.
+def _low(column: Column | str, symbols: int) -> Column:
+    """The last symbols of a code."""
+    column = F.col(column) if isinstance(column, str) else column
+    return column.bitwiseAND((1 << BITS * symbols) - 1)
 
-    `pairs` has, for each number of context symbols from 0 to `ORDER`, codes of a context
-    followed by a symbol, and how often that was seen.  Node 0 is the empty context; the child of a
-    node by a symbol is the context with that symbol before it.  `starts` has the node of any two
-    symbols, `children` those of longer contexts; 0 where there is none.
-    """
 
-    def __init__(self, pairs: list[tuple[np.ndarray, np.ndarray]]):
-        contexts = [np.unique(codes >> BITS) for codes, _ in pairs]
-        first = np.cumsum([0, *[len(c) for c in contexts]])
-        symbols, counts, owners = [], [], []
-        for k, (codes, n) in enumerate(pairs):
-            order = np.argsort(codes)
-            owners.append(first[k] + np.searchsorted(contexts[k], codes[order] >> BITS))
-            symbols.append((codes[order] & (1 << BITS) - 1).astype(np.int32))
-            counts.append(n[order])
-        self._symbols, self._counts = np.concatenate(symbols), np.concatenate(counts)
-        self._bounds = np.searchsorted(np.concatenate(owners), np.arange(first[-1] + 1))
-        # the node of each context without its first symbol
-        parents = [np.zeros(len(contexts[0]), np.int64)]
-        for k in range(1, len(contexts)):
-            shorter = contexts[k] & (1 << BITS * (k - 1)) - 1
-            parents.append(first[k - 1] + np.searchsorted(contexts[k - 1], shorter))
-        self._parents = np.concatenate(parents)
-        self._link(contexts, first)
-        self.table = np.concatenate(
-            [
-                np.log10(self._blend(np.arange(i, min(first[k + 1], i + 2048)), k)).astype(np.float32)
-                for k in range(len(contexts))
-                for i in range(first[k], first[k + 1], 2048)
-            ]
-            or [np.full((1, SYMBOLS), -math.log10(SYMBOLS), np.float32)]
-        ).ravel()
-        del self._symbols, self._counts, self._bounds, self._parents
-
-    def _link(self, contexts: list[np.ndarray], first: np.ndarray) -> None:
-        self.pairs_from = first[2] if len(first) > 2 else 1
-        one = np.zeros(SYMBOLS, np.int32)
-        self.starts = np.zeros((SYMBOLS, SYMBOLS), np.int32)
-        inner = first[ORDER] if len(first) > ORDER else 1
-        self.children = np.zeros((max(1, inner - self.pairs_from), SYMBOLS), np.int32)
-        for k in range(1, len(contexts)):
-            nodes = np.arange(first[k], first[k + 1])
-            added = contexts[k] >> BITS * (k - 1)
-            if k == 1:
-                one[added] = nodes
-                self.starts[:] = one[:, None]
-            elif k == 2:
-                self.starts[contexts[k] & (1 << BITS) - 1, added] = nodes
-            else:
-                self.children[self._parents[nodes] - self.pairs_from, added] = nodes
-        self.starts, self.children = self.starts.ravel(), self.children.ravel()
-
-    def _rows(self, nodes: np.ndarray) -> np.ndarray:
-        """Counts of all symbols after each of the contexts."""
-        begin, size = self._bounds[nodes], self._bounds[nodes + 1] - self._bounds[nodes]
-        row = np.repeat(np.arange(len(nodes)), size)
-        place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size - begin, size)
-        out = np.zeros((len(nodes), SYMBOLS))
-        out[row, self._symbols[place]] = self._counts[place]
-        return out
-
-    def _blend(self, nodes: np.ndarray, order: int) -> np.ndarray:
-        """Probabilities of all symbols, from the whole context down to the empty one."""
-        out = np.zeros((len(nodes), SYMBOLS))
-        escape = np.ones(len(nodes))
-        excluded = np.zeros(out.shape, bool)
-        for _ in range(order + 1):
-            counts = self._rows(nodes)
-            left = np.where(excluded, 0, counts)
-            total, kinds = left.sum(axis=1), (left > 0).sum(axis=1)
-            # every symbol has been seen: there is nothing to escape to
-            whole = (excluded | (counts > 0)).all(axis=1)
-            weight = np.maximum(total + np.where(whole, 0, kinds), 1)
-            out += np.where(left > 0, escape[:, None] * left / weight[:, None], 0)
-            escape = np.where(kinds > 0, escape * np.where(whole, 0, kinds) / weight, escape)
-            excluded |= counts > 0
-            nodes = self._parents[nodes]
-        rest = (~excluded).sum(axis=1)
-        return out + np.where(excluded, 0, (escape / np.maximum(rest, 1))[:, None])
-
-    def lengths(self, stream: np.ndarray) -> np.ndarray:
-        """log10 probability of each symbol from place `ORDER` on."""
-        n = len(stream) - ORDER
-        node = self.starts[stream[ORDER - 1 : ORDER - 1 + n] * SYMBOLS + stream[ORDER - 2 : ORDER - 2 + n]]
-        live = np.flatnonzero(node >= self.pairs_from)
-        at = node[live]
-        for k in range(3, ORDER + 1):
-            at = self.children[(at - self.pairs_from) * SYMBOLS + stream[live + (ORDER - k)]]
-            found = at > 0
-            live, at = live[found], at[found]
-            node[live] = at
-        return self.table[node.astype(np.int64) * SYMBOLS + stream[ORDER:]]
-
-
-def train(texts: DataFrame, contexts: int = CONTEXTS) -> Trie:
-    """The model of column `text`.
-
-    The counts of a shorter context are sums of those of the longer ones that end with it.
+def _context(column: Column | str) -> Column:
+    return F.shiftright(column, BITS)
+
+
+def with_contexts(counts: DataFrame) -> DataFrame:
+    """(code, n, total, kinds): symbols after the code's context, and how many different ones."""
+    own = Window.partitionBy(_context("code"))
+    return counts.select(
+        "code", "n", F.sum("n").over(own).alias("total"), F.count(F.lit(1)).over(own).alias("kinds")
+    )
+
+
+def _weight(total: Column, kinds: Column, whole: Column) -> Column:
+    """What counts are shares of: the symbols, and one escape for each kind unless all symbols were seen."""
+    return total + F.when(whole, 0).otherwise(kinds)
+
+
+class Model:
+    """Tables of the trie, by length of context from 0 to `ORDER`.
+
+    `symbols[k]`: code of k + 1 symbols, n, total, kinds (see `with_contexts`).  `contexts[k]`, from 1 on: a
+    context of k symbols, its total and kinds, and those of the next shorter one with the symbols that followed the
+    longer one left out (`rest`, `rest_kinds`, `rest_whole`): what an escape from the context leads to.
     """
-    counts = stage(count_contexts(texts), "contexts")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    pairs = []
-    for k in range(ORDER, -1, -1):
-        kept = counts
-        if k > 2:
-            frequent = (
-                counts.groupBy(F.shiftright("code", BITS).alias("context"))
-                .agg(F.sum("n").alias("total"))
-                .filter(F.col("total") * contexts >= total)
+
+    def __init__(self, texts: DataFrame):
+        counts = stage(count_contexts(texts), "contexts")
+        self.symbols: list[DataFrame] = []
+        for k in range(ORDER, -1, -1):
+            table = stage(with_contexts(counts), f"symbols-{k}")
+            self.symbols.insert(0, table)
+            counts = table.groupBy(_low("code", k).alias("code")).agg(F.sum("n").alias("n"))
+        self.contexts: list[DataFrame | None] = [None]
+        for k in range(1, ORDER + 1):
+            shorter = self.symbols[k - 1].select(
+                F.col("code").alias("shorter"), F.col("n").alias("n_shorter"),
+                F.col("total").alias("total_shorter"), F.col("kinds").alias("kinds_shorter"),
+            )
+            # the symbols that followed the longer context: what an escape leaves out
+            table = self.symbols[k].withColumn("shorter", _low("code", k)).join(shorter, "shorter")
+            self.contexts.append(
+                stage(
+                    table.groupBy(_context("code").alias("context")).agg(
+                        F.first("total").alias("total"),
+                        F.first("kinds").alias("kinds"),
+                        (F.first("total_shorter") - F.sum("n_shorter")).alias("rest"),
+                        (F.first("kinds_shorter") - F.count(F.lit(1))).alias("rest_kinds"),
+                        (F.first("kinds_shorter") == SYMBOLS).alias("rest_whole"),
+                    ),
+                    f"contexts-{k}",
+                )
             )
-            kept = counts.join(frequent, F.shiftright("code", BITS) == F.col("context"), "left_semi")
-        found = kept.select("code", "n").toArrow()
-        pairs.insert(0, (found.column("code").to_numpy(), found.column("n").to_numpy()))
-        shorter = F.col("code").bitwiseAND((1 << BITS * k) - 1)
-        counts = counts.groupBy(shorter.alias("code")).agg(F.sum("n").alias("n"))
-    return Trie(pairs)
+        base = self.symbols[0].agg(F.first("total"), F.first("kinds")).first()
+        self.total, self.kinds = base[0] or 0, base[1] or 0
+
+    def hot(self, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Codes and code lengths (log10) of the most frequent symbols in context, sorted by code."""
+        table = self.symbols[ORDER]
+        least = least_count(table, most)
+        if least is None:
+            return np.zeros(0, np.int64), np.zeros(0, np.float32)
+        weight = _weight(F.col("total"), F.col("kinds"), F.col("kinds") == SYMBOLS)
+        found = (
+            table.filter(F.col("n") >= least)
+            .select("code", F.log10(F.col("n") / weight).cast("float").alias("length"))
+            .toArrow()
+        )
+        codes, lengths = found.column("code").to_numpy(), found.column("length").to_numpy()
+        order = np.argsort(codes)
+        return codes[order], lengths[order]
+
+    def lengths(self, codes: DataFrame) -> DataFrame:
+        """(code, length): log10 probability of the last symbol of each code after the others."""
+        rows = codes.select("code").distinct()
+        for k in range(ORDER, -1, -1):
+            seen = self.symbols[k].select(F.col("code").alias("_code"), F.col("n").alias(f"n{k}"))
+            rows = rows.join(seen, _low("code", k + 1) == F.col("_code"), "left").drop("_code")
+            if k:
+                facts = self.contexts[k].select(
+                    F.col("context").alias("_context"),
+                    *[F.col(c).alias(f"{c}{k}") for c in ("total", "kinds", "rest", "rest_kinds", "rest_whole")],
+                )
+                own = _low(_context("code"), k)
+                rows = rows.join(facts, own == F.col("_context"), "left").drop("_context")
+        paid, found = F.lit(0.0), F.lit(None).cast("double")
+        for k in range(ORDER, -1, -1):
+            if k:
+                total, kinds = F.col(f"total{k}"), F.col(f"kinds{k}")
+            else:
+                total, kinds = F.lit(self.total), F.lit(self.kinds)
+            whole = kinds == SYMBOLS
+            if k < ORDER:
+                longer = F.col(f"total{k + 1}").isNotNull()
+                whole = F.when(longer, F.col(f"rest_whole{k + 1}")).otherwise(whole)
+                total = F.when(longer, F.col(f"rest{k + 1}")).otherwise(total)
+                kinds = F.when(longer, F.col(f"rest_kinds{k + 1}")).otherwise(kinds)
+            weight = _weight(total, kinds, whole)
+            here = paid + F.log10(F.col(f"n{k}") / weight)
+            found = F.coalesce(found, F.when(F.col(f"n{k}").isNotNull(), here))
+            # without symbols of its own a context is passed over
+            paid = paid + F.when(kinds > 0, F.log10(kinds / weight)).otherwise(0.0)
+        unseen = paid - math.log10(max(1, SYMBOLS - self.kinds))
+        return rows.select("code", F.coalesce(found, unseen).alias("length"))
+
+
+def least_count(counts: DataFrame, most: int) -> int | None:
+    """The least count of which at most `most` rows of column `n` have as much or more; None if there is none."""
+    # bins of counts, eight to an octave: a few hundred rows
+    level = F.floor(F.log2("n") * 8)
+    bins = sorted(
+        counts.groupBy(level.alias("bin")).agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("n")).collect(),
+        key=lambda r: -r.bin,
+    )
+    total, least = 0, None
+    for row in bins:
+        total += row.rows
+        if total > most:
+            break
+        least = row.n
+    return least
+
+
+def sums_of(
+    texts: pa.Array, codes: np.ndarray, lengths: np.ndarray
+) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """For each text the sum of the known code lengths, and the codes that are not known, with their numbers."""
+    scores, rare, times = [], [], []
+    for stream, first, last in symbol_stream(texts):
+        own, back = np.unique(codes_of(stream), return_inverse=True)
+        at = np.minimum(np.searchsorted(codes, own), max(0, len(codes) - 1))
+        known = codes[at] == own if len(codes) else np.zeros(len(own), bool)
+        length = np.where(known, lengths[at], 0).astype(np.float64) if len(codes) else np.zeros(len(own))
+        # from each text's first symbol to the mark after its end mark
+        bounds = np.stack([first, last], axis=1).ravel() - ORDER
+        scores.append(np.add.reduceat(length[back], bounds)[::2])
+        left = ~known[back]
+        for a, b in zip(first - ORDER, last - ORDER, strict=True):
+            c, n = np.unique(own[back[a:b][left[a:b]]], return_counts=True)
+            rare.append(c)
+            times.append(n)
+    return np.concatenate(scores) if scores else np.zeros(0), rare, times
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -271,18 +298,7 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 def frequent_words(counts: DataFrame, most: int = FREQUENT) -> dict[bytes, int]:
     """All words above some count; the count is the least for which they are at most `most`."""
-    # bins of counts, eight to an octave: a few hundred rows
-    level = F.floor(F.log2("n") * 8)
-    bins = sorted(
-        counts.groupBy(level.alias("bin")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("n")).collect(),
-        key=lambda r: -r.bin,
-    )
-    total, least = 0, None
-    for row in bins:
-        total += row.words
-        if total > most:
-            break
-        least = row.n
+    least = least_count(counts, most)
     if least is None:
         return {}
     found = counts.filter(F.col("n") >= least).toArrow()
@@ -315,17 +331,13 @@ def score(
     weight = math.log10(n + 0.5 * (v + 1))
     known = frequent_words(counts)
     shared_words = spark.sparkContext.broadcast(known)
-    shared_trie = spark.sparkContext.broadcast(train(training))
+    model = Model(training)
+    shared_codes = spark.sparkContext.broadcast(model.hot(HOT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, trie = shared_words.value, shared_trie.value
+        frequent, (codes, lengths) = shared_words.value, shared_codes.value
         for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
-            scores = []
-            for stream, first, last in symbol_stream(batch.column("text")):
-                lengths = trie.lengths(stream).astype(np.float64)
-                # from each text's first symbol to the mark after its end mark
-                bounds = np.stack([first, last], axis=1).ravel() - ORDER
-                scores.append(np.add.reduceat(lengths, bounds)[::2])
+            scores, rare_codes, code_times = sums_of(batch.column("text"), codes, lengths)
             tokens, sure, base, rare, times = [], [], [], [], []
             for text in batch.column("text"):
                 own = Counter(words_of(text.as_py()))
@@ -343,23 +355,28 @@ def score(
             columns = [
                 batch.column("id"), batch.column("held_out"), pa.array(tokens, pa.int64()),
                 pa.array(sure, pa.int64()), pa.array(base, pa.float64()),
-                pa.array(np.concatenate(scores) if scores else np.zeros(0)),
+                pa.array(scores),
                 pa.array(rare, pa.list_(pa.binary())).cast(pa.list_(pa.string())),
                 pa.array(times, pa.list_(pa.int64())),
+                pa.array(rare_codes, pa.list_(pa.int64())),
+                pa.array(code_times, pa.list_(pa.int64())),
+            ]
+            names = [
+                "id", "held_out", "n_tokens", "sure", "base", "score", "rare", "times",
+                "rare_codes", "code_times",
             ]
-            names = ["id", "held_out", "n_tokens", "sure", "base", "score", "rare", "times"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = (
         f"id {kind}, held_out boolean, n_tokens long, sure long, base double, score double, "
-        "rare array<string>, times array<long>"
+        "rare array<string>, times array<long>, rare_codes array<long>, code_times array<long>"
     )
     scored = stage(
         map_arrow(rows, run, schema).withColumn("row_no", F.monotonically_increasing_id()), "scored"
     )
     shared_words.unpersist()
-    shared_trie.unpersist()
+    shared_codes.unpersist()
     least = F.lit(min(known.values(), default=1 << 62))
     looked_up = (
         scored.select("row_no", F.explode(F.arrays_zip("rare", "times")).alias("x"))
@@ -373,12 +390,23 @@ def score(
             ).alias("rest"),
         )
     )
-    return scored.drop("rare", "times").join(looked_up, "row_no", "left").select(
+    pairs = scored.select("row_no", F.explode(F.arrays_zip("rare_codes", "code_times")).alias("x")).select(
+        "row_no", F.col("x.rare_codes").alias("code"), F.col("x.code_times").alias("times")
+    )
+    rare_lengths = stage(model.lengths(pairs), "rare-lengths")
+    more_score = (
+        pairs.join(rare_lengths, "code")
+        .groupBy("row_no")
+        .agg(F.sum(F.col("times") * F.col("length")).alias("more_score"))
+    )
+    whole = scored.drop("rare", "times", "rare_codes", "code_times")
+    whole = whole.join(looked_up, "row_no", "left").join(more_score, "row_no", "left")
+    return whole.select(
         F.col("id").alias(id_col),
         "held_out",
         "n_tokens",
         (F.col("sure") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )

@@ -1,6 +1,7 @@
 """Scores by prediction by partial matching, against a plain trie."""
 
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -13,21 +14,20 @@ from energylake.llm import ppm
 from .conftest import ODD
 
 
-def plain_trie(texts, contexts):
+def plain_trie(texts):
+    """Every context of every length, whatever its count."""
     counts = [Counter() for _ in range(ppm.ORDER + 1)]
-    total = 0
     for t in texts:
         s = [256] * ppm.ORDER + list((t or "").encode()) + [256]
-        total += len(s) - ppm.ORDER
         for i in range(ppm.ORDER, len(s)):
             for k in range(ppm.ORDER + 1):
                 counts[k][tuple(s[i - k : i + 1])] += 1
     trie = []
-    for k, found in enumerate(counts):
+    for found in counts:
         nodes = {}
         for g, n in found.items():
             nodes.setdefault(g[:-1], {})[g[-1]] = n
-        trie.append({c: d for c, d in nodes.items() if k < 3 or sum(d.values()) * contexts >= total})
+        trie.append(nodes)
     return trie
 
 
@@ -52,17 +52,53 @@ def plain_score(trie, text):
 TRAIN = ["abracadabra", "abc", "", None, "banane é", "xyx" * 5, "abrakadabra abrac", "the then there the"] * 2
 
 
-@pytest.mark.parametrize("contexts", [1 << 16, 30])
-def test_lengths(spark, contexts):
+def code(symbols):
+    out = 0
+    for x in symbols:
+        out = out << ppm.BITS | x
+    return out
+
+
+def test_lengths(spark):
+    """All symbols after contexts that were seen, in part or not at all."""
     df = spark.createDataFrame([(t,) for t in TRAIN], "text string").repartition(3)
-    trie = ppm.train(df.fillna(""), contexts)
-    sums = (10 ** trie.table.reshape(-1, ppm.SYMBOLS).astype(float)).sum(axis=1)
-    assert abs(sums - 1).max() < 1e-5
-    plain = plain_trie(TRAIN, contexts)
-    for text in ["abrac", "zzé", "", "ban", "the there", "abracadabra"]:
-        ((stream, first, last),) = ppm.symbol_stream(pa.array([text]))
-        own = trie.lengths(stream)[first[0] - ppm.ORDER : last[0] - ppm.ORDER].sum()
-        assert own == pytest.approx(plain_score(plain, text), abs=1e-4)
+    model = ppm.Model(df.fillna(""))
+    plain = plain_trie(TRAIN)
+    contexts = [list(b"abrac"), list(b"zzabr"), list(b"zzzzz"), [256] * 5, [256, 256, *b"the"], list(b" then")]
+    wanted = {code([*c, x]): math.log10(plain_probability(plain, c, x)) for c in contexts for x in range(257)}
+    rows = spark.createDataFrame([(c,) for c in wanted], "code long")
+    got = {r.code: r.length for r in model.lengths(rows).collect()}
+    assert got == pytest.approx(wanted, abs=1e-9)
+    for c in contexts:
+        assert sum(10 ** got[code([*c, x])] for x in range(257)) == pytest.approx(1)
+
+
+def test_a_context_that_all_symbols_followed(spark):
+    """There is nothing to escape to, so nothing is kept back for it."""
+    texts = ["".join("ab" + chr(x) for x in range(128)), "abab" * 3]
+    symbols = spark.createDataFrame([(code([97, x]), 1 + x % 3) for x in range(257)], "code long, n long")
+    whole = ppm.with_contexts(symbols).first()
+    assert (whole.kinds, whole.total) == (257, sum(1 + x % 3 for x in range(257)))
+    model = ppm.Model(spark.createDataFrame([(t,) for t in texts], "text string"))
+    plain = plain_trie(texts)
+    for c in ([97, 98, 97, 98, 97], [1, 1, 1, 97, 98]):
+        rows = spark.createDataFrame([(code([*c, x]),) for x in range(257)], "code long")
+        got = {r.code & 511: r.length for r in model.lengths(rows).collect()}
+        assert got == pytest.approx({x: math.log10(plain_probability(plain, c, x)) for x in range(257)}, abs=1e-9)
+
+
+@pytest.mark.parametrize("hot", [0, 20, 1 << 22])
+def test_scores_do_not_depend_on_what_the_workers_hold(odd, monkeypatch, hot):
+    monkeypatch.setattr(ppm, "HOT", hot)
+    compare(odd, ODD)
+
+
+def test_every_context_counts(spark, monkeypatch):
+    """More contexts than the workers hold, most of them seen once: none is passed over."""
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choice("abcdefghij ") for _ in range(300))) for i in range(60)]
+    monkeypatch.setattr(ppm, "HOT", 100)
+    compare(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), rows)
 
 
 def test_streams_cut_nothing(monkeypatch):
@@ -92,7 +128,7 @@ def expected(rows):
             docs += 1
     n, v = sum(counts.values()) + docs, len(counts) + (docs > 0)
     counts[None] = docs
-    trie = plain_trie([t for i, t in rows if not held(i)], ppm.CONTEXTS)
+    trie = plain_trie([t for i, t in rows if not held(i)])
     out = []
     for i, t in rows:
         words = [*(t or "").encode().lower().split(), None]
@@ -108,10 +144,6 @@ def compare(df, rows):
         assert g[5:] == pytest.approx(w[5:], rel=1e-5, abs=1e-3)
 
 
-def test_odd_rows(odd):
-    compare(odd, ODD)
-
-
 def test_all_but_the_most_frequent_words_are_looked_up(odd, monkeypatch):
     monkeypatch.setattr(ppm.frequent_words, "__defaults__", (4,))
     compare(odd, ODD)
