@@ -12,6 +12,7 @@ content (menus, forms, scripts, comments and the like) are left out before.
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import re
 from collections.abc import Iterator
@@ -87,23 +88,121 @@ TAG = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*>?", re.I) for name in RAW}
 NAME_WORD = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 
 
-@dataclass
+@dataclass(eq=False)
 class Element:
     name: str
     parent: Element | None
     dropped: bool
     article: bool = False
-    path: str = ""
-    #: whether its text decides if it is content
-    doubtful: bool = False
+    #: number of its tag path; element and path of text blocks go by the innermost block element
+    path: int = 0
+    #: elements around it
+    depth: int = 0
+    #: the innermost part around it whose text decides if it is content
+    part: Part | None = None
+    #: the outermost article element around it
+    top_article: Element | None = None
     #: text of content paths inside
     mass: float = 0.0
 
 
+@dataclass(eq=False)
+class Part:
+    """A part in doubt, and what its text amounts to."""
+
+    name: str
+    outer: Part | None
+    #: whether no part around it, itself included, is in doubt by its name
+    only_forms: bool
+    chars: int = 0
+    linked: int = 0
+    prose: int = 0
+    paragraphs: int = 0
+    gone: bool = False
+
+
+class Paths:
+    """Tag paths from the root, each a number: one for every pair of a path and a tag below it."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[tuple[int, str], int] = {}
+        self.steps: list[tuple[int, str]] = [(0, "")]
+
+    def below(self, path: int, name: str) -> int:
+        number = self.numbers.get((path, name))
+        if number is None:
+            number = self.numbers[path, name] = len(self.steps)
+            self.steps.append((path, name))
+        return number
+
+    def text(self, path: int) -> str:
+        names = []
+        while path:
+            path, name = self.steps[path]
+            names.append(name)
+        return "".join(f"/{name}" for name in reversed(names))
+
+
 @dataclass
+class Page:
+    """Blocks in page order, elements in order of their opening tags, and paths."""
+
+    blocks: list[Block] = field(default_factory=list)
+    elements: list[Element] = field(default_factory=list)
+    parts: list[Part] = field(default_factory=list)
+    paths: Paths = field(default_factory=Paths)
+
+
+class Open:
+    """The elements that are open, with the places of each name among them."""
+
+    def __init__(self, root: Element) -> None:
+        self.stack = [root]
+        self.places: dict[str, list[int]] = {}
+        self.blocks = [0]
+
+    def push(self, element: Element) -> None:
+        self.places.setdefault(element.name, []).append(len(self.stack))
+        if element.name in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(element)
+
+    def cut(self, depth: int) -> list[Element]:
+        """Close all from a depth on; those that were closed."""
+        closed = self.stack[depth:]
+        del self.stack[depth:]
+        for element in closed:
+            self.places[element.name].pop()
+        while self.blocks[-1] >= depth:
+            self.blocks.pop()
+        return closed
+
+    def last(self, name: str) -> int:
+        """Place of the innermost open element of a name, 0 without one."""
+        places = self.places.get(name)
+        return places[-1] if places else 0
+
+    def outermost(self, names: set[str], bounds: set[str]) -> int:
+        """The outermost of `names` inside the innermost of `bounds`, 0 without one."""
+        bound = max(map(self.last, bounds))
+        found = []
+        for name in names:
+            places = self.places.get(name)
+            if places and places[-1] > bound:
+                found.append(places[bisect.bisect_right(places, bound)])
+        return min(found, default=0)
+
+    @property
+    def holder(self) -> Element:
+        """The innermost block element."""
+        return self.stack[self.blocks[-1]]
+
+
+@dataclass(eq=False)
 class Block:
     element: Element
     parts: list[str] = field(default_factory=list)
@@ -153,87 +252,85 @@ def _unwanted(name: str, rest: str, inside_article: bool) -> float:
     return min(found, 0.5) if wanted else found
 
 
-def _decided(blocks: list[Block]) -> list[Block]:
-    """`blocks` without those of doubtful parts that do not read like the rest of the page.
+def _decided(page: Page) -> list[Block]:
+    """The page's blocks without those of doubtful parts that do not read like the rest of the page.
 
     A form stays if it holds most of the page's text.  Any other part stays if less than half of its text
     is linked and its blocks, headings left out, are at least half as long as those beyond doubt.
     """
-    parts: dict[int, tuple[Element, list[Block]]] = {}
+    if not page.parts:
+        return page.blocks
     sure = []
-    for b in blocks:
-        element, doubted = b.element, False
-        while element:
-            if element.doubtful:
-                parts.setdefault(id(element), (element, []))[1].append(b)
-                doubted |= element.name != "form"
-            element = element.parent
-        if not doubted and b.element.name not in HEADINGS:
+    for b in page.blocks:
+        part, prose = b.element.part, b.element.name not in HEADINGS
+        if part:
+            part.chars += len(b.text)
+            part.linked += min(b.linked, len(b.text))
+            part.prose += len(b.text) * prose
+            part.paragraphs += prose
+        if prose and (part is None or part.only_forms):
             sure.append(len(b.text))
-    if not parts:
-        return blocks
-    whole = sum(len(b.text) for b in blocks)
+    # parts stand in the order of their tags, so inner ones come after outer ones
+    for part in reversed(page.parts):
+        if part.outer:
+            part.outer.chars += part.chars
+            part.outer.linked += part.linked
+            part.outer.prose += part.prose
+            part.outer.paragraphs += part.paragraphs
+    whole = sum(len(b.text) for b in page.blocks)
     usual = sum(sure) / len(sure) if sure else 0.0
-    gone = set()
-    for element, held in parts.values():
-        chars = sum(len(b.text) for b in held)
-        if element.name == "form":
-            keep = 2 * chars > whole
+    for part in page.parts:
+        if part.name == "form":
+            keep = 2 * part.chars > whole
         else:
-            prose = [len(b.text) for b in held if b.element.name not in HEADINGS]
-            linked = sum(min(b.linked, len(b.text)) for b in held)
-            keep = 2 * linked < chars and bool(prose) and sum(prose) / len(prose) >= THRESHOLD * usual
-        if not keep:
-            gone.update(id(b) for b in held)
-    return [b for b in blocks if id(b) not in gone]
+            keep = (
+                2 * part.linked < part.chars
+                and part.paragraphs > 0
+                and part.prose / part.paragraphs >= THRESHOLD * usual
+            )
+        part.gone = not keep or bool(part.outer and part.outer.gone)
+    return [b for b in page.blocks if not (b.element.part and b.element.part.gone)]
 
 
-def blocks_of(page: str) -> list[Block]:
+def read_page(source: str) -> Page:
     """Blocks of text in page order, without those that are never content."""
     root = Element("#root", None, False)
-    stack = [root]
-    blocks: list[Block] = []
+    page = Page(elements=[root])
+    opened = Open(root)
     current: Block | None = None
     links = 0
 
     def add(text: str) -> None:
         nonlocal current
-        top = stack[-1]
-        if top.dropped or not text:
+        if opened.stack[-1].dropped or not text:
             return
         text = entities.unescape(text)
         if current is None:
             if text.isspace():
                 return
-            holder = next(e for e in reversed(stack) if e.name in BLOCK or e is root)
-            current = Block(holder)
-            blocks.append(current)
+            current = Block(opened.holder)
+            page.blocks.append(current)
         current.parts.append(text)
         if links:
             current.linked += len(text)
 
     def pop_to(depth: int) -> None:
         nonlocal current, links
-        if any(e.name in BLOCK for e in stack[depth:]):
-            current = None
-        links -= sum(e.name == "a" for e in stack[depth:])
-        del stack[depth:]
+        for element in opened.cut(depth):
+            links -= element.name == "a"
+            if element.name in BLOCK:
+                current = None
 
     def close(names: set[str], bounds: set[str]) -> None:
         """End the innermost-first run of `names`, not beyond an element of `bounds`."""
-        deepest = None
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in bounds:
-                break
-            if stack[i].name in names:
-                deepest = i
-        if deepest:
-            pop_to(deepest)
+        outermost = opened.outermost(names, bounds)
+        if outermost:
+            pop_to(outermost)
 
     at = 0
     while True:
-        found = TAG.search(page, at)
-        add(page[at : found.start() if found else len(page)])
+        found = TAG.search(source, at)
+        add(source[at : found.start() if found else len(source)])
         if not found:
             break
         at = found.end()
@@ -243,10 +340,8 @@ def blocks_of(page: str) -> list[Block]:
         name = name.lower()
         rest = found["rest"] or found["rest2"] or ""
         if found["end"] or found["end2"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    pop_to(i)
-                    break
+            if opened.last(name):
+                pop_to(opened.last(name))
             continue
         if name == "br":
             add(" ")
@@ -259,26 +354,37 @@ def blocks_of(page: str) -> list[Block]:
         if name in VOID:
             continue
         if name in RAW:
-            end = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            end = RAW_END[name].search(source, at)
+            at = end.end() if end else len(source)
             continue
-        parent = stack[-1]
+        parent = opened.stack[-1]
         inside = parent.article or name in ("article", "main")
         unwanted = _unwanted(name, rest, inside)
-        control = name in ("label", "legend") and any(e.name == "form" for e in stack)
-        dropped = parent.dropped or unwanted == 1 or control
-        element = Element(name, parent, dropped, inside, doubtful=unwanted == 0.5)
-        element.path = f"{parent.path}/{name}" if name in BLOCK else parent.path
-        stack.append(element)
+        control = name in ("label", "legend") and opened.last("form") > 0
+        element = Element(
+            name, parent, parent.dropped or unwanted == 1 or control, inside,
+            page.paths.below(parent.path, name) if name in BLOCK else parent.path,
+            parent.depth + 1, parent.part, parent.top_article,
+        )
+        if unwanted == 0.5:
+            outer = parent.part
+            element.part = Part(name, outer, name == "form" and (outer is None or outer.only_forms))
+            page.parts.append(element.part)
+        if name == "article" and element.top_article is None:
+            element.top_article = element
+        page.elements.append(element)
+        opened.push(element)
         links += name == "a"
-    for block in blocks:
+    for block in page.blocks:
         block.text = " ".join("".join(block.parts).split())
-    return _decided([b for b in blocks if b.text])
+    page.blocks = [b for b in page.blocks if b.text]
+    page.blocks = _decided(page)
+    return page
 
 
-def path_scores(blocks: list[Block]) -> dict[str, float]:
+def path_scores(blocks: list[Block]) -> dict[int, float]:
     """Smoothed and fused ratio of every path."""
-    sums: dict[str, np.ndarray] = {}
+    sums: dict[int, np.ndarray] = {}
     for b in blocks:
         row = (1, len(b.text), len(PUNCTUATION.findall(b.text)), min(b.linked, len(b.text)))
         sums[b.element.path] = sums.get(b.element.path, np.zeros(4)) + row
@@ -290,7 +396,7 @@ def path_scores(blocks: list[Block]) -> dict[str, float]:
     padded = np.pad(own, len(SMOOTHING), mode="edge")
     weights = np.array([*reversed(SMOOTHING), 1.0, *SMOOTHING])
     smooth = np.convolve(padded, weights / weights.sum(), mode="valid")
-    total: dict[str, list[float]] = {}
+    total: dict[int, list[float]] = {}
     for b, s in zip(blocks, smooth, strict=True):
         total.setdefault(b.element.path, []).append(float(s))
     return {path: sum(v) / len(v) for path, v in total.items()}
@@ -305,75 +411,52 @@ def _content(blocks: list[Block]) -> list[Block]:
     return [b for b in blocks if b.score >= THRESHOLD * mean]
 
 
-def _main_element(content: list[Block]) -> Element:
+def _main_element(content: list[Block], elements: list[Element]) -> Element:
     """The element that is the main content."""
-    whole = 0.0
-    for b in content:
-        mass = len(b.text) * b.score
-        whole += mass
-        element = b.element
-        while element:
-            element.mass += mass
-            element = element.parent
-    seen: dict[int, tuple[int, Element]] = {}
     for b in content:
-        chain, element = [], b.element
-        while element:
-            chain.append(element)
-            element = element.parent
-        for depth, e in enumerate(reversed(chain)):
-            seen[id(e)] = (depth, e)
-    named = [(e.mass, d, e) for d, e in seen.values() if e.name in ("article", "main")]
+        b.element.mass += len(b.text) * b.score
+    # elements stand in the order of their tags, so inner ones come after outer ones
+    for e in reversed(elements):
+        if e.parent:
+            e.parent.mass += e.mass
+    whole = elements[0].mass
+    named = [e for e in elements if e.mass and e.name in ("article", "main")]
     if named:
         # the innermost of those that hold most
-        most = max(m for m, _, _ in named)
+        most = max(e.mass for e in named)
         if most >= 0.5 * whole:
-            return max((x for x in named if x[0] >= 0.8 * most), key=lambda x: x[1])[2]
-    holders = [(d, e) for d, e in seen.values() if e.mass >= HELD * whole]
-    depth, element = max(holders, key=lambda x: x[0])
+            return max((e for e in named if e.mass >= 0.8 * most), key=lambda e: e.depth)
+    element = max((e for e in elements if e.mass >= HELD * whole), key=lambda e: e.depth)
     # a single paragraph is not yet the whole article
     while element.parent and element.name not in ("div", "section", "td", "body", "html", "#root", "main", "article"):
         element = element.parent
     return element
 
 
-def _within(block: Block, names: tuple[str, ...]) -> Element | None:
-    """The outermost element of these names around a block."""
-    found, element = None, block.element
-    while element:
-        if element.name in names:
-            found = element
-        element = element.parent
-    return found
-
-
 def extract(page: str | None) -> str:
     """Main text: blocks in page order, one per line."""
-    blocks = blocks_of(page or "")
+    read = read_page(page or "")
+    blocks = read.blocks
     if not blocks:
         return ""
     content = _content(blocks)
-    main = _main_element(content)
+    main = _main_element(content, read.elements)
     named = main.name in ("article", "main")
-
-    def inside(element: Element | None) -> bool:
-        while element:
-            if element is main:
-                return True
-            element = element.parent
-        return False
-
-    held = {id(b): inside(b.element) for b in blocks}
+    inside = {id(main)}
+    for e in read.elements:
+        if id(e.parent) in inside:
+            inside.add(id(e))
+    held = {id(b): id(b.element) in inside for b in blocks}
     # other articles with the same paths as the main one: the threshold holds for their text ratio
     sizes: dict[int, list[int]] = {}
     for b in content:
-        other = None if held[id(b)] else _within(b, ("article",))
+        other = None if held[id(b)] else b.element.top_article
         sizes.setdefault(id(other) if other else 0, []).append(len(b.text))
     own = [len(b.text) for b in content if held[id(b)]]
     usual = sum(own) / len(own)
     teasers = {k for k, v in sizes.items() if k and sum(v) / len(v) < THRESHOLD * usual}
     chosen = {
-        id(b) for b in content if held[id(b)] or id(_within(b, ("article",))) not in teasers
+        id(b) for b in content if held[id(b)] or id(b.element.top_article) not in teasers
     }
     for b in blocks:
         # in an element that is no article, blocks below the threshold may be lists of links
@@ -381,7 +464,7 @@ def extract(page: str | None) -> str:
             chosen.add(id(b))
     after = False
     for b in reversed(blocks):
-        if b.element.name in HEADINGS and after and id(_within(b, ("article",))) not in teasers:
+        if b.element.name in HEADINGS and after and id(b.element.top_article) not in teasers:
             chosen.add(id(b))
         after = id(b) in chosen
     return "\n".join(b.text for b in blocks if id(b) in chosen)

@@ -85,8 +85,8 @@ def test_names_of_parts(name):
 
 def test_link_lists_score_low():
     body = "".join(f"<td><a href='/{i}'>Some link, to a page.</a></td>" for i in range(20))
-    blocks = html.blocks_of(page(f"<table><tr>{body}</tr></table><div>{article(PARAGRAPH, PARAGRAPH)}</div>"))
-    scores = html.path_scores(blocks)
+    read = html.read_page(page(f"<table><tr>{body}</tr></table><div>{article(PARAGRAPH, PARAGRAPH)}</div>"))
+    scores = {read.paths.text(p): x for p, x in html.path_scores(read.blocks).items()}
     assert scores["/html/body/div/p"] > 3 * scores["/html/body/table/tr/td"]
 
 
@@ -105,6 +105,49 @@ def test_hostile_pages_take_no_long_time():
     assert time.time() - begun < 30
 
 
+@pytest.mark.parametrize(
+    "source",
+    [
+        "<div>x, y." * 100_000,
+        "<div class='promo content'>x, y." * 20_000,
+        "<article>x, y." * 40_000,
+        "<td><p><div>x, y." * 30_000 + "</span>" * 50_000,
+        "<span>x, y." * 100_000 + "</b></i>" * 50_000,
+        "<form><label>x</label>" * 20_000,
+        "<ul><li>x, y." * 30_000,
+    ],
+)
+def test_deep_pages_take_time_by_their_length(source):
+    """About a megabyte of elements that are all open at once."""
+    begun = time.time()
+    html.extract(source)
+    assert time.time() - begun < 20
+
+
+def plain_scores(blocks):
+    """Ratios of every path, from (path, text, linked characters) in page order, by loops."""
+    paths = {p for p, _, _ in blocks}
+    fused = {}
+    for p in paths:
+        own = [(t, l) for q, t, l in blocks if q == p]
+        chars = sum(len(t) for t, _ in own)
+        marks = sum(c in ",.;:!?。，；：！？、" for t, _ in own for c in t)
+        linked = sum(min(l, len(t)) for t, l in own)
+        fused[p] = (chars / len(own) * (1 + marks) / len(own)) ** 0.5 * (1 - linked / chars)
+    line = [fused[p] for p, _, _ in blocks]
+    at = lambda i: line[min(max(i, 0), len(line) - 1)]
+    smooth = [(0.2 * at(i - 2) + 0.6 * at(i - 1) + at(i) + 0.6 * at(i + 1) + 0.2 * at(i + 2)) / 2.6 for i in range(len(line))]
+    return {p: sum(x for x, (q, _, _) in zip(smooth, blocks) if q == p) / sum(q == p for q, _, _ in blocks) for p in paths}
+
+
+@pytest.mark.parametrize("name", [*CASES, *SPLIT, *NAMES])
+def test_path_scores(name):
+    read = html.read_page((CASES | SPLIT | NAMES)[name][0])
+    if read.blocks:
+        rows = [(b.element.path, b.text, b.linked) for b in read.blocks]
+        assert html.path_scores(read.blocks) == pytest.approx(plain_scores(rows))
+
+
 def by_template(source):
     """Blocks between the tags of the test tables' template."""
     inner = re.search(r"<article>(.*?)(</article>|$)", source, re.S)[1]
