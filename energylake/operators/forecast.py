@@ -14,7 +14,11 @@ from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import (
+    GBTRegressionModel,
+    GBTRegressor,
+    LinearRegression,
+)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +37,8 @@ from .dataset import (
     sequences,
     split_counts,
 )
-from .intervals import lead_by_interval
+from .intervals import horizon_rows as row_horizon
+from .intervals import lead_by_interval, lead_column, series_intervals, with_row_counts
 from .metrics import METRICS, best_epoch, compare_forecasts, forecast_metrics
 from .reshape import normalise_names, select_features
 
@@ -165,15 +170,13 @@ def compare_models(
 
 def _require(rows: int, least: int, what: str) -> None:
     if rows < least:
-        raise ValueError(
-            f"Insufficient data for training: {rows} {what} (need at least {least})"
-        )
+        raise ValueError(f"Insufficient data: {rows} {what} where training takes {least} or more")
 
 
 def _regressor(options: ForecastOptions, **more) -> GBTRegressor:
     return GBTRegressor(
+        maxIter=more.pop("maxIter", options.n_estimators),
         **more,
-        maxIter=options.n_estimators,
         maxDepth=options.max_depth,
         stepSize=options.learning_rate,
         minInstancesPerNode=options.min_samples_leaf,
@@ -349,7 +352,8 @@ def train_sequence_forecast(
     """Train and test one target on runs of rows.
 
     The regressor sees a run as one long vector.  Boosting stops when the loss
-    on the validation rows no longer falls.
+    on the validation rows has not fallen for `patience` rounds, and goes back to the best one.  The horizon is
+    that of each series' own interval, unless `rows_ahead` gives it.
     """
     options = options or SequenceOptions()
     options.validate()
@@ -358,11 +362,22 @@ def train_sequence_forecast(
     names, _ = select_features(df, declared)
     keys = options.partition_cols
     order = series_order(df, keys, order)
-    if rows_ahead is None:
-        rows_ahead = horizon_rows(df, options.horizon_hours, keys, order[0])
-    _require(df.count(), options.sequence_length + rows_ahead, "records")
-
     df = df.withColumn("_y", F.col(target).cast("double"))
+    if rows_ahead is None and keys and options.intervals == "exact":
+        # the value a run is to tell stands in its last row, as many rows ahead as the series needs
+        facts = series_intervals(df, keys, order)
+        df, widest, longest = with_row_counts(
+            df, facts, keys, _ahead=row_horizon(options.horizon_hours)
+        )
+        df = lead_column(df, "_y", "_ahead", widest["_ahead"], "_later", keys, order, longest=longest)
+        df = stage(df.drop("_y", "_ahead").withColumnRenamed("_later", "_y"), "ahead")
+        _require(df.count(), options.sequence_length + 1, "records")
+        rows_ahead = 0
+    else:
+        if rows_ahead is None:
+            rows_ahead = horizon_rows(df, options.horizon_hours, keys, order[0])
+        _require(df.count(), options.sequence_length + rows_ahead, "records")
+
     scaler = None
     if options.scale_features:
         basis = df
@@ -434,19 +449,55 @@ def train_sequence_forecast(
         discard(spark, split_path)
 
 
+def early_stop(losses: Sequence[float], patience: int) -> tuple[int, int]:
+    """Rounds that are run, and the best of them, where `patience` rounds without a lower loss end it.
+
+    A loss that is no number (there are no rows to validate on) ends nothing, and all rounds are kept.
+    """
+    best, lowest = 0, float("inf")
+    for i, loss in enumerate(losses, 1):
+        if loss < lowest:
+            best, lowest = i, loss
+        elif best and i - best >= patience:
+            return i, best
+    return len(losses), best or len(losses)
+
+
+def first_trees(model: GBTRegressionModel, count: int) -> GBTRegressionModel:
+    """The boosted model as it was after `count` rounds."""
+    context = SparkSession.active().sparkContext
+    java, gateway = model._java_obj, context._gateway
+    package = context._jvm.org.apache.spark.ml.regression
+    trees = gateway.new_array(package.DecisionTreeRegressionModel, count)
+    weights = gateway.new_array(gateway.jvm.double, count)
+    for i in range(count):
+        trees[i], weights[i] = java.trees()[i], java.treeWeights()[i]
+    return GBTRegressionModel(
+        package.GBTRegressionModel(java.uid(), trees, weights, java.numFeatures())
+    )
+
+
 def _fit_sequences(fitting: DataFrame, options: SequenceOptions):
+    """The model of the best boosting round, and the losses of the rounds that were run.
+
+    Boosting is repeatable, so a longer run begins with the rounds of a shorter one: the number of rounds
+    is doubled until the stop lies within it.
+    """
     train = fitting.where(~F.col("validating"))
     if options.regressor == "linear":
         return LinearRegression(regParam=options.reg_param).fit(train), []
-    model = _regressor(
-        options,
-        validationIndicatorCol="validating",
-        validationTol=options.validation_tol,
-    ).fit(fitting)
     held_out = fitting.where("validating")
+    rounds = min(options.n_estimators, 2 * options.patience)
+    while True:
+        model = _regressor(options, maxIter=rounds).fit(train)
+        held_losses = model.evaluateEachIteration(held_out, "squared")
+        ran, best = early_stop(held_losses, options.patience)
+        if ran < rounds or rounds == options.n_estimators:
+            break
+        rounds = min(options.n_estimators, 2 * rounds)
     losses = model.evaluateEachIteration(train, "squared")
-    held_losses = model.evaluateEachIteration(held_out, "squared")
-    return model, [
-        {"epoch": i + 1, "train_loss": a, "validation_loss": b}
-        for i, (a, b) in enumerate(zip(losses, held_losses))
+    history = [
+        {"epoch": i + 1, "train_loss": losses[i], "validation_loss": held_losses[i]}
+        for i in range(ran)
     ]
+    return first_trees(model, best), history

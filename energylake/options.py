@@ -91,7 +91,8 @@ class SequenceOptions(ForecastOptions):
     target_mae_percent: float = 5.0
     sequence_length: int = 288
     validation_split: float = 0.15
-    validation_tol: float = 0.01
+    # Boosting rounds without a lower validation loss, after which training stops.
+    patience: int = 10
     scale_features: bool = True
     # "train": means and deviations of the training rows; "all": of every row.
     fit_scaler_on: str = "train"
@@ -106,7 +107,11 @@ class SequenceOptions(ForecastOptions):
 
     def validate(self) -> None:
         super().validate()
-        _positive(sequence_length=self.sequence_length, stride=self.rows_between_runs)
+        _positive(
+            sequence_length=self.sequence_length,
+            stride=self.rows_between_runs,
+            patience=self.patience,
+        )
         _open_unit(validation_split=self.validation_split)
         _one_of(("train", "all"), fit_scaler_on=self.fit_scaler_on)
         _one_of(("gbt", "linear"), regressor=self.regressor)

@@ -388,6 +388,30 @@ SELECT * FROM readings WHERE time >= TIMESTAMP '2024-01-08'
 ORDER BY time, event_id LIMIT 5000""",
     "page_offset": f"""WITH {READINGS}
 SELECT * FROM readings ORDER BY time, event_id LIMIT 1000 OFFSET 2000""",
+    "page_deep": f"""WITH {READINGS}
+SELECT * FROM readings ORDER BY time, event_id LIMIT 500 OFFSET 8000""",
+    "series_cursors": f"""WITH {POINTS}
+SELECT * EXCLUDE (rn), CAST((rn - 1) // 40 + 1 AS INTEGER) AS round FROM (
+  SELECT *, row_number() OVER (PARTITION BY measurement, device_id, field
+                               ORDER BY time, event_id) AS rn
+  FROM points WHERE time >= TIMESTAMP '2024-01-04') WHERE rn <= 120""",
+    "quarantine": f"""WITH {SNAPSHOTS}
+SELECT 26 * count(*) FILTER (WHERE event_id % 5 <> 0) AS total_synced,
+       count(*) FILTER (WHERE event_id % 5 = 0) AS failed, CAST(0 AS BIGINT) AS pending,
+       count(*) FILTER (WHERE event_id % 5 = 0) AS quarantined,
+       count(*) FILTER (WHERE event_id % 10 = 5) AS words,
+       26 * count(*) FILTER (WHERE event_id % 5 <> 0) AS readings
+FROM snap""",
+    "early_stopping": f"""WITH {READINGS},
+counted AS (
+  SELECT site_id, device_id, CAST(greatest(count(*) - 8, 0) AS DOUBLE) AS n FROM readings GROUP BY ALL),
+parts AS (
+  SELECT n, floor(n * CAST(0.8 AS DOUBLE)) AS fitting,
+         floor(floor(n * CAST(0.8 AS DOUBLE)) * CAST(0.85 AS DOUBLE)) AS train FROM counted)
+SELECT CAST(sum(train) AS BIGINT) AS train, CAST(sum(fitting - train) AS BIGINT) AS validation,
+       CAST(sum(n - fitting) AS BIGINT) AS test, true AS best_is_least, true AS stopped_in_time,
+       true AS best_is_kept, CAST(2 AS INTEGER) AS scaled
+FROM parts""",
     "incremental_since": f"""WITH {POINTS}
 SELECT * FROM points WHERE time >= TIMESTAMP '2024-01-22 06:00:00'""",
     "incremental_first_run": f"""WITH {POINTS}

@@ -24,8 +24,13 @@ from ..operators import (
 )
 from ..options import FeatureOptions, ForecastOptions, SequenceOptions
 from ..session import new_path, stage
-from ..sources import generations, tables
-from ..sources.snapshots import read_snapshots, stream_snapshots, write_snapshots
+from ..sources import cursors, generations, tables
+from ..sources.snapshots import (
+    read_snapshots,
+    snapshot_json,
+    stream_snapshots,
+    write_snapshots,
+)
 from ..streaming import changes, sync
 from . import features, inputs
 from .inputs import SERIES, SERIES_ORDER, load, ntz
@@ -160,6 +165,30 @@ def page_offset(spark, sf_dir):
     return tables.page(inputs.readings(spark, sf_dir), ["time", "event_id"], 2)
 
 
+@query
+def page_deep(spark, sf_dir):
+    """A page far from the first one, found by counts of ever narrower ranges of time."""
+    rows = inputs.readings(spark, sf_dir)
+    return tables.page(rows, ["time", "event_id"], 16, 500, most_sorted=600)
+
+
+@query
+def series_cursors(spark, sf_dir):
+    """Three rounds of at most 40 rows of every series, each from the mark where the last one ended."""
+    root = new_path(spark, "cursors")
+    rows = inputs.points(spark, sf_dir)
+    for number in (1, 2, 3):
+
+        def write(part: DataFrame, number: int = number) -> None:
+            part.withColumn("round", F.lit(number)).write.mode("append").parquet(f"{root}/read")
+
+        cursors.read_round(
+            rows, f"{root}/marks", write, F.lit("2024-01-04").cast("timestamp_ntz"), 40,
+            ["time", "event_id"],
+        )
+    return spark.read.parquet(f"{root}/read")
+
+
 @query
 def page_after(spark, sf_dir):
     """A page of 1000 readings from the place where the last one ended."""
@@ -1238,6 +1267,37 @@ def stream_snapshot_sync(spark, sf_dir):
     )
 
 
+@query
+def quarantine(spark, sf_dir):
+    """A stream of snapshots of which every fifth line is broken or has a word for a number."""
+    root = new_path(spark, "quarantine")
+    snapshots = reshape.with_net_grid_flow(inputs.snapshots(spark, sf_dir)).withColumn(
+        "timestamp", F.col("timestamp").cast("timestamp")
+    )
+    numbered = snapshots.withColumn("device_id", F.concat_ws("/", "device_id", "event_id"))
+    lines = snapshot_json(numbered)
+    number = F.regexp_extract("value", '"device_id":"[^"/]*/([0-9]+)"', 1).cast("long")
+    broken = F.when(number % 10 == 0, F.expr("substring(value, 1, length(value) - 9)")).when(
+        number % 10 == 5, F.regexp_replace("value", '"cycles":[0-9]+', '"cycles":"many"')
+    )
+    lines.select(F.coalesce(broken, F.col("value")).alias("value")).write.text(f"{root}/in")
+    sync.start_snapshot_sync(
+        stream_snapshots(spark, f"{root}/in", 3, keep_malformed=True),
+        f"{root}/readings", f"{root}/checkpoint",
+        status_path=f"{root}/status", quarantine_path=f"{root}/quarantine",
+    ).awaitTermination()
+    status = sync.sync_status(spark, f"{root}/status").select("total_synced", "failed", "pending")
+    kept = spark.read.parquet(f"{root}/quarantine").agg(
+        F.count(F.lit(1)).alias("quarantined"),
+        F.count_if(F.col("line").contains("many")).alias("words"),
+    )
+    synced = sync.synced_readings(spark, f"{root}/readings").agg(
+        F.count(F.lit(1)).alias("readings")
+    )
+    # three tables of one row
+    return status.join(F.broadcast(kept)).join(F.broadcast(synced))
+
+
 # Small trees: the measurements of the test tables are noise.
 FORECAST = dict(n_estimators=10, max_depth=4, test_size=0.2)
 
@@ -1358,6 +1418,33 @@ def sequence_forecast(spark, sf_dir):
     return _rounded(found)
 
 
+@query
+def early_stopping(spark, sf_dir):
+    """Boosted runs of scaled rows that stop after two rounds without gain and go back to the best one."""
+    options = SequenceOptions(
+        sequence_length=6, n_estimators=12, max_depth=3, patience=2, test_size=0.2
+    )
+    trained = forecast.train_sequence_forecast(
+        _run_input(spark, sf_dir), "metric_value", options, rows_ahead=3,
+        features=["metric_value", "hour"], order=SERIES_ORDER,
+    )
+    losses = [h["validation_loss"] for h in trained.history]
+    best = losses.index(min(losses)) + 1
+    trees = trained.model.stages[0].getNumTrees
+    facts = (
+        trained.samples["train"], trained.samples["validation"], trained.samples["test"],
+        trained.best_epoch == best,
+        len(losses) == 12 or len(losses) - best == 2,
+        trees == best,
+        len(trained.scaler.mean),
+    )
+    return spark.createDataFrame(
+        [facts],
+        "train long, validation long, test long, best_is_least boolean, stopped_in_time boolean, "
+        "best_is_kept boolean, scaled int",
+    )
+
+
 @query
 def training_job(spark, sf_dir):
     """Both targets of one site trained from the stored table, and stored."""

@@ -13,7 +13,7 @@ from .. import schemas
 from ..operators.reshape import points_to_readings, snapshot_points
 from ..options import SyncOptions
 from ..sources import generations, tables
-from ..sources.snapshots import snapshot_json, stream_snapshots
+from ..sources.snapshots import snapshot_json, split_malformed, stream_snapshots
 
 VERSION = tables.VERSION
 
@@ -32,6 +32,8 @@ def start_readings_sync(
     once: bool = True,
     status_path: str | None = None,
     arrival: str | None = None,
+    split: Callable[[DataFrame], tuple[DataFrame, DataFrame]] | None = None,
+    quarantine_path: str | None = None,
 ) -> StreamingQuery | None:
     """Append a stream of readings; offsets advance only when a batch is written.
 
@@ -41,8 +43,9 @@ def start_readings_sync(
     have higher versions, though their numbers start again.  Rows of one batch keep their order: that of the
     column `arrival`, where one is named, then that in which they were read.  `tables.compact`
     may rewrite months beside it.  With `status_path` every attempt leaves a row with the
-    numbers of rows that were and were not written.  Nothing is started where the options
-    say so.
+    numbers of rows that were and were not written.  Where `split` is given, it turns a batch into its readings
+    and the rows that cannot be read as such; the latter go to a folder of the batch at `quarantine_path`, which
+    a repeated batch writes anew, and count as failed.  Nothing is started where the options say so.
     """
     options = options or SyncOptions()
     options.validate()
@@ -64,8 +67,22 @@ def start_readings_sync(
             spark.createDataFrame(row, schema).write.mode("append").parquet(status_path)
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        if split is None:
+            write_rows(batch, batch_id, 0)
+            return
+        batch.persist()
+        try:
+            rows, bad = split(batch)
+            place = f"{quarantine_path.rstrip('/')}/batch={first + batch_id}"
+            seen = Observation()
+            bad.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(place)
+            write_rows(rows, batch_id, seen.get["n"])
+        finally:
+            batch.unpersist()
+
+    def write_rows(batch: DataFrame, batch_id: int, malformed: int) -> None:
         if batch.isEmpty():
-            report(batch, batch_id, True, 0, 0, None)
+            report(batch, batch_id, True, 0, malformed, None)
             return
         seen = Observation()
         numbered = batch.withColumns(
@@ -85,7 +102,9 @@ def start_readings_sync(
                 rows_lost = None
             report(batch, batch_id, False, 0, rows_lost, None)
             raise
-        report(batch, batch_id, True, seen.get["records"], 0, seen.get["last_sync_time"])
+        report(
+            batch, batch_id, True, seen.get["records"], malformed, seen.get["last_sync_time"]
+        )
 
     writer = readings.writeStream.foreachBatch(write).option(
         "checkpointLocation", checkpoint
@@ -100,9 +119,23 @@ def start_snapshot_sync(
     options: SyncOptions | None = None,
     once: bool = True,
     status_path: str | None = None,
+    quarantine_path: str | None = None,
 ) -> StreamingQuery | None:
-    """Sync a stream of nested snapshots into the readings table."""
+    """Sync a stream of nested snapshots into the readings table.
+
+    With `quarantine_path` the stream must keep malformed lines (see `stream_snapshots`); they are put there.
+    """
     options = options or SyncOptions()
+    if quarantine_path:
+
+        def split(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+            good, bad = split_malformed(batch)
+            return points_to_readings(snapshot_points(good), options.site_id), bad
+
+        return start_readings_sync(
+            snapshots, path, checkpoint, options, once, status_path,
+            split=split, quarantine_path=quarantine_path,
+        )
     readings = points_to_readings(snapshot_points(snapshots), options.site_id)
     return start_readings_sync(
         readings, path, checkpoint, options, once, status_path
@@ -147,14 +180,17 @@ def synced_readings(
 def sync_status(spark: SparkSession, status_path: str) -> DataFrame:
     """Totals of all batches; a batch that was repeated counts once.
 
-    `failed` counts the rows of attempts that failed, as far as they could be read, `pending`
-    those whose batch has not been written since.
+    `failed` counts the rows of attempts that failed, as far as they could be read, and the malformed
+    ones, `pending` those whose batch has not been written since.
     """
     attempts = spark.read.parquet(status_path)
     batches = attempts.groupBy("batch_id").agg(
         F.max("last_sync_time").alias("last_sync_time"),
         F.max("records").alias("records"),
-        F.sum("failed").alias("failed"),
+        (
+            F.coalesce(F.sum(F.when(~F.col("ok"), F.col("failed"))), F.lit(0))
+            + F.coalesce(F.max(F.when(F.col("ok"), F.col("failed"))), F.lit(0))
+        ).alias("failed"),
         F.max("ok").alias("written"),
         F.max("failed").alias("most"),
     )
