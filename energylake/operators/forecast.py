@@ -17,7 +17,6 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import (
     GBTRegressionModel,
     GBTRegressor,
-    LinearRegression,
 )
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +40,7 @@ from .intervals import horizon_rows as row_horizon
 from .intervals import lead_by_interval, lead_column, series_intervals, with_row_counts
 from .metrics import METRICS, best_epoch, compare_forecasts, forecast_metrics
 from .reshape import normalise_names, select_features
+from .runs import LinearRuns, Shape
 
 LEVEL = StorageLevel.MEMORY_AND_DISK
 
@@ -351,7 +351,8 @@ def train_sequence_forecast(
 ) -> Forecast:
     """Train and test one target on runs of rows.
 
-    The regressor sees a run as one long vector.  Boosting stops when the loss
+    The regressor sees a run as one long vector.  The linear one is fitted on blocks of rows (`runs`); for trees
+    each run is stored whole.  Boosting stops when the loss
     on the validation rows has not fallen for `patience` rounds, and goes back to the best one.  The horizon is
     that of each series' own interval, unless `rows_ahead` gives it.
     """
@@ -388,6 +389,24 @@ def train_sequence_forecast(
         scaler = Scaler.fit(basis, names)
         df = scaler.transform(df)
 
+    if options.regressor == "linear":
+        shape = Shape(options.sequence_length, rows_ahead, len(names), options.rows_between_runs)
+        linear = LinearRuns.of(
+            df, names, "_y", shape, keys, order, options.test_size, options.validation_split
+        )
+        samples, left_out = linear.counts()
+        _require(sum(samples.values()), options.min_rows, "sequences")
+        model = linear.fit(options.reg_param)
+        return Forecast(
+            target=target,
+            features=names,
+            model=PipelineModel([model]),
+            metrics=_evaluate(linear.scored(model), options),
+            samples=samples,
+            options=asdict(options) | {"order": order},
+            scaler=scaler,
+            left_out=left_out,
+        )
     runs = sequences(
         df,
         names,
@@ -484,8 +503,6 @@ def _fit_sequences(fitting: DataFrame, options: SequenceOptions):
     is doubled until the stop lies within it.
     """
     train = fitting.where(~F.col("validating"))
-    if options.regressor == "linear":
-        return LinearRegression(regParam=options.reg_param).fit(train), []
     held_out = fitting.where("validating")
     rounds = min(options.n_estimators, 2 * options.patience)
     while True:

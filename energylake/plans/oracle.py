@@ -402,6 +402,15 @@ SELECT 26 * count(*) FILTER (WHERE event_id % 5 <> 0) AS total_synced,
        count(*) FILTER (WHERE event_id % 10 = 5) AS words,
        26 * count(*) FILTER (WHERE event_id % 5 <> 0) AS readings
 FROM snap""",
+    "sequence_forecast_long": f"""WITH {READINGS},
+counted AS (SELECT site_id, CAST(greatest(count(*) - 288, 0) AS DOUBLE) AS n FROM readings GROUP BY ALL),
+parts AS (
+  SELECT n, floor(n * CAST(0.8 AS DOUBLE)) AS fitting,
+         floor(floor(n * CAST(0.8 AS DOUBLE)) * CAST(0.85 AS DOUBLE)) AS train FROM counted)
+SELECT CAST(sum(train) AS BIGINT) AS train, CAST(sum(fitting - train) AS BIGINT) AS validation,
+       CAST(sum(n - fitting) AS BIGINT) AS test, true AS residuals_cancel,
+       true AS residuals_stand_apart, true AS rows_stored_little
+FROM parts""",
     "early_stopping": f"""WITH {READINGS},
 counted AS (
   SELECT site_id, device_id, CAST(greatest(count(*) - 8, 0) AS DOUBLE) AS n FROM readings GROUP BY ALL),

@@ -18,6 +18,7 @@ from ..operators import (
     intervals,
     metrics,
     reshape,
+    runs,
     series,
     totals,
     windows,
@@ -1418,6 +1419,43 @@ def sequence_forecast(spark, sf_dir):
     return _rounded(found)
 
 
+@query
+def sequence_forecast_long(spark, sf_dir):
+    """A linear forecast from runs of 288 rows, the default, of every site's readings.
+
+    The residuals of the training runs add up to nothing, alone and times the prediction, as those of a
+    least-squares fit do; the blocks hold each row about twice.
+    """
+    options = SequenceOptions(
+        regressor="linear", reg_param=0.0, test_size=0.2, min_rows=10, partition_cols=["site_id"]
+    )
+    rows = _run_input(spark, sf_dir)
+    trained = forecast.train_sequence_forecast(
+        rows, "metric_value", options, rows_ahead=1, features=["metric_value"], order=SERIES_ORDER
+    )
+    shape = runs.Shape(options.sequence_length, 1, 1)
+    scaled = trained.scaler.transform(rows.withColumn("y", F.col("metric_value")))
+    linear = runs.LinearRuns.of(
+        scaled, ["metric_value"], "y", shape, ["site_id"], SERIES_ORDER, 0.2, options.validation_split
+    )
+    fit = linear.scored(trained.model.stages[0], part=0).withColumn("e", F.col("label") - F.col("prediction"))
+    size = F.sum(F.abs("label"))
+    close = fit.agg(
+        (F.abs(F.sum("e")) < 1e-6 * size).alias("residuals_cancel"),
+        (F.abs(F.sum(F.col("e") * F.col("prediction"))) < 1e-6 * F.sum(F.col("label") ** 2)).alias(
+            "residuals_stand_apart"
+        ),
+    )
+    stored = linear.blocks.agg((F.sum(F.size("y")) <= 3 * rows.count()).alias("rows_stored_little"))
+    counts = trained.samples
+    # two tables of one row
+    return close.join(F.broadcast(stored)).select(
+        F.lit(counts.get("train", 0)).cast("long").alias("train"),
+        F.lit(counts.get("validation", 0)).cast("long").alias("validation"),
+        F.lit(counts.get("test", 0)).cast("long").alias("test"), "*",
+    )
+
+
 @query
 def early_stopping(spark, sf_dir):
     """Boosted runs of scaled rows that stop after two rounds without gain and go back to the best one."""
