@@ -34,6 +34,8 @@ SAMPLE = 256
 #: a file is closed once it holds so many tokens or rows
 FILE_TOKENS = 8_000_000
 FILE_ROWS = 100_000
+#: rows whose bounds are looked up at once
+READ_ROWS = 4096
 
 
 class EliasFano:
@@ -86,18 +88,35 @@ class EliasFano:
         low = int.from_bytes(part, "little") >> (start & 7) & ((1 << self.low_bits) - 1)
         return _signed(self.base + (high << self.low_bits | low))
 
-    def values(self) -> np.ndarray:
-        """All values at once."""
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little")[: len(self.high) * 8])
-        high = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
-        low = np.zeros(self.n, np.uint64)
+    def select(self, first: int, count: int) -> np.ndarray:
+        """`count` values from the `first`-th on: the samples tell where their ones lie, and only those bytes
+        are looked at."""
+        count = max(0, min(count, self.n - first))
+        if not count:
+            return np.zeros(0, np.int64)
+        begin = first // SAMPLE
+        byte = int(self.samples[begin]) >> 3
+        after = (first + count - 1) // SAMPLE + 1
+        end = (int(self.samples[after]) >> 3) + 1 if after < len(self.samples) else len(self.high)
+        bits = np.unpackbits(self.high[byte:end], bitorder="little")
+        bits[: int(self.samples[begin]) & 7] = 0
+        skipped = first - begin * SAMPLE
+        ones = np.flatnonzero(bits)[skipped : skipped + count] + 8 * byte
+        high = (ones - np.arange(first, first + count)).astype(np.uint64) << np.uint64(self.low_bits)
+        low = np.zeros(count, np.uint64)
         if self.low_bits:
-            bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits]
-            bits = bits.reshape(self.n, self.low_bits)
+            at = first * self.low_bits
+            held = self.low[at >> 3 : (at + count * self.low_bits + 7) >> 3]
+            parts = np.unpackbits(held, bitorder="little")[at & 7 :][: count * self.low_bits]
+            parts = parts.reshape(count, self.low_bits)
             for k in range(self.low_bits):
-                low |= bits[:, k].astype(np.uint64) << np.uint64(k)
+                low |= parts[:, k].astype(np.uint64) << np.uint64(k)
         return ((high | low) + np.uint64(self.base % (1 << 64))).astype(np.int64)
 
+    def values(self) -> np.ndarray:
+        """All values at once."""
+        return self.select(0, self.n)
+
     def to_bytes(self) -> bytes:
         head = SEQUENCE.pack(
             self.base, self.n, self.low_bits, len(self.low), len(self.high), len(self.samples)
@@ -155,6 +174,17 @@ class TokenFile:
         """Where the row's tokens begin and end in the file's array."""
         return self.ends[row - 1] if row else 0, self.ends[row]
 
+    def slice_bounds(self, first: int, count: int) -> np.ndarray:
+        """Where the tokens of so many rows begin, and at last where they end."""
+        before = self.ends[first - 1] if first else 0
+        return np.concatenate([[before], self.ends.select(first, count)])
+
+    def slice_ids(self, first: int, count: int) -> pa.Array:
+        """Document ids of so many rows; null for those without."""
+        nameless = max(0, min(count, self.nameless - first))
+        named = self.doc_ids.select(max(0, first - self.nameless), count - nameless)
+        return pa.concat_arrays([pa.nulls(nameless, pa.int64()), pa.array(named)])
+
     def doc_id(self, row: int) -> int | None:
         return None if row < self.nameless else self.doc_ids[row - self.nameless]
 
@@ -242,7 +272,7 @@ def write_tokens(
 
 
 def read_tokens(files: DataFrame) -> DataFrame:
-    """One row per document of the files that `write_tokens` lists.
+    """One row per document of the files that `write_tokens` lists, found by the files' select structures.
 
     Columns: doc_id, start (tokens of all earlier rows), n_tokens, ids_crc32 (of the ids as
     little-endian unsigned 32-bit integers).
@@ -254,22 +284,21 @@ def read_tokens(files: DataFrame) -> DataFrame:
                 store, place = _store(path.as_py())
                 with store.open_input_stream(place) as f:
                     file = TokenFile(f.read())
-                ends = file.ends.values()
-                starts = np.concatenate([[0], ends[:-1]])
-                named = pa.array(file.doc_ids.values())
-                crc = [
-                    zlib.crc32(file.tokens[b:e].astype("<u4").tobytes())
-                    for b, e in zip(starts, ends, strict=True)
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.concat_arrays([pa.nulls(file.nameless, pa.int64()), named]),
-                        pa.array(starts + first.as_py()),
-                        pa.array(ends - starts),
-                        pa.array(crc, pa.int64()),
-                    ],
-                    ["doc_id", "start", "n_tokens", "ids_crc32"],
-                )
+                for row in range(0, file.rows, READ_ROWS):
+                    bounds = file.slice_bounds(row, READ_ROWS)
+                    crc = [
+                        zlib.crc32(file.tokens[b:e].astype("<u4").tobytes())
+                        for b, e in zip(bounds[:-1], bounds[1:], strict=True)
+                    ]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            file.slice_ids(row, len(crc)),
+                            pa.array(bounds[:-1] + first.as_py()),
+                            pa.array(np.diff(bounds)),
+                            pa.array(crc, pa.int64()),
+                        ],
+                        ["doc_id", "start", "n_tokens", "ids_crc32"],
+                    )
 
     spread = files.select("path", "first").repartition(partitions(files.sparkSession), "path")
     return map_arrow(spread, run, "doc_id long, start long, n_tokens long, ids_crc32 long")

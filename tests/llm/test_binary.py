@@ -31,6 +31,8 @@ def test_sequence_round_trip(values):
     assert size == len(code.to_bytes())
     assert (back.values() == values).all()
     assert [back[i] for i in range(len(values))] == values.tolist()
+    for first, count in [(0, 3), (len(values) // 2, 300), (255, 2), (256, 256), (257, 9), (len(values), 5)]:
+        assert back.select(first, count).tolist() == values[first : first + count].tolist()
 
 
 def test_sequence_is_small():
@@ -47,6 +49,21 @@ def test_file_by_place():
     assert [file.doc_id(i) for i in range(6)] == docs
     assert [file.ids(i).tolist() for i in range(6)] == tokens
     assert file.width == 4
+    for first in range(6):
+        for count in range(1, 7 - first):
+            assert file.slice_ids(first, count).to_pylist() == docs[first : first + count]
+            bounds = file.slice_bounds(first, count)
+            assert list(zip(bounds[:-1], bounds[1:])) == [file.bounds(i) for i in range(first, first + count)]
+
+
+def test_only_the_bytes_of_a_slice_are_read():
+    values = np.cumsum(np.random.default_rng(1).integers(0, 900, 50_000))
+    code = binary.EliasFano.of(values)
+    whole = code.high
+    # everything but the neighbourhood of the slice is wiped out
+    lo, hi = int(code.samples[39_000 // binary.SAMPLE]) >> 3, int(code.samples[40_000 // binary.SAMPLE + 2]) >> 3
+    code.high = np.concatenate([np.zeros(lo, np.uint8), whole[lo:hi], np.zeros(len(whole) - hi, np.uint8)])
+    assert (code.select(39_100, 900) == values[39_100:40_000]).all()
 
 
 def test_not_a_file():
