@@ -11,6 +11,7 @@ from functools import reduce
 from operator import and_
 
 from pyspark import StorageLevel
+from pyspark.errors import PySparkException
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
@@ -283,7 +284,7 @@ def run(
         table = scan_training_data(
             spark, training_path, start, end, options.site_id, ordered=False
         )
-    except Exception as error:  # the status is the result of the job
+    except (ValueError, OSError, PySparkException) as error:
         return {"status": "error", "error": str(error), **failed}
     result = train_all(table, options, **kwargs)
     if result["status"] == "success":
@@ -295,7 +296,10 @@ def run(
 def train_all(
     training_data: DataFrame, options: ForecastOptions | None = None, **kwargs
 ) -> dict:
-    """Train every target; the result says how it went instead of raising."""
+    """Train every target; the result says how it went where data or options do not serve.
+
+    Any other error is raised.
+    """
     options = options or ForecastOptions()
     failed = dict.fromkeys(schemas.TARGETS)
     if not options.enabled:
@@ -317,7 +321,7 @@ def train_all(
             }
         finally:
             df.unpersist()
-    except Exception as error:  # the status is the result of the job
+    except (ValueError, OSError, PySparkException) as error:
         return {"status": "error", "error": str(error), **failed}
     return {
         "status": "success",

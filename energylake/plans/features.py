@@ -5,7 +5,8 @@ from __future__ import annotations
 import time
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -13,6 +14,7 @@ from ..functions.cleaning import nan_to_null
 from ..functions.temporal import with_temporal_features, with_tou_features
 from ..operators.reshape import pivot_wide, project_declared
 from ..operators import intervals
+from ..operators.series import match_keys
 from ..operators.windows import (
     by_interval_class,
     lag_columns,
@@ -25,7 +27,7 @@ from ..operators.windows import (
 from ..options import FeatureOptions
 from ..schemas import flat
 from ..session import discard, new_path, stage
-from ..sources import tables
+from ..sources import generations, tables
 
 
 def _order(options: FeatureOptions) -> list[str]:
@@ -158,8 +160,13 @@ def run(
     options: FeatureOptions | None = None,
     start: datetime | None = None,
     end: datetime | None = None,
+    only: DataFrame | None = None,
 ) -> dict:
-    """Scan readings, build features, upsert the training table; a summary."""
+    """Scan readings, build features, upsert the training table; a summary.
+
+    `only` has the series to build, where not all are wanted.  Data and options that do not serve give a
+    status; any other error is raised.
+    """
     options = options or FeatureOptions()
     nothing = {"records_processed": 0, "records_stored": 0}
     if not options.enabled:
@@ -171,6 +178,8 @@ def run(
         readings = tables.scan_readings(
             spark, readings_path, start, end, options.site_id, options.lookback_days
         )
+        if only is not None:
+            readings = match_keys(readings, only, options.partition_cols, "left_semi")
         if readings.isEmpty():
             return {"status": "no_data", **nothing}
         table = training_table(build_features(readings, options, staged), options)
@@ -188,7 +197,63 @@ def run(
             "features_count": len(table.columns),
             "elapsed_seconds": time.monotonic() - started,
         }
-    except Exception as error:  # the status is the result of the job
+    except (ValueError, OSError, PySparkException) as error:
         return {"status": "error", "error": str(error), **nothing}
     finally:
         discard(spark, staged)
+
+
+def _after(seen: dict[int, int]) -> Column:
+    """Whether a row has come in since the newest versions `seen`, by epoch."""
+    version, batches = F.col(tables.VERSION), tables.BATCHES
+    new = version >= (max(seen) + 1) * batches if seen else F.lit(True)
+    for epoch in range(max(seen, default=-1) + 1):
+        newest = seen.get(epoch, epoch * batches - 1)
+        new |= (version > newest) & (version < (epoch + 1) * batches)
+    return new
+
+
+def run_changed(
+    spark: SparkSession,
+    readings_path: str,
+    training_path: str,
+    state_path: str,
+    options: FeatureOptions | None = None,
+    start: datetime | None = None,
+    end: datetime | None = None,
+) -> dict:
+    """The feature job for the series that have new, late or changed readings since its last run.
+
+    Readings must be versioned, as the sync stores them.  The newest version of each epoch that a run has seen is
+    kept at `state_path`; files with older versions only are skipped by their statistics.  A series is built from
+    all its readings of the range, as windows count rows and a late one moves all after it, so the training
+    table is that of `run`.  The summary adds the number of series that were built.
+    """
+    options = options or FeatureOptions()
+    if not options.partition_cols:
+        raise ValueError("all devices are one series: any change concerns all rows")
+    readings = tables.table(spark, readings_path)
+    epoch = F.floor(F.col(tables.VERSION) / tables.BATCHES).cast("long")
+    lines = generations.read_lines(spark, state_path) or []
+    seen = {int(e): int(v) for e, v in (line.split("\t") for line in lines)}
+    fresh = readings.where(_after(seen)).select(*options.partition_cols, tables.VERSION)
+    place = new_path(spark, "changed")
+    try:
+        changed = stage(
+            fresh.groupBy(*options.partition_cols, epoch.alias("epoch")).agg(F.max(tables.VERSION).alias("newest")),
+            "changed",
+            place,
+        )
+        # one row per checkpoint that has written
+        newest = changed.groupBy("epoch").agg(F.max("newest").alias("newest")).collect()
+        series = changed.select(*options.partition_cols).distinct()
+        built = series.count()
+        if not built:
+            return {"status": "unchanged", "series_built": 0, "records_processed": 0, "records_stored": 0}
+        done = run(spark, readings_path, training_path, options, start, end, series)
+        if done["status"] in ("success", "no_data"):
+            seen |= {r["epoch"]: r["newest"] for r in newest}
+            generations.write_lines(spark, state_path, [f"{e}\t{v}" for e, v in sorted(seen.items())])
+        return done | {"series_built": built}
+    finally:
+        discard(spark, place)

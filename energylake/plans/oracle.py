@@ -715,6 +715,13 @@ SELECT 'success' AS status, count(*) AS records_processed, count(*) AS records_s
     "periodic_features": f"""WITH built AS (
 {_feature_build(7, "PARTITION BY site_id, device_id", "")})
 SELECT count(*) AS total_records, min(time) AS earliest_time, max(time) AS latest_time
+FROM built""",
+    "incremental_features": f"""WITH built AS (
+{_feature_build(1, "PARTITION BY site_id, device_id", "", exact=True)}),
+devices AS (SELECT DISTINCT user_id % 3 AS site, user_id FROM events)
+SELECT count(*) AS total_records, min(time) AS earliest_time, max(time) AS latest_time,
+       (SELECT count(*) FROM devices WHERE user_id % 5 <> 0) AS series_1,
+       (SELECT count(*) FROM devices WHERE user_id % 5 <= 1) AS series_2, CAST(0 AS BIGINT) AS series_3
 FROM built""",
     "gbt_forecast": f"""WITH {FRAME},
 counts AS (

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from energylake.operators import intervals
 from energylake.plans import features
 from energylake.options import FeatureOptions
+from energylake.sources import tables
 
 START = datetime(2024, 1, 1)
 
@@ -160,3 +161,53 @@ def test_features_of_a_ten_second_device(spark):
     assert rows[0].solar_generation_kw_rolling_avg_1d == pytest.approx(mean)
     with pytest.raises(ValueError, match="intervals"):
         FeatureOptions(intervals="guess").validate()
+
+
+def readings(spark, devices, shift=0.0, minutes=60, first=0, n=40):
+    names = ["solar.generation_kw", "home_load.total_load_kw", "battery.soc_percent", "grid_price.price_per_kwh", "system.net_grid_flow_kw"]
+    rows = [
+        (START + timedelta(minutes=minutes * i), "s", d, m, float(i % 7) + shift)
+        for d in devices for i in range(first, first + n) for m in names
+    ]
+    schema = "time timestamp, site_id string, device_id string, metric_name string, metric_value double"
+    return spark.createDataFrame(rows, schema)
+
+
+def test_changed_series_are_built_as_by_the_whole_job(spark, tmp_path):
+    """New, late, changed and repeated readings, through two checkpoints."""
+    path, state = f"{tmp_path}/readings", f"{tmp_path}/state"
+    options = FeatureOptions(rolling_window_days=1)
+    span = {"start": START - timedelta(days=9), "end": START + timedelta(days=9)}
+
+    def store(rows, epoch, batch):
+        version = F.lit(epoch * tables.BATCHES + batch).cast("long")
+        tables.append(rows.withColumn(tables.VERSION, version), path)
+
+    def changed():
+        return features.run_changed(spark, path, f"{tmp_path}/a", state, options, **span)
+
+    def same():
+        features.run(spark, path, f"{tmp_path}/b", options, **span)
+        a, b = (sorted(map(str, tables.table(spark, f"{tmp_path}/{t}").collect())) for t in "ab")
+        return a == b and len(a) > 0
+
+    store(readings(spark, ["x", "y", "z"]), 0, 0)
+    assert changed()["series_built"] == 3 and same()
+    assert changed() == {"status": "unchanged", "series_built": 0, "records_processed": 0, "records_stored": 0}
+    store(readings(spark, ["y"], shift=2.0, first=30, n=3), 0, 1)
+    assert changed()["series_built"] == 1 and same()
+    store(readings(spark, ["z"], first=-4, n=4), 1, 0)
+    store(readings(spark, ["w"]), 1, 0)
+    assert changed()["series_built"] == 2 and same()
+    # the first checkpoint goes on, with versions below those of the second
+    store(readings(spark, ["x"], first=40, n=2), 0, 2)
+    assert changed()["series_built"] == 1 and same()
+    with pytest.raises(ValueError, match="one series"):
+        features.run_changed(spark, path, "a", state, FeatureOptions(partition_cols=[]))
+
+
+def test_errors_of_the_program_are_raised(spark, tmp_path, monkeypatch):
+    tables.append(readings(spark, ["x"], n=2), f"{tmp_path}/r")
+    monkeypatch.setattr(features, "build_features", lambda *args: {}["missing"])
+    with pytest.raises(KeyError):
+        features.run(spark, f"{tmp_path}/r", f"{tmp_path}/t", start=START, end=START + timedelta(days=1))
