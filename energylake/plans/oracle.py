@@ -389,7 +389,8 @@ ORDER BY time, event_id LIMIT 5000""",
     "page_offset": f"""WITH {READINGS}
 SELECT * FROM readings ORDER BY time, event_id LIMIT 1000 OFFSET 2000""",
     "page_deep": f"""WITH {READINGS}
-SELECT * FROM readings ORDER BY time, event_id LIMIT 500 OFFSET 8000""",
+SELECT * FROM readings ORDER BY time, event_id
+LIMIT 50 OFFSET (SELECT count(*) * 9 // 10 // 50 * 50 FROM events)""",
     "series_cursors": f"""WITH {POINTS}
 SELECT * EXCLUDE (rn), CAST((rn - 1) // 40 + 1 AS INTEGER) AS round FROM (
   SELECT *, row_number() OVER (PARTITION BY measurement, device_id, field

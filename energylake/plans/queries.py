@@ -170,7 +170,8 @@ def page_offset(spark, sf_dir):
 def page_deep(spark, sf_dir):
     """A page far from the first one, found by counts of ever narrower ranges of time."""
     rows = inputs.readings(spark, sf_dir)
-    return tables.page(rows, ["time", "event_id"], 16, 500, most_sorted=600)
+    last = rows.count() * 9 // 10 // 50
+    return tables.page(rows, ["time", "event_id"], last, 50, most_sorted=60)
 
 
 @query
