@@ -510,6 +510,12 @@ SELECT site_id,
     AS mean_load_kw,
   max(metric_value) FILTER (WHERE metric_name = 'grid_price.price_per_kwh') AS top_price
 FROM readings GROUP BY site_id""",
+    "feature_requirements": f"""WITH {READINGS},
+names AS (SELECT unnest({METRICS!r}) AS feature),
+found AS (SELECT DISTINCT replace(metric_name, '.', '_') AS feature FROM readings)
+SELECT names.feature, found.feature IS NOT NULL AS available, found.feature IS NULL AS refused,
+       (SELECT count(*) FROM (SELECT DISTINCT time, site_id, device_id FROM readings)) AS wide_rows
+FROM names LEFT JOIN found ON found.feature = names.feature""",
     "iso_time": """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS iso_time,
        strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS rfc3339_time FROM events""",
     "parse_time": """SELECT event_id,

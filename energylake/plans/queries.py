@@ -416,6 +416,28 @@ def training_view(spark, sf_dir):
     )
 
 
+@query
+def feature_requirements(spark, sf_dir):
+    """Which declared metrics the wide rows have, and whether asking for the others is refused."""
+    rows = inputs.readings(spark, sf_dir)
+    # metric names: a bounded catalogue
+    found = sorted(r[0] for r in rows.select("metric_name").distinct().collect())
+    wide = reshape.pivot_wide(rows, found, "event_id")
+    names = [schemas.flat(m) for m in schemas.METRICS]
+    available, _ = reshape.select_features(wide, names)
+    count = wide.count()
+
+    def refused(name: str) -> bool:
+        try:
+            reshape.require_columns(wide, ["time", name])
+        except ValueError:
+            return True
+        return False
+
+    facts = [(name, name in available, refused(name), count) for name in names]
+    return spark.createDataFrame(facts, "feature string, available boolean, refused boolean, wide_rows long")
+
+
 @query
 def iso_time(spark, sf_dir):
     time = F.col("ts")
@@ -844,7 +866,10 @@ def zero_actuals(spark, sf_dir):
 
 @query
 def compare_models(spark, sf_dir):
-    """The customer's last price against a shrunken form of it, where both exist."""
+    """The customer's last price against a shrunken form of it, where both exist.
+
+    The shrunken form leaves out one priority, so that the comparison has a target that only one side knows.
+    """
     pairs = inputs.forecasts(spark, sf_dir)
     shrunk = pairs.where("o_orderpriority <> '5-LOW'").withColumn(
         "predicted", F.col("predicted") * 0.5 + 125000.0
