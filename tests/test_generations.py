@@ -261,6 +261,37 @@ def test_a_value_that_comes_back_is_a_change(spark, tmp_path):
     assert [v for _, n, v in sorted(got, key=lambda r: r[0]) if n == "x"] == [a, b, a, b, a]
 
 
+def test_many_keys_are_compared_at_once(spark, tmp_path):
+    """A call for every bucket, not for every key; great whole numbers and nulls stay what they are."""
+    big = 2**60
+    schema = "step int, id long, at timestamp, value long"
+    rows = [(0, big + i if i else None, datetime(2024, 1, 1), None if i % 3 == 0 else big + i) for i in range(3000)]
+    again = [(1, i, at, v if i and i % 2 else 7) for _, i, at, v in rows]
+    calls = spark.sparkContext.accumulator(0)
+    made = changes._bucket_step
+
+    def counted(*args):
+        step = made(*args)
+
+        def run(*group):
+            calls.add(1)
+            yield from step(*group)
+
+        return run
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(changes, "_bucket_step", counted)
+        patch.setattr(changes, "BUCKETS", 5)
+        for batch in (rows, again):
+            spark.createDataFrame(batch, schema).write.mode("append").parquet(f"{tmp_path}/in")
+            stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+            found = changes.changes_only(stream, ["at", "id"], "value", ["step"])
+            changes.start(found, f"{tmp_path}/out", f"{tmp_path}/c").awaitTermination()
+    got = {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {*rows, *[r for r, old in zip(again, rows) if r[3] != old[3]]}
+    assert calls.value == 10
+
+
 class KeyState:
     """State of one key, as a stream hands it over."""
 
