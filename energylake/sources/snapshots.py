@@ -66,5 +66,7 @@ def snapshot_json(snapshots: DataFrame) -> DataFrame:
     return rounded.select(F.to_json(F.struct(*fields)).alias("value"))
 
 
-def write_snapshots(snapshots: DataFrame, path: str, mode: str = "append") -> None:
-    snapshot_json(snapshots).write.mode(mode).text(path)
+def write_snapshots(
+    snapshots: DataFrame, path: str, mode: str = "append", compression: str | None = None
+) -> None:
+    snapshot_json(snapshots).write.mode(mode).text(path, compression=compression)

@@ -13,7 +13,7 @@ from .. import schemas
 from ..operators.reshape import points_to_readings, snapshot_points
 from ..options import SyncOptions
 from ..sources import generations, tables
-from ..sources.snapshots import snapshot_json, split_malformed, stream_snapshots
+from ..sources.snapshots import split_malformed, stream_snapshots, write_snapshots
 
 VERSION = tables.VERSION
 
@@ -34,6 +34,7 @@ def start_readings_sync(
     arrival: str | None = None,
     split: Callable[[DataFrame], tuple[DataFrame, DataFrame]] | None = None,
     quarantine_path: str | None = None,
+    expand: Callable[[DataFrame], DataFrame] | None = None,
 ) -> StreamingQuery | None:
     """Append a stream of readings; offsets advance only when a batch is written.
 
@@ -45,7 +46,9 @@ def start_readings_sync(
     may rewrite months beside it.  With `status_path` every attempt leaves a row with the
     numbers of rows that were and were not written.  Where `split` is given, it turns a batch into its readings
     and the rows that cannot be read as such; the latter go to a folder of the batch at `quarantine_path`, which
-    a repeated batch writes anew, and count as failed.  Nothing is started where the options say so.
+    a repeated batch writes anew, and count as failed.  Where `expand` is given, rows are snapshots that it turns
+    into readings (keeping version and order) after they have been spread to tasks.  Nothing is started where the
+    options say so.
     """
     options = options or SyncOptions()
     options.validate()
@@ -88,16 +91,23 @@ def start_readings_sync(
         numbered = batch.withColumns(
             {VERSION: F.lit(first + batch_id).cast("long"), tables.ARRIVAL: order}
         )
-        rows = (numbered.drop(arrival) if arrival else numbered).observe(
-            seen,
-            F.count(F.lit(1)).alias("records"),
-            F.max("time").alias("last_sync_time"),
-        )
+        numbered = numbered.drop(arrival) if arrival else numbered
+
+        def counted(rows: DataFrame) -> DataFrame:
+            return rows.observe(
+                seen,
+                F.count(F.lit(1)).alias("records"),
+                F.max("time").alias("last_sync_time"),
+            )
+
         try:
-            tables.append(rows, path)
+            if expand:
+                tables.append_expanded(numbered, path, "timestamp", lambda rows: counted(expand(rows)))
+            else:
+                tables.append(counted(numbered), path)
         except Exception:
             try:
-                rows_lost = batch.count()
+                rows_lost = (expand(numbered) if expand else batch).count()
             except Exception:  # the rows themselves cannot be read: their number is unknown
                 rows_lost = None
             report(batch, batch_id, False, 0, rows_lost, None)
@@ -126,19 +136,14 @@ def start_snapshot_sync(
     With `quarantine_path` the stream must keep malformed lines (see `stream_snapshots`); they are put there.
     """
     options = options or SyncOptions()
-    if quarantine_path:
 
-        def split(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-            good, bad = split_malformed(batch)
-            return points_to_readings(snapshot_points(good), options.site_id), bad
+    def expand(rows: DataFrame) -> DataFrame:
+        return points_to_readings(snapshot_points(rows), options.site_id, VERSION, tables.ARRIVAL)
 
-        return start_readings_sync(
-            snapshots, path, checkpoint, options, once, status_path,
-            split=split, quarantine_path=quarantine_path,
-        )
-    readings = points_to_readings(snapshot_points(snapshots), options.site_id)
     return start_readings_sync(
-        readings, path, checkpoint, options, once, status_path
+        snapshots, path, checkpoint, options, once, status_path,
+        split=split_malformed if quarantine_path else None,
+        quarantine_path=quarantine_path, expand=expand,
     )
 
 
@@ -234,6 +239,7 @@ def start_fan_out(
     callback: Callable[[DataFrame], None] | None = None,
     options: SyncOptions | None = None,
     once: bool = True,
+    json_compression: str | None = None,
 ) -> StreamingQuery:
     """Send each batch of snapshots to several sinks, reading it once.
 
@@ -249,12 +255,14 @@ def start_fan_out(
         try:
             if points_path:
                 version = F.lit(epoch * tables.BATCHES + batch_id).cast("long")
-                points = snapshot_points(batch).withColumn(VERSION, version)
-                tables.write_points(points, points_path)
+                tables.write_points(
+                    batch, points_path, "timestamp",
+                    lambda rows: snapshot_points(rows).withColumn(VERSION, version),
+                )
             if callback:
                 callback(batch)
             if json_path:
-                snapshot_json(batch).write.mode("append").text(json_path)
+                write_snapshots(batch, json_path, compression=json_compression)
         finally:
             batch.unpersist()
 
@@ -268,7 +276,7 @@ def stored_points(spark: SparkSession, path: str) -> DataFrame:
     """Points as stored: the latest batch's value of every point."""
     points = spark.read.parquet(path).drop("date")
     key = ["time", "measurement", "device_id", "field"]
-    return tables.current(points, key, VERSION).drop(VERSION)
+    return tables.current(points, key, VERSION, near=["time", "device_id"]).drop(VERSION)
 
 
 def start_periodic(

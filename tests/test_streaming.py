@@ -220,3 +220,39 @@ def test_periodic_job(spark, tmp_path):
         stream, calls.append, f"{tmp_path}/c", once=True
     ).awaitTermination()
     assert len(calls) == 1
+
+
+def test_snapshots_are_spread_before_they_become_points(spark, tmp_path):
+    """The shuffle of the write moves snapshots; the one of a reader keeps the metrics of a moment together."""
+    plans = []
+
+    def expand(rows):
+        out = reshape.snapshot_points(rows)
+        plans.append(out._jdf.queryExecution().optimizedPlan().toString())
+        return reshape.points_to_readings(out, "s")
+
+    def write(batch, _):
+        tables.append_expanded(batch, f"{tmp_path}/t", "timestamp", expand)
+        tables.write_points(batch, f"{tmp_path}/p", "timestamp", reshape.snapshot_points)
+
+    snapshot_files.write_snapshots(snapshots(spark), f"{tmp_path}/in", compression="gzip")
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    (
+        snapshot_files.stream_snapshots(spark, f"{tmp_path}/in")
+        .writeStream.foreachBatch(write)
+        .option("checkpointLocation", f"{tmp_path}/c")
+        .trigger(availableNow=True)
+        .start()
+        .awaitTermination()
+    )
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == before
+    assert plans[0].index("Generate") < plans[0].index("RebalancePartitions")
+    want = reshape.points_to_readings(reshape.snapshot_points(snapshots(spark)), "s")
+    assert rows_of(tables.table(spark, f"{tmp_path}/t")) == rows_of(want)
+    assert spark.read.parquet(f"{tmp_path}/p").count() == 6 * 26
+
+    rows = tables.table(spark, f"{tmp_path}/t").withColumn(tables.VERSION, F.lit(1).cast("long"))
+    wide = reshape.pivot_wide(tables.folded(rows))
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert wide.count() == 6
