@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from energylake.operators import dataset, series, windows
+from energylake.plans import inputs
 
 from .helpers import KEYS, ORDER, by_row, ordered, skewed_series, to_spark
 
@@ -224,3 +225,31 @@ def test_first_n_beyond_the_built_in_limit(spark, df, pdf):
         spark.conf.set(name, before)
     want = ordered(pdf).groupby(KEYS).head(7)
     assert {r["row_id"] for r in got} == set(want["row_id"])
+
+
+def test_facts_are_found_among_counted_intervals(spark):
+    """Medians of whole seconds, without a sorted list of a series' gaps in an aggregate."""
+    times = {"a": [0, 5, 10, 30], "b": [0, 60], "c": [7], None: [0, 1, 3], "d": [0, 0, 0]}
+    rows = [(k, pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=s)) for k, v in times.items() for s in v]
+    rows = [(k, t.to_pydatetime()) for k, t in rows]
+    df = spark.createDataFrame(rows, "k string, time timestamp")
+    facts = windows.series_facts(df, ["k"], ["time"])
+    assert "ObjectHashAggregate" not in facts._jdf.queryExecution().executedPlan().toString()
+    got = {r.k: (r.series_rows, r.interval_minutes) for r in facts.collect()}
+    assert got == {"a": (4, 5 / 60), "b": (2, 1.0), "c": (1, None), None: (3, 1.5 / 60), "d": (3, 0.0)}
+    (one,) = windows.series_facts(df.where("k = 'a'"), [], ["time"]).collect()
+    assert (one.series_rows, one.interval_minutes) == (4, 5 / 60)
+
+
+def test_places_are_numbered_in_parts_of_a_device(spark, tmp_path):
+    """The places of a long device's rows do not depend on the size of the parts."""
+    rows = [(i, datetime(2024, 1, 1, (i * 37) % 24, i % 60), i % 7, float(i)) for i in range(500)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, value double")
+    places = [
+        {r.event_id: (r.device, r.place) for r in inputs._numbered(events, 3, most).collect()}
+        for most in (20, 10_000)
+    ]
+    assert places[0] == places[1] and len(places[0]) == 500
+    dealt = inputs.spread(events, 100)
+    assert dealt.rdd.getNumPartitions() == 5
+    assert sorted(dealt.collect()) == sorted(events.collect())

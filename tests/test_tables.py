@@ -315,3 +315,20 @@ def test_latest_per_key_merges_before_the_shuffle(spark):
     latest = reshape.latest_per_key(rows, schemas.READING_KEY, "v")
     plan = latest._jdf.queryExecution().executedPlan().toString()
     assert "partial_max_by" in plan and "Window" not in plan
+
+
+def test_rows_without_copies_do_not_move_whole(spark, tmp_path, monkeypatch):
+    """An upsert sorts out copies of a key only where there are any."""
+    calls = []
+    latest = tables.latest_per_key
+    monkeypatch.setattr(tables, "latest_per_key", lambda *args: calls.append(1) or latest(*args))
+    path = f"{tmp_path}/t"
+    key = ["time", "site_id"]
+    rows = [(JAN, "a", 1.0), (JAN, None, 2.0), (FEB, "a", 3.0)]
+    schema = "time timestamp, site_id string, v double"
+    tables.upsert(spark.createDataFrame(rows, schema), path, key)
+    assert not calls
+    again = [(JAN, "a", 7.0), (JAN, "a", 5.0), (MAR, "b", 4.0)]
+    tables.upsert(spark.createDataFrame(again, schema), path, key)
+    got = {(r.time, r.site_id): r.v for r in tables.table(spark, path).collect()}
+    assert calls and got == {(JAN, "a"): 7.0, (JAN, None): 2.0, (FEB, "a"): 3.0, (MAR, "b"): 4.0}
