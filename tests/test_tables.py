@@ -332,3 +332,13 @@ def test_rows_without_copies_do_not_move_whole(spark, tmp_path, monkeypatch):
     tables.upsert(spark.createDataFrame(again, schema), path, key)
     got = {(r.time, r.site_id): r.v for r in tables.table(spark, path).collect()}
     assert calls and got == {(JAN, "a"): 7.0, (JAN, None): 2.0, (FEB, "a"): 3.0, (MAR, "b"): 4.0}
+
+
+def test_dealt_rows_are_appended_where_they_are(spark, tmp_path):
+    """No shuffle before the files: each task writes its own, in order."""
+    rows = [(JAN, "b", 1.0), (JAN, "a", 2.0), (FEB, None, 3.0), (JAN2, "a", 4.0)]
+    df = spark.createDataFrame(rows, "time timestamp, site_id string, v double").repartition(2, "v")
+    tables.append(df, f"{tmp_path}/t", dealt=True)
+    got = tables.table(spark, f"{tmp_path}/t").drop(tables.MONTH)
+    assert sorted(map(str, got.collect())) == sorted(map(str, df.collect()))
+    assert len(list((tmp_path / "t").rglob("*.parquet"))) >= df.rdd.getNumPartitions()
